@@ -6,6 +6,10 @@ so the same strings run on RE2 (DuckDB oracle) unchanged; where the original
 rule used lookaheads it is split into conjunctions (see ``functions.classes``).
 """
 
+# JS ``\s``: ASCII whitespace plus the Unicode space separators, spelled out
+# (Java's and RE2's ``\s`` are ASCII-only). One character, no quantifier.
+JS_SPACE = ("[\t\n\u000b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]")
+
 # --- fixed values: class-token kinds -----------------------------------------
 STATE_CLASS = (
     r"(?i)^(?:is-|has-|ng-|v-enter|v-leave|js-is-)|^(?:active|selected|current|hover|hovered|"
@@ -74,14 +78,15 @@ ABBREVIATIONS = {
     "dt": "Date", "ts": "Timestamp", "usr": "User",
 }
 PRICE = (
-    r"(?i)(?:[$€£¥₹₩₽₺]|\b(?:CHF|USD|EUR|GBP|JPY|CAD|AUD|SEK|NOK|DKK|PLN)\b)\s?[0-9]|"
-    r"[0-9]\s?(?:[$€£¥₹₩₽₺]|\b(?:CHF|USD|EUR|GBP|kr|zł|Fr)\b)"
+    r"(?i)(?:[$€£¥₹₩₽₺]|\b(?:CHF|USD|EUR|GBP|JPY|CAD|AUD|SEK|NOK|DKK|PLN)\b)" + JS_SPACE + r"?[0-9]|"
+    r"[0-9]" + JS_SPACE + r"?(?:[$€£¥₹₩₽₺]|\b(?:CHF|USD|EUR|GBP|kr|zł|Fr)\b)"
 )
-EMAIL = r"^[^\s@]+@[^\s@]+\.[^\s@]+$"
-PHONE_CHARS = r"^\+?[0-9\s().-]{7,}$"
+_NS = JS_SPACE[:-1] + "@]"          # neither space nor '@'
+EMAIL = "^[^" + _NS[1:] + "+@[^" + _NS[1:] + "+\\.[^" + _NS[1:] + "+\\z"
+PHONE_CHARS = r"^\+?(?:[0-9().-]|" + JS_SPACE + r"){7,}\z"
 PHONE_DIGITS = r"[0-9]{3}"
-RATING = r"(?i)^[0-9.,]+\s*(?:/\s*5|stars?|out of 5)"
-NUMBER = r"^-?[0-9.,]+%?$"
+RATING = r"(?i)^[0-9.,]+" + JS_SPACE + r"*(?:/" + JS_SPACE + r"*5|stars?|out of 5)"
+NUMBER = r"^-?[0-9.,]+%?\z"
 HREF_NOT_URL_NAME = r"(?i)link|url"
 SRC_IMAGE_NAME = r"(?i)image|img|photo|picture|thumb|logo|avatar|icon"
 
