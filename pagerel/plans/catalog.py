@@ -266,7 +266,7 @@ def q_a06(spark, d):
     ds = ds.join(p, "page_ord")
     stored = ds.filter(F.col("tls"))
     incoming = ds.filter(~F.col("tls"))
-    return D.new_rows(incoming, stored, ["Link", "Link Text"]).select(
+    return D.new_rows(incoming, stored, ["Link Text"]).select(
         "page_ord", F.col("row_ord").cast("bigint").alias("row_ord"), "Link", "Link Text")
 
 

@@ -56,5 +56,8 @@ def stream_extract_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     Scratch folders live under the session's shared checkpoint folder."""
     base = ensure_checkpoint_dir(spark)
     run = os.path.join(base, "w01-" + uuid.uuid4().hex[:8])
-    out = stream_extract(spark, f"{sf_dir}/pages.parquet", os.path.join(run, "sink"), os.path.join(run, "ckpt"))
+    # pages "land" as several files (derived from the pages table by Spark)
+    src = os.path.join(run, "landing")
+    spark.read.parquet(f"{sf_dir}/pages.parquet").repartition(4, "page_id").write.parquet(src)
+    out = stream_extract(spark, src, os.path.join(run, "sink"), os.path.join(run, "ckpt"))
     return out.select("page_id", "row_ord", "col_ord", "name", "value")
