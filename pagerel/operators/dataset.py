@@ -90,7 +90,7 @@ def ensure_unique_names(cols: DataFrame, part: list[str], order: str, name: str
 
     def step(acc, x):
         i = F.size(acc["out"]) + 1
-        base = F.when(F.trim(F.coalesce(x["n"], F.lit(""))) == "", F.concat(F.lit("Column "), i.cast("string"))).otherwise(x["n"])
+        base = F.when(F.trim(F.coalesce(x["n"], F.lit(""))) == "", F.concat(F.lit("Column "), i.cast("string"))).otherwise(F.trim(x["n"]))
         taken = acc["out"]
         free = F.filter(F.sequence(F.lit(2), F.size(taken) + 2), lambda k: ~F.array_contains(taken, F.concat(base, F.lit(" "), k.cast("string"))))
         nm = F.when(F.array_contains(taken, base), F.concat(base, F.lit(" "), F.element_at(free, 1).cast("string"))).otherwise(base)

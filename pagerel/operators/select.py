@@ -97,7 +97,7 @@ class Matcher:
         case. Steps stay in ``sels`` and are joined in by ``sel_id`` (the
         frontier carries only hashable keys)."""
         st = sels.filter(F.size("steps") > i).select(
-            "sel_id", F.element_at(F.col("steps"), i + 1).alias("_s")).withColumn("key", step_key(F.col("_s")))
+            "sel_id", F.try_element_at(F.col("steps"), F.lit(i + 1)).alias("_s")).withColumn("key", step_key(F.col("_s")))
         front = front.join(st, "sel_id")
         want = front.select("page_id", "key").distinct()
         cand = self.keys.join(want, ["page_id", "key"], "left_semi")

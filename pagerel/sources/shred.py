@@ -472,7 +472,13 @@ def shred(pages: DataFrame) -> DataFrame:
     Runs per page inside ``mapInArrow``; only ``page_id`` and ``html`` cross
     into Python. The page's text stream and ``<base href>`` ride on the root
     row (node_id 0), so no second parse is needed for texts."""
-    return pages.select("page_id", "html").mapInArrow(_shred_batches, NODES_SCHEMA)
+    src = pages.select("page_id", "html")
+    # Parsing is CPU-bound Python: make sure every core gets pages. Large
+    # inputs already scan into many splits and keep them (no shuffle of html).
+    cores = pages.sparkSession.sparkContext.defaultParallelism
+    if src.rdd.getNumPartitions() < cores:
+        src = src.repartition(cores, "page_id")
+    return src.mapInArrow(_shred_batches, NODES_SCHEMA)
 
 
 def page_texts(nodes: DataFrame) -> DataFrame:
