@@ -106,11 +106,11 @@ def apply_columns(ps, rows: DataFrame, cols: DataFrame) -> DataFrame:
     return grid.join(cols.select("page_id", "list_rank", "col_ord", "name"), ["page_id", "list_rank", "col_ord"])
 
 
-def auto_extract(ps, index: int = 0) -> tuple[DataFrame, DataFrame]:
+def auto_extract(ps, index: int = 0, lists: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Per page pick list ``index`` (wrapping modulo the number of lists
     found), detect its columns and extract all of its rows.
     -> (cells long form, columns)"""
-    lists = find_lists(ps)
+    lists = find_lists(ps) if lists is None else lists
     total = lists.groupBy("page_id").agg(F.count(F.lit(1)).alias("total"))
     pick = lists.join(total, "page_id").filter(F.col("list_rank") == F.pmod(F.lit(index), F.col("total")) + 1)
     rows = list_rows(ps, pick)
@@ -140,3 +140,26 @@ def host_rollup(ds: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
     per = d.groupBy("host", *keys).agg(F.min("page_id").alias("p"))
     pages_per_host = d.groupBy("host").agg(F.countDistinct("page_id").alias("pages"))
     return per.groupBy("host").agg(F.count(F.lit(1)).alias("rows")).join(pages_per_host, "host")
+
+
+def recipe_extract(ps, recipes: DataFrame) -> DataFrame:
+    """J10 + L16: apply each host's recipe to every page of that host: the
+    row selector (steps) is matched on every page, then the recipe's
+    columns inside every row. -> long cells (page_id, list_rank, row_ord,
+    col_ord, name, value)."""
+    from .recipes import pages_for
+
+    pr = pages_for(recipes, ps.pages).select("page_id", "id")
+    rs = recipes.select("id", F.xxhash64("id").alias("sel_id"), "row_steps", "columns")
+    sels = rs.select("sel_id", F.col("row_steps").alias("steps"))
+    roots = ps.nodes.filter(F.col("parent_id").isNull()).select("page_id", F.col("node_id").alias("scope_id"))
+    scopes = pr.join(rs.select("id", "sel_id"), "id").join(roots, "page_id").select("page_id", "scope_id", "sel_id")
+    max_len = recipes.agg(F.max(F.size("row_steps"))).first()[0] or 0
+    m = Matcher(ps).match(scopes, sels, [], max_len, include_scope=True)
+    w = Window.partitionBy("page_id").orderBy("row_id")
+    rows = m.select("page_id", F.lit(1).alias("list_rank"), F.col("node_id").alias("row_id")).distinct().withColumn(
+        "row_ord", F.row_number().over(w))
+    cols = pr.join(rs, "id").select("page_id", F.lit(1).alias("list_rank"), F.posexplode("columns").alias("i", "c")).select(
+        "page_id", "list_rank", (F.col("i") + 1).alias("col_ord"), F.col("c.name").alias("name"), F.col("c.steps").alias("steps"),
+        F.col("c.attr").alias("attr"))
+    return apply_columns(ps, rows, cols)

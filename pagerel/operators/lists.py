@@ -74,9 +74,15 @@ def target_candidates(nodes: DataFrame) -> DataFrame:
     feats = (F.when(k == "id", F.array(F.concat(F.lit("i:"), F.col("c.v"))))
              .when(k == "attr", F.array(F.concat(F.lit("a:"), F.col("c.n"), F.lit("="), F.col("c.v"))))
              .otherwise(F.transform(F.col("c.cs"), lambda c: F.concat(F.lit("c:"), c))))
+    step = F.struct(F.lit("desc").alias("comb"), F.col("tag").alias("tag"),
+                    F.when(k == "id", F.col("c.v")).alias("id"), F.col("c.cs").alias("classes"),
+                    F.when(k == "attr", F.create_map(F.col("c.n"), F.col("c.v"))).otherwise(
+                        F.create_map().cast("map<string,string>")).alias("attrs"),
+                    F.lit(None).cast("int").alias("nth"), F.lit(None).cast("string").alias("text"),
+                    F.lit(None).cast("string").alias("has_child"))
     return ex.select("page_id", "node_id", "tag", "prio", feats.alias("feats"),
                      render_candidate(F.col("tag"), k, F.col("c.n"), F.col("c.v"), F.col("c.cs")).alias("css"),
-                     F.col("c.strong").alias("strong"))
+                     F.col("c.strong").alias("strong"), F.array(step).alias("steps"))
 
 
 def render_candidate(tag: Column, kind: Column, n: Column, v: Column, cs: Column) -> Column:
@@ -129,14 +135,22 @@ def unique_selectors(ps, targets: DataFrame) -> DataFrame:
     cands = cut_lineage(target_candidates(tn))
     counts = candidate_counts(nodes, cands)
     uniq = cands.join(counts.filter(F.col("matches") == 1), ["page_id", "node_id", "prio"])
-    p1 = cut_lineage(uniq.groupBy("page_id", "node_id").agg(F.min_by("css", "prio").alias("selector")))
+    p1 = cut_lineage(uniq.groupBy("page_id", "node_id").agg(F.min_by("css", "prio").alias("selector"),
+                                                            F.min_by("steps", "prio").alias("steps")))
+    from ..schema import STEPS
+
+    tag_step = F.array(F.struct(F.lit("desc").alias("comb"), F.col("tag").alias("tag"), F.lit(None).cast("string").alias("id"),
+                                F.array().cast("array<string>").alias("classes"), F.create_map().cast("map<string,string>").alias("attrs"),
+                                F.lit(None).cast("int").alias("nth"), F.lit(None).cast("string").alias("text"),
+                                F.lit(None).cast("string").alias("has_child"))).cast(STEPS)
     special = tn.filter(F.col("tag").isin("html", "body") & (F.col("depth") <= 1)).select(
-        "page_id", "node_id", F.col("tag").alias("selector"))
+        "page_id", "node_id", F.col("tag").alias("selector"), tag_step.alias("steps"))
     rest = t.join(p1, ["page_id", "node_id"], "left_anti").join(special, ["page_id", "node_id"], "left_anti")
     p3 = indexed_paths(ps, rest)
+    p1 = p1.withColumn("steps", F.col("steps").cast(STEPS))
     return cut_lineage(special.withColumn("phase", F.lit(0))
             .unionByName(p1.join(special, ["page_id", "node_id"], "left_anti").withColumn("phase", F.lit(1)))
-            .unionByName(p3.withColumn("phase", F.lit(3))))
+            .unionByName(p3.withColumn("steps", F.lit(None).cast(STEPS)).withColumn("phase", F.lit(3))))
 
 
 def indexed_paths(ps, targets: DataFrame) -> DataFrame:
@@ -224,7 +238,7 @@ def find_lists(ps, limit: int = rules.LISTS_MAX) -> DataFrame:
     w2 = Window.partitionBy("page_id").orderBy(F.desc("score_raw"), "parent_id", "first_id")
     g = g.withColumn("list_rank", F.row_number().over(w2)).filter(F.col("list_rank") <= limit)
     return g.select(
-        "page_id", "list_rank", "parent_id", "bucket", "row_tag", "row_classes", "has_child", "row_selector",
+        "page_id", "list_rank", "parent_id", "bucket", "row_tag", "row_classes", "has_child", "row_selector", "container_steps",
         F.col("size").cast("bigint").alias("row_count"),
         F.floor(F.col("score_raw") + 0.5).cast("bigint").alias("score"), "score_raw", "first_id",
     )
@@ -262,7 +276,8 @@ def row_selectors(ps, groups: DataFrame, kids: DataFrame) -> DataFrame:
     g = g.withColumn("has_child", F.when((F.size("row_classes") == 0) & (F.coalesce("n_out", F.lit(0)) > 0), F.col("has_t")))
     g = cut_lineage(g)
     cont = unique_selectors(ps, g.select("page_id", F.col("parent_id").alias("node_id"))).select(
-        "page_id", F.col("node_id").alias("parent_id"), F.col("selector").alias("container_selector"))
+        "page_id", F.col("node_id").alias("parent_id"), F.col("selector").alias("container_selector"),
+        F.col("steps").alias("container_steps"))
     g = g.join(cont, ["page_id", "parent_id"], "left")
     part = F.concat(css_escape(F.col("row_tag")),
                     F.array_join(F.transform("row_classes", lambda c: F.concat(F.lit("."), css_escape(c))), ""))

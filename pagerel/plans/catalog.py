@@ -47,16 +47,55 @@ def pageset(spark: SparkSession, sf_dir: str) -> PageSet:
     return _CACHE[key]
 
 
+def lists_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """L03 result, computed once per session and folder."""
+    key = ("lists", id(spark), sf_dir)
+    if key not in _CACHE:
+        _CACHE[key] = find_lists(pageset(spark, sf_dir))
+    return _CACHE[key]
+
+
 def auto(spark: SparkSession, sf_dir: str):
     key = ("auto", id(spark), sf_dir)
     if key not in _CACHE:
         from ..session import cut_lineage
 
-        cells, cols = auto_extract(pageset(spark, sf_dir))
+        cells, cols = auto_extract(pageset(spark, sf_dir), lists=lists_of(spark, sf_dir))
         _CACHE[key] = (cut_lineage(cells), cols)
     return _CACHE[key]
 
 
+def derived_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One recipe per host, built from the list and columns detected on the
+    host's first page (row steps = container steps + child row step)."""
+    from ..operators.recipes import normalize_recipes
+    from ..schema import STEP
+    from ..session import cut_lineage
+
+    key = ("recipes", id(spark), sf_dir)
+    if key in _CACHE:
+        return _CACHE[key]
+    _, cols = auto(spark, sf_dir)
+    lists = lists_of(spark, sf_dir).filter(F.col("list_rank") == 1)
+    pages = _read(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"))
+    first = pages.groupBy("host").agg(F.min("page_id").alias("page_id"))
+    row_step = F.struct(F.lit("child").alias("comb"), F.col("row_tag").alias("tag"), F.lit(None).cast("string").alias("id"),
+                        F.col("row_classes").alias("classes"), F.create_map().cast("map<string,string>").alias("attrs"),
+                        F.lit(None).cast("int").alias("nth"), F.lit(None).cast("string").alias("text"),
+                        F.col("has_child").alias("has_child")).cast(STEP)
+    l = lists.join(first, "page_id").select("host", "page_id", F.concat("container_steps", F.array(row_step)).alias("row_steps"))
+    c = cols.join(first, "page_id").groupBy("page_id").agg(F.array_sort(
+        F.collect_list(F.struct("col_ord", F.struct("name", "steps", "attr", F.lit("").alias("attr_name")).alias("c"))),
+        lambda a, b: F.when(a["col_ord"] < b["col_ord"], -1).when(a["col_ord"] > b["col_ord"], 1).otherwise(0)).alias("cs"))
+    r = l.join(c, "page_id").select(
+        F.concat(F.lit("r-"), F.col("host")).alias("id"), F.concat(F.col("host"), F.lit(" list")).alias("name"), "host",
+        "row_steps", F.transform("cs", lambda x: x["c"]).alias("columns"),
+        F.lit(None).cast("struct<type:string,target:struct<steps:array<struct<comb:string,tag:string,id:string,classes:array<string>,attrs:map<string,string>,nth:int,text:string,has_child:string>>,text:string,aria:string,rel:string>,max_pages:int,delay_ms:int,timeout_ms:int>").alias("pagination"),
+        F.lit(None).cast("struct<dedupe:boolean,append:boolean,page_url:boolean>").alias("options"))
+    _CACHE[key] = cut_lineage(normalize_recipes(r))
+    return _CACHE[key]
+
+
 def _links_wide(spark, sf_dir):
     cells, _ = auto(spark, sf_dir)
     return wide(cells, ["Link", "Link Text"])
@@ -321,8 +360,7 @@ def q_t03(spark, d):
 
 
 def q_l03(spark, d):
-    ps = pageset(spark, d)
-    fl = find_lists(ps)
+    fl = lists_of(spark, d)
     return fl.select("page_id", F.col("list_rank").cast("bigint").alias("list_rank"), "row_selector", "row_count", "score")
 
 
@@ -394,6 +432,103 @@ def q_v05(spark, d):
     return S.csv_lines(hit, ["c_custkey", "c_name", "c_mktsegment"], keep=["c_custkey"])
 
 
+def q_r01(spark, d):
+    r = derived_recipes(spark, d)
+    return r.select("host", "name", F.size("columns").cast("bigint").alias("n_columns"), F.size("row_steps").cast("bigint").alias("n_steps"),
+                    F.col("pagination.type").alias("pagination"), F.col("pagination.max_pages").cast("bigint").alias("max_pages"),
+                    F.col("pagination.delay_ms").cast("bigint").alias("delay_ms"), F.col("pagination.timeout_ms").cast("bigint").alias("timeout_ms"),
+                    F.col("options.dedupe").alias("dedupe"))
+
+
+def q_r04(spark, d):
+    from ..operators.recipes import check_recipes
+
+    return check_recipes(derived_recipes(spark, d)).select("host", "reason")
+
+
+def q_s05(spark, d):
+    from ..operators.recipes import export_recipes
+
+    r = derived_recipes(spark, d)
+    return export_recipes(r).select("slug", F.get_json_object("json", "$.version").cast("bigint").alias("version"),
+                                    F.get_json_object("json", "$.recipe.host").alias("host"),
+                                    F.get_json_object("json", "$.recipe.columns[1].name").alias("second_column"))
+
+
+def q_j10(spark, d):
+    from ..operators.extract import recipe_extract
+
+    cells = recipe_extract(pageset(spark, d), derived_recipes(spark, d))
+    return cells.select("page_id", F.col("row_ord").cast("bigint").alias("row_ord"),
+                        F.col("col_ord").cast("bigint").alias("col_ord"), "name", "value")
+
+
+def q_t05(spark, d):
+    from ..operators.recipes import rank_recipes
+
+    r = rank_recipes(derived_recipes(spark, d), _read(spark, d, "pages"))
+    return r.select("page_id", "host", "recipe_id", "same_host")
+
+
+def q_l01(spark, d):
+    from ..operators.explorer import detect_lists
+
+    ps = pageset(spark, d)
+    first_link = ps.nodes.filter(F.col("usable_a")).groupBy("page_id").agg(F.min("node_id").alias("node_id"))
+    r = detect_lists(ps, first_link)
+    return r.select("page_id", F.col("level").cast("bigint").alias("level"), "row_selector")
+
+
+def q_l09(spark, d):
+    from ..operators.explorer import xpaths
+
+    ps = pageset(spark, d)
+    a = ps.nodes.filter(F.col("usable_a")).select("page_id", "node_id")
+    return xpaths(ps, a).select("page_id", F.col("node_id").cast("bigint").alias("node_id"), "xpath")
+
+
+def q_j02(spark, d):
+    from ..operators.tree import lca
+
+    ps = pageset(spark, d)
+    a = ps.nodes.filter(F.col("usable_a")).groupBy("page_id").agg(F.min("node_id").alias("a_id"), F.max("node_id").alias("b_id"))
+    return lca(ps.nodes, a).select("page_id", F.col("lca_id").cast("bigint").alias("lca_id"))
+
+
+def q_j04(spark, d):
+    from ..operators.tree import neighbourhood
+
+    ps = pageset(spark, d)
+    li = ps.nodes.filter(F.col("tag") == "li").select("page_id", "node_id")
+    n = neighbourhood(ps.nodes, li)
+    return n.select("page_id", F.col("node_id").cast("bigint").alias("node_id"), F.col("prev_id").cast("bigint").alias("prev_id"),
+                    F.col("next_id").cast("bigint").alias("next_id"), F.col("index").cast("bigint").alias("index"),
+                    F.col("sibling_count").cast("bigint").alias("sibling_count"))
+
+
+def q_g03(spark, d):
+    from ..operators.pager import is_disabled
+
+    ps = pageset(spark, d)
+    return is_disabled(ps).groupBy("page_id").agg(F.count_if("disabled").alias("n_disabled"))
+
+
+def q_g05(spark, d):
+    from ..operators.pager import page_signatures
+
+    ps = pageset(spark, d)
+    rows = list_rows(ps, lists_of(spark, d).filter(F.col("list_rank") == 1))
+    return page_signatures(ps, rows).select("page_id", "url", "n", "fp_first", "fp_last", "sig")
+
+
+def q_p13(spark, d):
+    from ..operators.explorer import element_profile
+
+    ps = pageset(spark, d)
+    h1 = ps.nodes.filter(F.col("tag") == "h1").select("page_id", "node_id")
+    return element_profile(ps, h1).select("page_id", "tag", "text", F.col("children").cast("bigint").alias("children"), "visible", "href", "src")
+
+
 def q_w01(spark, d):
     from ..streaming.incremental import stream_extract_links
 
@@ -414,4 +549,7 @@ QUERIES = {
     "L06_unique_selectors": q_l06, "L11_data_nodes": q_l11, "L14_detect_columns": q_l14, "L16_extract": q_l16,
     "L18_auto_extract": q_l18, "U01_merge": q_u01, "V01_search": q_v01, "V02_mark": q_v02, "V03_cell_kinds": q_v03,
     "V04_search_counts": q_v04, "V05_export_view": q_v05, "W01_stream_extract": q_w01,
+    "R01_normalize_recipes": q_r01, "R04_check_recipes": q_r04, "S05_export_recipes": q_s05, "J10_recipe_extract": q_j10,
+    "T05_rank_recipes": q_t05, "L01_detect_list": q_l01, "L09_xpaths": q_l09, "J02_lca": q_j02, "J04_neighbourhood": q_j04,
+    "G03_disabled": q_g03, "G05_page_signatures": q_g05, "P13_element_profile": q_p13,
 }

@@ -238,6 +238,31 @@ def _oracles() -> dict[str, str]:
     vany = " OR ".join(f"contains(lower(coalesce(CAST({c} AS VARCHAR), '')), 'building')" for c in vcols)
     o["V05_export_view"] = f"SELECT c_custkey, concat_ws(',', {', '.join(csv_cell(c) for c in vcols)}) AS line FROM customer WHERE {vany}"
     o["W01_stream_extract"] = o["L16_extract"]
+    hosts = f"(SELECT DISTINCT {host('url')} AS host FROM pages)"
+    o["R01_normalize_recipes"] = (f"SELECT host, host || ' list' AS name, CAST(2 AS BIGINT) AS n_columns, CAST(2 AS BIGINT) AS n_steps, "
+                                  f"'none' AS pagination, CAST(10 AS BIGINT) AS max_pages, CAST(800 AS BIGINT) AS delay_ms, "
+                                  f"CAST(20000 AS BIGINT) AS timeout_ms, true AS dedupe FROM {hosts}")
+    o["R04_check_recipes"] = f"SELECT host, '' AS reason FROM {hosts}"
+    o["S05_export_recipes"] = (f"SELECT regexp_replace(regexp_replace(lower(host || ' list'), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') AS slug, "
+                               f"CAST(3 AS BIGINT) AS version, host, 'Link Text' AS second_column FROM {hosts}")
+    o["J10_recipe_extract"] = o["L16_extract"]
+    o["T05_rank_recipes"] = f"SELECT page_id, {host('url')} AS host, 'r-' || {host('url')} AS recipe_id, true AS same_host FROM pages"
+    o["L01_detect_list"] = f"WITH {TAGS} SELECT page_id, CAST(1 AS BIGINT) AS level, 'ul > li' AS row_selector FROM tags WHERE tag = 'li' GROUP BY page_id HAVING count(*) >= 2"
+    o["L09_xpaths"] = (f"WITH {TAGS} SELECT page_id, node_id, '/html/body/nav/ul/li[' || CAST(row_number() OVER (PARTITION BY page_id ORDER BY node_id) AS VARCHAR) "
+                       f"|| ']/a' AS xpath FROM tags WHERE tag = 'a'")
+    o["J02_lca"] = f"WITH {TAGS} SELECT page_id, node_id AS lca_id FROM tags WHERE tag = 'ul'"
+    o["J04_neighbourhood"] = (f"WITH {TAGS} SELECT page_id, node_id, lag(node_id) OVER w AS prev_id, lead(node_id) OVER w AS next_id, "
+                              f"CAST(row_number() OVER w - 1 AS BIGINT) AS index, count(*) OVER (PARTITION BY page_id) AS sibling_count "
+                              f"FROM tags WHERE tag = 'li' WINDOW w AS (PARTITION BY page_id ORDER BY node_id)")
+    fnv = lambda e: ("lower(to_base(list_reduce(list_transform(CASE WHEN " + e + " = '' THEN [] ELSE string_split(" + e + ", '') END, "
+                     "lambda x: CAST(unicode(x) AS BIGINT)), lambda acc, x: (xor(acc, x) * 16777619) % 4294967296, CAST(2166136261 AS BIGINT)), 36))")
+    o["G05_page_signatures"] = (f"WITH {LINKS}, t AS (SELECT page_id, row_ord, substring({clean(decode('text'))}, 1, 300) AS tx FROM links), "
+                                f"g AS (SELECT page_id, count(*) AS n, arg_min(tx, row_ord) AS f, arg_max(tx, row_ord) AS l FROM t GROUP BY page_id), "
+                                f"h AS (SELECT p.page_id, p.url, CAST(coalesce(g.n, 0) AS BIGINT) AS n, {fnv('coalesce(g.f, ' + q('') + ')')} AS fp_first, "
+                                f"{fnv('coalesce(g.l, ' + q('') + ')')} AS fp_last FROM pages p LEFT JOIN g USING (page_id)) "
+                                f"SELECT page_id, url, n, fp_first, fp_last, concat_ws('|', url, CAST(n AS VARCHAR), fp_first, fp_last) AS sig FROM h")
+    o["P13_element_profile"] = (f"SELECT page_id, 'h1' AS tag, substring({clean(decode('regexp_extract(html, ' + q('(?s)<h1>(.*?)</h1>') + ', 1)'))}, 1, 500) AS text, "
+                                f"CAST(0 AS BIGINT) AS children, true AS visible, '' AS href, '' AS src FROM pages")
     return o
 
 
