@@ -48,11 +48,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives the
     loss of executors, unlike a local checkpoint)."""
+    import time
+
     from pyspark import StorageLevel
 
+    t0 = time.time()
     ensure_checkpoint_dir(df.sparkSession)
     # persist first so the checkpoint write does not recompute the input
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     out = df.checkpoint(eager=True)
     df.unpersist()
+    if os.environ.get("PAGEREL_TRACE"):
+        import sys
+        caller = sys._getframe(1)
+        print(f"[cut] {caller.f_code.co_name}:{caller.f_lineno} {time.time() - t0:.2f}s", file=sys.stderr)
     return out
