@@ -529,6 +529,21 @@ def q_p13(spark, d):
     return element_profile(ps, h1).select("page_id", "tag", "text", F.col("children").cast("bigint").alias("children"), "visible", "href", "src")
 
 
+def q_g06(spark, d):
+    from ..operators.pager import is_disabled, page_chain, page_signatures, resolve_targets
+
+    ps = pageset(spark, d)
+    t = ps.pages.select("page_id", F.lit("Next").alias("text"), F.lit("").alias("aria"), F.lit("next").alias("rel"))
+    res = resolve_targets(ps, t)
+    href = ps.nodes.select("page_id", "node_id", F.col("attrs")["href"].alias("href"))
+    nl = res.join(href, ["page_id", "node_id"]).join(is_disabled(ps), ["page_id", "node_id"]).filter(F.col("href").isNotNull())
+    rows = list_rows(ps, lists_of(spark, d).filter(F.col("list_rank") == 1))
+    chain = page_chain(ps, nl.select("page_id", "href", "disabled"), ps.pages.select("page_id"),
+                       page_signatures(ps, rows).select("page_id", "n", "sig"), max_pages=10)
+    return chain.select(F.col("start_id").cast("bigint").alias("start_id"), F.col("step").cast("bigint").alias("step"),
+                        F.col("page_id").cast("bigint").alias("page_id"), "reason")
+
+
 def q_w01(spark, d):
     from ..streaming.incremental import stream_extract_links
 
@@ -551,5 +566,5 @@ QUERIES = {
     "V04_search_counts": q_v04, "V05_export_view": q_v05, "W01_stream_extract": q_w01,
     "R01_normalize_recipes": q_r01, "R04_check_recipes": q_r04, "S05_export_recipes": q_s05, "J10_recipe_extract": q_j10,
     "T05_rank_recipes": q_t05, "L01_detect_list": q_l01, "L09_xpaths": q_l09, "J02_lca": q_j02, "J04_neighbourhood": q_j04,
-    "G03_disabled": q_g03, "G05_page_signatures": q_g05, "P13_element_profile": q_p13,
+    "G03_disabled": q_g03, "G05_page_signatures": q_g05, "G06_page_chain": q_g06, "P13_element_profile": q_p13,
 }

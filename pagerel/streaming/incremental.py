@@ -61,3 +61,50 @@ def stream_extract_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     spark.read.parquet(f"{sf_dir}/pages.parquet").repartition(4, "page_id").write.parquet(src)
     out = stream_extract(spark, src, os.path.join(run, "sink"), os.path.join(run, "ckpt"))
     return out.select("page_id", "row_ord", "col_ord", "name", "value")
+
+
+# -- W03 / W04: keyed state -------------------------------------------------------
+CHANGE_OUT = "key STRING, seen_at TIMESTAMP, sig STRING, n BIGINT"
+CHANGE_STATE = "last STRING, pending STRING"
+
+
+def _changes(key, pdfs, state):
+    """Per key: emit a snapshot when its signature has rows, differs from the
+    last emitted (stable) one and equals the poll right before it."""
+    import pandas as pd
+
+    last, pending = (state.get if state.exists else (None, None))
+    out = []
+    for pdf in pdfs:
+        for r in pdf.sort_values("seen_at").itertuples(index=False):
+            if r.n > 0 and r.sig != last and r.sig == pending:
+                out.append((key[0], r.seen_at, r.sig, r.n))
+                last = r.sig
+            pending = r.sig
+    state.update((last, pending))
+    if out:
+        yield pd.DataFrame(out, columns=["key", "seen_at", "sig", "n"])
+
+
+def stream_changes(snapshots: DataFrame, key: str = "url") -> DataFrame:
+    """Change detection with keyed state (state = last stable signature
+    and the previous poll), one state row per key."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    s = snapshots.select(F.col(key).alias("key"), "seen_at", "sig", F.col("n").cast("bigint").alias("n"))
+    return s.groupBy("key").applyInPandasWithState(_changes, CHANGE_OUT, CHANGE_STATE, "append", GroupStateTimeout.NoTimeout)
+
+
+def page_budget(batch: DataFrame, sink_counts: DataFrame | None, max_pages: int, key: str = "host") -> DataFrame:
+    """W04 inside ``foreachBatch``: keep at most ``max_pages`` pages per key
+    across the run, counting what the sink already holds (row_number per key
+    within the batch, offset by the stored count)."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy(key).orderBy("page_id")
+    b = batch.withColumn("_k", F.row_number().over(w))
+    if sink_counts is not None:
+        b = b.join(sink_counts.select(key, F.col("n").alias("_have")), key, "left")
+    else:
+        b = b.withColumn("_have", F.lit(0))
+    return b.filter(F.coalesce("_have", F.lit(0)) + F.col("_k") <= max_pages).drop("_k", "_have")
