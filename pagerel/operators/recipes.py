@@ -152,9 +152,8 @@ def rank_recipes(recipes: DataFrame, pages: DataFrame) -> DataFrame:
     list, which shows same-host recipes first)."""
     r = recipes.select("id", "name", F.lower(F.regexp_replace("host", r"^www\.", "")).alias("host"))
     per_host = r.groupBy("host").agg(F.min_by("id", F.struct("name", "id")).alias("host_id"))
-    first = r.agg(F.min_by("id", F.struct("name", "id")).alias("any_id")).withColumn("_k", F.lit(1))
+    # the overall default is one aggregated value (a scalar), used as a literal
+    any_id = r.agg(F.min_by("id", F.struct("name", "id"))).first()[0]
     p = pages.select("page_id", host_of(F.col("url")).alias("host")).join(per_host, "host", "left")
-    # one-row side: a bounded broadcast on a constant key
-    p = p.withColumn("_k", F.lit(1)).join(F.broadcast(first), "_k").drop("_k")
-    return p.select("page_id", "host", F.coalesce("host_id", "any_id").alias("recipe_id"),
+    return p.select("page_id", "host", F.coalesce("host_id", F.lit(any_id)).alias("recipe_id"),
                     F.col("host_id").isNotNull().alias("same_host"))
