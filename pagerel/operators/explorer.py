@@ -350,3 +350,168 @@ def column_for(ps, rows: DataFrame, picks: DataFrame, existing: list[str] | None
     free = F.filter(F.sequence(F.lit(2), F.size(taken) + 2), lambda k: ~F.array_contains(taken, F.concat(F.col("guess"), F.lit(" "), k.cast("string"))))
     name = F.when(F.array_contains(taken, F.col("guess")), F.concat(F.col("guess"), F.lit(" "), F.element_at(free, 1).cast("string"))).otherwise(F.col("guess"))
     return v.select("page_id", "node_id", "row_id", name.alias("name"), "attr", F.col("value").alias("sample"))
+
+
+# -- J07 for arbitrary pairs / L02 ----------------------------------------------------------------
+def similar_pairs(ps, pairs: DataFrame) -> DataFrame:
+    """J07 for any (page_id, x, y): same tag; if either has group classes
+    they must share one; empty signatures: both empty, or x has group
+    classes; else Jaccard >= 0.34 (asymmetric in x). -> (+ sim)."""
+    nodes = ps.nodes
+    xs = pairs.select("page_id", F.col("x").alias("node_id")).unionByName(pairs.select("page_id", F.col("y").alias("node_id"))).distinct()
+    sig = signatures_for(nodes, xs)
+    info = nodes.select("page_id", "node_id", "tag", "grp").join(sig, ["page_id", "node_id"])
+    ix = info.select("page_id", F.col("node_id").alias("x"), F.col("tag").alias("tx"), F.col("grp").alias("gx"), F.col("sig").alias("sx"))
+    iy = info.select("page_id", F.col("node_id").alias("y"), F.col("tag").alias("ty"), F.col("grp").alias("gy"), F.col("sig").alias("sy"))
+    j = pairs.join(ix, ["page_id", "x"]).join(iy, ["page_id", "y"])
+    cls_ok = ((F.size("gx") == 0) & (F.size("gy") == 0)) | F.arrays_overlap("gx", "gy")
+    jac = F.size(F.array_intersect("sx", "sy")) / F.size(F.array_union("sx", "sy"))
+    sig_ok = F.when((F.size("sx") == 0) | (F.size("sy") == 0), (F.size("sx") == F.size("sy")) | (F.size("gx") > 0)).otherwise(jac >= rules.SIMILARITY_MIN)
+    sim = (F.col("x") == F.col("y")) | ((F.col("tx") == F.col("ty")) & cls_ok & sig_ok)
+    return j.select(*pairs.columns, sim.alias("sim"))
+
+
+def _common_classes(nodes: DataFrame, rows: DataFrame, key: list[str]) -> DataFrame:
+    """A02 for groups given as (key..., row_id, member_id): semantic classes of
+    the row every member has, else group classes every member has; first 3 in
+    the row's order -> (key..., row_id, common)."""
+    m = rows.join(nodes.select("page_id", F.col("node_id").alias("member_id"), F.col("classes").alias("mc")), ["page_id", "member_id"])
+    size = rows.groupBy(*key, "row_id").agg(F.countDistinct("member_id").alias("size"))
+    has = m.select(*key, "row_id", "member_id", F.explode(F.array_distinct("mc")).alias("c")).groupBy(*key, "row_id", "c").agg(
+        F.countDistinct("member_id").alias("n"))
+    allc = has.join(size, [*key, "row_id"]).filter(F.col("n") == F.col("size")).groupBy(*key, "row_id").agg(F.collect_set("c").alias("all_have"))
+    r = size.join(nodes.select("page_id", F.col("node_id").alias("row_id"), "sem", "grp"), ["page_id", "row_id"]).join(allc, [*key, "row_id"], "left")
+    r = r.withColumn("all_have", F.coalesce("all_have", F.array().cast("array<string>")))
+    s = F.filter("sem", lambda c: F.array_contains(F.col("all_have"), c))
+    g = F.filter("grp", lambda c: F.array_contains(F.col("all_have"), c))
+    return r.select(*key, "row_id", F.slice(F.when(F.size(s) > 0, s).otherwise(g), 1, 3).alias("common"))
+
+
+def detect_lists_pairs(ps, pairs: DataFrame) -> DataFrame:
+    """Rows from two examples (page_id, a_id, b_id).
+
+    Same element, nested examples or no common ancestor -> L01 on the first.
+    Otherwise the row level comes from L01 on the first example, clamped below
+    the lowest common ancestor; the second row is the ancestor of the second
+    example at that level if similar, else its first similar ancestor, else
+    its first same-tag ancestor. Rows with one parent -> L04 on the union of
+    both sibling groups. Otherwise equal-length, equal-tag paths below the LCA
+    merge step by step (common classes; nth only when class-less and equal),
+    else 'lca row' descendant form; if the result misses either row, the
+    'lca row' form with the classes both rows share.
+    -> (page_id, a_id, b_id, level, row_selector, branch)"""
+    from .select import Matcher
+    from ..schema import STEPS
+
+    nodes = ps.nodes
+    info = nodes.select("page_id", "node_id", "anc")
+    p = (pairs.join(info.select("page_id", F.col("node_id").alias("a_id"), F.col("anc").alias("anc_a")), ["page_id", "a_id"])
+         .join(info.select("page_id", F.col("node_id").alias("b_id"), F.col("anc").alias("anc_b")), ["page_id", "b_id"]))
+    nested = (F.col("a_id") == F.col("b_id")) | F.array_contains("anc_b", F.col("a_id")) | F.array_contains("anc_a", F.col("b_id"))
+    p = p.withColumn("nested", nested).withColumn("lca", F.array_max(F.array_intersect("anc_a", "anc_b")))
+    from .tree import path_between
+
+    p = p.withColumn("chain1", F.reverse(path_between(F.col("anc_a"), F.col("lca")))).withColumn(
+        "chain2", F.reverse(path_between(F.col("anc_b"), F.col("lca"))))
+    p = cut_lineage(p.withColumn("max_level", F.size("chain1") - 1))
+    single = detect_lists(ps, p.select("page_id", F.col("a_id").alias("node_id")).distinct()).select(
+        "page_id", F.col("target_id").alias("a_id"), F.col("level").alias("single_level"), F.col("row_selector").alias("single_sel"))
+    p = p.join(single, ["page_id", "a_id"], "left")
+    p = p.withColumn("level", F.greatest(F.lit(0), F.least(F.coalesce("single_level", "max_level"), F.col("max_level"))))
+    p = p.withColumn("r1", F.try_element_at(F.col("chain1"), F.col("level") + 1))
+    two = p.filter(~F.col("nested"))
+    c2 = two.select("page_id", "a_id", "b_id", "r1", "level", F.posexplode("chain2").alias("k", "c"))
+    sp = similar_pairs(ps, c2.select("page_id", F.col("r1").alias("x"), F.col("c").alias("y")).distinct())
+    c2 = c2.join(sp.withColumnRenamed("x", "r1").withColumnRenamed("y", "c"), ["page_id", "r1", "c"])
+    tags = nodes.select("page_id", "node_id", "tag", "parent_id")
+    c2 = c2.join(tags.select("page_id", F.col("node_id").alias("c"), F.col("tag").alias("ctag")), ["page_id", "c"]).join(
+        tags.select("page_id", F.col("node_id").alias("r1"), F.col("tag").alias("rtag")), ["page_id", "r1"])
+    pick = c2.groupBy("page_id", "a_id", "b_id").agg(
+        F.max(F.when((F.col("k") == F.col("level")) & F.col("sim"), F.col("c"))).alias("at_level"),
+        F.min_by(F.when(F.col("sim"), F.col("c")), F.when(F.col("sim"), F.col("k"))).alias("first_sim"),
+        F.min_by(F.when(F.col("ctag") == F.col("rtag"), F.col("c")), F.when(F.col("ctag") == F.col("rtag"), F.col("k"))).alias("first_tag"))
+    two = cut_lineage(two.join(pick, ["page_id", "a_id", "b_id"], "left").withColumn("r2", F.coalesce("at_level", "first_sim", "first_tag")))
+    # rows with one parent: L04 on the union of both similar-sibling groups
+    two = two.join(tags.select("page_id", F.col("node_id").alias("r1"), F.col("parent_id").alias("p1")), ["page_id", "r1"]).join(
+        tags.select("page_id", F.col("node_id").alias("r2"), F.col("parent_id").alias("p2")), ["page_id", "r2"], "left")
+    key = ["page_id", "a_id", "b_id"]
+    sg = similar_siblings(ps, two.select("page_id", F.col("r1").alias("node_id")).unionByName(
+        two.filter(F.col("r2").isNotNull()).select("page_id", F.col("r2").alias("node_id"))).distinct())
+    g1 = two.select(*key, "r1", "r2").join(sg.withColumnRenamed("target_id", "r1"), ["page_id", "r1"]).select(*key, "r1", F.col("node_id").alias("member_id"))
+    g2 = two.filter(F.col("r2").isNotNull()).select(*key, "r1", "r2").join(sg.withColumnRenamed("target_id", "r2"), ["page_id", "r2"]).select(
+        *key, "r1", F.col("node_id").alias("member_id"))
+    both = two.select(*key, "r1", F.col("r1").alias("member_id")).unionByName(
+        two.filter(F.col("r2").isNotNull()).select(*key, "r1", F.col("r2").alias("member_id")))
+    group = cut_lineage(g1.unionByName(g2).unionByName(both).distinct().withColumnRenamed("r1", "row_id"))
+    common = _common_classes(nodes, group, key)
+    pair_common = _common_classes(nodes, both.withColumnRenamed("r1", "row_id"), key).withColumnRenamed("common", "pair_common")
+    two = two.join(common.withColumnRenamed("row_id", "r1"), [*key, "r1"], "left").join(pair_common.withColumnRenamed("row_id", "r1"), [*key, "r1"], "left")
+    cont = unique_selectors(ps, two.select("page_id", F.col("lca").alias("node_id")).unionByName(
+        two.select("page_id", F.col("p1").alias("node_id"))).distinct())
+    two = two.join(cont.select("page_id", F.col("node_id").alias("lca"), F.col("selector").alias("lca_sel"), F.col("steps").alias("lca_steps")), ["page_id", "lca"], "left")
+    two = two.join(cont.select("page_id", F.col("node_id").alias("p1"), F.col("selector").alias("p1_sel"), F.col("steps").alias("p1_steps")), ["page_id", "p1"], "left")
+    # merged path below the lca: per position (tag, classes common to both, nth when class-less and equal)
+    pp = two.select(*key, "r1", "r2", "anc_a", "anc_b", "lca", "common",
+                    path_between(F.col("anc_a"), F.col("lca")).alias("pa"))
+    anc_b2 = nodes.select("page_id", F.col("node_id").alias("r2"), F.col("anc").alias("anc_r2"))
+    pp = pp.join(anc_b2, ["page_id", "r2"], "left").withColumn("pb", path_between(F.col("anc_r2"), F.col("lca")))
+    pa_end = F.array_position("pa", F.col("r1"))
+    pp = pp.withColumn("pa", F.slice("pa", 1, pa_end.cast("int")))
+    st = pp.select(*key, "pa", "pb", F.posexplode("pa").alias("i", "n1")).withColumn("n2", F.try_element_at(F.col("pb"), F.col("i") + 1))
+    nn = nodes.select("page_id", "node_id", "tag", "classes", "sem", "grp", "nth", "nth_count")
+    st = st.join(nn.select("page_id", F.col("node_id").alias("n1"), F.col("tag").alias("t1"), F.col("sem").alias("s1"), F.col("grp").alias("g1"),
+                           F.col("nth").alias("i1"), F.col("nth_count").alias("k1")), ["page_id", "n1"])
+    st = st.join(nn.select("page_id", F.col("node_id").alias("n2"), F.col("tag").alias("t2"), F.col("classes").alias("c2"),
+                           F.col("nth").alias("i2")), ["page_id", "n2"], "left")
+    cc_s = F.filter("s1", lambda c: F.array_contains(F.coalesce(F.col("c2"), F.array().cast("array<string>")), c))
+    cc_g = F.filter("g1", lambda c: F.array_contains(F.coalesce(F.col("c2"), F.array().cast("array<string>")), c))
+    st = st.withColumn("cls", F.slice(F.when(F.size(cc_s) > 0, cc_s).otherwise(cc_g), 1, 3))
+    st = st.withColumn("nthv", F.when((F.size("cls") == 0) & (F.col("k1") > 1) & (F.col("i1") == F.col("i2")), F.col("i1")))
+    mg = st.groupBy(*key).agg(
+        F.min((F.col("t1") == F.coalesce(F.col("t2"), F.lit(""))).cast("int")).alias("tags_eq"),
+        F.max(F.size("pa")).alias("la"), F.max(F.size("pb")).alias("lb"),
+        F.array_sort(F.collect_list(F.struct("i", "t1", "cls", "nthv")), lambda l, r: F.when(l["i"] < r["i"], -1).when(l["i"] > r["i"], 1).otherwise(0)).alias("parts"))
+    two = two.join(mg, key, "left")
+    sel_step = lambda t, cls, nth, comb: F.struct(F.lit(comb).alias("comb"), t.alias("tag"), F.lit(None).cast("string").alias("id"), cls.alias("classes"),
+                                                   F.create_map().cast("map<string,string>").alias("attrs"), nth.cast("int").alias("nth"),
+                                                   F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("has_child"))
+    rtag = tags.select("page_id", F.col("node_id").alias("r1"), F.col("tag").alias("row_tag"))
+    two = two.join(rtag, ["page_id", "r1"])
+    row_part = F.concat(css_escape(F.col("row_tag")), F.array_join(F.transform("common", lambda c: F.concat(F.lit("."), css_escape(c))), ""))
+    merged_ok = (F.col("tags_eq") == 1) & (F.col("la") == F.col("lb"))
+    parts_css = F.transform("parts", lambda x: F.concat(css_escape(x["t1"]), F.array_join(F.transform(x["cls"], lambda c: F.concat(F.lit("."), css_escape(c))), ""),
+                                                        F.when(x["nthv"].isNotNull(), F.concat(F.lit(":nth-of-type("), x["nthv"].cast("string"), F.lit(")"))).otherwise(F.lit(""))))
+    merged_css = F.concat(F.col("lca_sel"), F.lit(" > "), F.array_join(F.concat(F.slice(parts_css, 1, F.greatest(F.size(parts_css) - 1, F.lit(0))), F.array(row_part)), " > "))
+    desc_css = F.concat(F.col("lca_sel"), F.lit(" "), row_part)
+    merged_steps = F.concat(F.col("lca_steps"), F.concat(
+        F.transform(F.slice("parts", 1, F.greatest(F.size("parts") - 1, F.lit(0))), lambda x: sel_step(x["t1"], x["cls"], x["nthv"], "child")),
+        F.array(sel_step(F.col("row_tag"), F.col("common"), F.lit(None), "child"))))
+    desc_steps = F.concat(F.col("lca_steps"), F.array(sel_step(F.col("row_tag"), F.col("common"), F.lit(None), "desc")))
+    same_parent = F.col("p1") == F.col("p2")
+    sp_css = F.concat(F.col("p1_sel"), F.lit(" > "), row_part)
+    two = two.withColumn("branch", F.when(F.col("r2").isNull(), "single").when(same_parent, "same_parent").when(merged_ok, "merged").otherwise("lca_desc"))
+    two = two.withColumn("cand_sel", F.when(F.col("branch") == "same_parent", sp_css).when(F.col("branch") == "merged", merged_css).otherwise(desc_css))
+    two = two.withColumn("cand_steps", F.when(F.col("branch") == "merged", merged_steps).otherwise(desc_steps).cast(STEPS))
+    two = cut_lineage(two)
+    # verify merged / descendant forms: both rows must be matched
+    chk = two.filter(F.col("branch").isin("merged", "lca_desc") & F.col("cand_steps").isNotNull())
+    sels = chk.select(F.xxhash64("page_id", "a_id", "b_id").alias("sel_id"), F.col("cand_steps").alias("steps"))
+    roots = nodes.filter(F.col("parent_id").isNull()).select("page_id", F.col("node_id").alias("scope_id"))
+    scopes = chk.select("page_id", "a_id", "b_id", F.xxhash64("page_id", "a_id", "b_id").alias("sel_id")).join(roots, "page_id")
+    max_len = chk.agg(F.max(F.size("cand_steps"))).first()[0] or 0
+    ok = None
+    if max_len:
+        m = Matcher(ps).match(scopes, sels, ["a_id", "b_id"], max_len, include_scope=True)
+        ok = m.join(chk.select("page_id", "a_id", "b_id", "r1", "r2"), ["page_id", "a_id", "b_id"]).groupBy("page_id", "a_id", "b_id").agg(
+            (F.max((F.col("node_id") == F.col("r1")).cast("int")) + F.max((F.col("node_id") == F.col("r2")).cast("int"))).alias("hits"))
+        two = two.join(ok, key, "left")
+    else:
+        two = two.withColumn("hits", F.lit(None).cast("int"))
+    fallback = F.concat(F.col("lca_sel"), F.lit(" "), css_escape(F.col("row_tag")),
+                        F.array_join(F.transform("pair_common", lambda c: F.concat(F.lit("."), css_escape(c))), ""))
+    two = two.withColumn("row_selector", F.when(F.col("branch") == "same_parent", F.col("cand_sel"))
+                         .when(F.col("branch") == "single", F.col("single_sel"))
+                         .when(F.coalesce(F.col("hits"), F.lit(0)) == 2, F.col("cand_sel")).otherwise(fallback))
+    out_two = two.select(*key, "level", "row_selector", "branch")
+    out_nested = p.filter(F.col("nested")).select(*key, "level", F.col("single_sel").alias("row_selector"), F.lit("single").alias("branch"))
+    return out_two.unionByName(out_nested)

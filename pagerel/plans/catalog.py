@@ -479,6 +479,15 @@ def q_l01(spark, d):
     return r.select("page_id", F.col("level").cast("bigint").alias("level"), "row_selector")
 
 
+def q_l02(spark, d):
+    from ..operators.explorer import detect_lists_pairs
+
+    ps = pageset(spark, d)
+    a = ps.nodes.filter(F.col("usable_a")).groupBy("page_id").agg(F.min("node_id").alias("a_id"), F.max("node_id").alias("b_id"))
+    r = detect_lists_pairs(ps, a)
+    return r.select("page_id", F.col("level").cast("bigint").alias("level"), "row_selector")
+
+
 def q_l09(spark, d):
     from ..operators.explorer import xpaths
 
@@ -565,6 +574,6 @@ QUERIES = {
     "L18_auto_extract": q_l18, "U01_merge": q_u01, "V01_search": q_v01, "V02_mark": q_v02, "V03_cell_kinds": q_v03,
     "V04_search_counts": q_v04, "V05_export_view": q_v05, "W01_stream_extract": q_w01,
     "R01_normalize_recipes": q_r01, "R04_check_recipes": q_r04, "S05_export_recipes": q_s05, "J10_recipe_extract": q_j10,
-    "T05_rank_recipes": q_t05, "L01_detect_list": q_l01, "L09_xpaths": q_l09, "J02_lca": q_j02, "J04_neighbourhood": q_j04,
+    "T05_rank_recipes": q_t05, "L01_detect_list": q_l01, "L02_detect_list_pairs": q_l02, "L09_xpaths": q_l09, "J02_lca": q_j02, "J04_neighbourhood": q_j04,
     "G03_disabled": q_g03, "G05_page_signatures": q_g05, "G06_page_chain": q_g06, "P13_element_profile": q_p13,
 }

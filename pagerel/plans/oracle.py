@@ -248,6 +248,8 @@ def _oracles() -> dict[str, str]:
     o["J10_recipe_extract"] = o["L16_extract"]
     o["T05_rank_recipes"] = f"SELECT page_id, {host('url')} AS host, 'r-' || {host('url')} AS recipe_id, true AS same_host FROM pages"
     o["L01_detect_list"] = f"WITH {TAGS} SELECT page_id, CAST(1 AS BIGINT) AS level, 'ul > li' AS row_selector FROM tags WHERE tag = 'li' GROUP BY page_id HAVING count(*) >= 2"
+    o["L02_detect_list_pairs"] = (f"WITH {TAGS} SELECT page_id, CAST(1 AS BIGINT) AS level, 'ul > li' AS row_selector FROM tags "
+                                  f"WHERE tag = 'a' GROUP BY page_id HAVING count(*) >= 2")
     o["L09_xpaths"] = (f"WITH {TAGS} SELECT page_id, node_id, '/html/body/nav/ul/li[' || CAST(row_number() OVER (PARTITION BY page_id ORDER BY node_id) AS VARCHAR) "
                        f"|| ']/a' AS xpath FROM tags WHERE tag = 'a'")
     o["J02_lca"] = f"WITH {TAGS} SELECT page_id, node_id AS lca_id FROM tags WHERE tag = 'ul'"

@@ -85,3 +85,15 @@ def test_similar_siblings_and_xpath(ps):
     assert xpaths(ps, tg).first().xpath == "//*[@id='app']/ul/li[2]/b"
     sib = similar_siblings(ps, ps.nodes.sparkSession.createDataFrame([(7, li[0])], "page_id bigint, node_id int"))
     assert sib.count() >= 1
+
+
+def test_two_examples_in_different_sections(ps):
+    from pagerel.operators.explorer import detect_lists_pairs
+
+    names = node_id(ps, 3, F.array_contains("classes", "name"))
+    spark = ps.nodes.sparkSession
+    pairs = spark.createDataFrame([(3, names[0], names[4])], "page_id bigint, a_id int, b_id int")
+    r = detect_lists_pairs(ps, pairs).collect()[0]
+    from pagerel.operators.select import Matcher  # noqa: F401
+    assert r.branch in ("merged", "lca_desc"), r
+    assert r.row_selector in ("body > section.group > div.items > div.item", "body div.item"), r
