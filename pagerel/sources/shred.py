@@ -466,12 +466,27 @@ def _shred_batches(batches):
                                           for n in names], schema=arrow_schema)
 
 
+def _ship_by_value(module_name: str) -> None:
+    """Executors may not have this package on their path: pickle the
+    worker-side functions of ``module_name`` by value so they travel with
+    the task (no install step on the cluster)."""
+    import sys
+
+    from pyspark import cloudpickle
+
+    try:
+        cloudpickle.register_pickle_by_value(sys.modules[module_name])
+    except (KeyError, ValueError):
+        pass
+
+
 def shred(pages: DataFrame) -> DataFrame:
     """pages(page_id, html, ...) -> nodes (one row per element, preorder).
 
     Runs per page inside ``mapInArrow``; only ``page_id`` and ``html`` cross
     into Python. The page's text stream and ``<base href>`` ride on the root
     row (node_id 0), so no second parse is needed for texts."""
+    _ship_by_value(__name__)
     src = pages.select("page_id", "html")
     # Parsing is CPU-bound Python: make sure every core gets pages. Large
     # inputs already scan into many splits and keep them (no shuffle of html).

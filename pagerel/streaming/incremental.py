@@ -91,6 +91,9 @@ def stream_changes(snapshots: DataFrame, key: str = "url") -> DataFrame:
     and the previous poll), one state row per key."""
     from pyspark.sql.streaming.state import GroupStateTimeout
 
+    from ..sources.shred import _ship_by_value
+
+    _ship_by_value(__name__)
     s = snapshots.select(F.col(key).alias("key"), "seen_at", "sig", F.col("n").cast("bigint").alias("n"))
     return s.groupBy("key").applyInPandasWithState(_changes, CHANGE_OUT, CHANGE_STATE, "append", GroupStateTimeout.NoTimeout)
 
