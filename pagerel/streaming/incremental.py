@@ -58,7 +58,7 @@ def stream_extract_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     run = os.path.join(base, "w01-" + uuid.uuid4().hex[:8])
     # pages "land" as several files (derived from the pages table by Spark)
     src = os.path.join(run, "landing")
-    spark.read.parquet(f"{sf_dir}/pages.parquet").repartition(4, "page_id").write.parquet(src)
+    spark.read.parquet(f"{sf_dir}/pages.parquet").repartition(2, "page_id").write.parquet(src)
     out = stream_extract(spark, src, os.path.join(run, "sink"), os.path.join(run, "ckpt"))
     return out.select("page_id", "row_ord", "col_ord", "name", "value")
 
