@@ -140,8 +140,13 @@ def relative_selectors(ps, dn: DataFrame) -> DataFrame:
         .otherwise(F.array_join(F.transform("cs", lambda x: F.concat(F.lit("."), css_escape(x))), "")),
     )
     lvl0 = cut_lineage(chosen.select("page_id", "list_rank", "row_id", "node_id", css.alias("sel"), F.array(step).cast(STEPS).alias("steps")))
-    # fallback: the full child path from the row
+    # level k: a candidate of the k-th ancestor (inside the row) + child path tail
     left = inner.join(lvl0, ["page_id", "list_rank", "row_id", "node_id"], "left_anti")
+    anchored = anchored_selectors(ps, left)
+    if anchored is not None:
+        lvl0 = lvl0.unionByName(anchored)
+        left = left.join(anchored, ["page_id", "list_rank", "row_id", "node_id"], "left_anti")
+    # fallback: the full child path from the row
     path = left.join(nodes.select("page_id", "node_id", "anc"), ["page_id", "node_id"]).select(
         "page_id", "list_rank", "row_id", "node_id", F.posexplode("anc").alias("pos", "p_id"), "row_depth").filter(
         F.col("pos") > F.col("row_depth"))
@@ -165,6 +170,81 @@ def relative_selectors(ps, dn: DataFrame) -> DataFrame:
     return lvl0.unionByName(full).unionByName(selfrow)
 
 
+def _tail_step(tag: Column, sem: Column, nth: Column, nth_count: Column):
+    """pathStep: tag + first two semantic classes + nth-of-type when needed,
+    as (css, step) for a child combinator."""
+    css = F.concat(css_escape(tag), F.array_join(F.transform(F.slice(sem, 1, 2), lambda x: F.concat(F.lit("."), css_escape(x))), ""),
+                   F.when(nth_count > 1, F.concat(F.lit(":nth-of-type("), nth.cast("string"), F.lit(")"))).otherwise(F.lit("")))
+    st = F.struct(F.lit("child").alias("comb"), tag.alias("tag"), F.lit(None).cast("string").alias("id"),
+                  F.slice(sem, 1, 2).alias("classes"), F.create_map().cast("map<string,string>").alias("attrs"),
+                  F.when(nth_count > 1, nth).cast("int").alias("nth"), F.lit(None).cast("string").alias("text"),
+                  F.lit(None).cast("string").alias("has_child"))
+    return css, st
+
+
+def anchored_selectors(ps, left: DataFrame, max_levels: int | None = None) -> DataFrame | None:
+    """L10 levels >= 1: for data nodes without a unique simple candidate,
+    try, ancestor by ancestor (inside the row), the ancestor's simple
+    candidates followed by the child path down to the node; the first
+    candidate (lowest level, then priority) matching exactly the node in
+    its row wins. Each level is one matcher run over the still unresolved
+    nodes. -> (page_id, list_rank, row_id, node_id, sel, steps) or None."""
+    from ..schema import STEPS
+    from .select import Matcher
+
+    nodes = ps.nodes
+    key = ["page_id", "list_rank", "row_id", "node_id"]
+    left = left.select(*key, "row_depth", "depth")
+    top = left.agg(F.max(F.col("depth") - F.col("row_depth") - 1)).first()[0] or 0
+    if max_levels is not None:
+        top = min(top, max_levels)
+    if top < 1:
+        return None
+    info = nodes.select("page_id", "node_id", "tag", "sem", "nth", "nth_count")
+    withanc = left.join(nodes.select("page_id", "node_id", "anc"), ["page_id", "node_id"])
+    # tail steps of every node on the path (computed once): pos -> (css, step)
+    path = withanc.select(*key, "depth", F.posexplode("anc").alias("pos", "p_id"))
+    path = path.join(info.withColumnRenamed("node_id", "p_id"), ["page_id", "p_id"])
+    css, st = _tail_step(F.col("tag"), F.col("sem"), F.col("nth"), F.col("nth_count"))
+    path = cut_lineage(path.select(*key, "pos", "p_id", css.alias("css"), st.alias("st")))
+    found = None
+    todo = withanc
+    for k in range(1, top + 1):
+        lv = todo.filter(F.col("depth") - k > F.col("row_depth"))
+        # anchor = the k-th ancestor; its candidates come from _rel_candidates
+        anc = lv.select(*key, (F.col("depth") - k).alias("apos")).join(
+            path.select(*key, F.col("pos").alias("apos"), F.col("p_id").alias("anchor")), [*key, "apos"])
+        an = anc.join(nodes.select("page_id", F.col("node_id").alias("anchor"), "tag", "attrs", "sem"), ["page_id", "anchor"])
+        cands = an.select(*key, "apos", F.posexplode(_rel_candidates(an)).alias("prio", "c")).select(*key, "apos", "prio", "c.*")
+        tail = path.join(lv.select(*key, "depth"), key).filter(F.col("pos") > F.col("depth") - k).groupBy(*key).agg(
+            F.array_sort(F.collect_list(F.struct("pos", "css", "st")),
+                         lambda a, b: F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0)).alias("t"))
+        c = cands.join(tail, key)
+        head = F.struct(F.lit("desc").alias("comb"), F.col("tag"), F.lit(None).cast("string").alias("id"), F.col("cs").alias("classes"),
+                        F.when(F.col("kind") == "attr", F.create_map(F.col("n"), F.col("v"))).otherwise(F.create_map().cast("map<string,string>")).alias("attrs"),
+                        F.lit(None).cast("int").alias("nth"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("has_child"))
+        head_css = F.concat(F.coalesce(css_escape(F.col("tag")), F.lit("")),
+                            F.when(F.col("kind") == "attr", F.concat(F.lit("["), F.col("n"), F.lit("="), css_string(F.col("v")), F.lit("]")))
+                            .otherwise(F.array_join(F.transform("cs", lambda x: F.concat(F.lit("."), css_escape(x))), "")))
+        c = c.select(*key, "prio", F.xxhash64(*key, "prio", F.lit(k)).alias("sel_id"),
+                     F.concat(F.array(head), F.transform("t", lambda x: x["st"])).cast(STEPS).alias("steps"),
+                     F.concat(head_css, F.lit(" > "), F.array_join(F.transform("t", lambda x: x["css"]), " > ")).alias("sel"))
+        c = cut_lineage(c)
+        if c.isEmpty():
+            break
+        scopes = c.select("page_id", F.col("row_id").alias("scope_id"), "sel_id")
+        m = Matcher(ps).match(scopes, c.select("sel_id", "steps"), [], k + 1)
+        cnt = m.groupBy("sel_id").agg(F.count(F.lit(1)).alias("n"), F.max("node_id").alias("m_id"))
+        ok = c.join(cnt, "sel_id").filter((F.col("n") == 1) & (F.col("m_id") == F.col("node_id")))
+        best = ok.groupBy(*key).agg(F.min_by(F.struct("sel", "steps"), "prio").alias("b")).select(*key, "b.sel", "b.steps")
+        best = cut_lineage(best)
+        found = best if found is None else found.unionByName(best)
+        todo = todo.join(best.select(*key), key, "left_anti")
+        if todo.isEmpty():
+            break
+    return found
+
+
 def guess_names(stats: DataFrame) -> DataFrame:
     """Header (not applicable outside tables) -> hint (L13) -> tag rule
     -> value kind (P14); href adds ' URL' unless it says link/url, src adds

@@ -97,3 +97,11 @@ def test_two_examples_in_different_sections(ps):
     from pagerel.operators.select import Matcher  # noqa: F401
     assert r.branch in ("merged", "lca_desc"), r
     assert r.row_selector in ("body > section.group > div.items > div.item", "body div.item"), r
+
+
+def test_anchored_relative_selector(ps):
+    fl = find_lists(ps).filter((F.col("page_id") == 1) & (F.col("list_rank") == 1))
+    rows = list_rows(ps, fl)
+    cols, _ = detect_columns(ps, rows)
+    sels = {r.name: r.sel for r in cols.collect()}
+    assert sels["Product Title"] == ".product-title > a", sels
