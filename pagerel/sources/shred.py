@@ -374,21 +374,30 @@ class _TreeBuilder(HTMLParser):
 
     def _derive(self):
         """Bottom-up formatting / text-container flags (F06, F07), then the
-        depth of the nearest strict ancestor that stops the value scan (L11)."""
-        stream = "".join(self.text)
-        cum = [0] * (len(stream) + 1)
-        acc = 0
-        for i, ch in enumerate(stream):
-            if ch not in " \t\r\n":
-                acc += 1
-            cum[i + 1] = acc
+        depth of the nearest strict ancestor that stops the value scan (L11).
+        Element boundaries fall between text chunks, so "has non-blank text
+        in the subtree" is a prefix count over chunks, not characters."""
+        import bisect
+
+        ends, cum = [], [0]
+        pos = 0
+        for chunk in self.text:
+            pos += len(chunk)
+            ends.append(pos)
+            cum.append(cum[-1] + (1 if chunk.strip(" \t\r\n") else 0))
+
+        def nonblank(a, b):
+            i = bisect.bisect_right(ends, a)      # chunks ending at or before a
+            j = bisect.bisect_right(ends, b)      # chunks ending at or before b
+            return cum[j] - cum[i] > 0
+
         nodes = self.nodes
         for n in reversed(nodes):  # children before parents
             n.fmt = (n.tag in INLINE_FORMAT and not n.classes and n.id == "" and n.kids_fmt)
             if n.parent is not None and not n.fmt:
                 n.parent.kids_fmt = False
         for n in nodes:
-            n.tc = n.kids_fmt and cum[n.t_end] - cum[n.t_start] > 0
+            n.tc = n.kids_fmt and n.t_end > n.t_start and nonblank(n.t_start, n.t_end)
             p = n.parent
             if p is None:
                 n.stop_depth = -1
