@@ -434,45 +434,22 @@ def _shred_batches(batches):
     for batch in batches:
         ids = batch.column("page_id").to_pylist()
         htmls = batch.column("html").to_pylist()
-        cols = {n: [] for n in names}
+        rows = []
+        add = rows.append
         for pid, html in zip(ids, htmls):
             b = shred_one(pid, html)
             page_text = "".join(b.text)
+            base_href = b.base_href
             for n in b.nodes:
-                cols["page_id"].append(pid)
-                cols["node_id"].append(n.nid)
-                cols["end_id"].append(n.end_id)
-                cols["parent_id"].append(n.parent.nid if n.parent else None)
-                cols["depth"].append(n.depth)
-                cols["anc"].append(n.anc)
-                cols["tag"].append(n.tag)
-                cols["is_svg"].append(n.svg)
-                cols["id"].append(n.id)
-                cols["classes"].append(n.classes)
-                cols["attr_names"].append(n.names)
-                cols["attrs"].append(list(n.attrs.items()))
-                cols["sib_ord"].append(n.sib_ord)
-                cols["n_children"].append(n.n_children)
-                cols["child_tags"].append(n.child_tags)
-                cols["own_text"].append(clean_py(" ".join(n.texts)))
-                cols["has_text"].append(n.has_text)
-                cols["skipped"].append(n.skipped)
-                cols["skip_depth"].append(n.skip_depth)
-                cols["hidden"].append(n.hidden)
-                cols["fmt"].append(n.fmt)
-                cols["text_container"].append(n.tc)
-                cols["stop_depth"].append(n.stop_depth)
-                cols["t_start"].append(n.t_start)
-                cols["t_end"].append(n.t_end)
-                cols["o_start"].append(n.o_start)
-                cols["i_start"].append(n.i_start)
-                cols["i_end"].append(n.i_end)
-                cols["o_end"].append(n.o_end)
                 root = n.nid == 0
-                cols["page_text"].append(page_text if root else None)
-                cols["base_href"].append(b.base_href if root else None)
-        yield pa.RecordBatch.from_arrays([pa.array(cols[n], type=arrow_schema.field(n).type)
-                                          for n in names], schema=arrow_schema)
+                add((pid, n.nid, n.end_id, n.parent.nid if n.parent else None, n.depth, n.anc, n.tag, n.svg, n.id,
+                     n.classes, n.names, list(n.attrs.items()), n.sib_ord, n.n_children, n.child_tags,
+                     clean_py(" ".join(n.texts)) if n.texts else "", n.has_text, n.skipped, n.skip_depth, n.hidden,
+                     n.fmt, n.tc, n.stop_depth, n.t_start, n.t_end, n.o_start, n.i_start, n.i_end, n.o_end,
+                     page_text if root else None, base_href if root else None))
+        cols = list(zip(*rows)) if rows else [[] for _ in names]
+        yield pa.RecordBatch.from_arrays([pa.array(list(cols[i]), type=arrow_schema.field(nm).type)
+                                          for i, nm in enumerate(names)], schema=arrow_schema)
 
 
 def _ship_by_value(module_name: str) -> None:
