@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagerel.llm import lines, mixing, packing, simhash, toxicity
+from pagerel.llm import chunks, lines, mixing, neighbours, packing, sharding, simhash, toxicity
 from pagerel.llm.common import table
 
 
@@ -15,6 +15,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(docs, shingle=3, max_bits=2).select("doc_id", "fingerprint", "component_id")
 
 
+def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ``documents`` in 40 shards whose counts are at most one apart."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return sharding.assign(docs, shards=40).select(
+        "doc_id", F.col("_size").alias("size"), F.col("_crc").alias("text_crc32"), F.lit("rows").alias("law"),
+        F.col("_shard").alias("shard"), F.col("_slot").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the mix takes of each document: weights 5, 2, 1, 150 % of all words."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -35,6 +43,17 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", "severity", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
 
 
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunk fingerprints of every document and of its edited text."""
+    return chunks.compare_with_next(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest rows of ``embeddings`` for every hundredth vector."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, vectors.filter("vec_id % 100 = 0"), k=10).withColumnRenamed("id", "vec_id")
+
+
 def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each document, the runs that go, and what stays."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -47,9 +66,12 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_simhash": op2_simhash,
+    "op3_sharding": op3_sharding,
     "op4_mixing": op4_mixing,
     "op5_packing": op5_packing,
     "op7_toxicity": op7_toxicity,
+    "op8_fingerprints": op8_fingerprints,
+    "op9_neighbours": op9_neighbours,
     "op10_lines": op10_lines,
 }
 
