@@ -5,10 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagerel.llm import chunks, lines, mixing, neighbours, packing, sharding, simhash, toxicity
+from pagerel.llm import chunks, lines, mixing, neighbours, packing, pii, sharding, simhash, toxicity
 from pagerel.llm.common import table
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text of ``documents``."""
+    found = pii.find(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("_base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+    return found.select("doc_id", *map(count, pii.BASE), F.sha2(pii.written(F.col("_base")), 256).alias("base_sha256"),
+                        pii.written(F.col("_all")).alias("spans"))
+
+
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicates of ``documents``: 3-word shingles, at most 2 bits apart."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -65,6 +73,7 @@ def op10_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_simhash": op2_simhash,
     "op3_sharding": op3_sharding,
     "op4_mixing": op4_mixing,
