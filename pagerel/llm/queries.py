@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagerel.llm import chunks, lines, mixing, neighbours, packing, pii, sharding, simhash, toxicity
+from pagerel.llm import chunks, lines, mixing, neighbours, packing, pii, sharding, simhash, suffixes, toxicity
 from pagerel.llm.common import table
 
 
@@ -44,6 +44,13 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stays of each document without strings of 50 bytes that a smaller
+    document has."""
+    done = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected severity of every document, and whether it is rejected."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -78,6 +85,7 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_mixing": op4_mixing,
     "op5_packing": op5_packing,
+    "op6_suffixes": op6_suffixes,
     "op7_toxicity": op7_toxicity,
     "op8_fingerprints": op8_fingerprints,
     "op9_neighbours": op9_neighbours,
