@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagerel.llm import lines, mixing, packing, simhash, toxicity
-from pagerel.llm.common import stored, table
+from pagerel.llm.common import carried, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 REJECT = 0.5  # a document goes if it is more likely toxic than not
@@ -22,7 +22,8 @@ REJECT = 0.5  # a document goes if it is more likely toxic than not
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).filter(F.col("p_toxic") < REJECT).select(*docs.columns)
+    scored = toxicity.score(carried(docs, text="text"), model)
+    return scored.filter(F.col("p_toxic") < REJECT).select("_row.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,14 +34,15 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group the document with the smallest id stays; of rows alike
     in id and text one."""
-    key = [F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_th")]
-    groups = simhash.near_duplicates(docs.select("doc_id", *key[1:], "text"), shingle=3, max_bits=2)
+    text_hash = F.xxhash64("text").alias("_th")
+    groups = simhash.near_duplicates(docs.select("doc_id", text_hash, "text"), shingle=3, max_bits=2)
     stay = (groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_key")
-            .agg(F.min(F.struct("doc_id", "_th")).alias("it")).select(F.col("it.doc_id").alias("_id"), "it._th"))
-    kept = docs.withColumns({"_none": F.col("doc_id").isNull(), "_key": F.coalesce("doc_id", F.lit(0)), "_th": F.xxhash64("text")})
-    stay = stay.select(F.col("_id").isNull().alias("_none"), F.coalesce("_id", F.lit(0)).alias("_key"), "_th")
-    kept = kept.join(stay, ["_none", "_key", "_th"], "left_semi")
-    return kept.dropDuplicates(["_none", "_key", "_th"]).select(*docs.columns)
+            .agg(F.min(F.struct("doc_id", "_th")).alias("it")))
+    key = lambda i: [i.isNull().alias("_none"), F.coalesce(i, F.lit(0)).alias("_key")]
+    stay = stay.select(*key(F.col("it.doc_id")), "it._th")
+    rows = carried(docs, doc_id="doc_id", text="text").select("_row", *key(F.col("doc_id")), text_hash)
+    same = ["_none", "_key", "_th"]
+    return rows.join(stay, same, "left_semi").dropDuplicates(same).select("_row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

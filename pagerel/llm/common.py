@@ -22,6 +22,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def carried(docs: DataFrame, *but: str, **own: str) -> DataFrame:
+    """The columns of ``docs`` (less ``but``) as one struct ``_row``, whatever
+    their names, beside copies of some under an operator's own names."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns if c not in but))
+    return docs.select(row.alias("_row"), *(F.col(f"`{c}`").alias(n) for n, c in own.items()))
+
+
 def stored(df: DataFrame, what: str) -> DataFrame:
     """Write ``df`` as a Parquet table into the shared checkpoint folder and
     read it back: cuts the lineage, survives the loss of executors, and later

@@ -8,13 +8,16 @@ long repeated passage goes as a whole.
 Defined cases: null text has no lines and stays null; text of fewer than
 three lines has no window and stays; windows of three blank lines don't
 count; a null id comes before all others; rows alike in id and text are one
-document and are treated alike; an emptied text is ''."""
+document and are treated alike; an emptied text is ''; extra columns stay, but
+for those with the names of the results. Ids are integers."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagerel.llm.common import carried
+
 WINDOW = 3
 
 
@@ -53,7 +56,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     Only hashes and positions are shuffled for the search; a run that occurs
     in very many documents is counted before its shuffle, and the join that
     finds its later occurrences may be split."""
-    docs = docs.withColumn("_lines", F.split(F.col(text), "\n")).withColumn("_th", F.xxhash64(text))
+    docs = docs.drop("_gone").withColumn("_lines", F.split(F.col(text), "\n")).withColumn("_th", F.xxhash64(text))
     at = docs.select(F.col(id_col).alias("_id"), "_th", F.explode(_windows(F.col("_lines"), window)).alias("w")).select("_id", "_th", "w.pos", "w.h1", "w.h2")
     here = F.struct("_id", "_th", "pos")
     firsts = (at.groupBy("h1", "h2").agg(F.min(here).alias("first"), F.max(here).alias("last"))
@@ -73,4 +76,5 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` with the later occurrences gone from ``text``; same columns, same rows."""
-    return repeated_lines(docs, id_col, text, window).withColumn(text, F.col("_kept")).select(*docs.columns)
+    done = repeated_lines(carried(docs, text, doc_id=id_col, text=text), window=window)
+    return done.select(*((F.col("_kept") if c == text else F.col("_row")[c]).alias(c) for c in docs.columns))

@@ -12,7 +12,8 @@ its limit.
 
 Defined cases: null text has size 0 and is taken like any other; sources are
 ordered by code point with null last; a source of size 0 has target 0 and its
-documents are taken 0 times; rows alike in id and text are drawn alike."""
+documents are taken 0 times; rows with the same id are drawn alike; extra
+columns stay, but for those with the names of the results."""
 
 from __future__ import annotations
 
@@ -21,7 +22,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagerel.llm.common import stored
+from pagerel.llm.common import carried, stored
 
 SEED = "mix-1"
 
@@ -62,7 +63,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
         share: float = 1.5, max_rate: float = 2.0, seed: str = SEED) -> DataFrame:
     """``docs`` with ``_size``, ``_source_size``, ``_target`` and ``_copies``:
     how many times the mix takes the document."""
-    sized = docs.withColumn("_size", n_words(F.col(text)))
+    sized = docs.drop("_target", "_source_size").withColumn("_size", n_words(F.col(text)))
     per = source_targets(sized, source, "_size", weights, share, max_rate)
     per = per.select(F.col("_source").isNull().alias("_none"), F.coalesce("_source", F.lit("")).alias("_name"),
                      F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
@@ -78,6 +79,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str
 
 def emit(docs: DataFrame, **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken."""
-    mixed = mix(docs, **options)
+    named = {"doc_id": options.pop("id_col", "doc_id"), "text": options.pop("text", "text"), "source": options.pop("source", "source")}
+    mixed = mix(carried(docs, **named), **options)
     every = F.explode(F.when(F.col("_copies") > 0, F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return mixed.withColumn("_copy", every).select(*docs.columns)
+    return mixed.withColumn("_copy", every).select("_row.*")

@@ -23,7 +23,8 @@ costing their square.
 
 Defined cases: null text is empty; documents without candidates have empty
 spans; rows may repeat and are handled each by itself; without candidates of
-a kind nothing is learned for it, and nothing added."""
+a kind nothing is learned for it, and nothing added; extra columns stay, but
+for those with the names of the results."""
 
 from __future__ import annotations
 

@@ -13,7 +13,8 @@ than its rank in its slot. All of it is DataFrame operations.
 
 Defined cases: null text has size 16 and the CRC of nothing; a null id is a
 key like any other; rows alike share their place on the ring, each has a slot
-of its own in a shard; fewer rows than shards leave shards empty."""
+of its own in a shard; fewer rows than shards leave shards empty; extra
+columns stay, but for those with the names of the results and ``slot``."""
 
 from __future__ import annotations
 
@@ -87,11 +88,13 @@ def assign(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shards:
     where = F.xxhash64(F.lit(SALT), F.col(id_col))
     slot = F.pmod(where, F.lit(slots))
     planned = stored(plan(docs.select(slot.alias("slot")), shards, slots, nodes), "ring-plan")
+    planned = planned.withColumnsRenamed({"before": "_before", "parts": "_parts"})
+    docs = docs.drop("_before", "_parts")
     full = F.coalesce(F.col(text), F.lit(""))
     sized = docs.withColumns({"_size": F.octet_length(full).cast("bigint") + 16, "_crc": F.crc32(full), "_at": where, "slot": slot}).drop(text)
     in_slot = Window.partitionBy("slot").orderBy("_at", id_col, "_crc", "_size")
     ranked = sized.withColumn("_nth", F.row_number().over(in_slot) - 1).join(planned, "slot")
-    ranked = ranked.withColumn("_rank", F.col("before") + F.col("_nth"))
-    ranked = ranked.withColumn("_part", F.expr("filter(parts, p -> _rank >= p.from and _rank < p.from + p.n)[0]"))
+    ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_nth"))
+    ranked = ranked.withColumn("_part", F.expr("filter(_parts, p -> _rank >= p.from and _rank < p.from + p.n)[0]"))
     return (ranked.withColumns({"_shard": F.col("_part.shard"), "_slot": F.col("_part.place") + F.col("_rank") - F.col("_part.from")})
-            .drop("slot", "before", "parts", "_at", "_nth", "_rank", "_part"))
+            .drop("slot", "_before", "_parts", "_at", "_nth", "_rank", "_part"))

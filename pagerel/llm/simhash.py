@@ -8,7 +8,8 @@ of them keeps every component without emitting pairs.
 
 Defined cases: null, empty or blank text has fingerprint 0 and links like any
 other; text of fewer words than a shingle is one shingle; rows may repeat; a
-null id takes part, but never names a component that has another id."""
+null id takes part, but never names a component that has another id; extra columns
+stay, but for those with the names of the results."""
 
 from __future__ import annotations
 

@@ -20,7 +20,8 @@ every document; it uses presence only, so one toxic word in a long text counts.
 Defined cases: null or blank text has no feature and the severity of an empty
 document, which is clean; labels without a document, and null labels, take no
 part; without a toxic and a clean label everything has severity 0 and stays;
-rows may repeat, and each is scored."""
+rows may repeat, and each is scored; extra columns stay, but for those with
+the names of the results."""
 
 from __future__ import annotations
 
