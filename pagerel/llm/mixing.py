@@ -53,8 +53,9 @@ def source_targets(sized: DataFrame, source: str = "source", size: str = "_size"
     every = Window.partitionBy()
     level = (F.sum("source_size").over(every) * F.lit(float(share)) - F.coalesce(F.sum("_limit").over(before), F.lit(0.0))) / F.sum("_w").over(rest)
     per = per.withColumn("_level", level)
-    # the first source that its level does not fill sets the level of all after it
-    per = per.withColumn("_open", F.min(F.when(F.col("_level") * F.col("_w") <= F.col("_limit"), F.struct(F.col("_limit") / F.col("_w"), F.col("_level")))).over(every)["_level"])
+    # the first source that its level does not fill sets the level of all
+    # after it (of sources alike in limit / weight the first has the highest)
+    per = per.withColumn("_open", -F.min(F.when(F.col("_level") * F.col("_w") <= F.col("_limit"), F.struct(F.col("_limit") / F.col("_w"), (-F.col("_level")).alias("_down")))).over(every)["_down"])
     target = F.least(F.col("_limit"), F.coalesce(F.col("_open") * F.col("_w"), F.col("_limit")))
     return per.select("_source", "source_size", target.alias("target"))
 

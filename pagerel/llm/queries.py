@@ -105,7 +105,7 @@ l AS (
   SELECT *, (total - coalesce(sum(cap) OVER (ORDER BY cap / w, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
           / sum(w) OVER (ORDER BY cap / w, encode(source) NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM w),
 t AS (
-  SELECT l.source, l.source_size, least(l.cap, coalesce((SELECT level FROM l AS m WHERE m.level * m.w <= m.cap ORDER BY m.cap / m.w, m.level LIMIT 1) * l.w, l.cap)) AS target FROM l),
+  SELECT l.source, l.source_size, least(l.cap, coalesce((SELECT level FROM l AS m WHERE m.level * m.w <= m.cap ORDER BY m.cap / m.w, m.level DESC LIMIT 1) * l.w, l.cap)) AS target FROM l),
 r AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
          CAST(('0x' || substr(md5('mix-1|' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS luck
