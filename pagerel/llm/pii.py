@@ -129,7 +129,7 @@ def votes(kind: str, s: Column) -> Column:
     """What the regex, the gazetteer and the context say: 1 yes, 0 no, 2 nothing."""
     body, left, right = s["body"], s["left"], s["right"]
     strict = {
-        "email": body.rlike(r"^[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}$"),
+        "email": body.rlike(r"^[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9-]++\.)++[A-Za-z]{2,}$"),
         "ip": body.rlike(r"^(?:(?:[1-9]?[0-9]|1[0-9]{2}|2[0-4][0-9]|25[0-5])(?:\.|$)){4}$"),
         "card": valid("card", body),
         "phone": body.rlike(r"^\+?[0-9]{0,3}[ .-]?\(?[0-9]{2,4}\)?[ .-]?[0-9]{3}[ .-]?[0-9]{3,4}$"),

@@ -7,9 +7,9 @@ t_0 < t_1 < ...; the output is the expected severity, the sum of these
 probabilities.
 
 Labels hold toxic 0 / 1 only. Their grades come from the labels and the
-features: 0 for a clean document; a toxic one is graded 1 to GRADES by how
-densely it uses the features that speak for toxicity, cut at the terciles of
-the labelled toxic documents.
+features: 0 for a clean document; a toxic one is graded 1 to GRADES by the
+summed log odds of its features that speak for toxicity, cut at the terciles
+of the labelled toxic documents.
 
 The fit sees at most ``max_rows`` labelled documents, half of them toxic (all,
 if fewer; else those whose ids have the smallest hashes). Their features are
@@ -101,7 +101,7 @@ def select_features(counts: DataFrame, n_toxic: int, n_clean: int, n_features: i
     return [(r.feature, r.odds) for r in best]
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, n_grades: int, l2: float = 1.0, steps: int = 400, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, n_grades: int, l2: float = 0.1, steps: int = 800, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of the cumulative-link (proportional odds)
     model, by Adam on the penalised log likelihood. Thresholds are kept in
     order by their gaps' logarithms. Weights stay at 0 or above: every
@@ -150,21 +150,19 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     def present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             found = [words(t) for t in pdf["text"]]
-            yield pd.DataFrame({"toxic": pdf["toxic"], "n": [len(f) for f in found],
-                                "on": [sorted(at[f] for f in features(w) if f in at) for w in found]})
+            yield pd.DataFrame({"toxic": pdf["toxic"], "on": [sorted(at[f] for f in features(w) if f in at) for w in found]})
 
-    rows = labelled.mapInPandas(present, "toxic int, n int, on array<int>").collect()  # max_rows at most, unless ids repeat
-    rows = sorted(rows, key=lambda r: (r.toxic, r.n, r.on))  # the same order each time
+    rows = labelled.mapInPandas(present, "toxic int, on array<int>").collect()  # max_rows at most, unless ids repeat
+    rows = sorted(rows, key=lambda r: (r.toxic, r.on))  # the same order each time
     x = np.zeros((len(rows), len(chosen)), np.float32)
     for i, r in enumerate(rows):
         x[i, r.on] = 1
     toxic = np.array([r.toxic for r in rows])
-    size = np.array([max(1, r.n) for r in rows])
-    dense = x @ np.array([o for _, o in chosen]) / np.sqrt(size)
+    odds = x @ np.array([o for _, o in chosen])
     grade = np.zeros(len(rows), int)
     if toxic.any():
-        cuts = np.quantile(dense[toxic == 1], np.arange(1, GRADES) / GRADES)
-        grade[toxic == 1] = 1 + np.searchsorted(cuts, dense[toxic == 1])
+        cuts = np.quantile(odds[toxic == 1], np.arange(1, GRADES) / GRADES)
+        grade[toxic == 1] = 1 + np.searchsorted(cuts, odds[toxic == 1])
     w, t = fit_ordinal(x, grade, GRADES)
     return OrdinalModel({f: float(w[i]) for f, i in at.items() if w[i] > 1e-6}, [float(v) for v in t])
 
