@@ -63,6 +63,7 @@ NAV_ROLES = ["navigation", "menu", "menubar"]
 CLICKABLE_TAGS = ["a", "button"]
 CLICKABLE_ROLES = ["button", "link"]
 CLICKABLE_INPUT_TYPES = ["submit", "button"]
+FORM_CONTROLS = ["button", "fieldset", "input", "optgroup", "option", "select", "textarea"]
 
 # --- fixed values: naming ---------------------------------------------------------
 GENERIC_WORDS = (
@@ -97,30 +98,15 @@ DISABLED_CLASS = r"(?i)(?:^|\s|-|_)disabled(?:$|\s)"
 
 # --- fixed values: limits ---------------------------------------------------------
 SIMILARITY_MIN = 0.34
-SCAN_MAX_ELEMENTS = 40000
-LISTS_MAX = 8
-COLUMN_SAMPLE_ROWS = 40
-COLUMNS_MAX = 40
 COLUMN_MIN_FILL = 0.2
-LEAF_CAP_DETECT = 25
-LEAF_CAP_SCAN = 30
-SIBLING_SAMPLE_DETECT = 5
-SIBLING_SAMPLE_SCAN = 6
 CELL_LEAVES_MAX = 1.2
 PREVIEW_ROWS = 50
 CELL_MAX_CHARS = 32767
-WIDTH_SAMPLE_ROWS = 200
-NEIGHBOUR_CHILDREN = 60
-TEXT_PART_MAX = 60
-MODEL_ATTR_MAX = 120
-REL_ATTR_MAX = 60
-TARGET_TEXT_MAX = 40
-HEADER_NAME_MAX = 40
 
 # --- fixed values: recipe defaults --------------------------------------------------
 RECIPE_DEFAULTS = {"type": "none", "max_pages": 10, "delay_ms": 800, "timeout_ms": 20000,
                    "dedupe": True, "append": False, "page_url": False}
-VALUE_MODES = ["text", "href", "src", "ownText", "value", "html", "attr"]
+VALUE_MODES = ["text", "href", "src", "ownText", "value", "html", "outerHtml", "attr"]
 PAGINATION_TYPES = ["none", "next", "scroll", "loadmore"]
 TIMEOUT_MIN_MS = 3000
 SCROLL_TIMEOUT_CAP_MS = 10000

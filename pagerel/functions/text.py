@@ -14,6 +14,11 @@ WS_CLASS = ("[\t\n\u000b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u
 XPATH_WS = "[ \t\r\n]+"
 
 
+def named(name: str) -> Column:
+    """The column of this name, whatever characters a scraped name holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def clean(c: Column) -> Column:
     """Whitespace runs -> one space, trimmed; null -> ''."""
     return F.trim(F.regexp_replace(F.coalesce(c.cast("string"), F.lit("")), WS_CLASS, " "))

@@ -22,6 +22,18 @@ def encode_path(p: Column) -> Column:
     return e
 
 
+def encode_tail(t: Column) -> Column:
+    """Percent-encode ``?query#fragment`` the way browsers do: non-ASCII as
+    UTF-8, and space, quotes, < and > (in a query also ') as %XX."""
+    keep = [*_KEEP[:-1], ("%23", "#"), ("%3F", "?"), ("%7B", "{"), ("%7D", "}"), ("%5E", "^"), ("%60", "`"), ("%5C", "\\")]
+    e = F.regexp_replace(F.url_encode(t), r"\+", "%20")
+    for code, ch in keep:
+        e = F.replace(e, F.lit(code), F.lit(ch))
+    query, fragment = F.regexp_extract(e, r"^([^#]*)", 1), F.regexp_extract(e, r"^[^#]*(.*)$", 1)
+    fragment = F.concat(F.left(fragment, F.lit(1)), F.replace(F.right(fragment, F.greatest(F.length(fragment) - 1, F.lit(0))), F.lit("`"), F.lit("%60")))
+    return F.concat(F.replace(query, F.lit("'"), F.lit("%27")), fragment)
+
+
 def _remove_dot_segments(path: Column) -> Column:
     """RFC 3986 dot-segment removal over the split path (Catalyst aggregate)."""
     segs = F.split(path, "/")
@@ -38,6 +50,10 @@ def _remove_dot_segments(path: Column) -> Column:
     return F.concat(F.lit("/"), F.array_join(out, "/"), F.when(trailing & (F.size(out) > 0), F.lit("/")).otherwise(F.lit("")))
 
 
+def _no_default_port(scheme: Column, host: Column) -> Column:
+    return F.when(scheme == "http", F.regexp_replace(host, ":80$", "")).when(scheme == "https", F.regexp_replace(host, ":443$", "")).otherwise(host)
+
+
 def absolutize(href: Column, base: Column) -> Column:
     """Resolve ``href`` against ``base``. Empty -> ''; hrefs with a
     scheme are kept (host lower-cased); protocol-relative, root-relative,
@@ -46,7 +62,7 @@ def absolutize(href: Column, base: Column) -> Column:
     h = F.trim(F.coalesce(href, F.lit("")))
     b = F.coalesce(base, F.lit(""))
     scheme = F.lower(F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-    origin = F.concat(scheme, F.lit("://"), F.lower(F.regexp_extract(b, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)))
+    origin = F.concat(scheme, F.lit("://"), _no_default_port(scheme, F.lower(F.regexp_extract(b, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))))
     base_path = F.regexp_extract(b, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
     base_path = F.when(base_path == "", F.lit("/")).otherwise(base_path)
     base_query = F.regexp_extract(b, r"^[^?#]*(\?[^#]*)?", 1)
@@ -64,21 +80,21 @@ def absolutize(href: Column, base: Column) -> Column:
     p_abs, r_abs = split_tail(abs_tail)
     absolute = F.when(
         abs_scheme.isin("http", "https") & h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"),
-        F.concat(abs_scheme, F.lit("://"), F.lower(abs_hier),
-                 encode_path(F.when(p_abs == "", F.lit("/")).otherwise(_remove_dot_segments(p_abs))), r_abs),
+        F.concat(abs_scheme, F.lit("://"), _no_default_port(abs_scheme, F.lower(abs_hier)),
+                 encode_path(F.when(p_abs == "", F.lit("/")).otherwise(_remove_dot_segments(p_abs))), encode_tail(r_abs)),
     ).otherwise(h)
 
     proto_host = F.regexp_extract(h, r"^//([^/?#]*)", 1)
     proto_tail = F.regexp_extract(h, r"^//[^/?#]*(.*)$", 1)
     p_pr, r_pr = split_tail(proto_tail)
-    protocol_rel = F.concat(scheme, F.lit("://"), F.lower(proto_host),
-                            encode_path(F.when(p_pr == "", F.lit("/")).otherwise(_remove_dot_segments(p_pr))), r_pr)
+    protocol_rel = F.concat(scheme, F.lit("://"), _no_default_port(scheme, F.lower(proto_host)),
+                            encode_path(F.when(p_pr == "", F.lit("/")).otherwise(_remove_dot_segments(p_pr))), encode_tail(r_pr))
 
     p_root, r_root = split_tail(h)
-    root_rel = F.concat(origin, encode_path(_remove_dot_segments(p_root)), r_root)
-    rel = F.concat(origin, encode_path(_remove_dot_segments(F.concat(base_dir, p_root))), r_root)
-    query_only = F.concat(origin, encode_path(base_path), h)
-    frag_only = F.concat(origin, encode_path(base_path), base_query, h)
+    root_rel = F.concat(origin, encode_path(_remove_dot_segments(p_root)), encode_tail(r_root))
+    rel = F.concat(origin, encode_path(_remove_dot_segments(F.concat(base_dir, p_root))), encode_tail(r_root))
+    query_only = F.concat(origin, encode_path(base_path), encode_tail(h))
+    frag_only = F.concat(origin, encode_path(base_path), encode_tail(base_query), encode_tail(h))
 
     return (
         F.when(h == "", F.lit(""))

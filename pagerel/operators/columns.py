@@ -40,7 +40,10 @@ def data_nodes(ps, rows: DataFrame) -> DataFrame:
     n = ps.nodes
     is_img = n["tag"] == "img"
     is_field = n["tag"].isin("input", "select", "textarea")
-    field_val = F.coalesce(n["attrs"]["value"], F.lit(""))
+    # a textarea's text and a select's options are values too
+    field_val = (F.when(n["tag"] == "textarea", F.when(n["t_end"] > n["t_start"], F.lit("x")).otherwise(F.lit("")))
+                 .when(n["tag"] == "select", F.when(n["n_children"] > 0, F.lit("x")).otherwise(F.lit("")))
+                 .otherwise(F.coalesce(n["attrs"]["value"], F.lit(""))))
     first = (F.when(is_img & (img_url_raw(n["attrs"]) != ""), F.lit("src"))
              .when(is_field & (F.coalesce(n["attrs"]["type"], F.lit("")) != "hidden") & (field_val != ""), F.lit("value"))
              .when(n["usable_a"], F.lit("href")))
@@ -67,12 +70,12 @@ def data_nodes(ps, rows: DataFrame) -> DataFrame:
 
 def _rel_candidates(nodes: DataFrame) -> Column:
     """L10 simple candidates of a node, in order: test/semantic attributes
-    (short, no 3-digit run), each semantic class, <= 3 semantic classes,
+    (no 3-digit run), each semantic class, <= 3 semantic classes,
     tag.class for each semantic class, bare tag.
     -> ARRAY<STRUCT<tag, feats, css>>"""
     attrs = F.col("attrs")
     names = F.filter(F.array(*[F.lit(a) for a in rules.REL_ATTRS]),
-                     lambda a: attrs[a].isNotNull() & (attrs[a] != "") & (F.length(attrs[a]) < rules.REL_ATTR_MAX)
+                     lambda a: attrs[a].isNotNull() & (attrs[a] != "")
                      & ~attrs[a].rlike("[0-9]{3,}"))
     no = F.lit(None).cast("string")
 
@@ -226,16 +229,18 @@ def anchored_selectors(ps, left: DataFrame, max_levels: int | None = None) -> Da
         head_css = F.concat(F.coalesce(css_escape(F.col("tag")), F.lit("")),
                             F.when(F.col("kind") == "attr", F.concat(F.lit("["), F.col("n"), F.lit("="), css_string(F.col("v")), F.lit("]")))
                             .otherwise(F.array_join(F.transform("cs", lambda x: F.concat(F.lit("."), css_escape(x))), "")))
-        c = c.select(*key, "prio", F.xxhash64(*key, "prio", F.lit(k)).alias("sel_id"),
+        c = c.select(*key, "prio",
                      F.concat(F.array(head), F.transform("t", lambda x: x["st"])).cast(STEPS).alias("steps"),
                      F.concat(head_css, F.lit(" > "), F.array_join(F.transform("t", lambda x: x["css"]), " > ")).alias("sel"))
         c = cut_lineage(c)
         if c.isEmpty():
             break
-        scopes = c.select("page_id", F.col("row_id").alias("scope_id"), "sel_id")
-        m = Matcher(ps).match(scopes, c.select("sel_id", "steps"), [], k + 1)
-        cnt = m.groupBy("sel_id").agg(F.count(F.lit(1)).alias("n"), F.max("node_id").alias("m_id"))
-        ok = c.join(cnt, "sel_id").filter((F.col("n") == 1) & (F.col("m_id") == F.col("node_id")))
+        own = ["page_id", "list_rank", "scope_id", "for_id", "prio"]
+        sels = c.select("page_id", "list_rank", F.col("row_id").alias("scope_id"), F.col("node_id").alias("for_id"), "prio", "steps")
+        m = Matcher(ps).match(sels.drop("steps"), sels, own, ["list_rank", "for_id", "prio"])
+        cnt = m.groupBy(*own).agg(F.count(F.lit(1)).alias("n"), F.max("node_id").alias("m_id")).withColumnsRenamed(
+            {"scope_id": "row_id", "for_id": "node_id"})
+        ok = c.join(cnt, [*key, "prio"]).filter((F.col("n") == 1) & (F.col("m_id") == F.col("node_id")))
         best = ok.groupBy(*key).agg(F.min_by(F.struct("sel", "steps"), "prio").alias("b")).select(*key, "b.sel", "b.steps")
         best = cut_lineage(best)
         found = best if found is None else found.unionByName(best)
@@ -246,7 +251,7 @@ def anchored_selectors(ps, left: DataFrame, max_levels: int | None = None) -> Da
 
 
 def guess_names(stats: DataFrame) -> DataFrame:
-    """Header (not applicable outside tables) -> hint (L13) -> tag rule
+    """Table header (J09) -> hint (L13) -> tag rule
     -> value kind (P14); href adds ' URL' unless it says link/url, src adds
     ' Image' unless image-like. stats needs tag, attr, hint, sample."""
     tag = F.col("tag")
@@ -275,13 +280,14 @@ def dedupe_names(df: DataFrame, part: list[str], order: str, name: str = "guess"
     return df.withColumn(out, F.when(k == 1, F.col(name)).otherwise(F.concat(F.col(name), F.lit(" "), k.cast("string"))))
 
 
-def detect_columns(ps, rows: DataFrame, sample: int = rules.COLUMN_SAMPLE_ROWS) -> tuple[DataFrame, DataFrame]:
-    """L14 = L11 -> L10 -> A03 -> A04 -> L12 over the first ``sample`` rows
-    of every (page, list). Returns (columns, data_nodes_of_sample).
+def detect_columns(ps, rows: DataFrame, sample: int | None = None, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """L14 = L11 -> L10 -> A03 -> A04 -> L12 over all rows of every (page,
+    list), or its first ``sample``; all columns, or the first ``most``.
+    Returns (columns, data nodes).
     columns: (page_id, list_rank, col_ord, name, sel, steps, attr, fill, sample, n_rows)"""
     from .extract import node_values
 
-    srows = rows.filter(F.col("row_ord") <= sample)
+    srows = rows if sample is None else rows.filter(F.col("row_ord") <= sample)
     n_sample = srows.groupBy("page_id", "list_rank").agg(F.count(F.lit(1)).alias("n_rows"))
     from ..session import cut_lineage
 
@@ -308,16 +314,23 @@ def detect_columns(ps, rows: DataFrame, sample: int = rules.COLUMN_SAMPLE_ROWS)
         F.min_by(F.col("value"), F.col("_r")).alias("first_value"),
     )
     stats = cut_lineage(stats.join(n_sample, ["page_id", "list_rank"]))
-    # Enough rows, ordered by mean position (ties: first seen), <= 40
+    # Enough rows, ordered by mean position (ties: first seen)
     min_count = F.when(F.col("n_rows") <= 2, F.lit(1)).otherwise(
         F.greatest(F.lit(2), F.ceil(F.col("n_rows") * rules.COLUMN_MIN_FILL)))
     ch = stats.filter(F.col("count") >= min_count).withColumn("mean_pos", F.col("pos_sum") / F.col("count"))
     wo = Window.partitionBy("page_id", "list_rank").orderBy("mean_pos", "first.row_ord", "first.ord")
-    ch = ch.withColumn("col_ord", F.row_number().over(wo)).filter(F.col("col_ord") <= rules.COLUMNS_MAX)
+    ch = ch.withColumn("col_ord", F.row_number().over(wo))
+    if most is not None:
+        ch = ch.filter(F.col("col_ord") <= most)
     # names: hint from the element and up to 2 ancestors inside the row
     ch = ch.join(ps.nodes.select("page_id", F.col("node_id").alias("el"), "tag"), ["page_id", "el"])
     ch = ch.join(name_hints(ps, ch.select("page_id", "el", "row")), ["page_id", "el", "row"], "left")
-    ch = ch.withColumn("header", F.lit(None).cast("string")).withColumn("sample", F.coalesce("first_nonempty", F.lit("")))
+    # a table's header cell names its column
+    from .explorer import header_names
+
+    cells = cut_lineage(ch.select("page_id", "row", "el").distinct())
+    headers = header_names(ps, cells).groupBy("page_id", "row", "el").agg(F.max("header").alias("header"))
+    ch = ch.join(headers, ["page_id", "row", "el"], "left").withColumn("sample", F.coalesce("first_nonempty", F.lit("")))
     ch = guess_names(ch)
     ch = dedupe_names(ch, ["page_id", "list_rank"], "col_ord")
     cols = ch.select(
@@ -339,12 +352,12 @@ def humanize(t: Column) -> Column:
     words = F.filter(F.split(x, r"[-_\s]+"), lambda w: (w != "") & ~w.rlike("^[0-9]+$") & ~w.rlike("(?i)^js$"))
     abbr = F.create_map(*[v for k, full in rules.ABBREVIATIONS.items() for v in (F.lit(k), F.lit(full))])
     titled = F.transform(F.slice(words, -3, 3), lambda w: F.coalesce(
-        abbr[F.lower(w)], F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 100000)))))
+        abbr[F.lower(w)], F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.right(w, F.length(w) - 1)))))
     all_generic = F.forall(words, lambda w: w.rlike(rules.GENERIC_WORDS))
     return (F.when(F.size(words) == 0, F.lit(""))
             .when(all_generic, F.lit(""))
             .otherwise(F.array_join(F.when(F.size(words) >= 3, titled).otherwise(
-                F.transform(words, lambda w: F.coalesce(abbr[F.lower(w)], F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 100000)))))), " ")))
+                F.transform(words, lambda w: F.coalesce(abbr[F.lower(w)], F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.right(w, F.length(w) - 1)))))), " ")))
 
 
 def name_hints(ps, targets: DataFrame) -> DataFrame:

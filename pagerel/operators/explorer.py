@@ -37,19 +37,17 @@ def visible(ps) -> DataFrame:
 
 # -- P13 ---------------------------------------------------------------------------------
 def element_profile(ps, targets: DataFrame) -> DataFrame:
-    """Tag, text <= 500, own text <= 200, child count, visible, value <=
-    300, href, img src, all attributes cut at 300 + '…'."""
+    """Tag, text, own text, child count, visible, value, href, img src
+    and all attributes, each in full."""
     from .extract import node_values
 
     t = targets.select("page_id", "node_id").distinct()
     n = ps.nodes.join(t, ["page_id", "node_id"], "left_semi")
     base = n.join(ps.info.select("page_id", "page_text"), "page_id").select(
         "page_id", "node_id", "tag",
-        F.substring(clean(subtree_text(F.col("page_text"), F.col("t_start"), F.col("t_end"))), 1, 500).alias("text"),
-        F.substring("own_text", 1, 200).alias("own_text"),
+        clean(subtree_text(F.col("page_text"), F.col("t_start"), F.col("t_end"))).alias("text"), "own_text",
         F.col("n_children").alias("children"), (~F.col("hidden")).alias("visible"),
-        F.substring(F.coalesce(F.col("attrs")["value"], F.lit("")), 1, 300).alias("value"),
-        F.transform_values("attrs", lambda k, v: F.when(F.length(v) > 300, F.concat(F.substring(v, 1, 300), F.lit("…"))).otherwise(v)).alias("attributes"),
+        F.coalesce(F.col("attrs")["value"], F.lit("")).alias("value"), F.col("attrs").alias("attributes"),
     )
     modes = t.select("page_id", "node_id", F.explode(F.array(F.lit("href"), F.lit("src"))).alias("attr"))
     vals = node_values(ps, modes).groupBy("page_id", "node_id").pivot("attr", ["href", "src"]).agg(F.first("value"))
@@ -57,14 +55,23 @@ def element_profile(ps, targets: DataFrame) -> DataFrame:
 
 
 # -- L07 / L08 ------------------------------------------------------------------------------
-PART = "struct<k:string,n:string,v:string,stable:boolean,kind:string>"
+PART = "struct<k:string,n:string,v:string,stable:boolean,kind:string,on:boolean>"
 
 
-def selector_parts(ps, targets: DataFrame) -> DataFrame:
+def _part(k: str, v: Column, n: Column | None = None, stable: Column | None = None, kind: Column | None = None, on: Column | None = None) -> Column:
+    """One part of a model node; switched off unless ``on``."""
+    no, nob = F.lit(None).cast("string"), F.lit(None).cast("boolean")
+    return F.struct(F.lit(k).alias("k"), (no if n is None else n).alias("n"), v.alias("v"), (nob if stable is None else stable).alias("stable"),
+                    (no if kind is None else kind).alias("kind"), (F.lit(False) if on is None else on).alias("on"))
+
+
+def selector_parts(ps, targets: DataFrame, text_max: int | None = None) -> DataFrame:
     """The editable model of each target: per chain node (body..target)
     the parts tag, id (+stable), classes (+kind), allowed attributes, nth if
-    the count > 1, text if <= 60 chars.
-    -> (page_id, target_id, level, node_id, tag, is_svg, label, parts)"""
+    the count > 1, text (if <= ``text_max`` characters; None: any length). On
+    the target, tag, stable id and semantic classes are switched on; L08
+    renders what is on.
+    -> (page_id, target_id, level, node_id, tag, is_svg, label, on, parts)"""
     from ..functions.text import describe
 
     t = targets.select("page_id", F.col("node_id").alias("target_id")).join(
@@ -72,17 +79,18 @@ def selector_parts(ps, targets: DataFrame) -> DataFrame:
     ch = t.select("page_id", "target_id", F.posexplode("anc").alias("pos", "node_id")).filter(F.col("pos") >= 1)
     ch = ch.join(ps.nodes, ["page_id", "node_id"]).join(ps.info.select("page_id", "page_text"), "page_id")
     mt = match_text(subtree_text(F.col("page_text"), F.col("t_start"), F.col("t_end")))
-    no = F.lit(None).cast("string")
-    nob = F.lit(None).cast("boolean")
+    target = F.col("node_id") == F.col("target_id")
+    none = F.array().cast(f"array<{PART}>")
+    stable = C.is_stable_id(F.col("id"))
     parts = F.concat(
-        F.array(F.struct(F.lit("tag").alias("k"), no.alias("n"), F.col("tag").alias("v"), nob.alias("stable"), no.alias("kind"))),
-        F.when(F.col("id") != "", F.array(F.struct(F.lit("id"), no, F.col("id"), C.is_stable_id(F.col("id")), no))).otherwise(F.array().cast(f"array<{PART}>")),
-        F.transform("classes", lambda c: F.struct(F.lit("class"), no, c, nob, C.class_kind(c))),
-        F.transform(model_attrs(F.col("attr_names"), F.col("attrs")), lambda p: F.struct(F.lit("attr"), p["n"], p["v"], nob, no)),
-        F.when(F.col("nth_count") > 1, F.array(F.struct(F.lit("nth"), no, F.col("nth").cast("string"), nob, no))).otherwise(F.array().cast(f"array<{PART}>")),
-        F.when((mt != "") & (F.length(mt) <= rules.TEXT_PART_MAX), F.array(F.struct(F.lit("text"), no, mt, nob, no))).otherwise(F.array().cast(f"array<{PART}>")),
-    ).cast(f"array<{PART}>")
-    return ch.select("page_id", "target_id", (F.col("pos") - 1).alias("level"), "node_id", "tag", "is_svg",
+        F.array(_part("tag", F.col("tag"), on=target)),
+        F.when(F.col("id") != "", F.array(_part("id", F.col("id"), stable=stable, on=target & stable))).otherwise(none),
+        F.transform("classes", lambda c: _part("class", c, kind=C.class_kind(c), on=target & (C.class_kind(c) == "semantic"))),
+        F.transform(model_attrs(F.col("attr_names"), F.col("attrs")), lambda p: _part("attr", p["v"], n=p["n"])),
+        F.when(F.col("nth_count") > 1, F.array(_part("nth", F.col("nth").cast("string")))).otherwise(none),
+        F.when((mt != "") & (F.lit(text_max is None) | (F.length(mt) <= F.lit(text_max or 0))), F.array(_part("text", mt))).otherwise(none),
+    )
+    return ch.select("page_id", "target_id", (F.col("pos") - 1).alias("level"), "node_id", "tag", "is_svg", target.alias("on"),
                      describe(F.col("tag"), F.col("id"), F.col("classes")).alias("label"), parts.alias("parts"))
 
 
@@ -210,7 +218,7 @@ def header_names(ps, cells: DataFrame) -> DataFrame:
     """Table header name for (row, el) pairs: row must be a TR; the
     nearest td/th around el inside the row; header row = first thead row,
     else the first other row of the table having a direct th; name = header
-    cell at the same cell index, cleaned, <= 40 chars.
+    cell at the same cell index, cleaned.
     cells: (page_id, row, el) -> (page_id, row, el, header)"""
     from .tree import closest
 
@@ -220,7 +228,7 @@ def header_names(ps, cells: DataFrame) -> DataFrame:
     c = c.join(cell.withColumnRenamed("target_id", "el").withColumnRenamed("match_id", "cell"), ["page_id", "el"])
     rowinfo = nodes.select("page_id", F.col("node_id").alias("row"), F.col("tag").alias("row_tag"), F.col("anc").alias("row_anc"))
     c = c.join(rowinfo, ["page_id", "row"]).filter(F.col("row_tag") == "tr")
-    c = c.filter(F.array_contains("anc", F.col("row")) & (F.col("cell") != F.col("row")))
+    c = c.filter(F.array_contains("anc", F.col("row")) & (F.col("cell") > F.col("row")))  # the cell is inside the row
     tab = closest(nodes, c.select("page_id", F.col("row").alias("target_id"), F.col("row_anc").alias("anc")).distinct(),
                   F.col("tag") == "table")
     c = c.join(tab.withColumnRenamed("target_id", "row").withColumnRenamed("match_id", "table"), ["page_id", "row"])
@@ -232,29 +240,34 @@ def header_names(ps, cells: DataFrame) -> DataFrame:
     sect = nodes.select("page_id", F.col("node_id").alias("parent_id"), F.col("tag").alias("sect"))
     trs = trs.join(sect, ["page_id", "parent_id"])
     tables = c.select("page_id", "table").distinct()
-    tr_t = trs.select("page_id", "tr", "sect", "child_tags", F.explode("anc").alias("table")).join(tables, ["page_id", "table"])
+    # each row belongs to its nearest table: rows of nested tables are not the outer one's
+    own = closest(nodes, trs.select("page_id", F.col("tr").alias("target_id"), "anc"), F.col("tag") == "table")
+    trs = trs.join(own.select("page_id", F.col("target_id").alias("tr"), F.col("match_id").alias("table")), ["page_id", "tr"])
+    tr_t = trs.select("page_id", "tr", "sect", "child_tags", "table").join(tables, ["page_id", "table"])
     head = tr_t.groupBy("page_id", "table").agg(
         F.min(F.when(F.col("sect") == "thead", F.col("tr"))).alias("thead_tr"))
     c = c.join(head, ["page_id", "table"], "left")
-    th_rows = tr_t.filter(F.array_contains("child_tags", "th")).select("page_id", "table", F.col("tr").alias("cand"))
-    cand = c.select("page_id", "table", "row").distinct().join(th_rows, ["page_id", "table"]).filter(F.col("cand") != F.col("row"))
-    cand = cand.groupBy("page_id", "table", "row").agg(F.min("cand").alias("th_tr"))
-    c = c.join(cand, ["page_id", "table", "row"], "left").withColumn("hdr", F.coalesce("thead_tr", "th_tr"))
+    # the first header-bearing row other than the row itself is among the first two
+    th = tr_t.filter(F.array_contains("child_tags", "th"))
+    nth_th = th.withColumn("k", F.row_number().over(Window.partitionBy("page_id", "table").orderBy("tr"))).filter(F.col("k") <= 2)
+    two = nth_th.groupBy("page_id", "table").agg(F.min("tr").alias("th1"), F.max("tr").alias("th2"))
+    th_tr = F.when(F.col("th1") != F.col("row"), F.col("th1")).when(F.col("th2") != F.col("row"), F.col("th2"))
+    c = c.join(two, ["page_id", "table"], "left").withColumn("hdr", F.coalesce("thead_tr", th_tr))
     c = c.filter(F.col("hdr").isNotNull() & (F.col("hdr") != F.col("row")))
     hc = cells_all.select("page_id", F.col("tr").alias("hdr"), "ci", F.col("node_id").alias("hcell"))
     c = c.join(hc, ["page_id", "hdr", "ci"])
     c = c.join(nodes.select("page_id", F.col("node_id").alias("hcell"), "t_start", "t_end"), ["page_id", "hcell"])
     c = c.join(ps.info.select("page_id", "page_text"), "page_id")
-    name = F.substring(clean(subtree_text(F.col("page_text"), F.col("t_start"), F.col("t_end"))), 1, rules.HEADER_NAME_MAX)
+    name = clean(subtree_text(F.col("page_text"), F.col("t_start"), F.col("t_end")))
     return c.select("page_id", "row", "el", name.alias("header"))
 
 
 # -- L01 / N04 / L05 ------------------------------------------------------------------------------
-def detect_lists(ps, targets: DataFrame, level: int | None = None) -> DataFrame:
+def detect_lists(ps, targets: DataFrame, level: int | None = None, sample: int | None = None, leaf_cap: int | None = None) -> DataFrame:
     """From one example element per row of ``targets`` find the
     repeating row. Candidates are the target's ancestors below body (level 0
     = the target). Levels with >= 2 similar siblings are candidates; "cell"
-    levels (mean leaves of the first 5 members <= 1.2) lose unless nothing
+    levels (mean leaves of the members, or of the first ``sample``, <= 1.2) lose unless nothing
     else repeats; the largest group wins, the lowest level on ties (N04). An
     explicit valid ``level`` overrides. A target that is body/html gives no row.
     -> (page_id, target_id, level, levels, max_level, row_id, row_selector)"""
@@ -267,9 +280,10 @@ def detect_lists(ps, targets: DataFrame, level: int | None = None) -> DataFrame:
     max_level = chain.groupBy("page_id", "target_id").agg(F.max("lvl").alias("max_level"))
     groups = similar_siblings(ps, chain.select("page_id", "node_id").distinct())
     gsize = groups.groupBy("page_id", "target_id").agg(F.count(F.lit(1)).alias("size")).withColumnRenamed("target_id", "node_id")
-    first5 = groups.withColumn("k", F.row_number().over(Window.partitionBy("page_id", "target_id").orderBy("node_id"))).filter(
-        F.col("k") <= rules.SIBLING_SAMPLE_DETECT)
-    lv = leaf_counts(nodes, first5.select("page_id", F.col("node_id").alias("root_id")), rules.LEAF_CAP_DETECT)
+    first5 = groups
+    if sample is not None:
+        first5 = groups.withColumn("k", F.row_number().over(Window.partitionBy("page_id", "target_id").orderBy("node_id"))).filter(F.col("k") <= sample)
+    lv = leaf_counts(nodes, first5.select("page_id", F.col("node_id").alias("root_id")), leaf_cap)
     mean = first5.join(lv.withColumnRenamed("root_id", "node_id"), ["page_id", "node_id"]).groupBy("page_id", "target_id").agg(
         F.avg("leaves").alias("leaves")).withColumnRenamed("target_id", "node_id")
     chain = cut_lineage(chain)
@@ -316,19 +330,25 @@ def shift_level(levels: Column, level: Column, max_level: Column, wider: bool) -
 
 # -- L15 --------------------------------------------------------------------------------------------
 def column_for(ps, rows: DataFrame, picks: DataFrame, existing: list[str] | None = None) -> DataFrame:
-    """A column from one picked element: img -> src; form field ->
+    """L15 + A09: a column from one picked element: img -> src; form field ->
     value; no text -> src if it holds an img, else href if inside a link;
-    else text. The row is the first row containing the element; the name is
-    made free against ``existing`` ('Price' -> 'Price 2').
-    rows: (page_id, row_id, row_ord); picks: (page_id, node_id)."""
-    from .columns import guess_names, name_hints
-    from .extract import node_values
+    else text. The row is the first row containing the element (a pick in no
+    row is an error); the selector is relative to it (L10); the name is made
+    free against ``existing`` ('Price' -> 'Price 2'); ``filled`` counts the
+    rows whose value is not empty (A09), ``n_rows`` all rows.
+    rows: (page_id, list_rank, row_id, row_ord); picks: (page_id, node_id)
+    -> (page_id, node_id, row_id, name, attr, sel, steps, sample, filled, n_rows)"""
+    from .columns import guess_names, name_hints, relative_selectors
+    from .extract import apply_columns, node_values
 
     nodes = ps.nodes
     p = picks.select("page_id", "node_id").join(nodes.select("page_id", "node_id", "anc", "tag", "t_start", "t_end"), ["page_id", "node_id"])
     ex = p.select("page_id", "node_id", F.explode("anc").alias("row_id"))
-    pr = ex.join(rows.select("page_id", "row_id", "row_ord"), ["page_id", "row_id"]).groupBy("page_id", "node_id").agg(
-        F.min_by("row_id", "row_ord").alias("row_id"))
+    pr = ex.join(rows.select("page_id", "list_rank", "row_id", "row_ord"), ["page_id", "row_id"]).groupBy("page_id", "node_id").agg(
+        F.min_by(F.struct("row_id", "list_rank"), "row_ord").alias("r")).select("page_id", "node_id", "r.row_id", "r.list_rank")
+    outside = p.join(pr, ["page_id", "node_id"], "left_anti").select("page_id", "node_id").first()
+    if outside is not None:
+        raise ValueError(f"the picked element is in no row: page {outside.page_id}, node {outside.node_id}")
     p = p.join(pr, ["page_id", "node_id"]).join(ps.info.select("page_id", "page_text"), "page_id")
     txt = clean(subtree_text(F.col("page_text"), F.col("t_start"), F.col("t_end")))
     has_img = nodes.filter(F.col("tag") == "img").select("page_id", F.explode("anc").alias("node_id")).distinct().withColumn("has_img", F.lit(True))
@@ -341,7 +361,7 @@ def column_for(ps, rows: DataFrame, picks: DataFrame, existing: list[str] | None
             .when((txt == "") & F.coalesce("has_img", F.lit(False)), "src")
             .when((txt == "") & F.coalesce("in_link", F.lit(False)), "href").otherwise("text"))
     p = p.withColumn("attr", attr)
-    v = node_values(ps, p.select("page_id", "node_id", "row_id", "attr", "tag"))
+    v = node_values(ps, p.select("page_id", "node_id", "row_id", "list_rank", "attr"))
     v = v.join(nodes.select("page_id", "node_id", "tag"), ["page_id", "node_id"])
     hints = name_hints(ps, v.select("page_id", F.col("node_id").alias("el"), F.col("row_id").alias("row")))
     v = v.join(hints.withColumnRenamed("el", "node_id").withColumnRenamed("row", "row_id"), ["page_id", "node_id", "row_id"], "left")
@@ -349,7 +369,20 @@ def column_for(ps, rows: DataFrame, picks: DataFrame, existing: list[str] | None
     taken = F.array(*[F.lit(x) for x in (existing or [])]).cast("array<string>")
     free = F.filter(F.sequence(F.lit(2), F.size(taken) + 2), lambda k: ~F.array_contains(taken, F.concat(F.col("guess"), F.lit(" "), k.cast("string"))))
     name = F.when(F.array_contains(taken, F.col("guess")), F.concat(F.col("guess"), F.lit(" "), F.element_at(free, 1).cast("string"))).otherwise(F.col("guess"))
-    return v.select("page_id", "node_id", "row_id", name.alias("name"), "attr", F.col("value").alias("sample"))
+    depth = nodes.select("page_id", "node_id", "depth")
+    v = v.join(depth, ["page_id", "node_id"]).join(depth.select("page_id", F.col("node_id").alias("row_id"), F.col("depth").alias("row_depth")), ["page_id", "row_id"])
+    v = cut_lineage(v.withColumn("name", name))
+    at = ["page_id", "list_rank", "row_id", "node_id"]
+    v = v.join(relative_selectors(ps, v.select(*at, "row_depth", "depth")), at)
+    # Each pick is a column of its own, tried in every row of its list
+    cols = v.withColumn("col_ord", F.row_number().over(Window.partitionBy("page_id", "list_rank").orderBy("node_id")))
+    cells = apply_columns(ps, rows.select("page_id", "list_rank", "row_id", "row_ord"), cols.select("page_id", "list_rank", "col_ord", "name", "steps", "attr"))
+    col = ["page_id", "list_rank", "col_ord"]
+    filled = cells.groupBy(*col).agg(F.count_if(F.col("value") != "").alias("filled"))
+    n_rows = rows.groupBy("page_id", "list_rank").agg(F.count(F.lit(1)).alias("n_rows"))
+    out = cols.join(filled, col, "left").join(n_rows, ["page_id", "list_rank"])
+    return out.select("page_id", "node_id", "row_id", "name", "attr", "sel", "steps", F.col("value").alias("sample"),
+                      F.coalesce("filled", F.lit(0)).alias("filled"), "n_rows")
 
 
 # -- J07 for arbitrary pairs / L02 ----------------------------------------------------------------
@@ -495,18 +528,12 @@ def detect_lists_pairs(ps, pairs: DataFrame) -> DataFrame:
     two = cut_lineage(two)
     # verify merged / descendant forms: both rows must be matched
     chk = two.filter(F.col("branch").isin("merged", "lca_desc") & F.col("cand_steps").isNotNull())
-    sels = chk.select(F.xxhash64("page_id", "a_id", "b_id").alias("sel_id"), F.col("cand_steps").alias("steps"))
     roots = nodes.filter(F.col("parent_id").isNull()).select("page_id", F.col("node_id").alias("scope_id"))
-    scopes = chk.select("page_id", "a_id", "b_id", F.xxhash64("page_id", "a_id", "b_id").alias("sel_id")).join(roots, "page_id")
-    max_len = chk.agg(F.max(F.size("cand_steps"))).first()[0] or 0
-    ok = None
-    if max_len:
-        m = Matcher(ps).match(scopes, sels, ["a_id", "b_id"], max_len, include_scope=True)
-        ok = m.join(chk.select("page_id", "a_id", "b_id", "r1", "r2"), ["page_id", "a_id", "b_id"]).groupBy("page_id", "a_id", "b_id").agg(
-            (F.max((F.col("node_id") == F.col("r1")).cast("int")) + F.max((F.col("node_id") == F.col("r2")).cast("int"))).alias("hits"))
-        two = two.join(ok, key, "left")
-    else:
-        two = two.withColumn("hits", F.lit(None).cast("int"))
+    scopes = chk.select(*key).join(roots, "page_id")
+    m = Matcher(ps).match(scopes, chk.select(*key, F.col("cand_steps").alias("steps")), key, ["a_id", "b_id"], include_scope=True)
+    ok = m.join(chk.select(*key, "r1", "r2"), key).groupBy(*key).agg(
+        (F.max((F.col("node_id") == F.col("r1")).cast("int")) + F.max((F.col("node_id") == F.col("r2")).cast("int"))).alias("hits"))
+    two = two.join(ok, key, "left")
     fallback = F.concat(F.col("lca_sel"), F.lit(" "), css_escape(F.col("row_tag")),
                         F.array_join(F.transform("pair_common", lambda c: F.concat(F.lit("."), css_escape(c))), ""))
     two = two.withColumn("row_selector", F.when(F.col("branch") == "same_parent", F.col("cand_sel"))

@@ -15,7 +15,8 @@ from .select import Matcher
 
 
 def node_values(ps, cells: DataFrame, attr_col: str = "attr", attr_name_col: str | None = None) -> DataFrame:
-    """Read the value of each (cell) node in its mode.
+    """Read the value of each (cell) node in its mode; an unknown mode
+    is an error.
 
     text: cleaned subtree text (slice of the page text stream); ownText;
     href: closest a[href] ancestor-or-self, else the first descendant one,
@@ -23,6 +24,11 @@ def node_values(ps, cells: DataFrame, attr_col: str = "attr", attr_name_col: str
     empty / data: src; else srcset), else inline background url; value;
     html / outerHtml: source slices; attr(name): trimmed, absolutised for
     url attributes. cells: (..., page_id, node_id, <attr_col>) -> + value."""
+    html = F.col(attr_col).isin("html", "outerHtml")
+    return _plain_values(ps, cells.filter(~html), attr_col, attr_name_col).unionByName(html_values(ps, cells.filter(html), attr_col))
+
+
+def _plain_values(ps, cells: DataFrame, attr_col: str, attr_name_col: str | None) -> DataFrame:
     nodes = ps.nodes
     info = ps.info.select("page_id", "page_text", "base")
     c = cells.join(nodes.select("page_id", "node_id", "tag", "attrs", "own_text", "t_start", "t_end", "anc"),
@@ -34,7 +40,7 @@ def node_values(ps, cells: DataFrame, attr_col: str = "attr", attr_name_col: str
     ahref = nodes.filter((F.col("tag") == "a") & F.col("attrs")["href"].isNotNull()).select("page_id", "node_id", F.col("attrs")["href"].alias("h"))
     up = ex.join(ahref, ["page_id", "node_id"]).groupBy("page_id", "cell_id").agg(F.max_by("h", "d").alias("href_up"))
     # first descendant a[href] / img for href / src modes
-    need_down = c.filter(mode.isin("href", "src")).select("page_id", F.col("node_id").alias("cell_id")).distinct()
+    need_down = c.filter(mode.isin("href", "src", "value")).select("page_id", F.col("node_id").alias("cell_id")).distinct()
     dn_a = ahref.join(nodes.select("page_id", "node_id", "anc"), ["page_id", "node_id"]).select(
         "page_id", "node_id", "h", F.explode("anc").alias("cell_id")).filter(F.col("cell_id") != F.col("node_id"))
     down_a = dn_a.join(need_down, ["page_id", "cell_id"], "left_semi").groupBy("page_id", "cell_id").agg(
@@ -43,6 +49,13 @@ def node_values(ps, cells: DataFrame, attr_col: str = "attr", attr_name_col: str
     dn_i = imgs.select("page_id", "node_id", "u", F.explode("anc").alias("cell_id")).filter(F.col("cell_id") != F.col("node_id"))
     down_i = dn_i.join(need_down, ["page_id", "cell_id"], "left_semi").groupBy("page_id", "cell_id").agg(
         F.min_by("u", "node_id").alias("img_down"))
+    # a select's value is its chosen option, else its first
+    opt = nodes.filter(F.col("tag") == "option").join(ps.info.select("page_id", "page_text"), "page_id")
+    opt = opt.select("page_id", "node_id", F.explode("anc").alias("cell_id"), F.col("attrs")["selected"].isNull().alias("off"), F.coalesce(
+        F.col("attrs")["value"], clean(subtree_text(F.col("page_text"), F.col("t_start"), F.col("t_end")))).alias("o"))
+    opt = opt.filter(F.col("cell_id") != F.col("node_id")).join(need_down, ["page_id", "cell_id"], "left_semi").groupBy("page_id", "cell_id").agg(
+        F.min_by("o", F.struct("off", "node_id")).alias("chosen"))
+    c = c.join(opt.withColumnRenamed("cell_id", "node_id"), ["page_id", "node_id"], "left")
     c = c.join(up.withColumnRenamed("cell_id", "node_id"), ["page_id", "node_id"], "left")
     c = c.join(down_a.withColumnRenamed("cell_id", "node_id"), ["page_id", "node_id"], "left")
     c = c.join(down_i.withColumnRenamed("cell_id", "node_id"), ["page_id", "node_id"], "left")
@@ -59,51 +72,49 @@ def node_values(ps, cells: DataFrame, attr_col: str = "attr", attr_name_col: str
         .when(mode == "href", F.coalesce(absolutize(F.coalesce(F.col("href_up"), F.col("href_down")), F.col("base")), F.lit("")))
         .when(mode == "src", F.when(src != "", absolutize(src, F.col("base"))).otherwise(F.lit("")))
         .when(mode == "value", F.when(F.col("tag") == "textarea", subtree_text(F.col("page_text"), F.col("t_start"), F.col("t_end")))
-              .otherwise(F.coalesce(F.col("attrs")["value"], F.lit(""))))
+              .when(F.col("tag") == "select", F.coalesce("chosen", F.lit(""))).otherwise(F.coalesce(F.col("attrs")["value"], F.lit(""))))
         .when(mode == "attr", F.when(an.isNull() | raw_attr.isNull(), F.lit(""))
               .when(an.rlike(rules.URL_ATTRS), absolutize(raw_attr, F.col("base"))).otherwise(raw_attr))
-        .otherwise(text)
+        .when(F.coalesce(mode, F.lit("text")) == "text", text)
+        .otherwise(F.raise_error(F.concat(F.lit("unknown value mode: "), mode)).cast("string"))
     )
-    drop = ["tag", "attrs", "own_text", "t_start", "t_end", "anc", "href_up", "href_down", "img_down", "page_text", "base"]
+    drop = ["tag", "attrs", "own_text", "t_start", "t_end", "anc", "href_up", "href_down", "img_down", "chosen", "page_text", "base"]
     return c.withColumn("value", F.coalesce(value, F.lit(""))).drop(*drop)
 
 
-def html_values(ps, cells: DataFrame, outer: bool) -> DataFrame:
+def html_values(ps, cells: DataFrame, attr_col: str = "attr") -> DataFrame:
     """P07 html / outerHtml modes: source slices of the page (the source
     text, not a re-serialised DOM)."""
     n = ps.nodes.select("page_id", "node_id", "o_start", "i_start", "i_end", "o_end")
     h = ps.pages.select("page_id", "html")
     c = cells.join(n, ["page_id", "node_id"]).join(h, "page_id")
-    v = (F.substring(F.col("html"), F.col("o_start") + 1, F.col("o_end") - F.col("o_start")) if outer
-         else F.trim(F.substring(F.col("html"), F.col("i_start") + 1, F.col("i_end") - F.col("i_start"))))
-    return c.withColumn("value", v).drop("o_start", "i_start", "i_end", "o_end", "html")
+    v = F.when(F.col(attr_col) == "outerHtml", F.substring(F.col("html"), F.col("o_start") + 1, F.col("o_end") - F.col("o_start"))).otherwise(
+        F.trim(F.substring(F.col("html"), F.col("i_start") + 1, F.col("i_end") - F.col("i_start"))))
+    return c.withColumn("value", F.coalesce(v, F.lit(""))).drop("o_start", "i_start", "i_end", "o_end", "html")
 
 
 def apply_columns(ps, rows: DataFrame, cols: DataFrame) -> DataFrame:
     """L16 core: evaluate every column selector inside every row (first match
-    in document order), read its value, keep rows with any non-empty value.
-    rows: (page_id, list_rank, row_id, row_ord); cols: (page_id, list_rank,
-    col_ord, name, steps, attr) -> long cells (page_id, list_rank, row_ord,
-    col_ord, name, value)."""
-    sel = cols.withColumn("sel_id", F.xxhash64("page_id", "list_rank", "col_ord"))
-    sels = sel.select("sel_id", "steps").dropDuplicates(["sel_id"])
-    scopes = rows.join(sel.select("page_id", "list_rank", "col_ord", "sel_id"), ["page_id", "list_rank"]).select(
-        "page_id", "list_rank", "row_ord", "col_ord", F.col("row_id").alias("scope_id"), "sel_id")
-    max_len = cols.agg(F.max(F.size("steps"))).first()[0] or 0
-    m = Matcher(ps).match(scopes, sels, ["list_rank", "row_ord", "col_ord"], max_len)
-    first = m.groupBy("page_id", "list_rank", "row_ord", "col_ord", "scope_id").agg(F.min("node_id").alias("node_id"))
+    in document order), read its value in its mode, keep rows with any
+    non-empty value. rows: (page_id, list_rank, row_id, row_ord); cols:
+    (page_id, list_rank, col_ord, name, steps, attr[, attr_name]) -> long cells
+    (page_id, list_rank, row_ord, col_ord, name, value)."""
+    if "attr_name" not in cols.columns:
+        cols = cols.withColumn("attr_name", F.lit(None).cast("string"))
+    col_key = ["page_id", "list_rank", "col_ord"]
+    key = [*col_key, "row_ord"]
+    sels = cols.select(*col_key, "steps")
+    scopes = rows.withColumnRenamed("row_id", "scope_id").join(cols.select(*col_key), ["page_id", "list_rank"]).select(*key, "scope_id")
+    m = Matcher(ps).match(scopes, sels, col_key, key[1:])
+    first = m.groupBy(*key).agg(F.min("node_id").alias("node_id"))
     # empty selector = the row itself
-    selfrow = scopes.join(sels.filter(F.size("steps") == 0), "sel_id").select(
-        "page_id", "list_rank", "row_ord", "col_ord", "scope_id", F.col("scope_id").alias("node_id"))
-    first = first.unionByName(selfrow)
-    cells = first.join(cols.select("page_id", "list_rank", "col_ord", "attr"), ["page_id", "list_rank", "col_ord"])
-    vals = node_values(ps, cells)
-    grid = scopes.select("page_id", "list_rank", "row_ord", "col_ord").join(
-        vals.select("page_id", "list_rank", "row_ord", "col_ord", "value"), ["page_id", "list_rank", "row_ord", "col_ord"], "left")
-    grid = grid.withColumn("value", F.coalesce("value", F.lit("")))
+    selfrow = scopes.join(sels.filter(F.size("steps") == 0), col_key, "left_semi").select(*key, F.col("scope_id").alias("node_id"))
+    cells = first.unionByName(selfrow).join(cols.select(*col_key, "attr", "attr_name"), col_key)
+    vals = node_values(ps, cells, attr_name_col="attr_name").select(*key, "value")
+    grid = scopes.select(*key).join(vals, key, "left").withColumn("value", F.coalesce("value", F.lit("")))
     w = Window.partitionBy("page_id", "list_rank", "row_ord")
     grid = grid.withColumn("_any", F.max((F.col("value") != "").cast("int")).over(w)).filter(F.col("_any") == 1).drop("_any")
-    return grid.join(cols.select("page_id", "list_rank", "col_ord", "name"), ["page_id", "list_rank", "col_ord"])
+    return grid.join(cols.select(*col_key, "name"), col_key)
 
 
 def auto_extract(ps, index: int = 0, lists: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
@@ -143,23 +154,22 @@ def host_rollup(ds: DataFrame, pages: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def recipe_extract(ps, recipes: DataFrame) -> DataFrame:
-    """J10 + L16: apply each host's recipe to every page of that host: the
-    row selector (steps) is matched on every page, then the recipe's
-    columns inside every row. -> long cells (page_id, list_rank, row_ord,
-    col_ord, name, value)."""
+    """J10 + L16: apply every recipe of a host to every page of that host: the
+    row selector is matched on the page, then the recipe's columns inside
+    every row. A page's recipes are kept apart by ``list_rank`` (their order by
+    name and id). -> long cells (id, page_id, list_rank, row_ord, col_ord,
+    name, value)."""
     from .recipes import pages_for
 
-    pr = pages_for(recipes, ps.pages).select("page_id", "id")
-    rs = recipes.select("id", F.xxhash64("id").alias("sel_id"), "row_steps", "columns")
-    sels = rs.select("sel_id", F.col("row_steps").alias("steps"))
+    on_page = Window.partitionBy("page_id").orderBy("name", "id")
+    pr = pages_for(recipes, ps.pages).select("page_id", "id", F.row_number().over(on_page).alias("list_rank"))
+    pr = pr.join(recipes.select("id", "row_steps", "columns"), "id")
+    pick = ["page_id", "list_rank"]
     roots = ps.nodes.filter(F.col("parent_id").isNull()).select("page_id", F.col("node_id").alias("scope_id"))
-    scopes = pr.join(rs.select("id", "sel_id"), "id").join(roots, "page_id").select("page_id", "scope_id", "sel_id")
-    max_len = recipes.agg(F.max(F.size("row_steps"))).first()[0] or 0
-    m = Matcher(ps).match(scopes, sels, [], max_len, include_scope=True)
-    w = Window.partitionBy("page_id").orderBy("row_id")
-    rows = m.select("page_id", F.lit(1).alias("list_rank"), F.col("node_id").alias("row_id")).distinct().withColumn(
-        "row_ord", F.row_number().over(w))
-    cols = pr.join(rs, "id").select("page_id", F.lit(1).alias("list_rank"), F.posexplode("columns").alias("i", "c")).select(
-        "page_id", "list_rank", (F.col("i") + 1).alias("col_ord"), F.col("c.name").alias("name"), F.col("c.steps").alias("steps"),
-        F.col("c.attr").alias("attr"))
-    return apply_columns(ps, rows, cols)
+    scopes = pr.select(*pick).join(roots, "page_id")
+    m = Matcher(ps).match(scopes, pr.select(*pick, F.col("row_steps").alias("steps")), pick, ["list_rank"], include_scope=True)
+    rows = m.select(*pick, F.col("node_id").alias("row_id")).distinct().withColumn(
+        "row_ord", F.row_number().over(Window.partitionBy(*pick).orderBy("row_id")))
+    cols = pr.select(*pick, F.posexplode("columns").alias("i", "c")).select(
+        *pick, (F.col("i") + 1).alias("col_ord"), "c.name", "c.steps", "c.attr", "c.attr_name")
+    return apply_columns(ps, rows, cols).join(pr.select("id", *pick), pick)

@@ -13,9 +13,9 @@ from ..session import cut_lineage
 
 
 # -- A01 ------------------------------------------------------------------------
-def leaf_counts(nodes: DataFrame, roots: DataFrame, cap: int, key: str = "root_id") -> DataFrame:
+def leaf_counts(nodes: DataFrame, roots: DataFrame, cap: int | None = None, key: str = "root_id") -> DataFrame:
     """Value-bearing leaves under each root (img or usable link +1, a
-    non-blank direct text +1), skipped subtrees cut off, capped.
+    non-blank direct text +1), skipped subtrees cut off; at most ``cap`` if given.
     roots: (page_id, key[, other]) -> (page_id, key, leaves)."""
     leaf = nodes.select(
         "page_id", "anc", "skip_depth",
@@ -26,15 +26,14 @@ def leaf_counts(nodes: DataFrame, roots: DataFrame, cap: int, key: str = "root_i
     j = ex.join(r, ["page_id", key]).filter(F.col("skip_depth") < F.col("rdepth"))
     s = j.groupBy("page_id", key).agg(F.sum("w").alias("n"))
     return r.join(s, ["page_id", key], "left").select(
-        "page_id", key, F.least(F.coalesce(F.col("n"), F.lit(0)), F.lit(cap)).cast("int").alias("leaves"))
+        "page_id", key, F.least(F.coalesce(F.col("n"), F.lit(0)), F.lit(cap)).cast("int").alias("leaves"))  # least() skips a null cap
 
 
 # -- L06 phase 1 ----------------------------------------------------------------
 def model_attrs(n_attr_names: Column, attrs: Column) -> Column:
-    """L07 attribute parts: allowed names, non-empty value <= 120 chars, in
-    attribute order -> ARRAY<STRUCT<n, v>>."""
-    ok = F.filter(n_attr_names, lambda a: a.rlike(rules.MODEL_ATTR) & (F.length(attrs[a]) > 0)
-                  & (F.length(attrs[a]) <= rules.MODEL_ATTR_MAX))
+    """L07 attribute parts: allowed names, non-empty values, in attribute
+    order -> ARRAY<STRUCT<n, v>>."""
+    ok = F.filter(n_attr_names, lambda a: a.rlike(rules.MODEL_ATTR) & (F.length(attrs[a]) > 0))
     return F.transform(ok, lambda a: F.struct(a.alias("n"), attrs[a].alias("v")))
 
 
@@ -190,9 +189,13 @@ def _in_nav(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     return closest(nodes, t, pred).select("page_id", F.col("target_id").alias("parent_id"), F.lit(True).alias("in_nav"))
 
 
-def find_lists(ps, limit: int = rules.LISTS_MAX) -> DataFrame:
-    """L03 + T04: every repeating structure of every page, best first, at most
-    ``limit`` distinct row selectors per page.
+def find_lists(ps, limit: int | None = None, scan_max: int | None = None, sample: int | None = None, leaf_cap: int | None = None,
+               score_leaves: float | None = None) -> DataFrame:
+    """L03 + T04: every repeating structure of every page, best first, with
+    distinct row selectors. By default nothing is cut; a caller may ask for at
+    most ``limit`` lists per page, parents among the first ``scan_max``
+    elements, leaves from the first ``sample`` members counted up to
+    ``leaf_cap``, and scores from at most ``score_leaves`` leaves.
 
     -> (page_id, list_rank, parent_id, row_tag, row_classes, has_child,
         row_selector, row_count, score, score_raw)"""
@@ -203,7 +206,7 @@ def find_lists(ps, limit: int = rules.LISTS_MAX) -> DataFrame:
         nodes.filter((F.col("n_children") >= 3) & ~F.col("skipped") & ~F.col("tag").isin("select", "optgroup"))
         .join(body, "page_id")
         .filter((F.col("node_id") > F.col("body_id")) & (F.col("node_id") <= F.col("body_end"))
-                & (F.col("node_id") - F.col("body_id") <= rules.SCAN_MAX_ELEMENTS) & ~F.col("hidden"))
+                & (F.lit(scan_max is None) | (F.col("node_id") - F.col("body_id") <= F.lit(scan_max or 0))) & ~F.col("hidden"))
         .select("page_id", F.col("node_id").alias("parent_id"), "anc")
     )
     bucket = F.concat(
@@ -216,9 +219,9 @@ def find_lists(ps, limit: int = rules.LISTS_MAX) -> DataFrame:
     wg = Window.partitionBy("page_id", "parent_id", "bucket")
     kids = kids.withColumn("size", F.count(F.lit(1)).over(wg)).filter(F.col("size") >= 3)
     kids = cut_lineage(kids.withColumn("k", F.row_number().over(wg.orderBy("node_id"))))
-    sample = kids.filter(F.col("k") <= rules.SIBLING_SAMPLE_SCAN).select("page_id", "parent_id", "bucket", F.col("node_id").alias("root_id"))
-    lv = leaf_counts(nodes, sample, rules.LEAF_CAP_SCAN)
-    mean = sample.join(lv, ["page_id", "root_id"]).groupBy("page_id", "parent_id", "bucket").agg(
+    members = (kids if sample is None else kids.filter(F.col("k") <= sample)).select("page_id", "parent_id", "bucket", F.col("node_id").alias("root_id"))
+    lv = leaf_counts(nodes, members, leaf_cap)
+    mean = members.join(lv, ["page_id", "root_id"]).groupBy("page_id", "parent_id", "bucket").agg(
         F.avg("leaves").alias("leaves"))
     groups = (kids.filter(F.col("k") == 1)
               .select("page_id", "parent_id", "bucket", "size", F.col("node_id").alias("first_id"),
@@ -228,15 +231,17 @@ def find_lists(ps, limit: int = rules.LISTS_MAX) -> DataFrame:
     nav = _in_nav(nodes, parents.join(groups.select("page_id", "parent_id").distinct(), ["page_id", "parent_id"], "left_semi")
                   .withColumnRenamed("parent_id", "node_id"))
     groups = groups.join(nav, ["page_id", "parent_id"], "left").withColumn(
-        "score_raw", F.col("size") * F.least(F.col("leaves"), F.lit(20.0))
+        "score_raw", F.col("size") * F.least(F.col("leaves"), F.lit(score_leaves).cast("double"))
         * F.when(F.col("in_nav"), F.lit(0.25)).otherwise(F.lit(1.0)))
     groups = cut_lineage(groups)
     groups = cut_lineage(row_selectors(ps, groups, kids))
-    # Best first, distinct row selectors, at most `limit` per page
+    # Best first, distinct row selectors
     w1 = Window.partitionBy("page_id", "row_selector").orderBy(F.desc("score_raw"), "parent_id", "first_id")
     g = groups.withColumn("r1", F.row_number().over(w1)).filter(F.col("r1") == 1)
     w2 = Window.partitionBy("page_id").orderBy(F.desc("score_raw"), "parent_id", "first_id")
-    g = g.withColumn("list_rank", F.row_number().over(w2)).filter(F.col("list_rank") <= limit)
+    g = g.withColumn("list_rank", F.row_number().over(w2))
+    if limit is not None:
+        g = g.filter(F.col("list_rank") <= limit)
     return g.select(
         "page_id", "list_rank", "parent_id", "bucket", "row_tag", "row_classes", "has_child", "row_selector", "container_steps",
         F.col("size").cast("bigint").alias("row_count"),

@@ -27,11 +27,12 @@ def clickable(nodes_cols=None) -> Column:
 
 
 def is_disabled(ps) -> DataFrame:
-    """Disabled attribute, aria-disabled=true, or 'disabled' as a class
+    """Disabled attribute of a form control, aria-disabled=true, or 'disabled' as a class
     word (isolated or as a -/_ suffix part) on the element or its 2 nearest
     ancestors -> (page_id, node_id, disabled)."""
     nodes = ps.nodes
-    own = F.col("attrs")["disabled"].isNotNull() | F.coalesce(F.col("attrs")["aria-disabled"] == "true", F.lit(False))
+    own = ((F.col("attrs")["disabled"].isNotNull() & F.col("tag").isin(*rules.FORM_CONTROLS))
+           | F.coalesce(F.col("attrs")["aria-disabled"] == "true", F.lit(False)))
     cls_hit = nodes.filter(F.coalesce(F.col("attrs")["class"], F.lit("")).rlike(rules.DISABLED_CLASS)).select("page_id", F.col("node_id").alias("hit"))
     up = nodes.select("page_id", "node_id", F.posexplode(F.reverse("anc")).alias("dist", "hit")).filter(F.col("dist") <= 2)
     by_cls = up.join(cls_hit, ["page_id", "hit"], "left_semi").select("page_id", "node_id").distinct().withColumn("c", F.lit(True))
@@ -41,7 +42,7 @@ def is_disabled(ps) -> DataFrame:
 
 def describe_targets(ps, picks: DataFrame) -> DataFrame:
     """The nearest clickable around each pick, its unique selector, its
-    text when <= 40 chars, aria-label and rel -> target struct columns."""
+    text, aria-label and rel -> target struct columns."""
     from .lists import unique_selectors
 
     nodes = ps.nodes
@@ -54,7 +55,7 @@ def describe_targets(ps, picks: DataFrame) -> DataFrame:
     mt = match_text(subtree_text(F.col("page_text"), F.col("t_start"), F.col("t_end")))
     return t.join(sel, ["page_id", "node_id"]).join(info, ["page_id", "node_id"]).select(
         "page_id", F.col("target_id").alias("pick_id"), "node_id", "selector",
-        F.when(F.length(mt) <= rules.TARGET_TEXT_MAX, mt).otherwise(F.lit("")).alias("text"),
+        mt.alias("text"),
         F.coalesce(F.col("attrs")["aria-label"], F.lit("")).alias("aria"),
         F.coalesce(F.col("attrs")["rel"], F.lit("")).alias("rel"))
 
@@ -82,8 +83,8 @@ def resolve_targets(ps, targets: DataFrame, selector_hits: DataFrame | None = No
     if selector_hits is not None:
         sh = selector_hits.select("page_id", "node_id").join(nodes.select("page_id", "node_id", "anc"), ["page_id", "node_id"])
         ck = closest(nodes, sh.select("page_id", F.col("node_id").alias("target_id"), "anc"), clickable())
-        sh = sh.join(ck, (sh.page_id == ck.page_id) & (sh.node_id == ck.target_id), "left").select(
-            sh.page_id, F.coalesce(ck.match_id, sh.node_id).alias("node_id"))
+        sh = sh.join(ck.withColumnRenamed("target_id", "node_id"), ["page_id", "node_id"], "left").select(
+            "page_id", F.coalesce("match_id", "node_id").alias("node_id"))
         bysel = j.join(sh, ["page_id", "node_id"], "left_semi")
         first = bysel.withColumn("r", F.row_number().over(Window.partitionBy("page_id").orderBy("node_id"))).filter(F.col("r") == 1).drop("r")
         cands.append(first.filter(~recorded | same).select("page_id", "node_id", F.lit(1).alias("rank")))
@@ -104,11 +105,11 @@ def resolve_targets(ps, targets: DataFrame, selector_hits: DataFrame | None = No
 
 
 def target_state(ps, targets: DataFrame, selector_hits: DataFrame | None = None) -> DataFrame:
-    """Per page: found, disabled, label (text <= 40 chars)."""
+    """Per page: found, disabled, label."""
     res = resolve_targets(ps, targets, selector_hits)
     dis = is_disabled(ps)
     info = ps.nodes.select("page_id", "node_id", "t_start", "t_end").join(ps.info.select("page_id", "page_text"), "page_id")
-    lab = info.select("page_id", "node_id", F.substring(match_text(subtree_text(F.col("page_text"), F.col("t_start"), F.col("t_end"))), 1, 40).alias("label"))
+    lab = info.select("page_id", "node_id", match_text(subtree_text(F.col("page_text"), F.col("t_start"), F.col("t_end"))).alias("label"))
     r = res.join(dis, ["page_id", "node_id"], "left").join(lab, ["page_id", "node_id"], "left")
     return targets.select("page_id").distinct().join(r, "page_id", "left").select(
         "page_id", F.col("node_id").isNotNull().alias("found"), F.coalesce("disabled", F.lit(False)).alias("disabled"),
@@ -116,12 +117,12 @@ def target_state(ps, targets: DataFrame, selector_hits: DataFrame | None = None)
 
 
 def page_signatures(ps, rows: DataFrame) -> DataFrame:
-    """Url | row count | hash of the first row's text (300 chars) |
-    hash of the last row's text. rows: (page_id, row_id)."""
+    """Url | row count | hash of the first row's text | hash of the last
+    row's text. rows: (page_id, row_id)."""
     info = ps.info.select("page_id", "url", "page_text")
     r = rows.select("page_id", F.col("row_id").alias("node_id")).join(ps.nodes.select("page_id", "node_id", "t_start", "t_end"), ["page_id", "node_id"])
     r = r.join(info.select("page_id", "page_text"), "page_id").select(
-        "page_id", "node_id", F.substring(clean(subtree_text(F.col("page_text"), F.col("t_start"), F.col("t_end"))), 1, 300).alias("t"))
+        "page_id", "node_id", clean(subtree_text(F.col("page_text"), F.col("t_start"), F.col("t_end"))).alias("t"))
     g = r.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("t", "node_id").alias("first"), F.max_by("t", "node_id").alias("last"))
     out = info.select("page_id", "url").join(g, "page_id", "left").select(
         "page_id", "url", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
@@ -166,8 +167,11 @@ def page_chain(ps, next_links: DataFrame, starts: DataFrame, sigs: DataFrame, ma
 
 
 def stable_changes(snapshots: DataFrame, key: str = "url", ts: str = "seen_at", sig: str = "sig", count: str = "n") -> DataFrame:
-    """A snapshot counts as a stable change when it has rows, differs
-    from the previous stable state and equals the poll right before it."""
+    """A snapshot is stable when it has rows and equals the poll right
+    before it; it counts as a change when it differs from the last stable
+    state before it, or from the first poll if there is none."""
     w = Window.partitionBy(key).orderBy(ts)
-    s = snapshots.withColumn("prev", F.lag(sig).over(w)).withColumn("prev2", F.lag(sig, 2).over(w))
-    return s.filter((F.col(count) > 0) & (F.col(sig) == F.col("prev")) & (F.col("prev2").isNull() | (F.col("prev2") != F.col(sig))))
+    s = snapshots.withColumn("prev", F.lag(sig).over(w)).withColumn("_first", F.first(sig).over(w))
+    stable = s.filter((F.col(count) > 0) & (F.col(sig) == F.col("prev")))
+    state = F.coalesce(F.lag(sig).over(w), F.col("_first"))
+    return stable.withColumn("_state", state).filter(F.col(sig) != F.col("_state")).drop("_state", "_first")

@@ -13,9 +13,10 @@ from ..functions import rules
 from ..functions.urls import host_of
 from ..schema import RECIPE, STEPS
 
-MSG_NEED_ROWS = "Select the rows and at least one column first."
-MSG_NEED_TARGET_NEXT = "Select the “Next” button first (step 3), or set pagination to None."
-MSG_NEED_TARGET_MORE = "Select the “Load more” button first (step 3), or set pagination to None."
+# Why a recipe cannot run (own codes).
+NEED_ROWS = "needs_rows_and_columns"
+NEED_NEXT = "needs_next_target"
+NEED_MORE = "needs_load_more_target"
 
 
 def _pos_or(c: Column, default: int) -> Column:
@@ -67,16 +68,22 @@ def normalize_recipes(df: DataFrame) -> DataFrame:
 
 def read_recipes(spark: SparkSession, path: str) -> DataFrame:
     """Import recipes from JSON: an array, {recipes: [...]},
-    {recipe: ...} or a bare recipe. Keeps those with a row selector or a
-    column; gives each a new id; name <- name, host or 'Imported recipe'.
-    An import without any recipe is an error."""
+    {recipe: ...} or a bare recipe, one document to a file (over any number
+    of lines) or one to a line, as S05 writes them. Keeps those with a row
+    selector or a column; gives each a new id; name <- name, host or
+    'Imported recipe'. An import without any recipe is an error."""
     from pyspark.sql import types as T
 
     wrapper = T.StructType([T.StructField("recipes", T.ArrayType(RECIPE)), T.StructField("recipe", RECIPE)] + list(RECIPE.fields))
-    raw = spark.read.schema(wrapper).option("multiLine", True).json(path)
+    files = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^\ufeff", "").alias("doc"))
+    lines = F.filter(F.split("doc", "\r?\n"), lambda x: F.trim(x) != "")
+    by_line = (F.size(lines) > 1) & F.forall(lines, lambda x: F.try_parse_json(x).isNotNull())
+    docs = files.select(F.explode(F.when(by_line, lines).otherwise(F.array("doc"))).alias("doc"))
+    docs = docs.select(F.explode(F.when(F.ltrim("doc").startswith("["), F.from_json("doc", T.ArrayType(wrapper)))
+                                 .otherwise(F.array(F.from_json("doc", wrapper)))).alias("d")).select("d.*")
     bare = F.struct(*[F.col(f.name) for f in RECIPE.fields])
-    one = raw.select(F.explode(F.coalesce(F.col("recipes"), F.when(F.col("recipe").isNotNull(), F.array(F.col("recipe"))),
-                                          F.array(bare))).alias("r")).select("r.*")
+    one = docs.select(F.explode(F.coalesce(F.col("recipes"), F.when(F.col("recipe").isNotNull(), F.array(F.col("recipe"))),
+                                           F.array(bare))).alias("r")).select("r.*")
     n = normalize_recipes(one).filter((F.size("row_steps") > 0) | (F.size("columns") > 0))
     n = n.withColumn("id", F.expr("uuid()")).withColumn(
         "name", F.coalesce(F.when(F.col("name") != "", F.col("name")), F.when(F.col("host") != "", F.col("host")), F.lit("Imported recipe")))
@@ -129,21 +136,19 @@ def edit_columns(ds: DataFrame, recipes: DataFrame, edits: list[tuple[str, str |
 def check_recipes(df: DataFrame) -> DataFrame:
     """Why a run cannot start ('' when it can)."""
     p = F.col("pagination")
-    reason = (F.when((F.size("row_steps") == 0) | (F.size("columns") == 0), F.lit(MSG_NEED_ROWS))
-              .when((p["type"] == "next") & p["target"].isNull(), F.lit(MSG_NEED_TARGET_NEXT))
-              .when((p["type"] == "loadmore") & p["target"].isNull(), F.lit(MSG_NEED_TARGET_MORE))
+    reason = (F.when((F.size("row_steps") == 0) | (F.size("columns") == 0), F.lit(NEED_ROWS))
+              .when((p["type"] == "next") & p["target"].isNull(), F.lit(NEED_NEXT))
+              .when((p["type"] == "loadmore") & p["target"].isNull(), F.lit(NEED_MORE))
               .otherwise(F.lit("")))
     return df.withColumn("reason", reason)
 
 
-def pages_for(recipes: DataFrame, pages: DataFrame, broadcast_limit: int = 10000) -> DataFrame:
-    """Pair each recipe with the pages of its host. The recipe side is
-    broadcast only when its row count is under ``broadcast_limit`` (checked);
-    otherwise both sides shuffle on host."""
+def pages_for(recipes: DataFrame, pages: DataFrame) -> DataFrame:
+    """Pair each recipe with the pages of its host; how the join runs is
+    left to the optimizer, which knows or measures the recipes' size."""
     r = recipes.select("id", "name", F.lower(F.regexp_replace("host", r"^www\.", "")).alias("host"))
     p = pages.select("page_id", "url", host_of(F.col("url")).alias("host"))
-    small = r.limit(broadcast_limit + 1).count() <= broadcast_limit
-    return p.join(F.broadcast(r) if small else r, "host")
+    return p.join(r, "host")
 
 
 def rank_recipes(recipes: DataFrame, pages: DataFrame) -> DataFrame:

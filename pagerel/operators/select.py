@@ -90,15 +90,15 @@ class Matcher:
             df = df.filter(step_pred(s))
         return df
 
-    def _advance(self, front: DataFrame, sels: DataFrame, i: int, carry: list[str], with_text: bool,
+    def _advance(self, front: DataFrame, sels: DataFrame, sel_key: list[str], i: int, carry: list[str], with_text: bool,
                  doc_level: bool = False) -> DataFrame:
-        """Apply step ``i`` (0-based) to the frontier (..., sel_id, cur_id):
-        one join against the keyed closure; a child step is the distance-1
-        case. Steps stay in ``sels`` and are joined in by ``sel_id`` (the
-        frontier carries only hashable keys)."""
+        """Apply step ``i`` (0-based) to the frontier (page_id, scope_id,
+        *carry, cur_id): one join against the keyed closure; a child step is
+        the distance-1 case. Steps stay in ``sels`` and are joined in by the
+        selector's own key columns (the frontier carries only hashable keys)."""
         st = sels.filter(F.size("steps") > i).select(
-            "sel_id", F.try_element_at(F.col("steps"), F.lit(i + 1)).alias("_s")).withColumn("key", step_key(F.col("_s")))
-        front = front.join(st, "sel_id")
+            *sel_key, F.try_element_at(F.col("steps"), F.lit(i + 1)).alias("_s")).withColumn("key", step_key(F.col("_s")))
+        front = front.join(st, sel_key)
         want = front.select("page_id", "key").distinct()
         cand = self.keys.join(want, ["page_id", "key"], "left_semi")
         nodes = self._node_side().drop("parent_id")
@@ -110,30 +110,37 @@ class Matcher:
             cl = cl.filter(F.col("apos") < F.col("self_pos"))
             d = front.join(cl, ["page_id", "cur_id", "key"])
             d = d.filter((F.col("_s.comb") != "child") | (F.col("apos") == F.col("self_pos") - 1))
-        d = d.select(*carry, "page_id", "scope_id", "sel_id", "_s", "node_id").join(nodes, ["page_id", "node_id"])
+        own = ["page_id", "scope_id", *carry]
+        d = d.select(*own, "_s", "node_id").join(nodes, ["page_id", "node_id"])
         d = self._check(d, F.col("_s"), with_text)
-        return d.select(*carry, "page_id", "scope_id", "sel_id", F.col("node_id").alias("cur_id")).dropDuplicates()
-
-    def match(self, scopes: DataFrame, sels: DataFrame, carry: list[str], max_len: int,
-              with_text: bool = False, include_scope: bool = False) -> DataFrame:
-        """scopes: (page_id, scope_id, sel_id, *carry); sels: (sel_id, steps).
-        Returns the matches (*carry, page_id, scope_id, sel_id, node_id),
-        distinct. The first step matches strict descendants of the scope; a
-        document-level selector (``include_scope``) may match the root."""
-        lens = sels.select("sel_id", F.size("steps").alias("_len"))
-        front = scopes.select(*carry, "page_id", "scope_id", "sel_id", F.col("scope_id").alias("cur_id"))
+        return d.select(*own, F.col("node_id").alias("cur_id")).dropDuplicates()
+
+    def match(self, scopes: DataFrame, sels: DataFrame, sel_key: list[str], carry: list[str] = (), include_scope: bool = False) -> DataFrame:
+        """scopes: (page_id, scope_id, *carry); sels: (*sel_key, steps), where
+        ``sel_key`` is among page_id, scope_id and ``carry`` and names one
+        selector. Returns the distinct matches (page_id, scope_id, *carry,
+        node_id). The first step matches strict descendants of the scope; a
+        document-level selector (``include_scope``) may match the root. Text
+        steps are looked for in the selectors themselves."""
+        carry = list(carry)
+        shape = sels.agg(F.max(F.size("steps")).alias("n"), F.max(F.exists("steps", lambda s: s["text"].isNotNull())).alias("text")).first()
+        max_len, with_text = shape.n or 0, bool(shape.text)
+        lens = sels.select(*sel_key, F.size("steps").alias("_len"))
+        front = scopes.select("page_id", "scope_id", *carry, F.col("scope_id").alias("cur_id"))
+        if not max_len:
+            return front.select("page_id", "scope_id", *carry, F.col("cur_id").alias("node_id")).limit(0)
         done = []
         for i in range(max_len):
             if i > 0:
-                done.append(front.join(lens.filter(F.col("_len") == i), "sel_id").drop("_len"))
-            front = self._advance(front, sels, i, carry, with_text, doc_level=include_scope and i == 0)
+                done.append(front.join(lens.filter(F.col("_len") == i), sel_key, "left_semi"))
+            front = self._advance(front, sels, sel_key, i, carry, with_text, doc_level=include_scope and i == 0)
             if max_len > 1:
                 from ..session import cut_lineage
                 front = cut_lineage(front)
         out = front
         for d in done:
             out = out.unionByName(d)
-        return out.select(*carry, "page_id", "scope_id", "sel_id", F.col("cur_id").alias("node_id"))
+        return out.select("page_id", "scope_id", *carry, F.col("cur_id").alias("node_id"))
 
 
 def steps_lit(steps: list[dict]) -> Column:
@@ -156,19 +163,15 @@ def steps_lit(steps: list[dict]) -> Column:
     return F.array(*[one(s) for s in steps]).cast(STEPS)
 
 
-def select_nodes(ps, steps: list[dict], with_text: bool | None = None) -> DataFrame:
+def select_nodes(ps, steps: list[dict]) -> DataFrame:
     """all nodes of all pages matching a selector (driver-side steps),
     ordered by (page_id, node_id) = document order. Empty selector -> no rows."""
     if not steps:
         return ps.nodes.select("page_id", "node_id").limit(0)
     validate_steps(steps)
-    if with_text is None:
-        with_text = any(s.get("text") for s in steps)
-    spark = ps.nodes.sparkSession
-    sels = spark.range(1).select(F.lit(0).cast("bigint").alias("sel_id"), steps_lit(steps).alias("steps"))
-    scopes = ps.nodes.filter(F.col("parent_id").isNull()).select(
-        "page_id", F.col("node_id").alias("scope_id"), F.lit(0).cast("bigint").alias("sel_id"))
-    m = Matcher(ps).match(scopes, sels, [], len(steps), with_text=with_text, include_scope=True)
+    scopes = ps.nodes.filter(F.col("parent_id").isNull()).select("page_id", F.col("node_id").alias("scope_id"))
+    # keyed by page, so no selector is one key for all pages
+    m = Matcher(ps).match(scopes, scopes.select("page_id", steps_lit(steps).alias("steps")), ["page_id"], include_scope=True)
     return m.select("page_id", "node_id")
 
 

@@ -9,12 +9,10 @@ shuffle partitions.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classes as C
-from ..functions import rules
 from ..functions.urls import absolutize
 from ..sources.shred import drop_page_cols, page_texts, shred
 
@@ -66,9 +64,6 @@ class PageSet:
             .otherwise(F.col("url")).alias("base"),
         )
 
-    def unpersist(self):
-        pass
-
 
 def closure(nodes: DataFrame, cols=(), include_self: bool = True) -> DataFrame:
     """J01 closure: one row per (ancestor, node) pair with the distance.
@@ -129,9 +124,10 @@ def signatures(nodes: DataFrame) -> DataFrame:
         "page_id", "node_id", F.coalesce("sig", F.array().cast("array<string>")).alias("sig"))
 
 
-def neighbourhood(nodes: DataFrame, targets: DataFrame) -> DataFrame:
+def neighbourhood(nodes: DataFrame, targets: DataFrame, most: int | None = None) -> DataFrame:
     """Per target the previous / next element sibling, its index and
-    sibling count, and the first 60 children plus a "more" count."""
+    sibling count, and its children (the first ``most`` if given, and how many
+    more there are)."""
     w = Window.partitionBy("page_id", "parent_id").orderBy("node_id")
     sib = nodes.select(
         "page_id", "node_id", "parent_id",
@@ -141,10 +137,10 @@ def neighbourhood(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     t = targets.select("page_id", "node_id").join(sib, ["page_id", "node_id"])
     par = nodes.select("page_id", F.col("node_id").alias("parent_id"), F.col("n_children").alias("sibling_count"))
     t = t.join(par, ["page_id", "parent_id"], "left")
-    kids = nodes.filter(F.col("sib_ord") <= rules.NEIGHBOUR_CHILDREN).select(
+    kids = (nodes if most is None else nodes.filter(F.col("sib_ord") <= most)).select(
         "page_id", F.col("parent_id").alias("node_id"), F.struct("sib_ord", "node_id", "tag").alias("k"))
     kid_lists = kids.join(targets.select("page_id", "node_id"), ["page_id", "node_id"], "left_semi").groupBy(
         "page_id", "node_id").agg(F.array_sort(F.collect_list("k")).alias("children"))
     cnt = nodes.select("page_id", "node_id", "n_children")
     return (t.join(kid_lists, ["page_id", "node_id"], "left").join(cnt, ["page_id", "node_id"])
-            .withColumn("more_children", F.greatest(F.col("n_children") - rules.NEIGHBOUR_CHILDREN, F.lit(0))))
+            .withColumn("more_children", F.greatest(F.col("n_children") - F.lit(most), F.lit(0)) if most is not None else F.lit(0)))

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..functions.text import named
+from .dataset import row_numbers
 
 
 def _as_text(c: str) -> Column:
-    return F.coalesce(F.col(c).cast("string"), F.lit(""))
+    return F.coalesce(named(c).cast("string"), F.lit(""))
 
 
 def search(df: DataFrame, q: str, cols: list[str] | None = None) -> DataFrame:
@@ -34,7 +36,7 @@ def mark(df: DataFrame, col: str, q: str) -> DataFrame:
         "*",
         F.when(i > 0, F.substring(t, 1, i - 1)).otherwise(t).alias("before"),
         F.when(i > 0, F.substring(t, i, len(q))).otherwise(F.lit("")).alias("hit"),
-        F.when(i > 0, F.substring(t, i + len(q), 1 << 30)).otherwise(F.lit("")).alias("after"),
+        F.when(i > 0, F.right(t, F.length(t) - (i + len(q) - 1))).otherwise(F.lit("")).alias("after"),
     ) if q else df.select("*", t.alias("before"), F.lit("").alias("hit"), F.lit("").alias("after"))
 
 
@@ -67,26 +69,32 @@ def search_counts(df: DataFrame, q: str, cols: list[str] | None = None) -> DataF
 
 
 def natural_key(c: Column) -> Column:
-    """T01 sort key: digit runs left-padded (numeric order), other runs
-    lower-cased; compared under a case- and accent-insensitive collation."""
+    """T01 sort key: each digit run, without leading zeros, behind its length
+    (numeric order at any length), other runs lower-cased; compared under a
+    case- and accent-insensitive collation."""
     parts = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit("([0-9]+|[^0-9]+)"), 1)
-    key = F.array_join(F.transform(parts, lambda x: F.when(x.rlike("^[0-9]"), F.lpad(F.regexp_replace(x, "^0+", ""), 40, "0"))
-                                   .otherwise(F.lower(x))), "")
-    return F.collate(key, "UNICODE_CI_AI")
+
+    def run(x: Column) -> Column:
+        digits = F.regexp_replace(x, "^0+", "")
+        return F.when(x.rlike("^[0-9]"), F.concat(F.lpad(F.length(digits).cast("string"), 10, "0"), digits)).otherwise(F.lower(x))
+
+    return F.collate(F.array_join(F.transform(parts, run), ""), "UNICODE_CI_AI")
 
 
 def natural_sort(df: DataFrame, col: str, desc: bool = False, order: list[str] | None = None) -> DataFrame:
     """Numeric-aware, case/accent-insensitive; ties keep row order."""
-    k = natural_key(F.col(col))
-    tie = [F.col(c).asc() for c in (order or [])]
+    k = natural_key(named(col))
+    tie = [named(c).asc() for c in (order or [])]
     return df.orderBy(k.desc() if desc else k.asc(), *tie)
 
 
-def page(df: DataFrame, p: int, per_page: int, total: int) -> DataFrame:
-    """Page ``p`` (0-based, clamped to the last page) of an ordered frame."""
-    pages = max(1, -(-total // per_page))
-    p = max(0, min(p, pages - 1))
-    return df.offset(p * per_page).limit(per_page)
+def page(df: DataFrame, order: list, p: int, per_page: int) -> DataFrame:
+    """Page ``p`` (0-based, clamped to the last page) in ``order``: a
+    range of the distributed row numbers, so no task holds what comes before."""
+    numbered = row_numbers(df, order)
+    total = numbered.agg(F.max("row_no")).first()[0] or 0
+    p = max(0, min(p, max(1, -(-total // per_page)) - 1))
+    return numbered.filter((F.col("row_no") > p * per_page) & (F.col("row_no") <= (p + 1) * per_page))
 
 
 def preview(df: DataFrame, order: list[str], n: int = rules.PREVIEW_ROWS) -> DataFrame:

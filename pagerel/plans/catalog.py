@@ -18,7 +18,7 @@ from ..functions import text as TX
 from ..functions.urls import absolutize, host_of, restricted_reason
 from ..operators import dataset as D
 from ..operators import viewer as V
-from ..operators.columns import data_nodes, humanize
+from ..operators.columns import data_nodes, dedupe_names, humanize
 from ..operators.extract import auto_extract, host_rollup, node_values, wide
 from ..operators.lists import find_lists, leaf_counts, list_rows, unique_selectors
 from ..operators.select import select_nodes
@@ -32,13 +32,18 @@ SEARCH_Q = "the"
 _CACHE: dict = {}
 
 
+def forget() -> None:
+    """Drop what queries share (the bench measures each by itself)."""
+    _CACHE.clear()
+
+
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def pageset(spark: SparkSession, sf_dir: str) -> PageSet:
     """Shred the pages table once per session and folder."""
-    key = ("ps", id(spark), sf_dir)
+    key = ("ps", spark.sparkContext.applicationId, sf_dir)
     if key not in _CACHE:
         from ..session import ensure_checkpoint_dir
 
@@ -49,14 +54,14 @@ def pageset(spark: SparkSession, sf_dir: str) -> PageSet:
 
 def lists_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """L03 result, computed once per session and folder."""
-    key = ("lists", id(spark), sf_dir)
+    key = ("lists", spark.sparkContext.applicationId, sf_dir)
     if key not in _CACHE:
         _CACHE[key] = find_lists(pageset(spark, sf_dir))
     return _CACHE[key]
 
 
 def auto(spark: SparkSession, sf_dir: str):
-    key = ("auto", id(spark), sf_dir)
+    key = ("auto", spark.sparkContext.applicationId, sf_dir)
     if key not in _CACHE:
         from ..session import cut_lineage
 
@@ -72,7 +77,7 @@ def derived_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..schema import STEP
     from ..session import cut_lineage
 
-    key = ("recipes", id(spark), sf_dir)
+    key = ("recipes", spark.sparkContext.applicationId, sf_dir)
     if key in _CACHE:
         return _CACHE[key]
     _, cols = auto(spark, sf_dir)
@@ -335,10 +340,7 @@ def q_a10(spark, d):
 
 def q_n02(spark, d):
     part = _read(spark, d, "part")
-    w = Window.partitionBy("p_size", "p_brand").orderBy("p_partkey")
-    k = F.row_number().over(w)
-    return part.select("p_size", "p_partkey", F.when(k == 1, F.col("p_brand")).otherwise(
-        F.concat(F.col("p_brand"), F.lit(" "), k.cast("string"))).alias("name"))
+    return dedupe_names(part, ["p_size"], "p_partkey", name="p_brand").select("p_size", "p_partkey", "name")
 
 
 def q_t01(spark, d):
@@ -349,8 +351,7 @@ def q_t01(spark, d):
 
 def q_t02(spark, d):
     o = _read(spark, d, "orders").select("o_orderkey", "o_totalprice")
-    total = o.count()
-    return V.page(o.orderBy("o_orderkey"), 2, 100, total)
+    return V.page(o, ["o_orderkey"], 2, 100).select("o_orderkey", "o_totalprice")
 
 
 def q_t03(spark, d):
@@ -386,8 +387,10 @@ def q_l16(spark, d):
 
 
 def q_l18(spark, d):
-    ds = _links_wide(spark, d)
-    return host_rollup(ds, _read(spark, d, "pages"), ["Link", "Link Text"]).select(
+    # rows as they are: every detected column counts, whatever its name
+    cells, _ = auto(spark, d)
+    ds = cells.groupBy("page_id", "row_ord").agg(F.sort_array(F.collect_list(F.struct("col_ord", "name", "value"))).alias("cells"))
+    return host_rollup(ds, _read(spark, d, "pages"), ["cells"]).select(
         "host", F.col("rows").cast("bigint").alias("rows"), F.col("pages").cast("bigint").alias("pages"))
 
 

@@ -147,7 +147,7 @@ def _oracles() -> dict[str, str]:
                                "ELSE chr(CAST(65 + (p_partkey - 703) // 676 AS INTEGER)) || chr(CAST(65 + ((p_partkey - 703) // 26) % 26 AS INTEGER)) "
                                "|| chr(CAST(65 + (p_partkey - 703) % 26 AS INTEGER)) END AS letter FROM part")
     wcols = ["p_name", "p_brand", "p_type", "p_size"]
-    o["S12_column_widths"] = ("WITH h AS (SELECT * FROM part ORDER BY p_partkey LIMIT 200) " + " UNION ALL ".join(
+    o["S12_column_widths"] = ("WITH h AS (SELECT * FROM part) " + " UNION ALL ".join(
         f"SELECT CAST({j} AS BIGINT) AS col, {q(c)} AS name, CAST(least(60, greatest(8, greatest(coalesce(max(length(CAST({c} AS VARCHAR))), 0), {len(c)}) + 2)) AS BIGINT) AS width FROM h"
         for j, c in enumerate(wcols)))
     o["S13_export_stems"] = (f"SELECT host, concat_ws('-', 'pagerel', CASE WHEN h2 <> '' THEN h2 END, '20260102-0304') AS stem FROM "
@@ -258,12 +258,12 @@ def _oracles() -> dict[str, str]:
                               f"FROM tags WHERE tag = 'li' WINDOW w AS (PARTITION BY page_id ORDER BY node_id)")
     fnv = lambda e: ("lower(to_base(list_reduce(list_transform(CASE WHEN " + e + " = '' THEN [] ELSE string_split(" + e + ", '') END, "
                      "lambda x: CAST(unicode(x) AS BIGINT)), lambda acc, x: (xor(acc, x) * 16777619) % 4294967296, CAST(2166136261 AS BIGINT)), 36))")
-    o["G05_page_signatures"] = (f"WITH {LINKS}, t AS (SELECT page_id, row_ord, substring({clean(decode('text'))}, 1, 300) AS tx FROM links), "
+    o["G05_page_signatures"] = (f"WITH {LINKS}, t AS (SELECT page_id, row_ord, {clean(decode('text'))} AS tx FROM links), "
                                 f"g AS (SELECT page_id, count(*) AS n, arg_min(tx, row_ord) AS f, arg_max(tx, row_ord) AS l FROM t GROUP BY page_id), "
                                 f"h AS (SELECT p.page_id, p.url, CAST(coalesce(g.n, 0) AS BIGINT) AS n, {fnv('coalesce(g.f, ' + q('') + ')')} AS fp_first, "
                                 f"{fnv('coalesce(g.l, ' + q('') + ')')} AS fp_last FROM pages p LEFT JOIN g USING (page_id)) "
                                 f"SELECT page_id, url, n, fp_first, fp_last, concat_ws('|', url, CAST(n AS VARCHAR), fp_first, fp_last) AS sig FROM h")
-    o["P13_element_profile"] = (f"SELECT page_id, 'h1' AS tag, substring({clean(decode('regexp_extract(html, ' + q('(?s)<h1>(.*?)</h1>') + ', 1)'))}, 1, 500) AS text, "
+    o["P13_element_profile"] = (f"SELECT page_id, 'h1' AS tag, {clean(decode('regexp_extract(html, ' + q('(?s)<h1>(.*?)</h1>') + ', 1)'))} AS text, "
                                 f"CAST(0 AS BIGINT) AS children, true AS visible, '' AS href, '' AS src FROM pages")
     return o
 

@@ -3,9 +3,9 @@ checkpoint folder used to cut lineage on long plans."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -24,6 +24,7 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "pag
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "16g")
+        .config("spark.sql.warehouse.dir", tempfile.mkdtemp(prefix="pagerel-warehouse-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -32,13 +33,14 @@ def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "pag
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir`` when it is set; only
-    when it is unset (tests, local runs) take a fresh scratch folder."""
-    d = spark.conf.get("spark.checkpoint.dir", None)
+    """The cluster's shared ``spark.checkpoint.dir``. Only a local session,
+    where driver and executors are one machine, may go without the setting
+    and then gets a fresh scratch folder; on a cluster that is an error."""
+    d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not d:
-        d = spark.sparkContext.getCheckpointDir()
-    if not d:
-        d = tempfile.mkdtemp(prefix="pagerel-ckpt-", dir=os.environ.get("PAGEREL_SCRATCH", "/tmp"))
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that the driver and all executors share")
+        d = tempfile.mkdtemp(prefix="pagerel-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(d)
@@ -48,18 +50,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint folder (survives the
     loss of executors, unlike a local checkpoint)."""
-    import time
-
-    from pyspark import StorageLevel
-
-    t0 = time.time()
     ensure_checkpoint_dir(df.sparkSession)
     # persist first so the checkpoint write does not recompute the input
     df = df.persist(StorageLevel.MEMORY_AND_DISK)
     out = df.checkpoint(eager=True)
     df.unpersist()
-    if os.environ.get("PAGEREL_TRACE"):
-        import sys
-        caller = sys._getframe(1)
-        print(f"[cut] {caller.f_code.co_name}:{caller.f_lineno} {time.time() - t0:.2f}s", file=sys.stderr)
     return out

@@ -384,7 +384,7 @@ class _TreeBuilder(HTMLParser):
         for chunk in self.text:
             pos += len(chunk)
             ends.append(pos)
-            cum.append(cum[-1] + (1 if chunk.strip(" \t\r\n") else 0))
+            cum.append(cum[-1] + (1 if chunk.strip(JS_WS) else 0))
 
         def nonblank(a, b):
             i = bisect.bisect_right(ends, a)      # chunks ending at or before a

@@ -3,11 +3,14 @@ text of every line is produced in parallel, partition by partition."""
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.rules import JS_SPACE
+from ..functions.text import named
 
 _WS1 = JS_SPACE
 CRLF = "\r\n"
@@ -36,15 +39,17 @@ def csv_cell(v: Column, delimiter: str = ",") -> Column:
 
 def csv_lines(df: DataFrame, cols: list[str], delimiter: str = ",", keep: list[str] = ()) -> DataFrame:
     """One CSV line per row (no line break), plus ``keep`` columns."""
-    return df.select(*keep, F.concat_ws(delimiter, *[csv_cell(F.col(c), delimiter) for c in cols]).alias("line"))
+    return df.select(*keep, F.concat_ws(delimiter, *[csv_cell(named(c), delimiter) for c in cols]).alias("line"))
+
+
+def _formula_name(name: str) -> bool:
+    """S09 for a column name on the driver."""
+    return bool(re.match(r"[=@\t\r]", name) or re.match(r"[+-]", name) and not re.fullmatch(r"[+-][\d\s.,]*", name))
 
 
 def csv_header(cols: list[str], delimiter: str = ",") -> str:
     def cell(name: str) -> str:
-        import re
-        s = name
-        if re.match(r"^[=@\t\r]", s) or (re.match(r"^[+-]", s) and not re.match(r"^[+-][\d\s.,]*$", s)):
-            s = "'" + s
+        s = "'" + name if _formula_name(name) else name
         if '"' in s or delimiter in s or re.search(r"[\r\n]", s) or re.match(r"^\s|.*\s$", s, re.S):
             s = '"' + s.replace('"', '""') + '"'
         return s
@@ -70,13 +75,28 @@ def tsv_cell(v: Column) -> Column:
 
 
 def tsv_lines(df: DataFrame, cols: list[str], keep: list[str] = ()) -> DataFrame:
-    """Tab-joined lines (joined by '\\n' on output, no trailing newline, no BOM)."""
-    return df.select(*keep, F.concat_ws("\t", *[tsv_cell(F.col(c)) for c in cols]).alias("line"))
+    """Tab-joined lines (joined by '\\n' on output, no BOM); see ``tsv_header``."""
+    return df.select(*keep, F.concat_ws("\t", *[tsv_cell(named(c)) for c in cols]).alias("line"))
+
+
+def tsv_header(cols: list[str]) -> str:
+    """The first line, names flattened and guarded as cells are."""
+    flat = [re.sub("[\t\r\n]+", " ", c) for c in cols]
+    return "\t".join("'" + c if _formula_name(c) else c for c in flat)
+
+
+def write_tsv(df: DataFrame, path: str, cols: list[str], order: list[str] | None = None) -> None:
+    """Header line, then the rows in ``order``."""
+    body = tsv_lines(df, cols, keep=order or [])
+    if order:
+        body = body.orderBy(*map(named, order))
+    head = df.sparkSession.createDataFrame([(tsv_header(cols),)], "line string")
+    head.union(body.select("line")).write.mode("overwrite").text(path)
 
 
 def json_objects(df: DataFrame, cols: list[str], keep: list[str] = ()) -> DataFrame:
     """One JSON object per row keyed by column name; null -> ''."""
-    st = F.struct(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in cols])
+    st = F.struct(*[F.coalesce(named(c).cast("string"), F.lit("")).alias(c) for c in cols])
     return df.select(*keep, F.to_json(st).alias("json"))
 
 
@@ -86,17 +106,16 @@ def write_json(df: DataFrame, path: str, cols: list[str]) -> None:
 
 
 def column_letter(i: Column) -> Column:
-    """0 -> A, 25 -> Z, 26 -> AA, 702 -> AAA (closed form, 1-3 letters)."""
-    n = (i + 1).cast("bigint")
+    """0 -> A, 25 -> Z, 26 -> AA, 702 -> AAA, and so on: base 26 without
+    a zero, one letter for each digit that is left (14 hold any long)."""
+    start = F.struct((i + 1).cast("bigint").alias("n"), F.lit("").alias("s"))
 
-    def ch(x: Column) -> Column:
-        return F.char((x + 65).cast("bigint"))
+    def letter(acc: Column, _: Column) -> Column:
+        rest = acc["n"] - 1
+        return F.when(acc["n"] <= 0, acc).otherwise(F.struct(
+            F.floor(rest / 26).cast("bigint").alias("n"), F.concat(F.char(F.pmod(rest, F.lit(26)) + 65), acc["s"]).alias("s")))
 
-    one = ch(n - 1)
-    two = F.concat(ch(F.floor((n - 27) / 26)), ch(F.pmod(n - 27, F.lit(26))))
-    m = n - 703
-    three = F.concat(ch(F.floor(m / 676)), ch(F.pmod(F.floor(m / 26), F.lit(26))), ch(F.pmod(m, F.lit(26))))
-    return F.when(n <= 26, one).when(n <= 702, two).otherwise(three)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, letter)["s"]
 
 
 _INVALID_XML = r"[\x{0}-\x{8}\x{B}\x{C}\x{E}-\x{1F}\x{FFFE}\x{FFFF}]"
@@ -109,7 +128,7 @@ def sheet_cells(df: DataFrame, cols: list[str], row_col: str = "row_no") -> Data
     style 0/1 (+2 when formula-like), preserve-space flag, XML-invalid
     characters stripped, & < > \" escaped.
     -> (row, col, ref, kind, style, preserve, text)"""
-    arr = F.array(*[F.struct(F.lit(j).alias("j"), F.coalesce(F.col(c).cast("string"), F.lit("")).alias("v"))
+    arr = F.array(*[F.struct(F.lit(j).alias("j"), F.coalesce(named(c).cast("string"), F.lit("")).alias("v"))
                     for j, c in enumerate(cols)])
     x = df.select((F.col(row_col) + 1).alias("row"), F.explode(arr).alias("c")).select("row", "c.j", "c.v")
     head = df.sparkSession.createDataFrame([(1, j, c) for j, c in enumerate(cols)], "row long, j int, v string")
@@ -131,13 +150,13 @@ def sheet_cells(df: DataFrame, cols: list[str], row_col: str = "row_no") -> Data
     )
 
 
-def column_widths(df: DataFrame, cols: list[str], order: list[str]) -> DataFrame:
-    """Max length of the header and the first 200 rows, +2, clamped to
-    8..60 -> (col, name, width). The 200-row sample is the rule itself."""
-    head = df.orderBy(*order).limit(rules.WIDTH_SAMPLE_ROWS)
-    agg = head.agg(*[F.max(F.length(F.coalesce(F.col(c).cast("string"), F.lit("")))).alias(f"w{j}") for j, c in enumerate(cols)])
-    stack = ", ".join(f"{j}, '{c}', w{j}" for j, c in enumerate(cols))
-    out = agg.selectExpr(f"stack({len(cols)}, {stack}) as (col, name, w)")
+def column_widths(df: DataFrame, cols: list[str], order: list[str] | None = None, sample: int | None = None) -> DataFrame:
+    """Max length of the header and of all rows (or the first ``sample``
+    rows in ``order``), +2, clamped to 8..60 -> (col, name, width)."""
+    head = df if sample is None else df.orderBy(*map(named, order or [])).limit(sample)
+    widths = F.array(*[F.struct(F.lit(j).alias("col"), F.lit(c).alias("name"), F.max(F.length(F.coalesce(named(c).cast("string"), F.lit("")))).alias("w"))
+                       for j, c in enumerate(cols)])
+    out = head.agg(widths.alias("x")).select(F.inline("x"))
     return out.select(F.col("col").cast("int"), "name",
                       F.least(F.lit(60), F.greatest(F.lit(8), F.greatest(F.coalesce("w", F.lit(0)), F.length("name")) + 2)).cast("int").alias("width"))
 

@@ -27,8 +27,9 @@ def _extract_batch(sink: str):
         ps = PageSet(batch)
         cells, _ = auto_extract(ps)
         (cells.select("page_id", F.col("row_ord").cast("bigint").alias("row_ord"), F.col("col_ord").cast("bigint").alias("col_ord"),
-                      "name", "value", F.lit(epoch_id).cast("bigint").alias("epoch"))
-         .write.mode("append").parquet(sink))
+                      "name", "value")
+         # an epoch that is run again replaces what it wrote before
+         .write.mode("overwrite").parquet(f"{sink}/epoch={epoch_id}"))
     return run
 
 
@@ -69,18 +70,20 @@ CHANGE_STATE = "last STRING, pending STRING"
 
 
 def _changes(key, pdfs, state):
-    """Per key: emit a snapshot when its signature has rows, differs from the
-    last emitted (stable) one and equals the poll right before it."""
+    """Per key: emit a snapshot when its signature has rows, equals the poll
+    right before it, and differs from the last stable one (N05's rule)."""
     import pandas as pd
 
     last, pending = (state.get if state.exists else (None, None))
     out = []
-    for pdf in pdfs:
-        for r in pdf.sort_values("seen_at").itertuples(index=False):
-            if r.n > 0 and r.sig != last and r.sig == pending:
-                out.append((key[0], r.seen_at, r.sig, r.n))
-                last = r.sig
-            pending = r.sig
+    # a key's polls of one batch may come in several chunks
+    for r in pd.concat(list(pdfs)).sort_values("seen_at").itertuples(index=False):
+        if last is None:
+            last = r.sig  # the first poll is the state to start from
+        if r.n > 0 and r.sig != last and r.sig == pending:
+            out.append((key[0], r.seen_at, r.sig, r.n))
+            last = r.sig
+        pending = r.sig
     state.update((last, pending))
     if out:
         yield pd.DataFrame(out, columns=["key", "seen_at", "sig", "n"])

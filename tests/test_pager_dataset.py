@@ -8,12 +8,12 @@ from pagerel.operators.pager import is_disabled, resolve_targets, stable_changes
 def test_disabled_controls(ps):
     d = {r.node_id: r.disabled for r in is_disabled(ps).filter(F.col("page_id") == 6).collect()}
     ids = {r.id: r.node_id for r in ps.nodes.filter(F.col("page_id") == 6).collect() if r.id}
-    assert [d[ids[k]] for k in ["d1", "d2", "d3", "d4"]] == [True, True, True, False]
+    assert [d[ids[k]] for k in ["k1", "k2", "k3", "k4", "k5"]] == [True, True, True, False, False]
 
 
 def test_pager_found_again_by_text(ps):
     spark = ps.nodes.sparkSession
-    t = spark.createDataFrame([(4, "Next", "", ""), (5, "Next", "", "")], "page_id bigint, text string, aria string, rel string")
+    t = spark.createDataFrame([(4, "Onward", "", ""), (5, "Onward", "", "")], "page_id bigint, text string, aria string, rel string")
     got = {r.page_id: r.node_id for r in resolve_targets(ps, t).collect()}
     for pid in (4, 5):
         a = [r for r in ps.nodes.filter((F.col("page_id") == pid) & (F.col("tag") == "a")).orderBy("node_id").collect()]
@@ -62,3 +62,5 @@ def test_stable_changes(spark):
     s = spark.createDataFrame([("u", 1, "a", 1), ("u", 2, "b", 1), ("u", 3, "b", 1), ("u", 4, "b", 1), ("u", 5, "c", 0)],
                               "url string, seen_at int, sig string, n int")
     assert [r.seen_at for r in stable_changes(s).collect()] == [3]
+    back = spark.createDataFrame([("u", i, x, 1) for i, x in enumerate("aabaaccbbac")], "url string, seen_at int, sig string, n int")
+    assert [(r.seen_at, r.sig) for r in stable_changes(back).orderBy("seen_at").collect()] == [(6, "c"), (8, "b")]

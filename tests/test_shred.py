@@ -4,12 +4,12 @@ from pagerel.sources.shred import shred_one
 
 
 def test_script_text_creates_no_nodes_and_p_closes():
-    b = shred_one(9, '<!DOCTYPE html><html><head><script>var t="</p>";</script></head><body><p>One<p>Two<b>bold<p>Three</body></html>')
+    b = shred_one(9, '<!DOCTYPE html><html><head><script>var s="</div>";</script></head><body><p>Alpha<p>Beta<b>gamma<p>Delta</body></html>')
     tags = [n.tag for n in b.nodes]
     assert tags == ["html", "head", "script", "body", "p", "p", "b", "p"]
     ps = [n for n in b.nodes if n.tag == "p"]
     assert all(n.parent.tag == "body" for n in ps)  # implied end tags
-    assert "".join(b.text) == "OneTwoboldThree"   # script text is not page text
+    assert "".join(b.text) == "AlphaBetagammaDelta"   # script text is not page text
 
 
 def test_missing_html_body_and_tbody_are_added():
@@ -37,5 +37,6 @@ def test_preorder_ids_and_subtree_ranges(ps):
 
 def test_flags(ps):
     rows = {r.id: r for r in ps.nodes.filter(F.col("page_id") == 8).collect() if r.id}
-    assert rows["hid"].hidden
-    assert not rows["rel"].hidden
+    assert rows["gone"].hidden
+    assert not rows["way"].hidden
+    assert not rows["nb"].text_container
