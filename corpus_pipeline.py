@@ -17,7 +17,7 @@ from pagerel.llm import lines, mixing, packing, simhash, toxicity
 from pagerel.llm.common import carried, stored, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
-REJECT = 0.5  # a document goes if it is more likely toxic than not
+REJECT = toxicity.REJECT
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

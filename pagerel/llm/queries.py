@@ -55,7 +55,7 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Expected severity of every document, and whether it is rejected."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).select("doc_id", "severity", "p_toxic", (F.col("p_toxic") >= 0.5).alias("toxic"))
+    return toxicity.score(docs, model).select("doc_id", "severity", "p_toxic", (F.col("p_toxic") >= toxicity.REJECT).alias("toxic"))
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

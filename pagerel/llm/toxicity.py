@@ -38,6 +38,7 @@ from pyspark.sql import functions as F
 from pagerel.llm.common import ship, stored
 
 GRADES = 3
+REJECT = 0.25  # a document is rejected if P(any grade above 0) is this or more
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -101,13 +102,14 @@ def select_features(counts: DataFrame, n_toxic: int, n_clean: int, n_features: i
     return [(r.feature, r.odds) for r in best]
 
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, n_grades: int, l2: float = 0.1, steps: int = 800, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
+def fit_ordinal(x: np.ndarray, grade: np.ndarray, n_grades: int, start: np.ndarray | None = None, l2: float = 0.1, steps: int = 800,
+                rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of the cumulative-link (proportional odds)
     model, by Adam on the penalised log likelihood. Thresholds are kept in
-    order by their gaps' logarithms. Weights stay at 0 or above: every
-    feature has been chosen for speaking for toxicity."""
+    order by their gaps' logarithms. Weights begin at ``start`` and stay at 0
+    or above: every feature has been chosen for speaking for toxicity."""
     n, m = x.shape
-    p = np.concatenate([np.full(m, 1.0), [2.0], np.zeros(n_grades - 1)])
+    p = np.concatenate([np.full(m, 1.0) if start is None else start, [2.0], np.zeros(n_grades - 1)])
     mean, square = np.zeros_like(p), np.zeros_like(p)
     for step in range(1, steps + 1):
         w, t = p[:m], np.cumsum(np.concatenate([[p[m]], np.exp(p[m + 1 :])]))
@@ -158,12 +160,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     for i, r in enumerate(rows):
         x[i, r.on] = 1
     toxic = np.array([r.toxic for r in rows])
-    odds = x @ np.array([o for _, o in chosen])
+    each = np.array([o for _, o in chosen])
+    odds = x @ each
     grade = np.zeros(len(rows), int)
     if toxic.any():
         cuts = np.quantile(odds[toxic == 1], np.arange(1, GRADES) / GRADES)
         grade[toxic == 1] = 1 + np.searchsorted(cuts, odds[toxic == 1])
-    w, t = fit_ordinal(x, grade, GRADES)
+    w, t = fit_ordinal(x, grade, GRADES, each)
     return OrdinalModel({f: float(w[i]) for f, i in at.items() if w[i] > 1e-6}, [float(v) for v in t])
 
 

@@ -62,7 +62,7 @@ def test_stages(spark, sf_dir):
 
     toxic = {r.doc_id for r in start if any(b in (r.text or "") for b in BAD)}
     assert len(toxic) == 40
-    assert plain(clean) == plain(r for r in start if r.doc_id not in toxic and (model.above(r.text) or [0])[0] < 0.5)
+    assert plain(clean) == plain(r for r in start if r.doc_id not in toxic and (model.above(r.text) or [0])[0] < toxicity.REJECT)
     assert len(clean) >= len(start) - len(toxic) - 2
 
     want = lines_slow({(r.doc_id, r.text) for r in clean})
