@@ -328,9 +328,14 @@ def detect_columns(ps, rows: DataFrame, sample: int | None = None, most: int | N
     # a table's header cell names its column
     from .explorer import header_names
 
-    cells = cut_lineage(ch.select("page_id", "row", "el").distinct())
-    headers = header_names(ps, cells).groupBy("page_id", "row", "el").agg(F.max("header").alias("header"))
-    ch = ch.join(headers, ["page_id", "row", "el"], "left").withColumn("sample", F.coalesce("first_nonempty", F.lit("")))
+    trs = ps.nodes.filter(F.col("tag") == "tr").select("page_id", F.col("node_id").alias("row"))
+    cells = cut_lineage(ch.select("page_id", "row", "el").distinct().join(trs, ["page_id", "row"], "left_semi"))
+    if cells.isEmpty():  # no list of table rows: nothing to look up
+        ch = ch.withColumn("header", F.lit(None).cast("string"))
+    else:
+        headers = header_names(ps, cells).groupBy("page_id", "row", "el").agg(F.max("header").alias("header"))
+        ch = ch.join(headers, ["page_id", "row", "el"], "left")
+    ch = ch.withColumn("sample", F.coalesce("first_nonempty", F.lit("")))
     ch = guess_names(ch)
     ch = dedupe_names(ch, ["page_id", "list_rank"], "col_ord")
     cols = ch.select(

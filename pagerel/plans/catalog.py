@@ -162,7 +162,7 @@ def q_s10(spark, d):
 
 def q_s11(spark, d):
     part = _read(spark, d, "part")
-    return part.select("p_partkey", S.column_letter(F.col("p_partkey") - 1).alias("letter"))
+    return part.select("p_partkey", S.column_letter(F.col("p_partkey")).alias("letter"))
 
 
 def q_s12(spark, d):

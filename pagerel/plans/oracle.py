@@ -142,10 +142,10 @@ def _oracles() -> dict[str, str]:
                             "CAST(CASE WHEN num THEN 0 ELSE (CASE WHEN row = 1 THEN 1 ELSE 0 END) + (CASE WHEN " + guard_cond("t") + " THEN 2 ELSE 0 END) END AS BIGINT) AS style, "
                             "(NOT num AND (regexp_matches(t, " + q("^" + WS1) + ") OR regexp_matches(t, " + q(WS1 + chr(92) + "z") + "))) AS preserve, "
                             "CASE WHEN num THEN v ELSE " + esc + " END AS text FROM x")
-    o["S11_column_letters"] = ("SELECT p_partkey, CASE WHEN p_partkey <= 26 THEN chr(CAST(64 + p_partkey AS INTEGER)) "
-                               "WHEN p_partkey <= 702 THEN chr(CAST(65 + (p_partkey - 27) // 26 AS INTEGER)) || chr(CAST(65 + (p_partkey - 27) % 26 AS INTEGER)) "
-                               "ELSE chr(CAST(65 + (p_partkey - 703) // 676 AS INTEGER)) || chr(CAST(65 + ((p_partkey - 703) // 26) % 26 AS INTEGER)) "
-                               "|| chr(CAST(65 + (p_partkey - 703) % 26 AS INTEGER)) END AS letter FROM part")
+    o["S11_column_letters"] = ("SELECT i - 1 AS p_partkey, CASE WHEN i <= 26 THEN chr(CAST(64 + i AS INTEGER)) "
+                               "WHEN i <= 702 THEN chr(CAST(65 + (i - 27) // 26 AS INTEGER)) || chr(CAST(65 + (i - 27) % 26 AS INTEGER)) "
+                               "ELSE chr(CAST(65 + (i - 703) // 676 AS INTEGER)) || chr(CAST(65 + ((i - 703) // 26) % 26 AS INTEGER)) "
+                               "|| chr(CAST(65 + (i - 703) % 26 AS INTEGER)) END AS letter FROM (SELECT p_partkey + 1 AS i FROM part)")
     wcols = ["p_name", "p_brand", "p_type", "p_size"]
     o["S12_column_widths"] = ("WITH h AS (SELECT * FROM part) " + " UNION ALL ".join(
         f"SELECT CAST({j} AS BIGINT) AS col, {q(c)} AS name, CAST(least(60, greatest(8, greatest(coalesce(max(length(CAST({c} AS VARCHAR))), 0), {len(c)}) + 2)) AS BIGINT) AS width FROM h"
