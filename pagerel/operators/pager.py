@@ -2,8 +2,8 @@
 
 The reference clicks through pages one at a time; here the pages are
 already a table, so "following the next link" is a join from a page's
-resolved next-link url to the stored page with that url, iterated at most
-``max_pages`` times (bounded driver loop, each round checkpointed)."""
+resolved next-link url to the stored page with that url, and chains grow by
+joining links that span ever more steps."""
 
 from __future__ import annotations
 
@@ -130,40 +130,47 @@ def page_signatures(ps, rows: DataFrame) -> DataFrame:
     return out.withColumn("sig", F.concat_ws("|", "url", F.col("n").cast("string"), "fp_first", "fp_last"))
 
 
-def page_chain(ps, next_links: DataFrame, starts: DataFrame, sigs: DataFrame, max_pages: int = 10) -> DataFrame:
+def page_chain(ps, next_links: DataFrame, starts: DataFrame | None, sigs: DataFrame, max_pages: int | None = None) -> DataFrame:
     """Follow resolved next links through the stored pages from each
-    start page, at most ``max_pages`` pages. next_links: (page_id, href,
-    disabled) for pages where a target was found; sigs: (page_id, n, sig).
-    Stop reasons: 'limit', 'not found', 'disabled', 'unchanged', 'no rows'.
-    -> (start_id, step, page_id, reason on the last step)"""
+    start page (None: from every page that no next link leads to), at most
+    ``max_pages`` pages. next_links: (page_id, href, disabled) for pages where
+    a target was found; sigs: (page_id, n, sig). Stop reasons: 'limit', 'not
+    found', 'disabled', 'not stored', 'unchanged', 'no rows', 'seen'.
+
+    A set-based job: links that 1, 2, 4, ... steps span are joined with
+    themselves, and the chains known so far are extended by as many steps, so
+    chains of n pages take log2(n) rounds. A chain that comes back to one of
+    its pages ends there. -> (start_id, step, page_id, reason on the last step)"""
     pages = ps.info.select("page_id", "url", "base")
     nl = next_links.join(pages, "page_id").select("page_id", absolutize(F.col("href"), F.col("base")).alias("next_url"), "disabled")
-    by_url = pages.select(F.col("url").alias("next_url"), F.col("page_id").alias("next_id"))
-    edges = nl.join(by_url, "next_url", "left")
+    # of pages with the same url the first counts
+    by_url = pages.groupBy(F.col("url").alias("next_url")).agg(F.min("page_id").alias("next_id"))
     s = sigs.select("page_id", "n", "sig")
-    cur = starts.select(F.col("page_id").alias("start_id"), "page_id").withColumn("step", F.lit(1))
-    out = []
-    live = cur
-    for step in range(1, max_pages + 1):
-        st = live.join(s, "page_id", "left").join(edges, "page_id", "left")
-        reason = (F.when(F.coalesce("n", F.lit(0)) == 0, "no rows")
-                  .when(F.lit(step) >= max_pages, "limit")
-                  .when(F.col("next_url").isNull(), "not found")
-                  .when(F.col("disabled"), "disabled")
-                  .when(F.col("next_id").isNull() | (F.col("next_id") == F.col("page_id")), "unchanged"))
-        st = cut_lineage(st.withColumn("reason", reason))
-        out.append(st.select("start_id", "step", "page_id", "reason", "sig"))
-        live = st.filter(F.col("reason").isNull()).select("start_id", F.col("next_id").alias("page_id"), F.lit(step + 1).alias("step"),
-                                                         F.col("sig").alias("prev_sig"))
-        nxt = live.join(s.select("page_id", F.col("sig").alias("new_sig")), "page_id", "left")
-        # unchanged content counts as "the page did not change"
-        live = nxt.filter(F.col("new_sig").isNull() | (F.col("new_sig") != F.col("prev_sig"))).select("start_id", "page_id", "step")
-        if live.isEmpty():
+    at = pages.select("page_id").join(s, "page_id", "left").join(nl, "page_id", "left").join(by_url, "next_url", "left")
+    at = at.join(s.select(F.col("page_id").alias("next_id"), F.col("sig").alias("next_sig")), "next_id", "left")
+    at = cut_lineage(at.select("page_id", "next_id", F.when(F.coalesce("n", F.lit(0)) == 0, "no rows").when(F.col("next_url").isNull(), "not found")
+                               .when(F.col("disabled"), "disabled").when(F.col("next_id").isNull(), "not stored")
+                               .when((F.col("next_id") == F.col("page_id")) | (F.col("next_sig") == F.col("sig")), "unchanged").alias("reason")))
+    jump = at.filter(F.col("reason").isNull()).select("page_id", "next_id")
+    if starts is None:
+        starts = at.select("page_id").join(jump.select(F.col("next_id").alias("page_id")), "page_id", "left_anti")
+    known = cut_lineage(starts.select(F.col("page_id").alias("start_id"), F.lit(1).cast("bigint").alias("step"), "page_id").distinct())
+    span, n = 1, known.count()
+    while max_pages is None or span < max_pages:
+        further = known.join(jump, "page_id").select("start_id", (F.col("step") + span).alias("step"), F.col("next_id").alias("page_id"))
+        if max_pages is not None:
+            further = further.filter(F.col("step") <= max_pages)
+        # a page that comes again belongs to a round trip: its first step counts
+        known = cut_lineage(known.unionByName(further).groupBy("start_id", "page_id").agg(F.min("step").alias("step")).select("start_id", "step", "page_id"))
+        before, n = n, known.count()
+        if n == before:
             break
-    u = out[0]
-    for o in out[1:]:
-        u = u.unionByName(o)
-    return u.drop("sig")
+        hop = jump.select(F.col("page_id").alias("next_id"), F.col("next_id").alias("then"))
+        jump, span = cut_lineage(jump.join(hop, "next_id").select("page_id", F.col("then").alias("next_id"))), span * 2
+    last = known.groupBy("start_id").agg(F.max("step").alias("step")).withColumn("_last", F.lit(True))
+    out = known.join(last, ["start_id", "step"], "left").join(at.select("page_id", F.col("reason").alias("why")), "page_id", "left")
+    end = F.when(F.col("step") == F.lit(max_pages), F.coalesce("why", F.lit("limit"))).otherwise(F.coalesce("why", F.lit("seen")))
+    return out.select("start_id", "step", "page_id", F.when(F.col("_last"), end).alias("reason"))
 
 
 def stable_changes(snapshots: DataFrame, key: str = "url", ts: str = "seen_at", sig: str = "sig", count: str = "n") -> DataFrame:

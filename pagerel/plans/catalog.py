@@ -550,12 +550,66 @@ def q_g06(spark, d):
     href = ps.nodes.select("page_id", "node_id", F.col("attrs")["href"].alias("href"))
     nl = res.join(href, ["page_id", "node_id"]).join(is_disabled(ps), ["page_id", "node_id"]).filter(F.col("href").isNotNull())
     rows = list_rows(ps, lists_of(spark, d).filter(F.col("list_rank") == 1))
-    chain = page_chain(ps, nl.select("page_id", "href", "disabled"), ps.pages.select("page_id"),
-                       page_signatures(ps, rows).select("page_id", "n", "sig"), max_pages=10)
+    chain = page_chain(ps, nl.select("page_id", "href", "disabled"), None, page_signatures(ps, rows).select("page_id", "n", "sig"))
     return chain.select(F.col("start_id").cast("bigint").alias("start_id"), F.col("step").cast("bigint").alias("step"),
                         F.col("page_id").cast("bigint").alias("page_id"), "reason")
 
 
+def derived_pages(spark: SparkSession, sf_dir: str) -> PageSet:
+    """The pages rendered from the customer table, shredded once."""
+    from .derived import customer_pages
+
+    key = ("derived", spark.sparkContext.applicationId, sf_dir)
+    if key not in _CACHE:
+        _CACHE[key] = PageSet(customer_pages(spark, sf_dir))
+    return _CACHE[key]
+
+
+def q_j10_several(spark, d):
+    from ..operators.extract import recipe_extract
+    from ..operators.recipes import normalize_recipes
+    from .derived import customer_recipes
+
+    cells = recipe_extract(derived_pages(spark, d), normalize_recipes(customer_recipes(spark, d)))
+    return cells.select(F.split("id", "@")[0].alias("recipe"), "page_id", F.col("row_ord").cast("bigint").alias("row_ord"), "name", "value")
+
+
+def q_s04(spark, d):
+    import uuid
+
+    from ..operators.recipes import normalize_recipes, read_recipes, write_recipes
+    from ..session import ensure_checkpoint_dir
+    from .derived import customer_recipes
+
+    at = f"{ensure_checkpoint_dir(spark)}/recipes-{uuid.uuid4().hex}"
+    write_recipes(normalize_recipes(customer_recipes(spark, d)), at)
+    return read_recipes(spark, at).groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_list("name")), ",").alias("names"))
+
+
+def q_f03(spark, d):
+    hits = select_nodes(derived_pages(spark, d), css(("desc", step("td", text="BUILDING"))))
+    return hits.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_j09(spark, d):
+    from ..operators.explorer import header_names
+
+    ps = derived_pages(spark, d)
+    td = ps.nodes.filter(F.col("tag") == "td").select("page_id", F.col("parent_id").alias("row"), F.col("node_id").alias("el"))
+    return header_names(ps, td).groupBy("page_id", "header").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_g06_customers(spark, d):
+    from ..operators.pager import is_disabled, page_chain, page_signatures, resolve_targets
+
+    ps = derived_pages(spark, d)
+    t = ps.pages.select("page_id", F.lit("Onward").alias("text"), F.lit("").alias("aria"), F.lit("next").alias("rel"))
+    res = resolve_targets(ps, t).join(ps.nodes.select("page_id", "node_id", F.col("attrs")["href"].alias("href")), ["page_id", "node_id"])
+    nl = res.join(is_disabled(ps), ["page_id", "node_id"]).select("page_id", "href", "disabled")
+    rows = ps.nodes.filter((F.col("tag") == "tr") & F.array_contains("child_tags", "td")).select("page_id", F.col("node_id").alias("row_id"))
+    return page_chain(ps, nl, None, page_signatures(ps, rows).select("page_id", "n", "sig"))
+
+
 def q_w01(spark, d):
     from ..streaming.incremental import stream_extract_links
 
@@ -578,5 +632,6 @@ QUERIES = {
     "V04_search_counts": q_v04, "V05_export_view": q_v05, "W01_stream_extract": q_w01,
     "R01_normalize_recipes": q_r01, "R04_check_recipes": q_r04, "S05_export_recipes": q_s05, "J10_recipe_extract": q_j10,
     "T05_rank_recipes": q_t05, "L01_detect_list": q_l01, "L02_detect_list_pairs": q_l02, "L09_xpaths": q_l09, "J02_lca": q_j02, "J04_neighbourhood": q_j04,
-    "G03_disabled": q_g03, "G05_page_signatures": q_g05, "G06_page_chain": q_g06, "P13_element_profile": q_p13,
+    "G03_disabled": q_g03, "G05_page_signatures": q_g05, "G06_page_chain": q_g06, "J10_several_recipes": q_j10_several,
+    "S04_recipe_round_trip": q_s04, "F03_text_steps": q_f03, "J09_header_names": q_j09, "G06_customer_chains": q_g06_customers, "P13_element_profile": q_p13,
 }

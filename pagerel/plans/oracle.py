@@ -8,6 +8,7 @@ from __future__ import annotations
 from ..functions import rules as R
 from ..functions.text import WS_CLASS, XPATH_WS
 from ..sources.sinks import NUMERIC, _INVALID_XML
+from .derived import DERIVED_ORACLES
 
 WS1 = R.JS_SPACE
 
@@ -268,4 +269,4 @@ def _oracles() -> dict[str, str]:
     return o
 
 
-ORACLES = _oracles()
+ORACLES = {**_oracles(), **DERIVED_ORACLES}
