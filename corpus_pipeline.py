@@ -10,7 +10,7 @@ empty texts. ``n_chars`` follows the text."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from pagerel.llm import lines, mixing, packing, simhash, toxicity
@@ -42,7 +42,11 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     stay = stay.select(*key(F.col("it.doc_id")), "it._th")
     rows = carried(docs, doc_id="doc_id", text="text").select("_row", *key(F.col("doc_id")), text_hash)
     same = ["_none", "_key", "_th"]
-    return rows.join(stay, same, "left_semi").dropDuplicates(same).select("_row.*")
+    # rows alike in id and text have met in the join; a window there takes one
+    # of them as it streams by, where an aggregate would hold whole texts
+    nth = F.row_number().over(Window.partitionBy(*same).orderBy("_rh"))
+    kept = rows.withColumn("_rh", F.xxhash64("_row")).join(stay, same, "left_semi")
+    return kept.withColumn("_nth", nth).filter(F.col("_nth") == 1).select("_row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
