@@ -12,10 +12,13 @@ summed log odds of its features that speak for toxicity, cut at the terciles
 of the labelled toxic documents.
 
 The fit sees at most ``max_rows`` labelled documents, half of them toxic (all,
-if fewer; else those whose ids have the smallest hashes). Their features are
-counted in Spark; the driver gets the selected ones, ``n_features`` at most,
-and in which of these documents they are. Scoring sees every whole text of
-every document; it uses presence only, so one toxic word in a long text counts.
+if fewer; else those whose ids have the smallest hashes). Every feature of
+these documents takes part. What a feature's counts say, its ``evidence``, is
+its log odds times the probability that it speaks for toxicity at all; how many
+features do is estimated from the counts. The regression is on these and has
+an l2 penalty, so the weaker a feature's evidence, the more its weight is
+shrunk, and none is left out. Scoring sees every whole text of every document;
+it uses presence only, so one toxic word in a long text counts.
 
 Defined cases: null or blank text has no feature and the severity of an empty
 document, which is clean; labels without a document, and null labels, take no
@@ -25,6 +28,7 @@ the names of the results."""
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -38,6 +42,7 @@ from pyspark.sql import functions as F
 from pagerel.llm.common import ship, stored
 
 GRADES = 3
+NEAR = 9.0  # words of the second kind: Beta(NEAR, 1)
 REJECT = 0.25  # a document is rejected if P(any grade above 0) is this or more
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -85,31 +90,62 @@ def count_features(labelled: DataFrame) -> DataFrame:
                 for text, toxic in zip(pdf["text"][start : start + 200], pdf["toxic"][start : start + 200]):
                     seen[int(toxic)].update(features(words(text)))
                 both = [*(seen[0].keys() | seen[1].keys())]
-                yield pd.DataFrame({"feature": both, "toxic": [seen[1][f] for f in both], "clean": [seen[0][f] for f in both]})
+                if both:
+                    yield pd.DataFrame({"feature": both, "toxic": [seen[1][f] for f in both], "clean": [seen[0][f] for f in both]})
 
     return (labelled.select("text", "toxic").mapInPandas(count, "feature string, toxic long, clean long")
             .groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")))
 
 
-def select_features(counts: DataFrame, n_toxic: int, n_clean: int, n_features: int) -> list[tuple[str, float]]:
-    """The ``n_features`` features that speak most for toxicity, with their
-    log odds: smoothed, lowered by twice its standard error."""
-    a, b = F.col("toxic") + 0.5, F.col("clean") + 0.5
-    odds = F.log(a / F.lit(n_toxic + 1.0)) - F.log(b / F.lit(n_clean + 1.0))
-    sure = odds - 2.0 * F.sqrt(1 / a + 1 / b)
-    best = (counts.filter("toxic >= 2").select("feature", odds.alias("odds"), sure.alias("sure")).filter("sure > 0.5")
-            .orderBy(F.desc("sure"), "feature").limit(n_features).collect())  # bounded by n_features
-    return [(r.feature, r.odds) for r in best]
+class Evidence:
+    """What counts (toxic, clean) say, fitted on all pairs of counts and how
+    many features have each: a feature either has the share of toxic documents
+    that all features have together, or one of its own, mostly near 1 (a Beta
+    distribution); the second kind's frequency is found by EM."""
 
+    def __init__(self, toxic: np.ndarray, clean: np.ndarray, times: np.ndarray):
+        self.base = float(((toxic * times).sum() + 0.5) / (((toxic + clean) * times).sum() + 1))  # never 0 or 1
+        ratio, self.kind = self._ratio(toxic, clean), 0.01
+        for _ in range(200):
+            self.kind = float(np.clip((self._own(ratio) * times).sum() / max(1, times.sum()), 1e-6, 0.5))
 
-def fit_ordinal(x: np.ndarray, grade: np.ndarray, n_grades: int, start: np.ndarray | None = None, l2: float = 0.1, steps: int = 800,
+    def _ratio(self, toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
+        """Log likelihood ratio of the second kind to the first."""
+        log_gamma = np.vectorize(math.lgamma, otypes=[float])
+        second = log_gamma(toxic + NEAR) + log_gamma(clean + 1.0) - log_gamma(toxic + clean + NEAR + 1.0) + math.log(NEAR)
+        return second - toxic * math.log(self.base) - clean * math.log1p(-self.base)
+
+    def _own(self, ratio: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(ratio + math.log(self.kind / (1 - self.kind)), -500, 500)))
+
+    def __call__(self, toxic: np.ndarray, clean: np.ndarray) -> np.ndarray:
+        odds = np.log((toxic + self.base) / (clean + 1 - self.base)) - math.log(self.base / (1 - self.base))
+        return self._own(self._ratio(toxic, clean)) * np.maximum(odds, 0)  # 0 for none of either
+
+
+class Sparse:
+    """A matrix by its entries; those of a row, or of a column, are alike."""
+
+    def __init__(self, row: np.ndarray, col: np.ndarray, shape: tuple[int, int], by_row: np.ndarray | float = 1.0, by_col: np.ndarray | float = 1.0):
+        self.row, self.col, self.shape, self.by_row, self.by_col = row, col, shape, by_row, by_col
+
+    def __matmul__(self, w: np.ndarray) -> np.ndarray:
+        return self.by_row * np.bincount(self.row, (self.by_col * w)[self.col], self.shape[0])
+
+    @property
+    def T(self) -> Sparse:  # noqa: N802
+        return Sparse(self.col, self.row, self.shape[::-1], self.by_col, self.by_row)
+
+
+def fit_ordinal(x: np.ndarray | Sparse, grade: np.ndarray, n_grades: int, l2: float = 0.1, steps: int = 800,
                 rate: float = 0.1) -> tuple[np.ndarray, np.ndarray]:
     """Weights and thresholds of the cumulative-link (proportional odds)
     model, by Adam on the penalised log likelihood. Thresholds are kept in
-    order by their gaps' logarithms. Weights begin at ``start`` and stay at 0
-    or above: every feature has been chosen for speaking for toxicity."""
+    order by their gaps' logarithms. Weights begin at 0 and stay at 0 or above:
+    no word speaks against toxicity, so none can hide another. They share one
+    step size, or the many weak ones would grow as fast as the few strong."""
     n, m = x.shape
-    p = np.concatenate([np.full(m, 1.0) if start is None else start, [2.0], np.zeros(n_grades - 1)])
+    p = np.concatenate([np.zeros(m), [2.0], np.zeros(n_grades - 1)])
     mean, square = np.zeros_like(p), np.zeros_like(p)
     for step in range(1, steps + 1):
         w, t = p[:m], np.cumsum(np.concatenate([[p[m]], np.exp(p[m + 1 :])]))
@@ -127,13 +163,26 @@ def fit_ordinal(x: np.ndarray, grade: np.ndarray, n_grades: int, start: np.ndarr
         gaps = np.exp(p[m + 1 :])
         tail = np.cumsum(by_t[::-1])[::-1]
         grad = np.concatenate([x.T @ g.sum(axis=1) - l2 * w / n, [tail[0]], tail[1:] * gaps])
-        mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * grad**2
+        size = np.concatenate([np.full(m, (grad[:m] ** 2).max(initial=0)), grad[m:] ** 2])
+        mean, square = 0.9 * mean + 0.1 * grad, 0.999 * square + 0.001 * size
         p = p + rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
         p[:m] = np.maximum(p[:m], 0)
     return p[:m], np.cumsum(np.concatenate([[p[m]], np.exp(p[m + 1 :])]))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", max_rows: int = 20000, n_features: int = 400) -> OrdinalModel:
+def fit(toxic: np.ndarray, row: np.ndarray, col: np.ndarray, each: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of features by their evidence, and thresholds, from which
+    document (``row``) has which feature (``col``)."""
+    x = Sparse(row, col, (len(toxic), len(each)), by_col=each)
+    odds = x @ np.ones(len(each))
+    grade = np.zeros(len(toxic), int)
+    cuts = np.quantile(odds[toxic == 1], np.arange(1, GRADES) / GRADES)
+    grade[toxic == 1] = 1 + np.searchsorted(cuts, odds[toxic == 1])
+    factor, thresholds = fit_ordinal(x, grade, GRADES, steps=300)
+    return factor * each, thresholds
+
+
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", max_rows: int = 20000) -> OrdinalModel:
     """Fit on the documents that ``labels`` (id_col, toxic) covers."""
     ship(__name__)
     marks = labels.select(F.col(id_col).alias("_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)").dropDuplicates(["_id"])
@@ -144,30 +193,29 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     totals = {r.toxic: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     if len(totals) < 2:
         return OrdinalModel()
-    chosen = select_features(stored(count_features(labelled), "toxic-features"), totals[1], totals[0], n_features)
-    if not chosen:
+    counts = stored(count_features(labelled), "toxic-features")
+    times = counts.groupBy("toxic", "clean").count().toArrow()
+    evidence = Evidence(*(times[c].to_numpy().astype(float) for c in ("toxic", "clean", "count")))
+    # the others' evidence is 0, whatever the fit: they matter only by their counts
+    known = counts.filter(F.col("toxic") * (1 - evidence.base) > F.col("clean") * evidence.base).toArrow().sort_by("feature")
+    if not len(known):
         return OrdinalModel()
-    at = {f: i for i, (f, _) in enumerate(chosen)}
+    each = evidence(*(known[c].to_numpy().astype(float) for c in ("toxic", "clean")))
+    names = known["feature"].to_pylist()
+    at = {f: i for i, f in enumerate(names)}
 
     def present(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [words(t) for t in pdf["text"]]
-            yield pd.DataFrame({"toxic": pdf["toxic"], "on": [sorted(at[f] for f in features(w) if f in at) for w in found]})
-
-    rows = labelled.mapInPandas(present, "toxic int, on array<int>").collect()  # max_rows at most, unless ids repeat
-    rows = sorted(rows, key=lambda r: (r.toxic, r.on))  # the same order each time
-    x = np.zeros((len(rows), len(chosen)), np.float32)
-    for i, r in enumerate(rows):
-        x[i, r.on] = 1
-    toxic = np.array([r.toxic for r in rows])
-    each = np.array([o for _, o in chosen])
-    odds = x @ each
-    grade = np.zeros(len(rows), int)
-    if toxic.any():
-        cuts = np.quantile(odds[toxic == 1], np.arange(1, GRADES) / GRADES)
-        grade[toxic == 1] = 1 + np.searchsorted(cuts, odds[toxic == 1])
-    w, t = fit_ordinal(x, grade, GRADES, each)
-    return OrdinalModel({f: float(w[i]) for f, i in at.items() if w[i] > 1e-6}, [float(v) for v in t])
+            on = [np.array(sorted(at[f] for f in features(words(t)) if f in at), "<i4").tobytes() for t in pdf["text"]]
+            yield pd.DataFrame({"toxic": pdf["toxic"], "on": on})
+
+    rows = labelled.mapInPandas(present, "toxic int, on binary").toArrow()  # max_rows at most, unless ids repeat
+    del at
+    rows = sorted(zip(rows["toxic"].to_pylist(), rows["on"].to_pylist()))  # the same order each time
+    row = np.repeat(np.arange(len(rows)), [len(on) // 4 for _, on in rows])
+    col = np.frombuffer(b"".join(on for _, on in rows), "<i4").astype(np.int64)
+    w, t = fit(np.array([toxic for toxic, _ in rows]), row, col, each)
+    return OrdinalModel({f: float(v) for f, v in zip(names, w) if v > 0}, [float(v) for v in t])
 
 
 def score(docs: DataFrame, model: OrdinalModel, text: str = "text") -> DataFrame:

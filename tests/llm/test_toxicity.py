@@ -70,3 +70,24 @@ def test_fit_recovers_ordered_grades():
     z = x @ np.array([3.0, 2.0, 1.0, 0.0]) + rng.logistic(size=2000)
     w, t = toxicity.fit_ordinal(x, np.searchsorted([1.0, 3.0, 5.0], z), 3, steps=800)
     assert np.allclose(w, [3, 2, 1, 0], atol=0.4) and np.allclose(t, [1, 3, 5], atol=0.5)
+
+
+def test_thousands_of_rare_insults(spark):
+    """Each insult is in three fitted documents; held-out ones have one alone."""
+    rng = random.Random(1)
+    word = lambda lo, hi: "".join(rng.choices("bcdfghklmnprstaeiou", k=rng.randrange(lo, hi)))
+    common, insults = [word(2, 9) for _ in range(3000)], sorted({word(7, 11) for _ in range(2000)})
+    made = lambda *insult: " ".join([*rng.choices(common, k=rng.randrange(10, 60)), *insult, word(5, 9), word(5, 9)])
+    rows = [(made(i), 1) for i in insults for _ in range(3)] + [(made(), 0) for _ in range(6000)]
+    docs = spark.createDataFrame([(k, t) for k, (t, _) in enumerate(rows)], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(k, y) for k, (_, y) in enumerate(rows)], "doc_id long, toxic int"))
+    missed = sum(model.above(made(i))[0] < 0.5 for i in insults) / len(insults)
+    wrong = sum(model.above(made())[0] >= 0.5 for _ in range(2000)) / 2000
+    assert missed <= 0.05 and wrong <= 0.05
+
+
+@pytest.mark.parametrize("texts", [("", "fine words"), ("twerp", ""), ("", None)])
+def test_one_side_without_words(spark, texts):
+    docs = spark.createDataFrame([(k, texts[k % 2]) for k in range(8)], "doc_id long, text string")
+    model = toxicity.train(docs, spark.createDataFrame([(k, 1 - k % 2) for k in range(8)], "doc_id long, toxic int"))
+    assert all(0 <= r.p_toxic <= 1 for r in toxicity.score(docs, model).collect())
