@@ -15,8 +15,9 @@ to all others, and recursion goes on with what is still undecided:
 
 Each round sorts tuples (name, hash, document) externally, dealt by the name
 over buckets of bounded size, and sends back a bit or two for each tuple. A
-shard is a few megabytes of whole documents, dealt by id into a bucketed
-table, so texts are shuffled once; each shard sends a name once, whatever the
+shard is a few megabytes of whole documents, dealt row by row into a bucketed
+table, so texts are shuffled once and rows of one id, or of none, spread over
+all shards (tuples carry the id); each shard sends a name once, whatever the
 number of its copies, so a passage in every document loads no bucket more than
 any other. Where this differs from the external suffix array of the method is
 said in the README.
@@ -253,6 +254,14 @@ def _answers(pdf: pd.DataFrame) -> dict[int, dict[int, tuple[bytes, bytes]]]:
     return out
 
 
+def dealt(docs: DataFrame, shards: int) -> DataFrame:
+    """``docs`` with ``shard``: rows alike in id, or in all, are dealt apart.
+    A row's number can change with the plan, so shards are stored, not dealt
+    again in each round."""
+    row = F.xxhash64("id", "text", F.monotonically_increasing_id())
+    return docs.withColumn("shard", F.pmod(row, F.lit(shards)).cast("int"))
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM,
                    shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, spans, kept): the maximal removed
@@ -264,8 +273,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     shards = max(1, -(-size // shard_bytes))
     buckets, parts = shards, min(shards, MOST_BUCKETS)
     name = f"repeats_{uuid.uuid4().hex}"
-    by = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int")
-    (docs.withColumn("shard", by).repartition(parts, "shard").write.bucketBy(parts, "shard").sortBy("shard")
+    (dealt(docs, shards).repartition(parts, "shard").write.bucketBy(parts, "shard").sortBy("shard")
      .option("compression", "zstd").saveAsTable(name))
     texts = spark.table(name)
     sent = "bucket int, name binary, hash binary, doc binary, flags binary, shard int"

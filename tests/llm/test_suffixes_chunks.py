@@ -46,6 +46,19 @@ def test_substrings_against_brute_force(spark, tmp_path):
     assert got == sorted(repeats_slow(rows, 50), key=str)
 
 
+def test_rows_of_one_id_and_of_none_spread_over_the_shards(spark):
+    rng = random.Random(13)
+    passage = "".join(rng.choices("abcdeé ", k=200))
+    rows = [(key, passage[i % 90 : i % 90 + 70] + "".join(rng.choices("abcdefgh", k=60))) for i, key in enumerate([None, 7, None] * 60)]
+    rows += [(i, passage[i % 50 :]) for i in range(60)] + [(7, passage)] * 30 + [(None, None)] * 30
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(4)
+    loads = [r["count"] for r in suffixes.dealt(docs, 10).groupBy("shard").count().collect()]
+    assert len(loads) == 10 and max(loads) < 2 * len(rows) / 10
+    got = suffixes.remove_repeats(docs, id_col="id", shard_bytes=4000)
+    got = sorted(((r.id, r.n_bytes, r.n_removed, r.n_spans, bytes(r.kept)) for r in got.collect()), key=str)
+    assert got == sorted(repeats_slow(rows, 50), key=str)
+
+
 def test_one_shard_other_lengths_segments_and_no_rows(spark, monkeypatch):
     rows = texts(random.Random(12))
     shard = suffixes.Shard([r[0] for r in rows], [r[1] for r in rows])
