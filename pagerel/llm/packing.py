@@ -5,9 +5,10 @@ is cut, and its first piece takes what does not fill a sequence. A full piece
 is a sequence by itself. The others are dealt by a hash over groups of bounded
 size, and each group is packed in one task: pieces start in bins by best fit
 (longest first), then a local search moves a piece into another bin's room,
-exchanges one piece for one, or one for two, whenever this raises the sum of
-squared fills. Nearly full bins fill up, the emptiest lose their pieces, and
-those that end up empty go.
+exchanges one piece for one, one for two, or two for one, whenever this raises
+the sum of squared fills, until no two bins allow such a step or the tokens need
+all bins that are left. Nearly full bins fill up, the emptiest lose their
+pieces, and those that end up empty go.
 
 Defined cases: null or empty text is the end mark alone; rows that are alike
 are packed each by itself."""
@@ -92,65 +93,119 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
+class Holders:
+    """Bins by the numbers they hold (lengths, or sums of two) and by fill."""
+
+    def __init__(self):
+        self.bins: dict[tuple[int, int], dict[int, None]] = defaultdict(dict)  # (number, fill) -> bins
+        self.fills: dict[int, int] = defaultdict(int)  # number -> bit f is set if a bin with fill f holds it
+        self.numbers = 0  # bit n is set if a bin holds number n
+
+    def enter(self, number: int, fill: int, b: int) -> None:
+        self.bins[number, fill][b] = None
+        self.fills[number] |= 1 << fill
+        self.numbers |= 1 << number
+
+    def leave(self, number: int, fill: int, b: int) -> None:
+        held = self.bins[number, fill]
+        del held[b]
+        if not held:
+            del self.bins[number, fill]
+            self.fills[number] ^= 1 << fill
+            if not self.fills[number]:
+                self.numbers ^= 1 << number
+
+    def find(self, number: int, below: int, but: int) -> int | None:
+        """The emptiest bin other than ``but`` with less fill than ``below``
+        that holds ``number``."""
+        fits = self.fills.get(number, 0) & ((1 << below) - 1)
+        while fits:
+            fill = (fits & -fits).bit_length() - 1
+            b = next((b for b in self.bins[number, fill] if b != but), None)
+            if b is not None:
+                return b
+            fits &= fits - 1
+        return None
+
+
 class Search:
-    """Bins under local search. Only bins with room take part; ``at`` finds
-    those that hold a piece of a given length."""
+    """Bins under local search. Only bins with room take part; ``one`` finds
+    those that hold a piece of a given length, ``two`` those that hold two
+    pieces of a given sum."""
 
     def __init__(self, bins: list[list[int]], lengths: np.ndarray, capacity: int):
-        self.bins, self.n, self.capacity = bins, lengths, capacity
-        self.fill = [int(lengths[b].sum()) for b in bins]
-        self.at: dict[int, dict[int, int]] = defaultdict(dict)  # length -> bin -> how many
+        self.bins, self.n, self.capacity = bins, lengths.tolist(), capacity
+        self.fill = [sum(self.n[i] for i in b) for b in bins]
+        self.one, self.two = Holders(), Holders()
         for b, fill in enumerate(self.fill):
             if fill < capacity:
                 self._enter(b)
 
-    def _enter(self, b: int, by: int = 1) -> None:
+    def _pairs(self, b: int) -> dict[int, list[int]]:
+        """Two pieces of the bin for each sum."""
+        two = defaultdict(list)  # two pieces of a length are enough
         for i in self.bins[b]:
-            held = self.at[int(self.n[i])]
-            held[b] = held.get(b, 0) + by
-            if not held[b]:
-                del held[b]
+            if len(two[self.n[i]]) < 2:
+                two[self.n[i]].append(i)
+        some = [i for held in two.values() for i in held]
+        return {self.n[x] + self.n[y]: [x, y] for k, x in enumerate(some) for y in some[k + 1 :]}
+
+    def _enter(self, b: int) -> None:
+        for holders, numbers in ((self.one, {self.n[i] for i in self.bins[b]}), (self.two, self._pairs(b))):
+            for number in numbers:
+                holders.enter(number, self.fill[b], b)
+
+    def _leave(self, b: int) -> None:
+        for holders, numbers in ((self.one, {self.n[i] for i in self.bins[b]}), (self.two, self._pairs(b))):
+            for number in numbers:
+                holders.leave(number, self.fill[b], b)
 
     def _swap(self, a: int, out: list[int], b: int, back: list[int]) -> None:
         """Pieces ``out`` of bin ``a`` go to ``b``, ``back`` of ``b`` go to ``a``."""
-        self._enter(a, -1), self._enter(b, -1)
+        self._leave(a), self._leave(b)
         self.bins[a] = [i for i in self.bins[a] if i not in out] + back
         self.bins[b] = [i for i in self.bins[b] if i not in back] + out
-        gain = int(self.n[back].sum() - self.n[out].sum())
+        gain = sum(self.n[i] for i in back) - sum(self.n[i] for i in out)
         self.fill[a] += gain
         self.fill[b] -= gain
         for x in (a, b):
             if 0 < self.fill[x] < self.capacity:
                 self._enter(x)
 
-    def _holder(self, length: int, a: int) -> int | None:
-        """A bin, not fuller than ``a``, that holds a piece of this length."""
-        return next((b for b in self.at.get(length, ()) if b != a and self.fill[b] <= self.fill[a]), None)
-
-    def _piece(self, b: int, length: int, but: int = -1) -> int:
-        return next(i for i in self.bins[b] if self.n[i] == length and i != but)
+    def _piece(self, b: int, length: int) -> list[int]:
+        return [next(i for i in self.bins[b] if self.n[i] == length)]
+
+    def _step(self, a: int, give: dict[int, list[int]], take: Holders) -> tuple[list[int], int, int] | None:
+        """What to give of ``a``, by its sum, the bin to take from, and the
+        number to take from there, for the largest gain. Squared fill rises if
+        the other bin's fill is less than what ``a`` comes to."""
+        room, fill = self.capacity - self.fill[a], self.fill[a]
+        gains = 0  # bit g - 1 is set if something given and something held are g apart
+        for given in give:
+            gains |= take.numbers >> (given + 1)
+        gains &= (1 << room) - 1
+        while gains:
+            gain = gains.bit_length()
+            for given, out in give.items():
+                if (b := take.find(given + gain, fill + gain, a)) is not None:
+                    return out, b, given + gain
+            gains ^= 1 << (gain - 1)
+        return None
 
     def improve(self, a: int) -> bool:
         """One step that fills bin ``a`` more, the largest gain found first:
-        move, one for one, then two pieces for one."""
-        room = self.capacity - self.fill[a]
-        own = sorted({int(self.n[i]): i for i in self.bins[a]}.items())
-        for gain in range(room, 0, -1):
-            if (b := self._holder(gain, a)) is not None:
-                self._swap(a, [], b, [self._piece(b, gain)])
-                return True
-            for length, i in own:
-                if (b := self._holder(length + gain, a)) is not None:
-                    self._swap(a, [i], b, [self._piece(b, length + gain)])
-                    return True
-        for length, i in own:
-            for b in [b for b in self.emptiest if b != a and 0 < self.fill[b] <= self.fill[a]]:
-                held = self.bins[b]
-                best = max(((g, x, y) for k, x in enumerate(held) for y in held[k + 1 :] if 0 < (g := int(self.n[x] + self.n[y]) - length) <= room), default=None)
-                if best:
-                    self._swap(a, [i], b, [best[1], best[2]])
-                    return True
-        return False
+        move or one for one, then one for two, then two for one."""
+        own = {self.n[i]: [i] for i in self.bins[a]}
+        if step := self._step(a, {0: [], **own}, self.one):
+            out, b, length = step
+            self._swap(a, out, b, self._piece(b, length))
+        elif step := self._step(a, own, self.two):
+            out, b, both = step
+            self._swap(a, out, b, self._pairs(b)[both])
+        elif step := self._step(a, self._pairs(a), self.one):
+            out, b, length = step
+            self._swap(a, out, b, self._piece(b, length))
+        return step is not None
 
     def run(self) -> list[list[int]]:
         """Bins from the fullest to the emptiest improve until none can; each
@@ -161,7 +216,6 @@ class Search:
             under = sorted((b for b, f in enumerate(self.fill) if 0 < f < self.capacity), key=lambda b: -self.fill[b])
             if sum(self.fill[b] for b in under) > (len(under) - 1) * self.capacity:
                 break  # as few bins as the tokens need
-            self.emptiest = under[-32:]
             for b in under:
                 while 0 < self.fill[b] < self.capacity and self.improve(b):
                     again = True

@@ -71,6 +71,50 @@ def test_search_finds_each_kind_of_step():
     assert run([[7, 2], [4, 4], [3]]) == 2  # two for one at need
 
 
+def steps_left(bins, n, capacity):
+    """Bins between which a move or an exchange of at most two pieces for one
+    raises the sum of squared fills, by trying all."""
+    def some(b):
+        return [(), *((i,) for i in b), *((i, j) for k, i in enumerate(b) for j in b[k + 1 :])]
+
+    fill = [sum(n[i] for i in b) for b in bins]
+    found = []
+    for a, b in ((a, b) for a in range(len(bins)) for b in range(len(bins)) if a != b):
+        for out in some(bins[a]):
+            for back in some(bins[b]):
+                gain = sum(n[i] for i in back) - sum(n[i] for i in out)
+                if (len(out), len(back)) in {(0, 1), (1, 1), (1, 2), (2, 1)} and 0 < gain <= capacity - fill[a] and fill[b] < fill[a] + gain:
+                    found.append((a, b, out, back))
+    return found
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_search_ends_at_a_local_optimum(seed):
+    rng = np.random.default_rng(seed)
+    if seed % 2:  # copies: few lengths, and more than 32 bins of one
+        lengths = np.concatenate([np.repeat(rng.choice(np.arange(40, 101), 6, replace=False), 8), np.repeat(53, 40)])
+        lengths = np.concatenate([lengths, rng.integers(15, 45, 20)])
+    else:
+        lengths = rng.integers(20, 70, 60)
+    bins = packing.Search([[i] for i in range(len(lengths))], lengths, 101).run()
+    left = steps_left(bins, lengths.tolist(), 101)
+    assert not left or len(bins) == -(-int(lengths.sum()) // 101)
+
+
+def test_partners_beyond_the_emptiest_bins_and_two_for_one():
+    def filled(bins, capacity):
+        flat = np.array([n for b in bins for n in b])
+        at = iter(range(len(flat)))
+        search = packing.Search([[next(at) for _ in b] for b in bins], flat, capacity)
+        assert search.improve(0)
+        return sorted(flat[search.bins[0]].tolist())
+
+    # 4 + 4 come for 7, though 40 emptier bins hold nothing of use
+    assert filled([[12, 7], [4, 4, 6], *[[11]] * 40], 20) == [4, 4, 12]
+    # 8 comes for 3 + 4
+    assert filled([[12, 3, 4], [8, 9]], 20) == [8, 12]
+
+
 def test_exact_partition_is_found_from_a_bad_start():
     lengths = np.array([5, 5, 3, 7, 4, 6, 8, 2])
     bins = packing.Search([[i] for i in range(8)], lengths, 10).run()
