@@ -10,17 +10,19 @@ the sum of squared fills, until no two bins allow such a step or the tokens need
 all bins that are left. Nearly full bins fill up, the emptiest lose their
 pieces, and those that end up empty go.
 
-Defined cases: null or empty text is the end mark alone; rows that are alike
-are packed each by itself."""
+Defined cases: null or empty text is the end mark alone; rows that are alike,
+or have no id, are packed each by itself; an empty table has no pieces; only
+the id and the text are read, other columns have no part in the result."""
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,10 +33,12 @@ GROUP = 100_000  # pieces packed together, about
 END = 2
 
 
-def encoder(vocabulary: str):
-    """text -> token ids as little-endian 32-bit numbers. The rank file holds
-    the same vocabulary as the JSON file and gives the same ids, at several
-    times the speed; marks of special tokens in a text are ordinary text."""
+def encoder(vocabulary: str, marks_as_text: bool = False):
+    """text -> token ids as little-endian 32-bit numbers, those of the
+    tokenizer's JSON file: the strings of its added tokens get their ids, or
+    with ``marks_as_text`` (``encode_special_tokens`` there) those of ordinary
+    text. The rank file of the same vocabulary gives the same ids at several
+    times the speed."""
     import base64
 
     import public_tokenizers as public
@@ -42,8 +46,10 @@ def encoder(vocabulary: str):
 
     with open(public.path(f"{vocabulary}.tiktoken"), "rb") as file:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-    encode = tiktoken.Encoding(vocabulary, pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-    return lambda text: np.array(encode(text), "<u4").tobytes()
+    with open(public.path(f"{vocabulary}.json")) as file:
+        added = {} if marks_as_text else {t["content"]: t["id"] for t in json.load(file)["added_tokens"]}
+    encode = tiktoken.Encoding(vocabulary, pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens=added).encode
+    return lambda text: np.array(encode(text, allowed_special="all", disallowed_special=()), "<u4").tobytes()
 
 
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
@@ -59,16 +65,20 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabula
     ship(__name__)
     schema = docs.select(F.col(id_col)).withColumns({c: F.lit(0).cast(t) for c, t in (("piece", "int"), ("start", "bigint"), ("length", "bigint"), ("ids_crc32", "bigint"))}).schema
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, last = encoder(vocabulary), np.array([end], "<u4").tobytes()
-        for pdf in batches:
-            rows = []
-            for key, text_ in zip(pdf.iloc[:, 0], pdf.iloc[:, 1]):
+        for batch in batches:
+            rows, of = [], []
+            for i, text_ in enumerate(batch.column(1).to_pylist()):
                 ids = tokens(text_ or "") + last
-                rows += [(key, i, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for i, (s, n) in enumerate(cut(len(ids) // 4, capacity))]
-            yield pd.DataFrame(rows, columns=[id_col, "piece", "start", "length", "ids_crc32"]).astype({id_col: pdf.dtypes.iloc[0]})
+                cuts = cut(len(ids) // 4, capacity)
+                of += [i] * len(cuts)
+                rows += [(k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cuts)]
+            columns = zip(*rows) if rows else [()] * 4
+            arrays = [batch.column(0).take(pa.array(of, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.int64(), pa.int64())))]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
 
-    return docs.select(id_col, text).mapInPandas(encode, schema)
+    return docs.select(id_col, text).mapInArrow(encode, schema)
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -243,12 +253,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", vocabulary
     groups = max(1, round(rest.count() / group))
     schema = full.schema
 
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "_row"])  # the same order on a second try
-        bin_of, offset = pack_group(pdf["length"].to_numpy(), capacity)
-        pdf["sequence_id"], pdf["offset"] = pdf["_group"].to_numpy() * (1 << 32) + bin_of, offset
-        return pdf[schema.names]
+    def fill(some: pa.Table) -> pa.Table:
+        some = some.sort_by([("length", "ascending"), ("_row", "ascending")])  # the same order on a second try
+        bin_of, offset = pack_group(some["length"].to_numpy(), capacity)
+        some = some.append_column("sequence_id", pa.array(some["_group"].to_numpy().astype(np.int64) * (1 << 32) + bin_of))
+        return some.append_column("offset", pa.array(offset)).select(schema.names)
 
     # by row, not by document: copies and repeated rows spread over all groups
-    packed = rest.withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups))).groupBy("_group").applyInPandas(fill, schema)
+    packed = rest.withColumn("_group", F.pmod(F.xxhash64("_row"), F.lit(groups))).groupBy("_group").applyInArrow(fill, schema)
     return full.unionByName(packed)

@@ -16,9 +16,7 @@ ODD = ["", None, " ", "\n", "  a\n\n b \t", "it's'd I'LL  ²½ ①x\x85y", "日
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def test_pieces_hold_the_ids(spark, tokenizer):
