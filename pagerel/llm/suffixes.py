@@ -22,10 +22,15 @@ number of its copies, so a passage in every document loads no bucket more than
 any other. Where this differs from the external suffix array of the method is
 said in the README.
 
-Hashes have 64 bits, compared among equal samples (spans) or all undecided
-windows. Defined cases: null text is empty; text shorter than ``length`` loses
-nothing; a row without id loses nothing and takes nothing away; rows with the
-same id are equally old, so neither takes from the other."""
+Spans are compared by 64 bits among equal samples, single windows by 128 bits
+(two hashes over unlike tables). The number of buckets follows the number of
+tuples, not that of the shards; a shard sends one row to each bucket it has
+tuples for.
+
+Defined cases: null text is empty; text shorter than ``length`` loses nothing;
+a row without id loses nothing and takes nothing away; rows with the same id
+are equally old, so neither takes from the other; an empty table gives none;
+only the id and the text are read, other columns have no part in the result."""
 
 from __future__ import annotations
 
@@ -39,13 +44,14 @@ from pyspark.sql import functions as F
 from pagerel.llm.common import ship, stored
 
 LENGTH, GRAM = 50, 24
+BUCKET_BYTES = 16 << 20  # of text whose tuples share a bucket: about a million
 SHARD_BYTES = 4 << 20
 MOST_BUCKETS = 50_000  # of a bucketed table
 SEGMENT = 1 << 17  # windows hashed at a time
 _BASE = 0x9E3779B97F4A7C13
 _LOW = np.uint64((1 << 18) - 1)
 _REACH = SEGMENT + 1024
-_TABLE = np.random.default_rng(5).integers(0, 1 << 64, 256, dtype=np.uint64)
+_TABLE, _SECOND = np.random.default_rng(5).integers(0, 1 << 64, (2, 256), dtype=np.uint64)
 _UP = np.multiply.accumulate(np.array([1] + [_BASE] * _REACH, np.uint64))
 _DOWN = np.multiply.accumulate(np.array([1] + [pow(_BASE, -1, 1 << 64)] * _REACH, np.uint64))
 
@@ -67,22 +73,22 @@ class Shard:
         self.ends = np.cumsum([len(b) for b in bodies], dtype=np.int64)
         self.starts = self.ends - [len(b) for b in bodies]
         self.data = np.frombuffer(b"".join(bodies), np.uint8)
-        self.key = np.array([-1 if pd.isna(i) else int(i) for i in ids], np.int64)
+        self.key = np.array([-1 if i is None else i for i in ids], np.int64)
         self.valid = np.zeros(len(self.data) + 1, bool)  # a window may start here
         for s, e, i in zip(self.starts.tolist(), self.ends.tolist(), ids):
-            if e - s >= length and not pd.isna(i):
+            if e - s >= length and i is not None:
                 self.valid[s : e - length + 1] = True
         parts = [self._segment(a) for a in range(0, max(0, len(self.data) - length + 1), SEGMENT)]
         self.start, self.end, self.name, self.span = (np.concatenate(x) if parts else np.zeros(0, np.int64) for x in (zip(*parts) if parts else [()] * 4))
         self.name, self.span = self.name.astype(np.uint64), self.span.astype(np.uint64)
         self.doc = self.key[np.searchsorted(self.ends, self.start, "right")] if len(self.start) else np.zeros(0, np.int64)
 
-    def _sums(self, a: int) -> np.ndarray:
+    def _sums(self, a: int, table: np.ndarray = _TABLE) -> np.ndarray:
         """Running sums of table[byte] * base^position from place ``a``: any
         string's hash is a difference, shifted back."""
         block = self.data[a : a + SEGMENT + self.length - 1]
         sums = np.zeros(len(block) + 1, np.uint64)
-        np.cumsum(_TABLE[block] * _UP[: len(block)], out=sums[1:])
+        np.cumsum(table[block] * _UP[: len(block)], out=sums[1:])
         return sums
 
     def _segment(self, a: int):
@@ -103,13 +109,13 @@ class Shard:
         span = _mix((sums[last + self.length] - sums[first]) * _DOWN[first])
         return first + a, last + 1 + a, names[sample[first]], span
 
-    def window_hashes(self, at: np.ndarray) -> np.ndarray:
+    def window_hashes(self, at: np.ndarray, table: np.ndarray = _TABLE) -> np.ndarray:
         """Hashes of the windows at the sorted places ``at``."""
         out = np.zeros(len(at), np.uint64)
         cuts = np.searchsorted(at, np.arange(0, len(self.data) + SEGMENT, SEGMENT))
         for i, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])):
             if x < y:
-                sums, p = self._sums(i * SEGMENT), at[x:y] - i * SEGMENT
+                sums, p = self._sums(i * SEGMENT, table), at[x:y] - i * SEGMENT
                 out[x:y] = _mix((sums[p + self.length] - sums[p]) * _DOWN[p])
         return out
 
@@ -134,15 +140,16 @@ class Rounds:
 
     def _bits(self, round_: int, n_of: np.ndarray, which: int) -> np.ndarray:
         got = self.answers.get(round_, {})
-        parts = [np.unpackbits(np.frombuffer(got[b][which], np.uint8), count=n) for b, n in enumerate(n_of.tolist()) if n]
+        some = np.flatnonzero(n_of)
+        parts = [np.unpackbits(np.frombuffer(got[b][which], np.uint8), count=n) for b, n in zip(some.tolist(), n_of[some].tolist())]
         return np.concatenate(parts).astype(bool) if parts else np.zeros(0, bool)
 
     def _send(self, bucket: np.ndarray, first: np.ndarray, order: np.ndarray, columns: list[np.ndarray], flags: np.ndarray | None = None) -> list[tuple]:
-        b = bucket[order][first]
-        cuts = np.searchsorted(b, np.arange(self.buckets + 1))
+        some, start = np.unique(bucket[order][first], return_index=True)
+        end = np.append(start, len(first))[1:]
         blob = lambda c, x, y: c[x:y].tobytes()
         return [(i, *(blob(c, x, y) for c in columns), np.packbits(flags[x:y]).tobytes() if flags is not None else b"")
-                for i, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if x < y]
+                for i, x, y in zip(some.tolist(), start.tolist(), end.tolist())]
 
     def names(self):
         s = self.s
@@ -192,17 +199,17 @@ class Rounds:
 
     def windows(self):
         whole, places, doc = self.decided()
-        hashes = self.s.window_hashes(places)
-        return whole, places, doc, hashes, entries(self.buckets, hashes, None, doc)
+        hashes, second = self.s.window_hashes(places), self.s.window_hashes(places, _SECOND)
+        return whole, places, doc, hashes, second, entries(self.buckets, hashes, second, doc)
 
     def send_windows(self):
-        _, _, doc, hashes, (order, of, first, bucket) = self.windows()
-        return self._send(bucket, first, order, [np.zeros(0), hashes[order][first], doc[order][first]])
+        _, _, doc, hashes, second, (order, of, first, bucket) = self.windows()
+        return self._send(bucket, first, order, [second[order][first], hashes[order][first], doc[order][first]])
 
     def removed(self) -> np.ndarray:
         """Which bytes go."""
         s = self.s
-        whole, places, doc, _, (order, of, first, bucket) = self.windows()
+        whole, places, doc, _, _, (order, of, first, bucket) = self.windows()
         go = np.zeros(len(places), bool)
         if len(first):
             later = self._bits(3, np.bincount(bucket[order][first], minlength=self.buckets), 0)
@@ -233,7 +240,7 @@ def settle(round_: int, pdf: pd.DataFrame) -> list[tuple[bytes, bytes]]:
         one, two = (count[which] > 1) | many, np.zeros(len(names), bool)
     else:
         span, doc, n = column("hash", np.uint64), column("doc", np.int64), [len(x) // 8 for x in pdf["hash"]]
-        name = column("name", np.uint32) if round_ == 2 else np.zeros(len(span), np.uint32)
+        name = column("name", np.uint32 if round_ == 2 else np.uint64)
         order = np.lexsort((doc, span, name))
         name, span, doc = name[order], span[order], doc[order]
         same_name = np.concatenate([[False], name[1:] == name[:-1]])
@@ -268,10 +275,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     runs of bytes as (start, end), and the bytes that stay."""
     ship(__name__)
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"))
+    # a null among whole numbers would make a task's ids floats
+    own = F.col(id_col).cast("bigint")
+    docs = docs.select(F.coalesce(own, F.lit(0)).alias("id"), own.isNull().alias("none"), F.col(text).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-size // shard_bytes))
-    buckets, parts = shards, min(shards, MOST_BUCKETS)
+    buckets, parts = max(1, -(-size // BUCKET_BYTES)), min(shards, MOST_BUCKETS)
     name = f"repeats_{uuid.uuid4().hex}"
     (dealt(docs, shards).repartition(parts, "shard").write.bucketBy(parts, "shard").sortBy("shard")
      .option("compression", "zstd").saveAsTable(name))
@@ -281,7 +290,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     answers = spark.createDataFrame([], told)
 
     def rounds(pdf: pd.DataFrame, known: pd.DataFrame) -> Rounds:
-        return Rounds(Shard(pdf["id"].tolist(), pdf["text"].tolist(), length, gram), buckets, _answers(known))
+        ids = [None if none else i for i, none in zip(pdf["id"].tolist(), pdf["none"].tolist())]
+        return Rounds(Shard(ids, pdf["text"].tolist(), length, gram), buckets, _answers(known))
 
     def sender(step: int):
         def send(key: tuple, pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
@@ -301,7 +311,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
     def finish(pdf: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         if not len(pdf):
-            return pd.DataFrame({c: [] for c in ("id", "n_bytes", "n_removed", "n_spans", "spans", "kept")})
+            return pd.DataFrame({c: [] for c in names})
         work = rounds(pdf, known)
         gone, rows = work.removed(), []
         for key, body, a, b in zip(work.s.ids, work.s.bodies, work.s.starts.tolist(), work.s.ends.tolist()):
@@ -309,11 +319,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
             steps = np.flatnonzero(np.diff(np.concatenate([[0], mine.view(np.int8), [0]])))
             runs = steps.reshape(-1, 2).tolist()
             kept = np.frombuffer(body, np.uint8)[~mine].tobytes()
-            rows.append((key, b - a, int(mine.sum()), len(runs), runs, kept))
-        out = pd.DataFrame(rows, columns=["id", "n_bytes", "n_removed", "n_spans", "spans", "kept"])
-        return out.astype({"id": "Int64"})
+            rows.append((key or 0, key is None, b - a, int(mine.sum()), len(runs), runs, kept))
+        return pd.DataFrame(rows, columns=names)
 
+    names = ["id", "none", "n_bytes", "n_removed", "n_spans", "spans", "kept"]
     result = texts.groupBy("shard").cogroup(answers.groupBy("shard")).applyInPandas(
-        finish, "id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<array<bigint>>, kept binary")
-    return result.withColumnRenamed("id", id_col)
+        finish, "id bigint, none boolean, n_bytes bigint, n_removed bigint, n_spans bigint, spans array<array<bigint>>, kept binary")
+    result = stored(result, "without-repeats")
+    spark.sql(f"DROP TABLE {name}")
+    return result.select(F.when(~F.col("none"), F.col("id")).alias(id_col), *names[2:])
 
