@@ -9,7 +9,11 @@ document's chunks that the other has, over the length of all its chunks.
 Defined cases: null text is empty; the empty fingerprint is '', contained in
 another empty one only; documents are ordered by id, null first, then by a
 hash of the text; rows may repeat, and the next row is then alike; one
-document alone is its own next."""
+document alone is its own next; an empty table gives none; only the id and the
+text are read, other columns have no part in the result. An id that a large
+part of the rows has (or none) spreads over several ranges by the hash, and of
+very many rows alike in id and text one is dealt, for all but the last are
+followed by themselves."""
 
 from __future__ import annotations
 
@@ -21,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagerel.llm.common import ship
+from pagerel.llm.common import ship, stored
 
 SMALLEST, NORMAL, LARGEST = 32, 96, 512  # bytes
 STRICT, LOOSE = 1 << (16 - 9), 1 << (16 - 5)  # a boundary in 512, in 32 places
@@ -88,31 +92,36 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - n] + following[:n]
 
 
-def in_order(docs: DataFrame, id_col: str, text: str, ranges: int) -> DataFrame:
-    """Rows (range, after, id, hash, text) dealt over ranges of ids and sorted;
-    the last row of each range, with ``after`` set, is the first of the next
-    range (after the last range: the first)."""
-    docs = docs.select(F.col(id_col).alias("_id"), F.coalesce(text, F.lit("")).alias("_text"))
-    docs = docs.withColumn("_hash", F.xxhash64("_text"))
-    cuts = docs.select(F.percentile_approx("_id", [i / ranges for i in range(1, ranges)] or [0.5], 100 * ranges)).first()[0] or []
-    cuts = np.unique(np.array(cuts, np.int64))
+def in_order(docs: DataFrame, ranges: int) -> DataFrame:
+    """``docs`` (_none, _id, _text, _hash) as rows with (_range, _after), dealt
+    over ranges of (id, hash) and sorted; the last row of each range, with
+    ``_after`` set, is the first of the next range (after the last range: the
+    first). Rows without id come first."""
+    counts = docs.agg(F.count("*").alias("n"), F.count_if("_none").alias("none"),
+                      F.percentile_approx(F.when(~F.col("_none"), F.col("_id")), [i / ranges for i in range(1, ranges)] or [0.5], 100 * ranges).alias("cuts")).first()
+    cuts = np.sort(np.array(counts["cuts"] or [], np.int64))  # an id on many rows is there several times
+    lead = -(-ranges * counts.none // max(1, counts.n))  # ranges of the rows without id
 
     @F.pandas_udf("int")
-    def place(ids: pd.Series) -> pd.Series:
-        found = np.searchsorted(cuts, ids.fillna(0).to_numpy().astype(np.int64)) + 1
-        return pd.Series(np.where(ids.isna(), 0, found))
-
-    docs = docs.withColumn("_range", place("_id"))
-    first = docs.select("_range", F.struct("_id", "_hash").alias("at")).groupBy("_range").agg(F.min("at").alias("at"))
-    heads = sorted((r._range, r["at"]["_id"], r["at"]["_hash"]) for r in first.collect())  # one row per range
+    def place(ids: pd.Series, none: pd.Series, hashes: pd.Series) -> pd.Series:
+        keys, at = ids.to_numpy(np.int64), (hashes.to_numpy(np.int64) >> 32) + (1 << 31)
+        low, high = np.searchsorted(cuts, keys), np.searchsorted(cuts, keys, "right")
+        mine = lead + low + (at * (high - low + 1) >> 32)
+        return pd.Series(np.where(none, at * lead >> 32, mine).astype(np.int32))
+
+    docs = docs.withColumn("_range", place("_id", "_none", "_hash"))
+    key = F.struct((~F.col("_none")).alias("some"), F.col("_id").alias("id"), F.col("_hash").alias("hash"))
+    first = docs.select("_range", key.alias("at")).groupBy("_range").agg(F.min("at").alias("at"))
+    heads = sorted((r._range, r["at"]["some"], r["at"]["id"], r["at"]["hash"]) for r in first.collect())  # one row per range
     if not heads:
         return docs.withColumn("_after", F.lit(False))
-    to = [(heads[i - 1][0], i_, h) for i, (_, i_, h) in enumerate(heads)]
-    to = docs.sparkSession.createDataFrame(to, "_to int, _head long, _hash long")
-    heads = (docs.join(F.broadcast(to), F.col("_id").eqNullSafe(F.col("_head")) & (docs["_hash"] == to["_hash"]))
-             .select("_id", "_text", docs["_hash"], F.col("_to").alias("_range")).dropDuplicates(["_range"]))
+    to = [(heads[i - 1][0], not some, id_, h) for i, (_, some, id_, h) in enumerate(heads)]
+    to = docs.sparkSession.createDataFrame(to, "_to int, _none boolean, _id long, _hash long")
+    heads = (docs.drop("_range").join(F.broadcast(to), ["_none", "_id", "_hash"]).withColumnRenamed("_to", "_range")
+             .dropDuplicates(["_range"]))
     both = docs.withColumn("_after", F.lit(False)).unionByName(heads.withColumn("_after", F.lit(True)))
-    return both.repartition(ranges, "_range").sortWithinPartitions("_range", "_after", "_id", "_hash")
+    n = len(cuts) + lead + 1
+    return both.repartition(max(ranges, n), "_range").sortWithinPartitions("_range", "_after", "_id", "_hash")
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text", ranges: int | None = None) -> DataFrame:
@@ -121,23 +130,48 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text
     once, by ranges of ids; each task holds one batch and one row more."""
     ship(__name__)
     ranges = ranges or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own, body = F.col(id_col).cast("bigint"), F.coalesce(F.col(text), F.lit(""))
+    # a null among whole numbers would make a batch's ids floats
+    docs = docs.select(own.isNull().alias("_none"), F.coalesce(own, F.lit(0)).alias("_id"), body.alias("_text"), F.xxhash64(body).alias("_hash"))
+
+    # rows alike in id and text that would make up half a range or more: 2 * ranges kinds at most
+    same = ["_none", "_id", "_hash"]
+    total = docs.count()
+    many = docs.groupBy(*same).agg(F.count("*").alias("_times")).filter((F.col("_times") > 1) & (F.col("_times") * 2 * ranges >= total))
+    many = stored(many, "repeated-rows")
+    ones = docs.join(F.broadcast(many.drop("_times")), same, "left_anti")
+    kinds = docs.join(F.broadcast(many), same).groupBy(*same, "_times").agg(F.first("_text").alias("_text"))
+    kinds = stored(kinds, "repeated-texts")
+
+    def against(key: int, none: bool, text_: str, chunks: dict[int, int], following: str, next_chunks: dict[int, int]) -> tuple:
+        other = edited(text_, following)
+        others = chunk_set(other)
+        return (key, none, len(text_), hashlib.sha256(other.encode()).hexdigest(), shown(chunks), shown(others),
+                containment(chunks, others), containment(chunks, next_chunks))
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None  # the row that waits for its next one
         for pdf in batches:
             rows = []
-            for place, after, key, body in zip(pdf["_range"], pdf["_after"], pdf["_id"], pdf["_text"]):
-                chunks = chunk_set(body)
+            for after, key, none, text_ in zip(pdf["_after"], pdf["_id"], pdf["_none"], pdf["_text"]):
+                chunks = chunk_set(text_)
                 if held is not None:
-                    old, old_body, old_chunks = held
-                    other = edited(old_body, body)
-                    others = chunk_set(other)
-                    rows.append((old, len(old_body), hashlib.sha256(other.encode()).hexdigest(), shown(old_chunks), shown(others),
-                                 containment(old_chunks, others), containment(old_chunks, chunks)))
-                held = None if after else (None if pd.isna(key) else int(key), body, chunks)
-            yield pd.DataFrame(rows, columns=names).astype({"id": "Int64"})
-
-    names = ["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    rows = in_order(docs, id_col, text, ranges).select("_range", "_after", "_id", "_text")
-    return rows.mapInPandas(compare, "id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string,"
-                            " near_edited double, near_next double").withColumnRenamed("id", id_col)
+                    rows.append(against(*held, text_, chunks))
+                held = None if after else (key, none, text_, chunks)
+            yield pd.DataFrame(rows, columns=names)
+
+    def compare_alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for key, none, text_, times in zip(pdf["_id"], pdf["_none"], pdf["_text"], pdf["_times"]):
+                chunks = chunk_set(text_)
+                rows.append((*against(key, none, text_, chunks, text_, chunks), times - 1))
+            yield pd.DataFrame(rows, columns=[*names, "_times"])
+
+    names = ["id", "none", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    kind = "id long, none boolean, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    rows = in_order(ones.unionByName(kinds.drop("_times")), ranges).select("_range", "_after", "_id", "_none", "_text")
+    alike = kinds.select("_id", "_none", "_text", "_times").mapInPandas(compare_alike, kind + ", _times long")
+    alike = alike.withColumn("_times", F.explode(F.sequence(F.lit(1).cast("bigint"), "_times"))).drop("_times")
+    out = rows.mapInPandas(compare, kind).unionByName(alike)
+    return out.select(F.when(~F.col("none"), F.col("id")).alias(id_col), *names[2:])
