@@ -12,7 +12,9 @@ summed log odds of its features that speak for toxicity, cut at the terciles
 of the labelled toxic documents.
 
 The fit sees at most ``max_rows`` labelled documents, half of them toxic (all,
-if fewer; else those whose ids have the smallest hashes). Every feature of
+if fewer; else those whose ids have the smallest hashes). Where ids repeat, or
+texts are so long that these rows hold more than ``max_bytes``, a share of the
+rows by their hashes stays, and none of over a sixteenth of ``max_bytes``. Every feature of
 these documents takes part. What a feature's counts say, its ``evidence``, is
 its log odds times the probability that it speaks for toxicity at all; how many
 features do is estimated from the counts. The regression is on these and has
@@ -43,6 +45,7 @@ from pagerel.llm.common import ship, stored
 
 GRADES = 3
 NEAR = 9.0  # words of the second kind: Beta(NEAR, 1)
+MAX_BYTES = 1 << 28  # of labelled text in the fit
 REJECT = 0.25  # a document is rejected if P(any grade above 0) is this or more
 LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -182,14 +185,22 @@ def fit(toxic: np.ndarray, row: np.ndarray, col: np.ndarray, each: np.ndarray) -
     return factor * each, thresholds
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", max_rows: int = 20000) -> OrdinalModel:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", max_rows: int = 20000,
+          max_bytes: int = MAX_BYTES) -> OrdinalModel:
     """Fit on the documents that ``labels`` (id_col, toxic) covers."""
     ship(__name__)
     marks = labels.select(F.col(id_col).alias("_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic in (0, 1)").dropDuplicates(["_id"])
     some = [marks.filter(F.col("toxic") == k).orderBy(F.xxhash64("_id"), "_id").limit(max_rows // 2) for k in (0, 1)]
     # no more than max_rows ids: small enough to go to every executor
-    labelled = stored(docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text"))
-                      .join(F.broadcast(some[0].unionByName(some[1])), "_id").select("text", "toxic"), "labelled")
+    every = (docs.select(F.col(id_col).alias("_id"), F.col(text).alias("text"))
+             .join(F.broadcast(some[0].unionByName(some[1])), "_id").withColumn("size", F.octet_length(F.coalesce("text", F.lit("")))))
+    # ids that repeat, or very long texts, would pass the bounds
+    seen = every.agg(F.count("*").alias("n"), F.sum("size").alias("bytes")).first()
+    share = min(1.0, max_rows / max(1, seen.n), max_bytes / max(1, seen.bytes or 0))
+    if share < 1:
+        part = F.pmod(F.xxhash64("_id", "text", F.monotonically_increasing_id()), F.lit(1 << 30)) < int(share * (1 << 30))
+        every = every.filter((F.col("size") <= max_bytes // 16) & part).limit(max_rows)
+    labelled = stored(every.select("text", "toxic"), "labelled")
     totals = {r.toxic: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     if len(totals) < 2:
         return OrdinalModel()
@@ -209,7 +220,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
             on = [np.array(sorted(at[f] for f in features(words(t)) if f in at), "<i4").tobytes() for t in pdf["text"]]
             yield pd.DataFrame({"toxic": pdf["toxic"], "on": on})
 
-    rows = labelled.mapInPandas(present, "toxic int, on binary").toArrow()  # max_rows at most, unless ids repeat
+    rows = labelled.mapInPandas(present, "toxic int, on binary").toArrow()  # max_rows at most, of about max_bytes of text
     del at
     rows = sorted(zip(rows["toxic"].to_pylist(), rows["on"].to_pylist()))  # the same order each time
     row = np.repeat(np.arange(len(rows)), [len(on) // 4 for _, on in rows])
