@@ -1,7 +1,8 @@
 """Sharding on a consistent-hash ring with virtual nodes and bounded loads.
 
-The ring has a fixed number of slots. Each shard puts virtual nodes on it, and
-a slot belongs to the next node clockwise. A key goes to its slot's shard;
+The ring has 4,096 slots, or four and more for each shard. Each shard puts
+virtual nodes on it, the first where no other shard's first is, so that each
+owns a slot, and a slot belongs to the next node clockwise. A key goes to its slot's shard;
 where that is full, it continues clockwise to the next node whose shard is
 not. Shards are bounded to counts at most one apart, so the balance is exact,
 and only what overflows moves away from its own slot.
@@ -9,19 +10,21 @@ and only what overflows moves away from its own slot.
 Keys are taken in ring order, so what a slot's shard takes are consecutive
 ranks of that order. One pass over the counts of the slots gives every step's
 share (bounded by the slots, whatever the data); a document needs no more
-than its rank in its slot. All of it is DataFrame operations.
+than its rank on the ring, which a range sort gives, so an id that very many
+rows have (or none) is no task's group. All of it is DataFrame operations.
 
 Defined cases: null text has size 16 and the CRC of nothing; a null id is a
 key like any other; rows alike share their place on the ring, each has a slot
-of its own in a shard; fewer rows than shards leave shards empty; extra
-columns stay, but for those with the names of the results and ``slot``."""
+of its own in a shard; fewer rows than shards leave shards empty, and an empty
+table all; extra columns stay, but for those with the names of the results."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagerel.llm.common import stored
+from pagerel.llm.common import carried, stored
+from pagerel.operators.dataset import row_numbers
 
 SLOTS = 4096
 NODES = 64  # of each shard
@@ -30,9 +33,13 @@ SALT = "ring-1"
 
 def ring(spark, shards: int, slots: int = SLOTS, nodes: int = NODES) -> DataFrame:
     """(slot, shard): the owner of each slot, the next node clockwise."""
-    at = (spark.range(shards).select(F.col("id").cast("int").alias("shard"), F.explode(F.sequence(F.lit(1), F.lit(nodes))).alias("node"))
-          .withColumn("hash", F.xxhash64(F.lit(SALT), "shard", "node"))
-          .groupBy(F.pmod("hash", F.lit(slots)).alias("slot")).agg(F.min_by("shard", "hash").alias("shard")))
+    shard = F.col("id").cast("int")
+    # a shard's first node: shards in a shuffled order, evenly round the ring
+    first = spark.range(shards).select(shard.alias("shard"), (F.row_number().over(Window.orderBy(F.xxhash64(F.lit(SALT), "id"), "id")) - 1).alias("nth"))
+    first = first.select("shard", F.expr(f"nth * {slots}L div {shards}").alias("slot"), F.lit(True).alias("own"), F.lit(0).cast("bigint").alias("hash"))
+    more = (spark.range(shards).select(shard.alias("shard"), F.explode(F.sequence(F.lit(1), F.lit(nodes))).alias("node"))
+            .withColumn("hash", F.xxhash64(F.lit(SALT), "shard", "node")).select("shard", F.pmod("hash", F.lit(slots)).alias("slot"), F.lit(False).alias("own"), "hash"))
+    at = first.unionByName(more).groupBy("slot").agg(F.min_by("shard", F.struct(~F.col("own"), "hash")).alias("shard"))
     every = spark.range(slots).select(F.col("id").alias("slot")).join(at, "slot", "left")
     clockwise = Window.orderBy("slot")
     onward = F.first("shard", True).over(clockwise.rowsBetween(Window.currentRow, Window.unboundedFollowing))
@@ -82,19 +89,20 @@ def plan(keys: DataFrame, shards: int, slots: int = SLOTS, nodes: int = NODES) -
     return met.groupBy("own.slot", "own.before").agg(F.collect_set("part").alias("parts"))
 
 
-def assign(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shards: int = 40, slots: int = SLOTS, nodes: int = NODES) -> DataFrame:
+def assign(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shards: int = 40, slots: int | None = None, nodes: int = NODES) -> DataFrame:
     """``docs`` without ``text``, with _size (bytes + 16), _crc (of the text),
     _shard and _slot (0, 1, ... in each shard)."""
-    where = F.xxhash64(F.lit(SALT), F.col(id_col))
-    slot = F.pmod(where, F.lit(slots))
-    planned = stored(plan(docs.select(slot.alias("slot")), shards, slots, nodes), "ring-plan")
-    planned = planned.withColumnsRenamed({"before": "_before", "parts": "_parts"})
-    docs = docs.drop("_before", "_parts")
-    full = F.coalesce(F.col(text), F.lit(""))
-    sized = docs.withColumns({"_size": F.octet_length(full).cast("bigint") + 16, "_crc": F.crc32(full), "_at": where, "slot": slot}).drop(text)
-    in_slot = Window.partitionBy("slot").orderBy("_at", id_col, "_crc", "_size")
-    ranked = sized.withColumn("_nth", F.row_number().over(in_slot) - 1).join(planned, "slot")
-    ranked = ranked.withColumn("_rank", F.col("_before") + F.col("_nth"))
-    ranked = ranked.withColumn("_part", F.expr("filter(_parts, p -> _rank >= p.from and _rank < p.from + p.n)[0]"))
-    return (ranked.withColumns({"_shard": F.col("_part.shard"), "_slot": F.col("_part.place") + F.col("_rank") - F.col("_part.from")})
-            .drop("slot", "_before", "_parts", "_at", "_nth", "_rank", "_part"))
+    slots = slots or max(SLOTS, 1 << (4 * shards - 1).bit_length())
+    kept = docs.drop("_size", "_crc", "_shard", "_slot")
+    own = carried(kept, text, id=id_col, text=text).withColumn("text", F.coalesce("text", F.lit("")))
+    where = F.xxhash64(F.lit(SALT), F.col("id"))
+    sized = own.select("_row", "id", F.pmod(where, F.lit(slots)).alias("slot"), (F.octet_length("text").cast("bigint") + 16).alias("size"), F.crc32("text").alias("crc"))
+    sized = stored(sized, "ring-keys")
+    planned = stored(plan(sized.select("slot"), shards, slots, nodes), "ring-plan").drop("before")
+    # rows alike in all are told apart by a row number, so no range is one value
+    numbered = row_numbers(sized.withColumn("nth", F.monotonically_increasing_id()), ["slot", where, "id", "crc", "size", F.xxhash64("nth"), "nth"])
+    ranked = numbered.withColumn("rank", F.col("row_no") - 1).join(F.broadcast(planned), "slot")  # a row for each slot at most
+    part = F.expr("filter(parts, p -> rank >= p.from and rank < p.from + p.n)[0]")
+    return ranked.withColumn("part", part).select(
+        "_row.*", F.col("size").alias("_size"), F.col("crc").alias("_crc"), F.col("part.shard").alias("_shard"),
+        (F.col("part.place") + F.col("rank") - F.col("part.from")).alias("_slot"))
