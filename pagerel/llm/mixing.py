@@ -12,8 +12,10 @@ its limit.
 
 Defined cases: null text has size 0 and is taken like any other; sources are
 ordered by code point with null last; a source of size 0 has target 0 and its
-documents are taken 0 times; rows with the same id are drawn alike; extra
-columns stay, but for those with the names of the results."""
+documents are taken 0 times; a draw is of the id (null: ''), the text's MD5 and
+a number among rows alike in both, so rows that share an id, or have none, are
+drawn each for itself; an empty table gives none; extra columns stay, but for
+those with the names of the results."""
 
 from __future__ import annotations
 
@@ -23,6 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pagerel.llm.common import carried, stored
+from pagerel.operators.dataset import row_numbers
 
 SEED = "mix-1"
 
@@ -60,27 +63,57 @@ def source_targets(sized: DataFrame, source: str = "source", size: str = "_size"
     return per.select("_source", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: Sequence[float] = (5, 2, 1),
-        share: float = 1.5, max_rate: float = 2.0, seed: str = SEED) -> DataFrame:
-    """``docs`` with ``_size``, ``_source_size``, ``_target`` and ``_copies``:
-    how many times the mix takes the document."""
-    sized = docs.drop("_target", "_source_size").withColumn("_size", n_words(F.col(text)))
-    per = source_targets(sized, source, "_size", weights, share, max_rate)
+def drawn_for(id_col: str, text: str) -> Column:
+    """What a document's draw is made from: its id and its text's MD5."""
+    return F.concat_ws("|", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit(""))))
+
+
+def numbered(sized: DataFrame, keys: DataFrame) -> DataFrame:
+    """``sized`` with ``_nth``, 1, 2, ... among rows with the same ``_key``.
+    Only rows whose key repeats among ``keys`` are sorted, by ranges, so that a
+    key on very many rows is no task's group."""
+    again = stored(keys.groupBy("_key").agg(F.count("*").alias("_n")).filter("_n > 1").drop("_n"), "repeated-keys")
+    if again.isEmpty():
+        return sized.withColumn("_nth", F.lit(1).cast("bigint"))
+    once = sized.join(again, "_key", "left_anti").withColumn("_nth", F.lit(1).cast("bigint"))
+    many = sized.join(again, "_key", "left_semi").withColumn("_row_id", F.monotonically_increasing_id())
+    many = row_numbers(many, ["_key", F.xxhash64("_row_id"), "_row_id"])
+    start = stored(many.groupBy("_key").agg(F.min("row_no").alias("_start")), "repeated-starts")
+    many = many.join(start, "_key").withColumn("_nth", F.col("row_no") - F.col("_start") + 1)
+    return once.unionByName(many.select(once.columns))
+
+
+def mix_sized(sized: DataFrame, sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5, max_rate: float = 2.0, seed: str = SEED) -> DataFrame:
+    """``sized`` (_key, _source, _size and others) with ``_source_size``,
+    ``_target`` and ``_copies``: how many times the mix takes the row.
+    ``sizes``: the three columns of the same rows, stored."""
+    per = source_targets(sizes, "_source", "_size", weights, share, max_rate)
     per = per.select(F.col("_source").isNull().alias("_none"), F.coalesce("_source", F.lit("")).alias("_name"),
                      F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
     # a stored table's size is known: a few sources are broadcast by their
     # size, very many are joined by a shuffle
     per = stored(per, "targets")
     rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
-    luck = draw(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    return (sized.withColumn("_none", F.col(source).isNull()).withColumn("_name", F.coalesce(source, F.lit("")))
+    luck = draw(F.lit(seed), F.col("_key"), F.col("_nth").cast("string"))
+    return (numbered(sized, sizes).withColumn("_none", F.col("_source").isNull()).withColumn("_name", F.coalesce("_source", F.lit("")))
             .join(per, ["_none", "_name"]).drop("_none", "_name")
             .withColumn("_copies", F.floor(rate) + (luck < rate - F.floor(rate)).cast("bigint")))
 
 
-def emit(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
+    """``docs`` without ``text``, with ``_size``, ``_source_size``, ``_target``
+    and ``_copies``. Words are counted once: what is stored and read again are
+    the rows without their texts."""
+    own = carried(docs.drop("_size", "_source_size", "_target", "_copies"), text, _id=id_col, _text=text, _source=source)
+    sized = own.select("_row", "_source", n_words(F.col("_text")).alias("_size"), drawn_for("_id", "_text").alias("_key"))
+    sized = stored(sized, "sizes")
+    return mix_sized(sized, sized, **options).select("_row.*", "_size", "_source_size", "_target", "_copies")
+
+
+def emit(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mix itself: the rows of ``docs``, each as often as it is taken."""
-    named = {"doc_id": options.pop("id_col", "doc_id"), "text": options.pop("text", "text"), "source": options.pop("source", "source")}
-    mixed = mix(carried(docs, **named), **options)
+    own = carried(docs, _id=id_col, _text=text, _source=source)
+    sized = own.select("_row", "_source", n_words(F.col("_text")).alias("_size"), drawn_for("_id", "_text").alias("_key"))
     every = F.explode(F.when(F.col("_copies") > 0, F.sequence(F.lit(1), F.col("_copies").cast("int"))))
-    return mixed.withColumn("_copy", every).select("_row.*")
+    sizes = stored(sized.select("_key", "_source", "_size"), "sizes")
+    return mix_sized(sized, sizes, **options).withColumn("_copy", every).select("_row.*")

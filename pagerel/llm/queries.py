@@ -117,7 +117,9 @@ QUERIES = {
 ORACLES: dict[str, str] = {
     "op4_mixing": r"""
 WITH d AS (
-  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size FROM documents),
+  SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+         coalesce(CAST(doc_id AS VARCHAR), '') || '|' || md5(coalesce(text, '')) AS key,
+         row_number() OVER (PARTITION BY doc_id, md5(coalesce(text, ''))) AS nth FROM documents),
 s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size, sum(size) * 2.0::DOUBLE AS cap FROM d GROUP BY source),
 w AS (
@@ -130,7 +132,7 @@ t AS (
   SELECT l.source, l.source_size, least(l.cap, coalesce((SELECT level FROM l AS m WHERE m.level * m.w <= m.cap ORDER BY m.cap / m.w, m.level DESC LIMIT 1) * l.w, l.cap)) AS target FROM l),
 r AS (
   SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-         CAST(('0x' || substr(md5('mix-1|' || coalesce(CAST(d.doc_id AS VARCHAR), '')), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS luck
+         CAST(('0x' || substr(md5('mix-1|' || key || '|' || nth), 1, 13)) AS BIGINT) / 4503599627370496.0::DOUBLE AS luck
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, size * CAST(floor(rate) + CASE WHEN luck < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS taken FROM r
 """,
