@@ -25,6 +25,7 @@ from pagerel.llm.common import components, ship, stored
 
 BITS = 64
 CHUNK = 65536  # shingles hashed at a time
+HOT = 1000
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
@@ -80,13 +81,19 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """``docs`` without ``text``, with ``fingerprint`` (16 hex digits),
     ``component_id`` (smallest id reachable over links) and ``component_key``
     (one value per component). Other columns of ``docs`` come along; the
-    names of the three and ``_fp`` are taken."""
-    fps = stored(fingerprints(docs.drop("fingerprint", "component_id", "component_key", "_fp"), text, shingle), "simhash")
+    names of the three, ``_fp`` and ``_n`` are taken."""
+    fps = stored(fingerprints(docs.drop("fingerprint", "component_id", "component_key", "_fp", "_n"), text, shingle), "simhash")
     # copies fall together here, summed up before the shuffle
-    distinct = stored(fps.groupBy("_fp").agg(F.min(id_col).alias("_id")), "simhash-distinct")
+    distinct = stored(fps.groupBy("_fp").agg(F.min(id_col).alias("_id"), F.count("*").alias("_n")), "simhash-distinct")
     roots = stored(components(links(distinct, max_bits)).select(F.col("node").alias("_fp"), F.col("root").alias("component_key")), "roots")
     ids = roots.join(distinct, "_fp").groupBy("component_key").agg(F.min("_id").alias("component_id"))
     linked = roots.join(ids, "component_key")
-    of = distinct.join(linked, "_fp", "left").select("_fp", F.when(F.col("component_key").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id"),
+    of = distinct.join(linked, "_fp", "left").select("_fp", "_n", F.when(F.col("component_key").isNull(), F.col("_id")).otherwise(F.col("component_id")).alias("component_id"),
                                                      F.coalesce("component_key", "_fp").alias("component_key"))
-    return fps.join(of, "_fp").withColumn("fingerprint", F.lpad(F.lower(F.hex("_fp")), 16, "0")).drop("_fp")
+    of = stored(of, "simhash-of")
+    # fingerprints on a thousandth of all rows or more, 1,000 at most, go to
+    # the rows; the others' rows meet theirs in a shuffle without hot keys
+    total = distinct.agg(F.sum("_n")).first()[0] or 0
+    often, seldom = of.filter(F.col("_n") * HOT >= total).drop("_n"), of.filter(F.col("_n") * HOT < total).drop("_n")
+    rows = fps.join(F.broadcast(often), "_fp").unionByName(fps.join(F.broadcast(often.select("_fp")), "_fp", "left_anti").join(seldom, "_fp"))
+    return rows.withColumn("fingerprint", F.lpad(F.lower(F.hex("_fp")), 16, "0")).drop("_fp")
