@@ -98,5 +98,5 @@ def test_no_documents(spark, tmp_path):
 
 def test_registered():
     names = [n for n in E.queries() if n.startswith("op") and "_" in n]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert set(QUERIES) <= set(E.queries()) and "pipeline" in E.queries() and set(ORACLES) <= set(QUERIES)
