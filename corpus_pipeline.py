@@ -21,39 +21,48 @@ REJECT = toxicity.REJECT
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose probability of any toxicity is under REJECT, as they
+    are; null or empty text is clean, and without labels all stay."""
     model = toxicity.train(docs, table(spark, sf_dir, "labels"))
     scored = toxicity.score(carried(docs, text="text"), model)
     return scored.filter(F.col("p_toxic") < REJECT).select("_row.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines that an earlier one has in a run of three;
+    null text stays null, an emptied one is ''."""
     out = lines.drop_repeated_lines(docs)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group the document with the smallest id stays; of rows alike
-    in id and text one."""
+    in id and text one. Same columns; null text is empty, a row without id
+    stays only where its group has no id."""
     text_hash = F.xxhash64("text").alias("_th")
     groups = simhash.near_duplicates(docs.select("doc_id", text_hash, "text"), shingle=3, max_bits=2)
-    stay = (groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_key")
-            .agg(F.min(F.struct("doc_id", "_th")).alias("it")))
+    alike = (groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_key", "doc_id", "_th")
+             .agg(F.count("*").alias("times")))
+    stay = alike.groupBy("component_key").agg(F.min(F.struct("doc_id", "_th", "times")).alias("it"))
     key = lambda i: [i.isNull().alias("_none"), F.coalesce(i, F.lit(0)).alias("_key")]
-    stay = stay.select(*key(F.col("it.doc_id")), "it._th")
+    stay = stored(stay.select(*key(F.col("it.doc_id")), "it._th", "it.times"), "stay")
     rows = carried(docs, doc_id="doc_id", text="text").select("_row", *key(F.col("doc_id")), text_hash)
     same = ["_none", "_key", "_th"]
-    # rows alike in id and text have met in the join; a window there takes one
-    # of them as it streams by, where an aggregate would hold whole texts
-    nth = F.row_number().over(Window.partitionBy(*same).orderBy("_rh"))
-    kept = rows.withColumn("_rh", F.xxhash64("_row")).join(stay, same, "left_semi")
-    return kept.withColumn("_nth", nth).filter(F.col("_nth") == 1).select("_row.*")
+    once = rows.join(stay.filter("times = 1"), same, "left_semi")
+    # repeated rows: each task sends one of a kind on
+    many = rows.join(stay.filter("times > 1"), same, "left_semi").groupBy(*same).agg(F.first("_row").alias("_row"))
+    return once.select("_row.*").unionByName(many.select("_row.*"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows as often as the mix takes them, 0 times or more; null source
+    is a source, empty texts have no size and go by their source's rate."""
     return mixing.emit(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces with their sequence and place; every row is packed by itself,
+    null text as the end mark alone."""
     return packing.pack(docs)
 
 
