@@ -11,6 +11,8 @@ from . import rules
 # Java's ``\s`` is ASCII-only, so the class is spelled out.
 WS_CLASS = ("[\t\n\u000b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
             "\ufeff\u200b\u200c\u200d]+")
+# JS ``trim``: as above without the zero-width space and joiners.
+JS_WS_CLASS = ("[\t\n\u000b\f\r \u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]+")
 XPATH_WS = "[ \t\r\n]+"
 
 
@@ -25,14 +27,9 @@ def clean(c: Column) -> Column:
 
 
 def match_text(c: Column) -> Column:
-    """XPath normalize-space(): only [ \\t\\r\\n]+ collapsed."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), XPATH_WS, " "))
-
-
-def subtree_text(page_text: Column, t_start: Column, t_end: Column) -> Column:
-    """Raw textContent of an element: its slice of the page text stream
-    (subtree texts are contiguous in document order)."""
-    return F.substring(page_text, t_start + 1, t_end - t_start)
+    """Only [ \\t\\r\\n]+ collapsed; the ends lose every space that
+    JavaScript's ``trim`` knows."""
+    return F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), XPATH_WS, " "), f"^{JS_WS_CLASS}|{JS_WS_CLASS}$", "")
 
 
 def describe(tag: Column, id_: Column, classes: Column) -> Column:

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions.selectors import css_escape, css_string
 from ..functions.text import value_kind
+from ..schema import STEPS
 from ..session import cut_lineage
+from .select import distinct_matches, make_step
 
 
 def img_url_raw(attrs: Column) -> Column:
@@ -72,182 +74,100 @@ def _rel_candidates(nodes: DataFrame) -> Column:
     """L10 simple candidates of a node, in order: test/semantic attributes
     (no 3-digit run), each semantic class, <= 3 semantic classes,
     tag.class for each semantic class, bare tag.
-    -> ARRAY<STRUCT<tag, feats, css>>"""
+    -> ARRAY<STRUCT<tag, kind, cs, n, v>>"""
     attrs = F.col("attrs")
     names = F.filter(F.array(*[F.lit(a) for a in rules.REL_ATTRS]),
                      lambda a: attrs[a].isNotNull() & (attrs[a] != "")
                      & ~attrs[a].rlike("[0-9]{3,}"))
     no = F.lit(None).cast("string")
 
-    def c(tag, feats, kind, cs=None, n=None, v=None):
-        return F.struct(tag.alias("tag"), feats.alias("feats"), F.lit(kind).alias("kind"),
+    def c(tag, kind, cs=None, n=None, v=None):
+        return F.struct(tag.alias("tag"), F.lit(kind).alias("kind"),
                         (cs if cs is not None else F.array().cast("array<string>")).alias("cs"),
                         (n if n is not None else no).alias("n"), (v if v is not None else no).alias("v"))
 
     sem = F.col("sem")
-    et = ("array<struct<tag:string,feats:array<string>,kind:string,cs:array<string>,n:string,v:string>>")
+    et = "array<struct<tag:string,kind:string,cs:array<string>,n:string,v:string>>"
     return F.concat(
-        F.transform(names, lambda a: c(no, F.array(F.concat(F.lit("a:"), a, F.lit("="), attrs[a])), "attr", n=a, v=attrs[a])),
-        F.transform(sem, lambda s: c(no, F.array(F.concat(F.lit("c:"), s)), "class", cs=F.array(s))),
-        F.when(F.size(sem) > 1, F.array(c(no, F.transform(F.slice(sem, 1, 3), lambda s: F.concat(F.lit("c:"), s)), "class",
-                                          cs=F.slice(sem, 1, 3)))).otherwise(F.array().cast(et)),
-        F.transform(sem, lambda s: c(F.col("tag"), F.array(F.concat(F.lit("c:"), s)), "class", cs=F.array(s))),
-        F.array(c(F.col("tag"), F.array().cast("array<string>"), "tag")),
+        F.transform(names, lambda a: c(no, "attr", n=a, v=attrs[a])),
+        F.transform(sem, lambda s: c(no, "class", cs=F.array(s))),
+        F.when(F.size(sem) > 1, F.array(c(no, "class", cs=F.slice(sem, 1, 3)))).otherwise(F.array().cast(et)),
+        F.transform(sem, lambda s: c(F.col("tag"), "class", cs=F.array(s))),
+        F.array(c(F.col("tag"), "tag")),
     )
 
 
+def _candidate(c: Column) -> tuple[Column, Column]:
+    """CSS text and step of one simple candidate."""
+    css = F.concat(F.coalesce(css_escape(c["tag"]), F.lit("")),
+                   F.when(c["kind"] == "attr", F.concat(F.lit("["), c["n"], F.lit("="), css_string(c["v"]), F.lit("]")))
+                   .otherwise(F.array_join(F.transform(c["cs"], lambda x: F.concat(F.lit("."), css_escape(x))), "")))
+    attrs = F.when(c["kind"] == "attr", F.create_map(c["n"], c["v"])).otherwise(F.create_map().cast("map<string,string>"))
+    return css, make_step(tag=c["tag"], classes=c["cs"], attrs=attrs)
+
+
+def _tail_step() -> tuple[Column, Column]:
+    """One element of a child path: tag, first two semantic classes and
+    nth-of-type where there are several, as CSS text and step."""
+    cs, nth = F.slice("sem", 1, 2), F.when(F.col("nth_count") > 1, F.col("nth"))
+    css = F.concat(css_escape(F.col("tag")), F.array_join(F.transform(cs, lambda x: F.concat(F.lit("."), css_escape(x))), ""),
+                   F.when(nth.isNotNull(), F.concat(F.lit(":nth-of-type("), nth.cast("string"), F.lit(")"))).otherwise(F.lit("")))
+    return css, make_step(tag=F.col("tag"), comb="child", classes=cs, nth=nth)
+
+
 def relative_selectors(ps, dn: DataFrame) -> DataFrame:
-    """Selector of each data node relative to its row: the first simple
-    candidate matching exactly that node among the row's descendants; else
-    the full child path from the row ('> a > b:nth-of-type(2)').
-    The row itself gets ''.
+    """Selector of each data node relative to its row: the first that
+    matches exactly that node among the row's descendants, of its simple
+    candidates; else of those of its ancestors inside the row, the lowest
+    first, with the child path down to the node; else the full child path
+    ('> a > b:nth-of-type(2)'). The row itself gets ''.
+
+    Both kinds are one match each over all nodes and levels; a row's distinct
+    selectors are matched once, however many of its nodes ask for them.
     dn: (page_id, list_rank, row_id, node_id, row_depth, depth)
     -> (page_id, list_rank, row_id, node_id, sel, steps)"""
-    from ..schema import STEPS
-
-    nodes = ps.nodes
-    pairs = dn.select("page_id", "list_rank", "row_id", "node_id", "row_depth", "depth").distinct()
-    inner = pairs.filter(F.col("node_id") != F.col("row_id"))
-    cn = inner.join(nodes.select("page_id", "node_id", "tag", "attrs", "sem"), ["page_id", "node_id"])
-    cands = cn.select("page_id", "list_rank", "row_id", "node_id", F.posexplode(_rel_candidates(cn)).alias("prio", "c"))
-    cands = cands.select("page_id", "list_rank", "row_id", "node_id", "prio", "c.*")
-    # features of every node inside the rows of interest (rows' strict descendants)
-    rows = pairs.select("page_id", "row_id").distinct()
-    fe = F.concat(F.array(F.concat(F.lit("t:"), F.col("tag"))),
-                  F.transform("classes", lambda x: F.concat(F.lit("c:"), x)),
-                  F.transform(F.filter("attr_names", lambda a: a.isin(*rules.REL_ATTRS)),
-                              lambda a: F.concat(F.lit("a:"), a, F.lit("="), F.col("attrs")[a])))
-    nf = nodes.select("page_id", F.col("node_id").alias("m_id"), F.posexplode("anc").alias("apos", "row_id"),
-                      F.size("anc").alias("_n"), fe.alias("fe")).filter(F.col("apos") < F.col("_n") - 1)
-    nf = nf.join(rows, ["page_id", "row_id"], "left_semi").select("page_id", "row_id", "m_id", F.explode("fe").alias("feat"))
-    need = cands.select("page_id", "list_rank", "row_id", "node_id", "prio",
-                        F.concat(F.when(F.col("tag").isNotNull(), F.array(F.concat(F.lit("t:"), F.col("tag"))))
-                                 .otherwise(F.array().cast("array<string>")), F.col("feats")).alias("all_f"))
-    need = need.select("*", F.size("all_f").alias("nf"), F.explode("all_f").alias("feat"))
-    hits = need.join(nf, ["page_id", "row_id", "feat"])
-    per = hits.groupBy("page_id", "list_rank", "row_id", "node_id", "prio", "nf", "m_id").agg(F.count(F.lit(1)).alias("k"))
-    cnt = per.filter(F.col("k") == F.col("nf")).groupBy("page_id", "list_rank", "row_id", "node_id", "prio").agg(
-        F.count(F.lit(1)).alias("matches"), F.max("m_id").alias("m_id"))
-    uniq = cnt.filter((F.col("matches") == 1) & (F.col("m_id") == F.col("node_id")))
-    best = uniq.groupBy("page_id", "list_rank", "row_id", "node_id").agg(F.min("prio").alias("prio"))
-    chosen = best.join(cands, ["page_id", "list_rank", "row_id", "node_id", "prio"])
-    step = F.struct(F.lit("desc").alias("comb"), F.col("tag"), F.lit(None).cast("string").alias("id"),
-                    F.col("cs").alias("classes"),
-                    F.when(F.col("kind") == "attr", F.create_map(F.col("n"), F.col("v")))
-                    .otherwise(F.create_map().cast("map<string,string>")).alias("attrs"),
-                    F.lit(None).cast("int").alias("nth"), F.lit(None).cast("string").alias("text"),
-                    F.lit(None).cast("string").alias("has_child"))
-    css = F.concat(
-        F.coalesce(css_escape(F.col("tag")), F.lit("")),
-        F.when(F.col("kind") == "attr", F.concat(F.lit("["), F.col("n"), F.lit("="), css_string(F.col("v")), F.lit("]")))
-        .otherwise(F.array_join(F.transform("cs", lambda x: F.concat(F.lit("."), css_escape(x))), "")),
-    )
-    lvl0 = cut_lineage(chosen.select("page_id", "list_rank", "row_id", "node_id", css.alias("sel"), F.array(step).cast(STEPS).alias("steps")))
-    # level k: a candidate of the k-th ancestor (inside the row) + child path tail
-    left = inner.join(lvl0, ["page_id", "list_rank", "row_id", "node_id"], "left_anti")
-    anchored = anchored_selectors(ps, left)
-    if anchored is not None:
-        lvl0 = lvl0.unionByName(anchored)
-        left = left.join(anchored, ["page_id", "list_rank", "row_id", "node_id"], "left_anti")
-    # fallback: the full child path from the row
-    path = left.join(nodes.select("page_id", "node_id", "anc"), ["page_id", "node_id"]).select(
-        "page_id", "list_rank", "row_id", "node_id", F.posexplode("anc").alias("pos", "p_id"), "row_depth").filter(
-        F.col("pos") > F.col("row_depth"))
-    path = path.join(nodes.select("page_id", F.col("node_id").alias("p_id"), "tag", "sem", "nth", "nth_count"), ["page_id", "p_id"])
-    pstep = F.struct(F.lit("child").alias("comb"), F.col("tag"), F.lit(None).cast("string").alias("id"),
-                     F.slice("sem", 1, 2).alias("classes"), F.create_map().cast("map<string,string>").alias("attrs"),
-                     F.when(F.col("nth_count") > 1, F.col("nth")).alias("nth"), F.lit(None).cast("string").alias("text"),
-                     F.lit(None).cast("string").alias("has_child"))
-    pcss = F.concat(css_escape(F.col("tag")),
-                    F.array_join(F.transform(F.slice("sem", 1, 2), lambda x: F.concat(F.lit("."), css_escape(x))), ""),
-                    F.when(F.col("nth_count") > 1, F.concat(F.lit(":nth-of-type("), F.col("nth").cast("string"), F.lit(")")))
-                    .otherwise(F.lit("")))
-    full = path.groupBy("page_id", "list_rank", "row_id", "node_id").agg(
-        F.array_sort(F.collect_list(F.struct("pos", pcss.alias("css"), pstep.alias("st"))),
-                     lambda l, r: F.when(l["pos"] < r["pos"], -1).when(l["pos"] > r["pos"], 1).otherwise(0)).alias("p"))
-    full = full.select("page_id", "list_rank", "row_id", "node_id",
-                       F.concat(F.lit("> "), F.array_join(F.transform("p", lambda x: x["css"]), " > ")).alias("sel"),
-                       F.transform("p", lambda x: x["st"]).cast(STEPS).alias("steps"))
-    selfrow = pairs.filter(F.col("node_id") == F.col("row_id")).select(
-        "page_id", "list_rank", "row_id", "node_id", F.lit("").alias("sel"), F.array().cast(STEPS).alias("steps"))
-    return lvl0.unionByName(full).unionByName(selfrow)
-
-
-def _tail_step(tag: Column, sem: Column, nth: Column, nth_count: Column):
-    """pathStep: tag + first two semantic classes + nth-of-type when needed,
-    as (css, step) for a child combinator."""
-    css = F.concat(css_escape(tag), F.array_join(F.transform(F.slice(sem, 1, 2), lambda x: F.concat(F.lit("."), css_escape(x))), ""),
-                   F.when(nth_count > 1, F.concat(F.lit(":nth-of-type("), nth.cast("string"), F.lit(")"))).otherwise(F.lit("")))
-    st = F.struct(F.lit("child").alias("comb"), tag.alias("tag"), F.lit(None).cast("string").alias("id"),
-                  F.slice(sem, 1, 2).alias("classes"), F.create_map().cast("map<string,string>").alias("attrs"),
-                  F.when(nth_count > 1, nth).cast("int").alias("nth"), F.lit(None).cast("string").alias("text"),
-                  F.lit(None).cast("string").alias("has_child"))
-    return css, st
-
-
-def anchored_selectors(ps, left: DataFrame, max_levels: int | None = None) -> DataFrame | None:
-    """L10 levels >= 1: for data nodes without a unique simple candidate,
-    try, ancestor by ancestor (inside the row), the ancestor's simple
-    candidates followed by the child path down to the node; the first
-    candidate (lowest level, then priority) matching exactly the node in
-    its row wins. Each level is one matcher run over the still unresolved
-    nodes. -> (page_id, list_rank, row_id, node_id, sel, steps) or None."""
-    from ..schema import STEPS
-    from .select import Matcher
-
     nodes = ps.nodes
     key = ["page_id", "list_rank", "row_id", "node_id"]
-    left = left.select(*key, "row_depth", "depth")
-    top = left.agg(F.max(F.col("depth") - F.col("row_depth") - 1)).first()[0] or 0
-    if max_levels is not None:
-        top = min(top, max_levels)
-    if top < 1:
-        return None
-    info = nodes.select("page_id", "node_id", "tag", "sem", "nth", "nth_count")
-    withanc = left.join(nodes.select("page_id", "node_id", "anc"), ["page_id", "node_id"])
-    # tail steps of every node on the path (computed once): pos -> (css, step)
-    path = withanc.select(*key, "depth", F.posexplode("anc").alias("pos", "p_id"))
-    path = path.join(info.withColumnRenamed("node_id", "p_id"), ["page_id", "p_id"])
-    css, st = _tail_step(F.col("tag"), F.col("sem"), F.col("nth"), F.col("nth_count"))
-    path = cut_lineage(path.select(*key, "pos", "p_id", css.alias("css"), st.alias("st")))
-    found = None
-    todo = withanc
-    for k in range(1, top + 1):
-        lv = todo.filter(F.col("depth") - k > F.col("row_depth"))
-        # anchor = the k-th ancestor; its candidates come from _rel_candidates
-        anc = lv.select(*key, (F.col("depth") - k).alias("apos")).join(
-            path.select(*key, F.col("pos").alias("apos"), F.col("p_id").alias("anchor")), [*key, "apos"])
-        an = anc.join(nodes.select("page_id", F.col("node_id").alias("anchor"), "tag", "attrs", "sem"), ["page_id", "anchor"])
-        cands = an.select(*key, "apos", F.posexplode(_rel_candidates(an)).alias("prio", "c")).select(*key, "apos", "prio", "c.*")
-        tail = path.join(lv.select(*key, "depth"), key).filter(F.col("pos") > F.col("depth") - k).groupBy(*key).agg(
-            F.array_sort(F.collect_list(F.struct("pos", "css", "st")),
-                         lambda a, b: F.when(a["pos"] < b["pos"], -1).when(a["pos"] > b["pos"], 1).otherwise(0)).alias("t"))
-        c = cands.join(tail, key)
-        head = F.struct(F.lit("desc").alias("comb"), F.col("tag"), F.lit(None).cast("string").alias("id"), F.col("cs").alias("classes"),
-                        F.when(F.col("kind") == "attr", F.create_map(F.col("n"), F.col("v"))).otherwise(F.create_map().cast("map<string,string>")).alias("attrs"),
-                        F.lit(None).cast("int").alias("nth"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("has_child"))
-        head_css = F.concat(F.coalesce(css_escape(F.col("tag")), F.lit("")),
-                            F.when(F.col("kind") == "attr", F.concat(F.lit("["), F.col("n"), F.lit("="), css_string(F.col("v")), F.lit("]")))
-                            .otherwise(F.array_join(F.transform("cs", lambda x: F.concat(F.lit("."), css_escape(x))), "")))
-        c = c.select(*key, "prio",
-                     F.concat(F.array(head), F.transform("t", lambda x: x["st"])).cast(STEPS).alias("steps"),
-                     F.concat(head_css, F.lit(" > "), F.array_join(F.transform("t", lambda x: x["css"]), " > ")).alias("sel"))
-        c = cut_lineage(c)
-        if c.isEmpty():
-            break
-        own = ["page_id", "list_rank", "scope_id", "for_id", "prio"]
-        sels = c.select("page_id", "list_rank", F.col("row_id").alias("scope_id"), F.col("node_id").alias("for_id"), "prio", "steps")
-        m = Matcher(ps).match(sels.drop("steps"), sels, own, ["list_rank", "for_id", "prio"])
-        cnt = m.groupBy(*own).agg(F.count(F.lit(1)).alias("n"), F.max("node_id").alias("m_id")).withColumnsRenamed(
-            {"scope_id": "row_id", "for_id": "node_id"})
-        ok = c.join(cnt, [*key, "prio"]).filter((F.col("n") == 1) & (F.col("m_id") == F.col("node_id")))
-        best = ok.groupBy(*key).agg(F.min_by(F.struct("sel", "steps"), "prio").alias("b")).select(*key, "b.sel", "b.steps")
-        best = cut_lineage(best)
-        found = best if found is None else found.unionByName(best)
-        todo = todo.join(best.select(*key), key, "left_anti")
-        if todo.isEmpty():
-            break
-    return found
+    pairs = cut_lineage(dn.select(*key, "row_depth", "depth").distinct(), "data-nodes")
+    inner = pairs.filter("node_id <> row_id")
+    # candidates and path steps of each element of interest, once
+    chain = inner.join(nodes.select("page_id", "node_id", "anc"), ["page_id", "node_id"]).select(
+        *key, "row_depth", "depth", F.posexplode("anc").alias("pos", "p_id")).filter("pos > row_depth")
+    info = nodes.select("page_id", F.col("node_id").alias("p_id"), "tag", "attrs", "sem", "nth", "nth_count")
+    info = info.join(chain.select("page_id", "p_id").distinct(), ["page_id", "p_id"], "left_semi")
+    made = F.transform(_rel_candidates(info), lambda c: F.struct(*(x.alias(n) for n, x in zip(("css", "step"), _candidate(c)))))
+    tail_css, tail = _tail_step()
+    info = cut_lineage(info.select("page_id", "p_id", made.alias("cands"), F.struct(tail_css.alias("css"), tail.alias("step")).alias("tail")), "elements")
+
+    def first_unique(cands: DataFrame) -> DataFrame:
+        """The first by ``prio`` of those that match their node only."""
+        cands = cut_lineage(cands, "relative")
+        n = distinct_matches(ps, cands.withColumnRenamed("row_id", "scope_id"), False).withColumnRenamed("scope_id", "row_id")
+        ok = cands.join(n, ["page_id", "row_id", "css"]).filter((F.col("matches") == 1) & (F.col("last_id") == F.col("node_id")))
+        return cut_lineage(ok.groupBy(*key).agg(F.min_by(F.struct(F.col("css").alias("sel"), "steps"), "prio").alias("s")).select(*key, "s.*"), "chosen")
+
+    own = inner.join(info.withColumnRenamed("p_id", "node_id"), ["page_id", "node_id"])
+    own = own.select(*key, F.posexplode("cands").alias("i", "c")).select(*key, F.struct(F.lit(0).alias("up"), "i").alias("prio"), "c.css", F.array("c.step").cast(STEPS).alias("steps"))
+    found = first_unique(own)
+    left = inner.join(found, key, "left_anti")
+    path = chain.join(left.select(*key), key, "left_semi").join(info, ["page_id", "p_id"])
+    # as many entries as the row is deep
+    path = path.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "cands", "tail")),
+                                               lambda l, r: F.when(l["pos"] < r["pos"], -1).when(l["pos"] > r["pos"], 1).otherwise(0)).alias("p"))
+    path = cut_lineage(path, "paths")
+    n = F.size("p")
+    levels = path.filter(n > 1).withColumn("up", F.explode(F.sequence(F.lit(1), n - 1)))
+    below = F.slice("p", n - F.col("up") + 1, F.col("up"))
+    levels = levels.select(*key, "up", below.alias("below"), F.posexplode(F.get("p", n - F.col("up") - 1)["cands"]).alias("i", "c"))
+    anchored = levels.select(*key, F.struct("up", "i").alias("prio"),
+                             F.concat(F.col("c.css"), F.lit(" > "), F.array_join(F.transform("below", lambda x: x["tail"]["css"]), " > ")).alias("css"),
+                             F.concat(F.array("c.step"), F.transform("below", lambda x: x["tail"]["step"])).cast(STEPS).alias("steps"))
+    higher = first_unique(anchored)
+    full = path.join(higher, key, "left_anti").select(
+        *key, F.concat(F.lit("> "), F.array_join(F.transform("p", lambda x: x["tail"]["css"]), " > ")).alias("sel"),
+        F.transform("p", lambda x: x["tail"]["step"]).cast(STEPS).alias("steps"))
+    row = pairs.filter("node_id = row_id").select(*key, F.lit("").alias("sel"), F.array().cast(STEPS).alias("steps"))
+    return found.unionByName(higher).unionByName(full).unionByName(row)
 
 
 def guess_names(stats: DataFrame) -> DataFrame:

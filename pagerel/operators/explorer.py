@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import classes as C
 from ..functions import rules
 from ..functions.selectors import css_escape, css_string, xpath_string
-from ..functions.text import clean, match_text, subtree_text
+from ..functions.text import clean, match_text
 from .lists import leaf_counts, model_attrs, row_selectors, unique_selectors
-from .tree import signatures
+from .tree import signatures, with_text
 from ..session import cut_lineage
 
 
@@ -43,9 +43,8 @@ def element_profile(ps, targets: DataFrame) -> DataFrame:
 
     t = targets.select("page_id", "node_id").distinct()
     n = ps.nodes.join(t, ["page_id", "node_id"], "left_semi")
-    base = n.join(ps.info.select("page_id", "page_text"), "page_id").select(
-        "page_id", "node_id", "tag",
-        clean(subtree_text(F.col("page_text"), F.col("t_start"), F.col("t_end"))).alias("text"), "own_text",
+    base = with_text(ps, n).select(
+        "page_id", "node_id", "tag", clean(F.col("raw_text")).alias("text"), "own_text",
         F.col("n_children").alias("children"), (~F.col("hidden")).alias("visible"),
         F.coalesce(F.col("attrs")["value"], F.lit("")).alias("value"), F.col("attrs").alias("attributes"),
     )
@@ -77,8 +76,8 @@ def selector_parts(ps, targets: DataFrame, text_max: int | None = None) -> DataF
     t = targets.select("page_id", F.col("node_id").alias("target_id")).join(
         ps.nodes.select("page_id", F.col("node_id").alias("target_id"), "anc"), ["page_id", "target_id"])
     ch = t.select("page_id", "target_id", F.posexplode("anc").alias("pos", "node_id")).filter(F.col("pos") >= 1)
-    ch = ch.join(ps.nodes, ["page_id", "node_id"]).join(ps.info.select("page_id", "page_text"), "page_id")
-    mt = match_text(subtree_text(F.col("page_text"), F.col("t_start"), F.col("t_end")))
+    ch = with_text(ps, ch.join(ps.nodes, ["page_id", "node_id"]))
+    mt = match_text(F.col("raw_text"))
     target = F.col("node_id") == F.col("target_id")
     none = F.array().cast(f"array<{PART}>")
     stable = C.is_stable_id(F.col("id"))
@@ -257,9 +256,10 @@ def header_names(ps, cells: DataFrame) -> DataFrame:
     hc = cells_all.select("page_id", F.col("tr").alias("hdr"), "ci", F.col("node_id").alias("hcell"))
     c = c.join(hc, ["page_id", "hdr", "ci"])
     c = c.join(nodes.select("page_id", F.col("node_id").alias("hcell"), "t_start", "t_end"), ["page_id", "hcell"])
-    c = c.join(ps.info.select("page_id", "page_text"), "page_id")
-    name = clean(subtree_text(F.col("page_text"), F.col("t_start"), F.col("t_end")))
-    return c.select("page_id", "row", "el", name.alias("header"))
+    # each header cell's text once, whatever the number of its column's cells
+    names = with_text(ps, cut_lineage(c.select("page_id", "hcell", "t_start", "t_end").distinct(), "header-cells"))
+    names = names.select("page_id", "hcell", clean(F.col("raw_text")).alias("header"))
+    return c.join(names, ["page_id", "hcell"]).select("page_id", "row", "el", "header")
 
 
 # -- L01 / N04 / L05 ------------------------------------------------------------------------------
@@ -349,8 +349,8 @@ def column_for(ps, rows: DataFrame, picks: DataFrame, existing: list[str] | None
     outside = p.join(pr, ["page_id", "node_id"], "left_anti").select("page_id", "node_id").first()
     if outside is not None:
         raise ValueError(f"the picked element is in no row: page {outside.page_id}, node {outside.node_id}")
-    p = p.join(pr, ["page_id", "node_id"]).join(ps.info.select("page_id", "page_text"), "page_id")
-    txt = clean(subtree_text(F.col("page_text"), F.col("t_start"), F.col("t_end")))
+    p = with_text(ps, p.join(pr, ["page_id", "node_id"]))
+    txt = clean(F.col("raw_text"))
     has_img = nodes.filter(F.col("tag") == "img").select("page_id", F.explode("anc").alias("node_id")).distinct().withColumn("has_img", F.lit(True))
     in_link = nodes.filter((F.col("tag") == "a") & F.col("attrs")["href"].isNotNull()).select("page_id", F.col("node_id").alias("a_id"))
     p = p.join(has_img, ["page_id", "node_id"], "left")

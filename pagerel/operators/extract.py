@@ -7,11 +7,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import clean, subtree_text
+from ..functions.text import clean
 from ..functions.urls import absolutize, host_of
 from .columns import detect_columns, img_url_raw
 from .lists import find_lists, list_rows
 from .select import Matcher
+from .tree import sliced, with_text
 
 
 def node_values(ps, cells: DataFrame, attr_col: str = "attr", attr_name_col: str | None = None) -> DataFrame:
@@ -24,13 +25,15 @@ def node_values(ps, cells: DataFrame, attr_col: str = "attr", attr_name_col: str
     empty / data: src; else srcset), else inline background url; value;
     html / outerHtml: source slices; attr(name): trimmed, absolutised for
     url attributes. cells: (..., page_id, node_id, <attr_col>) -> + value."""
+    from ..session import cut_lineage
+
     html = F.col(attr_col).isin("html", "outerHtml")
+    cells = cut_lineage(cells, "cells")
     return _plain_values(ps, cells.filter(~html), attr_col, attr_name_col).unionByName(html_values(ps, cells.filter(html), attr_col))
 
 
 def _plain_values(ps, cells: DataFrame, attr_col: str, attr_name_col: str | None) -> DataFrame:
     nodes = ps.nodes
-    info = ps.info.select("page_id", "page_text", "base")
     c = cells.join(nodes.select("page_id", "node_id", "tag", "attrs", "own_text", "t_start", "t_end", "anc"),
                    ["page_id", "node_id"])
     mode = F.col(attr_col)
@@ -50,35 +53,39 @@ def _plain_values(ps, cells: DataFrame, attr_col: str, attr_name_col: str | None
     down_i = dn_i.join(need_down, ["page_id", "cell_id"], "left_semi").groupBy("page_id", "cell_id").agg(
         F.min_by("u", "node_id").alias("img_down"))
     # a select's value is its chosen option, else its first
-    opt = nodes.filter(F.col("tag") == "option").join(ps.info.select("page_id", "page_text"), "page_id")
-    opt = opt.select("page_id", "node_id", F.explode("anc").alias("cell_id"), F.col("attrs")["selected"].isNull().alias("off"), F.coalesce(
-        F.col("attrs")["value"], clean(subtree_text(F.col("page_text"), F.col("t_start"), F.col("t_end")))).alias("o"))
+    opt = nodes.filter(F.col("tag") == "option").select("page_id", "node_id", F.explode("anc").alias("cell_id"), F.col("attrs")["selected"].isNull().alias("off"),
+                                                        F.col("attrs")["value"].alias("o"), "t_start", "t_end")
     opt = opt.filter(F.col("cell_id") != F.col("node_id")).join(need_down, ["page_id", "cell_id"], "left_semi").groupBy("page_id", "cell_id").agg(
-        F.min_by("o", F.struct("off", "node_id")).alias("chosen"))
+        F.min_by(F.struct("o", "t_start", "t_end"), F.struct("off", "node_id")).alias("c")).select("page_id", "cell_id", "c.*")
+    opt = with_text(ps, opt).select("page_id", "cell_id", F.coalesce("o", clean(F.col("raw_text"))).alias("chosen"))
     c = c.join(opt.withColumnRenamed("cell_id", "node_id"), ["page_id", "node_id"], "left")
     c = c.join(up.withColumnRenamed("cell_id", "node_id"), ["page_id", "node_id"], "left")
     c = c.join(down_a.withColumnRenamed("cell_id", "node_id"), ["page_id", "node_id"], "left")
     c = c.join(down_i.withColumnRenamed("cell_id", "node_id"), ["page_id", "node_id"], "left")
-    c = c.join(info, "page_id", "left")
+    c = c.join(ps.info.select("page_id", "base"), "page_id", "left")
+    # only modes that show text read it
+    shows = (F.coalesce(mode, F.lit("text")) == "text") | ((mode == "value") & (F.col("tag") == "textarea"))
+    texts = with_text(ps, c.filter(shows).select("page_id", "node_id", "t_start", "t_end").distinct()).drop("t_start", "t_end")
+    c = c.join(texts, ["page_id", "node_id"], "left")
     bg = F.regexp_extract(F.coalesce(F.col("attrs")["style"], F.lit("")),
                           r"(?i)background(?:-image)?\s*:[^;]*url\(\s*['\"]?([^'\")]+)['\"]?\s*\)", 1)
     src = F.when(F.col("tag") == "img", img_url_raw(F.col("attrs"))).otherwise(
         F.coalesce(F.col("img_down"), F.when(bg != "", bg), F.lit("")))
-    text = clean(subtree_text(F.col("page_text"), F.col("t_start"), F.col("t_end")))
+    text = clean(F.col("raw_text"))
     an = F.col(attr_name_col) if attr_name_col else F.lit(None).cast("string")
     raw_attr = F.trim(F.col("attrs")[an])
     value = (
         F.when(mode == "ownText", F.col("own_text"))
         .when(mode == "href", F.coalesce(absolutize(F.coalesce(F.col("href_up"), F.col("href_down")), F.col("base")), F.lit("")))
         .when(mode == "src", F.when(src != "", absolutize(src, F.col("base"))).otherwise(F.lit("")))
-        .when(mode == "value", F.when(F.col("tag") == "textarea", subtree_text(F.col("page_text"), F.col("t_start"), F.col("t_end")))
+        .when(mode == "value", F.when(F.col("tag") == "textarea", F.col("raw_text"))
               .when(F.col("tag") == "select", F.coalesce("chosen", F.lit(""))).otherwise(F.coalesce(F.col("attrs")["value"], F.lit(""))))
         .when(mode == "attr", F.when(an.isNull() | raw_attr.isNull(), F.lit(""))
               .when(an.rlike(rules.URL_ATTRS), absolutize(raw_attr, F.col("base"))).otherwise(raw_attr))
         .when(F.coalesce(mode, F.lit("text")) == "text", text)
         .otherwise(F.raise_error(F.concat(F.lit("unknown value mode: "), mode)).cast("string"))
     )
-    drop = ["tag", "attrs", "own_text", "t_start", "t_end", "anc", "href_up", "href_down", "img_down", "chosen", "page_text", "base"]
+    drop = ["tag", "attrs", "own_text", "t_start", "t_end", "anc", "href_up", "href_down", "img_down", "chosen", "raw_text", "base"]
     return c.withColumn("value", F.coalesce(value, F.lit(""))).drop(*drop)
 
 
@@ -86,11 +93,13 @@ def html_values(ps, cells: DataFrame, attr_col: str = "attr") -> DataFrame:
     """P07 html / outerHtml modes: source slices of the page (the source
     text, not a re-serialised DOM)."""
     n = ps.nodes.select("page_id", "node_id", "o_start", "i_start", "i_end", "o_end")
-    h = ps.pages.select("page_id", "html")
-    c = cells.join(n, ["page_id", "node_id"]).join(h, "page_id")
-    v = F.when(F.col(attr_col) == "outerHtml", F.substring(F.col("html"), F.col("o_start") + 1, F.col("o_end") - F.col("o_start"))).otherwise(
-        F.trim(F.substring(F.col("html"), F.col("i_start") + 1, F.col("i_end") - F.col("i_start"))))
-    return c.withColumn("value", F.coalesce(v, F.lit(""))).drop("o_start", "i_start", "i_end", "o_end", "html")
+    outer = F.col(attr_col) == "outerHtml"
+    c = cells.join(n, ["page_id", "node_id"]).withColumns({"_from": F.when(outer, F.col("o_start")).otherwise(F.col("i_start")),
+                                                           "_to": F.when(outer, F.col("o_end")).otherwise(F.col("i_end"))})
+    if c.isEmpty():
+        return c.withColumn("value", F.lit("")).drop("o_start", "i_start", "i_end", "o_end", "_from", "_to")
+    c = sliced(ps.sources, c, "_from", "_to", "value")
+    return c.withColumn("value", F.when(outer, F.col("value")).otherwise(F.trim("value"))).drop("o_start", "i_start", "i_end", "o_end", "_from", "_to")
 
 
 def apply_columns(ps, rows: DataFrame, cols: DataFrame) -> DataFrame:

@@ -1,5 +1,4 @@
-"""List inference: leaf counts (A01), unique selectors phase 1 (L06),
-container / row selectors (L04), find all lists (L03, T04)."""
+"""List inference: leaf counts (A01), unique selectors (L06), container / row selectors (L04), find all lists."""
 
 from __future__ import annotations
 
@@ -9,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions import classes as C
 from ..functions import rules
 from ..functions.selectors import css_escape, css_string
+from ..schema import STEPS
 from ..session import cut_lineage
+from .select import distinct_matches, make_step
 
 
 # -- A01 ------------------------------------------------------------------------
@@ -41,7 +42,7 @@ def target_candidates(nodes: DataFrame) -> DataFrame:
     """L06 phase-1 candidates of each node, in priority order:
     stable id, test attrs, name attrs, each semantic class, <= 3 semantic
     classes, weak attrs, <= 4 utility classes, bare tag.
-    -> (page_id, node_id, tag, prio, feats ARRAY<STRING>, css STRING, strong)
+    -> (page_id, node_id, prio, css, strong, step)
     The CSS text is rendered once per exploded candidate, not per branch."""
     ma = model_attrs(F.col("attr_names"), F.col("attrs"))
     sem = F.col("sem")
@@ -70,18 +71,10 @@ def target_candidates(nodes: DataFrame) -> DataFrame:
     )
     ex = nodes.select("page_id", "node_id", "tag", F.posexplode(cands).alias("prio", "c"))
     k = F.col("c.kind")
-    feats = (F.when(k == "id", F.array(F.concat(F.lit("i:"), F.col("c.v"))))
-             .when(k == "attr", F.array(F.concat(F.lit("a:"), F.col("c.n"), F.lit("="), F.col("c.v"))))
-             .otherwise(F.transform(F.col("c.cs"), lambda c: F.concat(F.lit("c:"), c))))
-    step = F.struct(F.lit("desc").alias("comb"), F.col("tag").alias("tag"),
-                    F.when(k == "id", F.col("c.v")).alias("id"), F.col("c.cs").alias("classes"),
-                    F.when(k == "attr", F.create_map(F.col("c.n"), F.col("c.v"))).otherwise(
-                        F.create_map().cast("map<string,string>")).alias("attrs"),
-                    F.lit(None).cast("int").alias("nth"), F.lit(None).cast("string").alias("text"),
-                    F.lit(None).cast("string").alias("has_child"))
-    return ex.select("page_id", "node_id", "tag", "prio", feats.alias("feats"),
-                     render_candidate(F.col("tag"), k, F.col("c.n"), F.col("c.v"), F.col("c.cs")).alias("css"),
-                     F.col("c.strong").alias("strong"), F.array(step).alias("steps"))
+    step = make_step(tag=F.col("tag"), id=F.when(k == "id", F.col("c.v")), classes=F.col("c.cs"),
+                     attrs=F.when(k == "attr", F.create_map(F.col("c.n"), F.col("c.v"))).otherwise(F.create_map().cast("map<string,string>")))
+    return ex.select("page_id", "node_id", "prio", render_candidate(F.col("tag"), k, F.col("c.n"), F.col("c.v"), F.col("c.cs")).alias("css"),
+                     F.col("c.strong").alias("strong"), step.alias("step"))
 
 
 def render_candidate(tag: Column, kind: Column, n: Column, v: Column, cs: Column) -> Column:
@@ -94,89 +87,134 @@ def render_candidate(tag: Column, kind: Column, n: Column, v: Column, cs: Column
     )
 
 
-def node_features(nodes: DataFrame) -> DataFrame:
-    """(page_id, tag, node_id, feat) for candidate counting."""
-    ma = model_attrs(F.col("attr_names"), F.col("attrs"))
-    feats = F.concat(
-        F.transform("classes", lambda c: F.concat(F.lit("c:"), c)),
-        F.when(F.col("id") != "", F.array(F.concat(F.lit("i:"), F.col("id")))).otherwise(F.array().cast("array<string>")),
-        F.transform(ma, lambda p: F.concat(F.lit("a:"), p["n"], F.lit("="), p["v"])),
-    )
-    return nodes.select("page_id", "tag", "node_id", F.explode(feats).alias("feat"))
-
-
-def candidate_counts(nodes: DataFrame, cands: DataFrame) -> DataFrame:
-    """Number of page elements matching each candidate (tag + all feats)."""
-    c = cands.withColumn("nf", F.size("feats"))
-    bare = c.filter(F.col("nf") == 0)
-    tag_n = nodes.groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("matches"))
-    bare_n = bare.join(tag_n, ["page_id", "tag"]).select("page_id", "node_id", "prio", "matches")
-    feat = c.filter(F.col("nf") > 0).select("page_id", "node_id", "prio", "tag", "nf", F.explode("feats").alias("feat"))
-    hits = feat.join(node_features(nodes).withColumnRenamed("node_id", "m_id"), ["page_id", "tag", "feat"])
-    per = hits.groupBy("page_id", "node_id", "prio", "nf", "m_id").agg(F.count(F.lit(1)).alias("k"))
-    full = per.filter(F.col("k") == F.col("nf")).groupBy("page_id", "node_id", "prio").agg(
-        F.count(F.lit(1)).alias("matches"))
-    return bare_n.unionByName(full)
-
-
 def unique_selectors(ps, targets: DataFrame) -> DataFrame:
-    """Short unique CSS selector per target node.
-
-    Phase 1 (first target candidate matching exactly one element) is done
-    relationally for all targets at once. Targets without such a candidate
-    get the indexed path from the closest unique stable id (or from body),
-    tag + first two semantic classes + nth-of-type where needed (phase 3
-    without the pruning pass). html / body map to themselves.
-    -> (page_id, node_id, selector, phase)"""
-    nodes = ps.nodes
-    t = targets.select("page_id", "node_id").distinct()
-    tn = nodes.join(t, ["page_id", "node_id"], "left_semi")
-    cands = cut_lineage(target_candidates(tn))
-    counts = candidate_counts(nodes, cands)
-    uniq = cands.join(counts.filter(F.col("matches") == 1), ["page_id", "node_id", "prio"])
-    p1 = cut_lineage(uniq.groupBy("page_id", "node_id").agg(F.min_by("css", "prio").alias("selector"),
-                                                            F.min_by("steps", "prio").alias("steps")))
-    from ..schema import STEPS
-
-    tag_step = F.array(F.struct(F.lit("desc").alias("comb"), F.col("tag").alias("tag"), F.lit(None).cast("string").alias("id"),
-                                F.array().cast("array<string>").alias("classes"), F.create_map().cast("map<string,string>").alias("attrs"),
-                                F.lit(None).cast("int").alias("nth"), F.lit(None).cast("string").alias("text"),
-                                F.lit(None).cast("string").alias("has_child"))).cast(STEPS)
-    special = tn.filter(F.col("tag").isin("html", "body") & (F.col("depth") <= 1)).select(
-        "page_id", "node_id", F.col("tag").alias("selector"), tag_step.alias("steps"))
-    rest = t.join(p1, ["page_id", "node_id"], "left_anti").join(special, ["page_id", "node_id"], "left_anti")
-    p3 = indexed_paths(ps, rest)
-    p1 = p1.withColumn("steps", F.col("steps").cast(STEPS))
-    return cut_lineage(special.withColumn("phase", F.lit(0))
-            .unionByName(p1.join(special, ["page_id", "node_id"], "left_anti").withColumn("phase", F.lit(1)))
-            .unionByName(p3.withColumn("steps", F.lit(None).cast(STEPS)).withColumn("phase", F.lit(3))))
+    """Short unique CSS selector per target node, all targets at once.
+
+    1. The first of the target's candidates that matches one element only.
+    2. The candidate with the fewest matches under one strong candidate of an
+       ancestor, the nearest ancestor and its first candidate winning.
+    3. The indexed path from the closest ancestor with a stable id that is
+       unique in its page (else from body), less the ancestors and then the
+       positions that it can do without (``prune``).
+
+    Distinct selectors of a page are matched once, whatever the number of
+    targets that ask for them. html / body map to themselves.
+    -> (page_id, node_id, selector, steps, phase); steps are never null"""
+    nodes, key = ps.nodes, ["page_id", "node_id"]
+    t = cut_lineage(targets.select(*key).distinct(), "targets")
+    tn = nodes.join(t, key, "left_semi")
+    top = F.col("tag").isin("html", "body") & (F.col("depth") <= 1)
+    special = tn.filter(top).select(*key, F.col("tag").alias("selector"), F.array(make_step(tag=F.col("tag"))).cast(STEPS).alias("steps"), F.lit(0).alias("phase"))
+
+    cands = cut_lineage(target_candidates(tn.filter(~top)), "candidates")
+    sels = cands.select("page_id", F.lit(0).alias("scope_id"), "css", F.array("step").cast(STEPS).alias("steps"))
+    counted = cands.join(distinct_matches(ps, sels, True).select("page_id", "css", "matches"), ["page_id", "css"])
+    # the fewest matches first: one, if any candidate is unique
+    best = counted.groupBy(*key).agg(F.min_by(F.struct("css", "step", "matches"), F.struct("matches", "prio")).alias("b"))
+    best = cut_lineage(best.select(*key, "b.*"), "best")
+    alone = best.filter("matches = 1")
+    out = special.unionByName(alone.select(*key, F.col("css").alias("selector"), F.array("step").cast(STEPS).alias("steps"), F.lit(1).alias("phase")))
+    rest = best.filter("matches > 1")
+    if rest.isEmpty():
+        return cut_lineage(out, "unique")
+    under = cut_lineage(under_ancestors(ps, rest), "under")
+    out = out.unionByName(under.withColumn("phase", F.lit(2)))
+    left = rest.select(*key).join(under, key, "left_anti")
+    if not left.isEmpty():
+        out = out.unionByName(prune(ps, indexed_paths(ps, left)).withColumn("phase", F.lit(3)))
+    return cut_lineage(out, "unique")
+
+
+def under_ancestors(ps, rest: DataFrame) -> DataFrame:
+    """L06 phase 2: rest (page_id, node_id, css, step), the best candidate of
+    targets that it does not single out -> (page_id, node_id, selector, steps)
+    for those whom a strong candidate of an ancestor singles out."""
+    nodes, key = ps.nodes, ["page_id", "node_id"]
+    up = rest.select(*key, "css", "step").join(nodes.select(*key, "anc", "depth"), key)
+    up = up.select(*key, "css", "step", "depth", F.posexplode("anc").alias("pos", "anc_id")).filter("pos >= 1 and pos < depth")
+    anc = nodes.join(up.select("page_id", F.col("anc_id").alias("node_id")).distinct(), key, "left_semi")
+    strong = target_candidates(anc).filter("strong").select("page_id", F.col("node_id").alias("anc_id"), F.col("prio").alias("a_prio"),
+                                                            F.col("css").alias("a_css"), F.col("step").alias("a_step"))
+    near = F.col("pos") == F.col("depth") - 1
+    both = up.join(strong, ["page_id", "anc_id"]).select(
+        *key, "pos", "a_prio", F.concat("a_css", F.when(near, " > ").otherwise(" "), "css").alias("css"),
+        F.array("a_step", F.col("step").withField("comb", F.when(near, "child").otherwise("desc"))).cast(STEPS).alias("steps"))
+    both = cut_lineage(both, "under-ancestors")
+    once = distinct_matches(ps, both.withColumn("scope_id", F.lit(0)), True).filter("matches = 1").select("page_id", "css")
+    return both.join(once, ["page_id", "css"]).groupBy(*key).agg(
+        F.min_by(F.struct(F.col("css").alias("selector"), "steps"), F.struct(-F.col("pos"), "a_prio")).alias("s")).select(*key, "s.*")
 
 
 def indexed_paths(ps, targets: DataFrame) -> DataFrame:
-    """Phase-3 style path: from the closest ancestor with a stable id that is
-    unique in its page (else from body) down to the node; each step = tag,
-    first two semantic classes (not on the anchor), nth-of-type if needed."""
-    nodes = ps.nodes
-    t = nodes.join(targets.select("page_id", "node_id"), ["page_id", "node_id"]).select("page_id", "node_id", "anc")
-    ex = t.select("page_id", F.col("node_id").alias("target_id"), F.posexplode("anc").alias("pos", "node_id")).filter(
-        F.col("pos") >= 1)
-    idc = nodes.filter(F.col("id") != "").groupBy("page_id", "id").agg(F.count(F.lit(1)).alias("idn"))
-    info = nodes.select("page_id", "node_id", "tag", "id", "sem", "nth", "nth_count").join(idc, ["page_id", "id"], "left")
-    ex = ex.join(info, ["page_id", "node_id"])
-    anchor_ok = C.is_stable_id(F.col("id")) & (F.col("idn") == 1) & (F.col("node_id") != F.col("target_id"))
-    w = Window.partitionBy("page_id", "target_id")
-    ex = ex.withColumn("anchor_pos", F.coalesce(F.max(F.when(anchor_ok, F.col("pos"))).over(w), F.lit(1)))
-    ex = ex.filter(F.col("pos") >= F.col("anchor_pos"))
-    step_css = F.concat(
-        css_escape(F.col("tag")),
-        F.when((F.col("pos") == F.col("anchor_pos")) & anchor_ok, F.concat(F.lit("#"), css_escape(F.col("id")))).otherwise(F.lit("")),
-        F.when(F.col("pos") != F.col("anchor_pos"),
-               F.array_join(F.transform(F.slice("sem", 1, 2), lambda c: F.concat(F.lit("."), css_escape(c))), "")).otherwise(F.lit("")),
-        F.when(F.col("nth_count") > 1, F.concat(F.lit(":nth-of-type("), F.col("nth").cast("string"), F.lit(")"))).otherwise(F.lit("")),
-    )
-    steps = ex.groupBy("page_id", "target_id").agg(F.array_sort(F.collect_list(F.struct("pos", step_css.alias("s")))).alias("st"))
-    return steps.select("page_id", F.col("target_id").alias("node_id"),
-                        F.array_join(F.transform("st", lambda x: x["s"]), " > ").alias("selector"))
+    """L06 phase 3: (page_id, node_id, path): the elements from the closest
+    ancestor with a stable id that is unique in its page (else from body) down
+    to the node, as structs (tag, id of the first, the first two semantic
+    classes of the others, nth-of-type where there are several)."""
+    nodes, key = ps.nodes, ["page_id", "node_id"]
+    t = nodes.join(targets.select(*key), key).select("page_id", F.col("node_id").alias("target_id"), F.posexplode("anc").alias("pos", "node_id")).filter("pos >= 1")
+    ids = nodes.filter(F.col("id") != "").groupBy("page_id", "id").agg(F.count(F.lit(1)).alias("idn"))
+    info = nodes.select(*key, "tag", "id", "sem", "nth", "nth_count", C.is_stable_id(F.col("id")).alias("stable")).join(ids, ["page_id", "id"], "left")
+    chain = t.join(info, key)
+    anchors = F.max(F.when(F.col("stable") & (F.col("idn") == 1) & (F.col("node_id") != F.col("target_id")), F.col("pos")))
+    el = F.struct("pos", "tag", F.when(F.col("stable"), F.col("id")).alias("id"), F.slice("sem", 1, 2).alias("classes"),
+                  F.when(F.col("nth_count") > 1, F.col("nth")).alias("nth"))
+    # as many elements as the page is deep
+    per = chain.groupBy("page_id", "target_id").agg(F.array_sort(F.collect_list(el)).alias("els"), F.coalesce(anchors, F.lit(1)).alias("anchor"))
+    path = F.transform(F.filter("els", lambda e: e["pos"] >= F.col("anchor")), lambda e, i: F.struct(
+        e["tag"].alias("tag"), F.when(i == 0, e["id"]).alias("id"),
+        F.when(i == 0, F.array().cast("array<string>")).otherwise(e["classes"]).alias("classes"), e["nth"].alias("nth")))
+    return per.select("page_id", F.col("target_id").alias("node_id"), path.alias("path"))
+
+
+def _path_selector(path: Column, on: Column, counted: Column) -> tuple[Column, Column]:
+    """CSS text and steps of the elements of ``path`` that are ``on``, with
+    the positions of those that are ``counted``."""
+    every = F.transform(path, lambda e, i: F.struct(
+        e.alias("e"), F.get(on, i).alias("on"), F.when(F.get(counted, i), e["nth"]).alias("nth"), ((i > 0) & F.get(on, F.greatest(i - 1, F.lit(0)))).alias("child")))
+    kept = F.filter(every, lambda x: x["on"])
+    css = F.transform(kept, lambda x, k: F.concat(
+        F.when(k == 0, "").when(x["child"], " > ").otherwise(" "), css_escape(x["e"]["tag"]),
+        F.when(x["e"]["id"].isNotNull(), F.concat(F.lit("#"), css_escape(x["e"]["id"]))).otherwise(F.lit("")),
+        F.array_join(F.transform(x["e"]["classes"], lambda c: F.concat(F.lit("."), css_escape(c))), ""),
+        F.when(x["nth"].isNotNull(), F.concat(F.lit(":nth-of-type("), x["nth"].cast("string"), F.lit(")"))).otherwise(F.lit(""))))
+    steps = F.transform(kept, lambda x, k: make_step(
+        tag=x["e"]["tag"], comb=F.when((k > 0) & x["child"], "child").otherwise("desc"), id=x["e"]["id"], classes=x["e"]["classes"], nth=x["nth"]))
+    return F.array_join(css, ""), steps.cast(STEPS)
+
+
+def prune(ps, paths: DataFrame) -> DataFrame:
+    """Leaves out of each path, from the top, every ancestor and then every
+    position without which it still matches one node only.
+
+    A selector with less in it matches no fewer nodes. So what goes up to the
+    first part that is needed is found by one job that tries all prefixes at
+    once, for all paths; the next job goes on behind that part. There are as
+    many rounds as parts that some path needs, not as paths have parts.
+    paths: (page_id, node_id, path) -> (page_id, node_id, selector, steps)"""
+    key = ["page_id", "node_id"]
+    state = cut_lineage(paths.withColumns({"on": F.transform("path", lambda e: F.lit(True)), "counted": F.transform("path", lambda e: e["nth"].isNotNull()),
+                                           "at": F.lit(0)}), "paths")
+    for what in ("on", "counted"):
+        # the last element stays; positions may go everywhere that is left
+        may = (F.sequence(F.lit(0), F.size("path") - 1) if what == "counted" else F.slice(F.sequence(F.lit(0), F.size("path") - 1), 1, F.size("path") - 1))
+        state = state.withColumn("at", F.lit(0)).withColumn("may", F.filter(may, lambda i: F.get("on", i) & F.get(F.col(what), i)))
+        while True:
+            tries = state.filter(F.size("may") > F.col("at")).withColumn("last", F.explode(F.sequence(F.col("at"), F.size("may") - 1)))
+            if tries.isEmpty():
+                break
+            gone = F.slice("may", F.col("at") + 1, F.col("last") - F.col("at") + 1)
+            less = F.transform(what, lambda x, i: x & ~F.array_contains(gone, i))
+            css, steps = _path_selector(F.col("path"), *((less, F.col("counted")) if what == "on" else (F.col("on"), less)))
+            tries = cut_lineage(tries.select(*key, "last", F.lit(0).alias("scope_id"), css.alias("css"), steps.alias("steps")), "tries")
+            n = distinct_matches(ps, tries, True).select("page_id", "css", "matches")
+            needed = tries.join(n, ["page_id", "css"]).groupBy(*key).agg(F.min(F.when(F.col("matches") > 1, F.col("last"))).alias("needed"))
+            met = state.join(needed, key, "left")
+            end = F.coalesce("needed", F.size("may"))
+            gone = F.slice("may", F.col("at") + 1, F.greatest(end - F.col("at"), F.lit(0)))
+            state = cut_lineage(met.withColumn(what, F.transform(what, lambda x, i: x & ~F.array_contains(gone, i)))
+                                .withColumn("at", F.greatest(F.col("at"), end + 1)).drop("needed"), "paths")
+    css, steps = _path_selector(F.col("path"), F.col("on"), F.col("counted"))
+    return state.select(*key, css.alias("selector"), steps.alias("steps"))
 
 
 # -- L03 / L04 / T04 ---------------------------------------------------------------

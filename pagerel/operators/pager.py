@@ -11,10 +11,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..functions.text import clean, fnv1a36, match_text, subtree_text
+from ..functions.text import clean, fnv1a36, match_text
 from ..functions.urls import absolutize
 from ..session import cut_lineage
-from .tree import closest
+from .tree import closest, with_text
 
 
 def clickable(nodes_cols=None) -> Column:
@@ -51,15 +51,23 @@ def describe_targets(ps, picks: DataFrame) -> DataFrame:
     cl = closest(nodes, p, clickable())
     t = p.join(cl, ["page_id", "target_id"], "left").select("page_id", "target_id", F.coalesce("match_id", "target_id").alias("node_id"))
     sel = unique_selectors(ps, t.select("page_id", "node_id"))
-    info = nodes.select("page_id", "node_id", "attrs", "t_start", "t_end").join(ps.info.select("page_id", "page_text"), "page_id")
-    mt = match_text(subtree_text(F.col("page_text"), F.col("t_start"), F.col("t_end")))
-    return t.join(sel, ["page_id", "node_id"]).join(info, ["page_id", "node_id"]).select(
+    info = nodes.select("page_id", "node_id", "attrs", "t_start", "t_end")
+    mt = match_text(F.col("raw_text"))
+    return with_text(ps, t.join(sel, ["page_id", "node_id"]).join(info, ["page_id", "node_id"])).select(
         "page_id", F.col("target_id").alias("pick_id"), "node_id", "selector",
         mt.alias("text"),
         F.coalesce(F.col("attrs")["aria-label"], F.lit("")).alias("aria"),
         F.coalesce(F.col("attrs")["rel"], F.lit("")).alias("rel"))
 
 
+def _clickable_hits(ps, selector_hits: DataFrame) -> DataFrame:
+    """Each hit of a recorded selector, or the nearest clickable around it."""
+    sh = selector_hits.select("page_id", "node_id").join(ps.nodes.select("page_id", "node_id", "anc"), ["page_id", "node_id"])
+    ck = closest(ps.nodes, sh.select("page_id", F.col("node_id").alias("target_id"), "anc"), clickable())
+    return sh.join(ck.withColumnRenamed("target_id", "node_id"), ["page_id", "node_id"], "left").select(
+        "page_id", F.coalesce("match_id", "node_id").alias("node_id"))
+
+
 def resolve_targets(ps, targets: DataFrame, selector_hits: DataFrame | None = None) -> DataFrame:
     """Find the pager target on each page, in order: selector match
     (mapped to its clickable, first visible) whose text/aria agrees or when
@@ -69,11 +77,17 @@ def resolve_targets(ps, targets: DataFrame, selector_hits: DataFrame | None = No
     targets: (page_id, text, aria, rel); selector_hits: (page_id, node_id)
     matches of the recorded selector. -> (page_id, node_id, rank)"""
     nodes = ps.nodes
-    info = nodes.filter(~F.col("hidden")).select("page_id", "node_id", "tag", "attrs", "anc", "t_start", "t_end").join(
-        ps.info.select("page_id", "page_text"), "page_id")
-    mt = match_text(subtree_text(F.col("page_text"), F.col("t_start"), F.col("t_end")))
-    el = info.select("page_id", "node_id", "tag", "attrs", "anc", F.lower(mt).alias("lt"),
-                     F.lower(F.coalesce(F.col("attrs")["aria-label"], F.lit(""))).alias("la"), mt.alias("mt"))
+    # only what can be a target is read for its text
+    rel = F.col("attrs")["rel"]
+    able = clickable() | F.col("tag").isin("a", "button") | (F.coalesce(rel, F.lit("")) != "")
+    info = nodes.filter(~F.col("hidden")).select("page_id", "node_id", "tag", "attrs", "anc", "t_start", "t_end")
+    meant = info.filter(able)
+    if selector_hits is not None:
+        meant = meant.unionByName(info.filter(~able).join(_clickable_hits(ps, selector_hits), ["page_id", "node_id"], "left_semi"))
+    mt = match_text(F.col("raw_text"))
+    el = with_text(ps, meant).select("page_id", "node_id", "tag", "attrs", "anc", F.lower(mt).alias("lt"),
+                                     F.lower(F.coalesce(F.col("attrs")["aria-label"], F.lit(""))).alias("la"), mt.alias("mt"))
+    el = cut_lineage(el, "pager-candidates")
     t = targets.select("page_id", F.lower(F.coalesce("text", F.lit(""))).alias("tt"),
                        F.lower(F.coalesce("aria", F.lit(""))).alias("ta"), F.coalesce("rel", F.lit("")).alias("tr"))
     j = el.join(t, "page_id")
@@ -81,11 +95,7 @@ def resolve_targets(ps, targets: DataFrame, selector_hits: DataFrame | None = No
     recorded = (F.col("tt") != "") | (F.col("ta") != "")
     cands = []
     if selector_hits is not None:
-        sh = selector_hits.select("page_id", "node_id").join(nodes.select("page_id", "node_id", "anc"), ["page_id", "node_id"])
-        ck = closest(nodes, sh.select("page_id", F.col("node_id").alias("target_id"), "anc"), clickable())
-        sh = sh.join(ck.withColumnRenamed("target_id", "node_id"), ["page_id", "node_id"], "left").select(
-            "page_id", F.coalesce("match_id", "node_id").alias("node_id"))
-        bysel = j.join(sh, ["page_id", "node_id"], "left_semi")
+        bysel = j.join(_clickable_hits(ps, selector_hits), ["page_id", "node_id"], "left_semi")
         first = bysel.withColumn("r", F.row_number().over(Window.partitionBy("page_id").orderBy("node_id"))).filter(F.col("r") == 1).drop("r")
         cands.append(first.filter(~recorded | same).select("page_id", "node_id", F.lit(1).alias("rank")))
         cands.append(first.select("page_id", "node_id", F.lit(3).alias("rank")))
@@ -108,8 +118,8 @@ def target_state(ps, targets: DataFrame, selector_hits: DataFrame | None = None)
     """Per page: found, disabled, label."""
     res = resolve_targets(ps, targets, selector_hits)
     dis = is_disabled(ps)
-    info = ps.nodes.select("page_id", "node_id", "t_start", "t_end").join(ps.info.select("page_id", "page_text"), "page_id")
-    lab = info.select("page_id", "node_id", match_text(subtree_text(F.col("page_text"), F.col("t_start"), F.col("t_end"))).alias("label"))
+    info = res.select("page_id", "node_id").join(ps.nodes.select("page_id", "node_id", "t_start", "t_end"), ["page_id", "node_id"])
+    lab = with_text(ps, info).select("page_id", "node_id", match_text(F.col("raw_text")).alias("label"))
     r = res.join(dis, ["page_id", "node_id"], "left").join(lab, ["page_id", "node_id"], "left")
     return targets.select("page_id").distinct().join(r, "page_id", "left").select(
         "page_id", F.col("node_id").isNotNull().alias("found"), F.coalesce("disabled", F.lit(False)).alias("disabled"),
@@ -119,12 +129,14 @@ def target_state(ps, targets: DataFrame, selector_hits: DataFrame | None = None)
 def page_signatures(ps, rows: DataFrame) -> DataFrame:
     """Url | row count | hash of the first row's text | hash of the last
     row's text. rows: (page_id, row_id)."""
-    info = ps.info.select("page_id", "url", "page_text")
     r = rows.select("page_id", F.col("row_id").alias("node_id")).join(ps.nodes.select("page_id", "node_id", "t_start", "t_end"), ["page_id", "node_id"])
-    r = r.join(info.select("page_id", "page_text"), "page_id").select(
-        "page_id", "node_id", clean(subtree_text(F.col("page_text"), F.col("t_start"), F.col("t_end"))).alias("t"))
-    g = r.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.min_by("t", "node_id").alias("first"), F.max_by("t", "node_id").alias("last"))
-    out = info.select("page_id", "url").join(g, "page_id", "left").select(
+    # the text of the first and of the last row only
+    ends = r.groupBy("page_id").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("t_start", "t_end"), "node_id").alias("a"), F.max_by(F.struct("t_start", "t_end"), "node_id").alias("b"))
+    ends = cut_lineage(ends, "row-ends")
+    both = ends.select("page_id", F.explode(F.array(F.struct(F.lit("first").alias("which"), "a.*"), F.struct(F.lit("last").alias("which"), "b.*"))).alias("e")).select("page_id", "e.*")
+    text = with_text(ps, both).groupBy("page_id").pivot("which", ["first", "last"]).agg(F.first(clean(F.col("raw_text"))))
+    g = ends.select("page_id", "n").join(text, "page_id")
+    out = ps.info.select("page_id", "url").join(g, "page_id", "left").select(
         "page_id", "url", F.coalesce("n", F.lit(0)).cast("bigint").alias("n"),
         fnv1a36(F.coalesce("first", F.lit(""))).alias("fp_first"), fnv1a36(F.coalesce("last", F.lit(""))).alias("fp_last"))
     return out.withColumn("sig", F.concat_ws("|", "url", F.col("n").cast("string"), "fp_first", "fp_last"))

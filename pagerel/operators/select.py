@@ -1,17 +1,17 @@
 """Selector matching as joins.
 
-A selector is an array of steps (``schema.STEP``). Matching walks the steps
-left to right; every step is one equi-join:
-
-* ``child`` step: join on (page_id, parent_id = current node);
-* ``desc`` step: join the *keyed closure* on (page_id, anc_id = current node,
-  key), where the key is the step's most selective feature (tag, first
-  class, id or attribute name). Only nodes that carry that feature are
-  exploded along their ancestors, so no step ever pairs a scope with all of
-  its descendants.
-
-Steps are data: each scope row carries its own ``steps`` array, so one job
-evaluates different selectors for different pages, rows or columns.
+A selector is an array of steps (``schema.STEP``), and steps are data: every
+scope row may carry its own, so one job evaluates different selectors for
+different pages, rows or columns. All steps of all selectors are resolved
+together, whatever their number and the depth of the pages:
+
+1. The *last* step of each selector meets the nodes that carry its most
+   selective feature, by (page_id, feature); inside a scope, by (page_id, scope,
+   feature) over the ancestors of these nodes only.
+2. The other steps are looked for in the chain of the node's ancestors, one
+   array per parent element (``PageSet.chains``): going down the chain, bit j of
+   a number says whether steps 0..j end at the element (``here``) or at it or
+   above (``seen``); a child step asks the parent's bits, a descendant step all.
 """
 
 from __future__ import annotations
@@ -19,48 +19,107 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import match_text, subtree_text
+from ..functions.text import match_text
+
+MOST_STEPS = 62  # bits of a number
+KEY_CHARS = 64  # of an attribute's value in a key
+
+
+def _strings(c: Column) -> Column:
+    return F.coalesce(c, F.array().cast("array<string>"))
+
 
-NODE_COLS = ["tag", "id", "classes", "attrs", "nth", "child_tags", "t_start", "t_end"]
+def _pairs(attrs: Column) -> Column:
+    """A map as sorted 'name=value' strings."""
+    return F.array_sort(F.transform(F.map_entries(attrs), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
 
 
 def step_key(s: Column) -> Column:
-    """The join key of a step: its most selective single feature."""
+    """The join key of a step: its most selective feature."""
+    classes, attrs = _strings(s["classes"]), _strings(_pairs(s["attrs"]))
     return (
-        F.when(s["tag"].isNotNull(), F.concat(F.lit("t:"), s["tag"]))
-        .when(F.size(F.coalesce(s["classes"], F.array())) > 0, F.concat(F.lit("c:"), F.try_element_at(s["classes"], F.lit(1))))
-        .when(F.coalesce(s["id"], F.lit("")) != "", F.concat(F.lit("i:"), s["id"]))
-        .when(F.size(F.coalesce(F.map_keys(s["attrs"]), F.array())) > 0,
-              F.concat(F.lit("a:"), F.try_element_at(F.array_sort(F.map_keys(s["attrs"])), F.lit(1))))
+        F.when(F.coalesce(s["id"], F.lit("")) != "", F.concat(F.lit("i:"), s["id"]))
+        .when(s["nth"].isNotNull() & s["tag"].isNotNull(), F.concat(F.lit("n:"), s["nth"].cast("string"), F.lit(":"), s["tag"]))
+        .when(F.size(classes) > 0, F.concat(F.lit("c:"), F.try_element_at(classes, F.lit(1))))
+        .when(F.size(attrs) > 0, F.concat(F.lit("a:"), F.left(F.try_element_at(attrs, F.lit(1)), F.lit(KEY_CHARS))))
+        .when(s["tag"].isNotNull(), F.concat(F.lit("t:"), s["tag"]))
         .otherwise(F.lit("*"))
     )
 
 
 def node_keys(nodes: DataFrame) -> DataFrame:
-    """(page_id, node_id, key) for every feature a step can be keyed on."""
+    """(page_id, node_id, anc, key) for every feature a step can be keyed on."""
     keys = F.concat(
-        F.array(F.concat(F.lit("t:"), F.col("tag")), F.lit("*")),
+        F.array(F.concat(F.lit("t:"), F.col("tag")), F.lit("*"), F.concat(F.lit("n:"), F.col("nth").cast("string"), F.lit(":"), F.col("tag"))),
         F.transform("classes", lambda c: F.concat(F.lit("c:"), c)),
         F.when(F.col("id") != "", F.array(F.concat(F.lit("i:"), F.col("id")))).otherwise(F.array().cast("array<string>")),
-        F.transform("attr_names", lambda a: F.concat(F.lit("a:"), a)),
+        F.array_distinct(F.transform(_pairs(F.col("attrs")), lambda a: F.concat(F.lit("a:"), F.left(a, F.lit(KEY_CHARS))))),
     )
     return nodes.select("page_id", "node_id", "anc", F.explode(keys).alias("key"))
 
 
-def step_pred(s: Column, mtext: Column | None = None) -> Column:
-    """Does the current node (columns of ``nodes``) satisfy step ``s``?"""
-    ok = (
-        (s["tag"].isNull() | (F.col("tag") == s["tag"]))
-        & (F.coalesce(s["id"], F.lit("")).eqNullSafe("") | (F.col("id") == s["id"]))
-        & (F.size(F.array_except(F.coalesce(s["classes"], F.array().cast("array<string>")), F.col("classes"))) == 0)
-        & F.coalesce(F.forall(F.map_entries(F.coalesce(s["attrs"], F.create_map().cast("map<string,string>"))),
-                              lambda e: F.col("attrs")[e["key"]] == e["value"]), F.lit(False))
-        & (s["nth"].isNull() | (F.col("nth") == s["nth"]))
-        & (s["has_child"].isNull() | F.array_contains(F.col("child_tags"), s["has_child"]))
-    )
-    if mtext is not None:
-        ok = ok & (s["text"].isNull() | (mtext == s["text"]))
-    return F.coalesce(ok, F.lit(False))
+def with_element(nodes: DataFrame, text: bool = False) -> DataFrame:
+    """``nodes`` as (page_id, node_id, parent_id, depth, n_children, anc, el):
+    what a step can ask of an element; its match text only if asked for."""
+    own = F.col("mtext") if text else F.lit(None).cast("string")
+    el = F.struct("tag", "id", "classes", _pairs(F.col("attrs")).alias("pairs"), "nth", "child_tags", own.alias("text"))
+    return nodes.select("page_id", "node_id", "parent_id", "depth", "n_children", "anc", el.alias("el"))
+
+
+def step_holds(s: Column, el: Column) -> Column:
+    """Does element ``el`` satisfy step ``s``?"""
+    return F.coalesce(
+        (s["tag"].isNull() | (el["tag"] == s["tag"]))
+        & ((F.coalesce(s["id"], F.lit("")) == "") | (el["id"] == s["id"]))
+        & (F.size(F.array_except(_strings(s["classes"]), el["classes"])) == 0)
+        & (F.size(F.array_except(_strings(s["pairs"]), el["pairs"])) == 0)
+        & (s["nth"].isNull() | (el["nth"] == s["nth"]))
+        & (s["has_child"].isNull() | F.array_contains(el["child_tags"], s["has_child"]))
+        & (s["text"].isNull() | (el["text"] == s["text"])), F.lit(False))
+
+
+def chains_of(elements: DataFrame) -> DataFrame:
+    """(page_id, parent_id, chain): for each element with children the
+    elements from the root down to it, as structs of their depth and ``el``."""
+    up = elements.filter("n_children > 0").select("page_id", F.col("node_id").alias("parent_id"), F.posexplode("anc").alias("pos", "node_id"))
+    met = up.join(elements.select("page_id", "node_id", "el"), ["page_id", "node_id"])
+    return met.groupBy("page_id", "parent_id").agg(F.array_sort(F.collect_list(F.struct("pos", "el"))).alias("chain"))
+
+
+def _bit(j: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), j)
+
+
+def _has(bits: Column, j: Column) -> Column:
+    """Bit ``j`` of ``bits``; there is none below 0."""
+    return F.when(j < 0, F.lit(False)).otherwise(F.getbit(bits, F.greatest(j, F.lit(0))) == 1)
+
+
+def chain_holds(steps: Column, chain: Column, below: Column) -> Column:
+    """Do all steps but the last lie in the part of ``chain`` under depth
+    ``below`` (-1: the whole chain, whose first step may be anywhere), so that
+    the last step's combinator leads to the chain's end?"""
+    upper = F.slice(steps, 1, F.size(steps) - 1)
+    zero = F.lit(0).cast("bigint")
+
+    def down(acc: Column, e: Column) -> Column:
+        def ends_here(s: Column, j: Column) -> Column:
+            first = (s["comb"] != "child") | (below < 0) | (e["pos"] == below + 1)
+            after = F.when(s["comb"] == "child", _has(acc["here"], j - 1)).otherwise(_has(acc["seen"], j - 1))
+            return F.when(F.when(j == 0, first).otherwise(after) & step_holds(s, e["el"]), _bit(j)).otherwise(zero)
+
+        here = F.aggregate(F.transform(upper, ends_here), zero, lambda a, b: a + b)
+        return F.struct(acc["seen"].bitwiseOR(here).alias("seen"), here.alias("here"))
+
+    inside = F.filter(chain, lambda e: e["pos"] > below)
+    end = F.aggregate(inside, F.struct(zero.alias("seen"), zero.alias("here")), down)
+    last = F.size(steps) - 2
+    return F.coalesce(F.when(F.element_at(steps, -1)["comb"] == "child", _has(end["here"], last)).otherwise(_has(end["seen"], last)), F.lit(False))
+
+
+def with_pairs(steps: Column) -> Column:
+    """Steps with their attributes as 'name=value' strings."""
+    return F.transform(steps, lambda s: s.withField("pairs", _strings(_pairs(s["attrs"]))))
 
 
 class Matcher:
@@ -68,79 +127,69 @@ class Matcher:
 
     def __init__(self, ps):
         self.ps = ps
-        self._keys = None
-
-    @property
-    def keys(self) -> DataFrame:
-        if self._keys is None:
-            from pyspark import StorageLevel
-            self._keys = node_keys(self.ps.nodes).persist(StorageLevel.MEMORY_AND_DISK)
-        return self._keys
-
-    def _node_side(self) -> DataFrame:
-        return self.ps.nodes.select("page_id", "node_id", "parent_id", *NODE_COLS)
-
-    def _check(self, df: DataFrame, s: Column, with_text: bool) -> DataFrame:
-        if with_text:
-            info = self.ps.info.select("page_id", "page_text")
-            df = df.join(info, "page_id")
-            mt = match_text(subtree_text(F.col("page_text"), F.col("t_start"), F.col("t_end")))
-            df = df.filter(step_pred(s, mt)).drop("page_text")
-        else:
-            df = df.filter(step_pred(s))
-        return df
-
-    def _advance(self, front: DataFrame, sels: DataFrame, sel_key: list[str], i: int, carry: list[str], with_text: bool,
-                 doc_level: bool = False) -> DataFrame:
-        """Apply step ``i`` (0-based) to the frontier (page_id, scope_id,
-        *carry, cur_id): one join against the keyed closure; a child step is
-        the distance-1 case. Steps stay in ``sels`` and are joined in by the
-        selector's own key columns (the frontier carries only hashable keys)."""
-        st = sels.filter(F.size("steps") > i).select(
-            *sel_key, F.try_element_at(F.col("steps"), F.lit(i + 1)).alias("_s")).withColumn("key", step_key(F.col("_s")))
-        front = front.join(st, sel_key)
-        want = front.select("page_id", "key").distinct()
-        cand = self.keys.join(want, ["page_id", "key"], "left_semi")
-        nodes = self._node_side().drop("parent_id")
-        if doc_level:
-            d = front.drop("cur_id").join(cand.drop("anc"), ["page_id", "key"])
-        else:
-            cl = cand.select("page_id", "node_id", "key", F.posexplode("anc").alias("apos", "cur_id"),
-                             (F.size("anc") - 1).alias("self_pos"))
-            cl = cl.filter(F.col("apos") < F.col("self_pos"))
-            d = front.join(cl, ["page_id", "cur_id", "key"])
-            d = d.filter((F.col("_s.comb") != "child") | (F.col("apos") == F.col("self_pos") - 1))
+
+    def _elements(self, keys: DataFrame | None) -> DataFrame:
+        """Elements, with the match text of those that a text step may mean."""
+        nodes = self.ps.nodes
+        if keys is None:
+            return with_element(nodes)
+        from .tree import with_text
+
+        meant = node_keys(nodes).join(keys, ["page_id", "key"], "left_semi").select("page_id", "node_id").distinct()
+        meant = with_text(self.ps, nodes.join(meant, ["page_id", "node_id"], "left_semi").select("page_id", "node_id", "t_start", "t_end"))
+        texts = meant.select("page_id", "node_id", match_text(F.col("raw_text")).alias("mtext"))
+        return with_element(nodes.join(texts, ["page_id", "node_id"], "left"), text=True)
+
+    def match(self, scopes: DataFrame, sels: DataFrame, sel_key: list[str], carry: list[str] = (), include_scope: bool = False,
+              texts: bool | None = None) -> DataFrame:
+        """scopes: (page_id, scope_id, *carry), no two rows alike; sels:
+        (*sel_key, steps), where ``sel_key`` is among page_id, scope_id and
+        ``carry`` and names one selector. Returns the matches (page_id,
+        scope_id, *carry, node_id). The first step matches strict descendants
+        of the scope; a document-level selector (``include_scope``, the scope
+        being the root) may match the root too. ``texts``: whether any step
+        asks for text (None: found out by a job)."""
+        carry, nodes = list(carry), self.ps.nodes
         own = ["page_id", "scope_id", *carry]
-        d = d.select(*own, "_s", "node_id").join(nodes, ["page_id", "node_id"])
-        d = self._check(d, F.col("_s"), with_text)
-        return d.select(*own, F.col("node_id").alias("cur_id")).dropDuplicates()
-
-    def match(self, scopes: DataFrame, sels: DataFrame, sel_key: list[str], carry: list[str] = (), include_scope: bool = False) -> DataFrame:
-        """scopes: (page_id, scope_id, *carry); sels: (*sel_key, steps), where
-        ``sel_key`` is among page_id, scope_id and ``carry`` and names one
-        selector. Returns the distinct matches (page_id, scope_id, *carry,
-        node_id). The first step matches strict descendants of the scope; a
-        document-level selector (``include_scope``) may match the root. Text
-        steps are looked for in the selectors themselves."""
-        carry = list(carry)
-        shape = sels.agg(F.max(F.size("steps")).alias("n"), F.max(F.exists("steps", lambda s: s["text"].isNotNull())).alias("text")).first()
-        max_len, with_text = shape.n or 0, bool(shape.text)
-        lens = sels.select(*sel_key, F.size("steps").alias("_len"))
-        front = scopes.select("page_id", "scope_id", *carry, F.col("scope_id").alias("cur_id"))
-        if not max_len:
-            return front.select("page_id", "scope_id", *carry, F.col("cur_id").alias("node_id")).limit(0)
-        done = []
-        for i in range(max_len):
-            if i > 0:
-                done.append(front.join(lens.filter(F.col("_len") == i), sel_key, "left_semi"))
-            front = self._advance(front, sels, sel_key, i, carry, with_text, doc_level=include_scope and i == 0)
-            if max_len > 1:
-                from ..session import cut_lineage
-                front = cut_lineage(front)
-        out = front
-        for d in done:
-            out = out.unionByName(d)
-        return out.select("page_id", "scope_id", *carry, F.col("cur_id").alias("node_id"))
+        if texts is None:
+            texts = not sels.filter(F.exists("steps", lambda s: s["text"].isNotNull())).isEmpty()
+        too_long = F.raise_error(F.lit(f"a selector has more than {MOST_STEPS} steps")).cast("boolean")
+        asked = scopes.select(*own).join(sels.select(*sel_key, "steps"), sel_key)
+        asked = asked.filter(F.when(F.size("steps") > MOST_STEPS, too_long).otherwise(F.size("steps") > 0))
+        keys = None
+        if texts:
+            each = asked.select("page_id", F.explode("steps").alias("s")).filter(F.col("s.text").isNotNull())
+            keys = each.select("page_id", step_key(F.col("s")).alias("key")).distinct()
+        asked = asked.select(*own, with_pairs(F.col("steps")).alias("steps"), step_key(F.element_at("steps", -1)).alias("key"))
+        keyed = node_keys(nodes).join(asked.select("page_id", "key").distinct(), ["page_id", "key"], "left_semi")
+        if include_scope:
+            met = asked.join(keyed.drop("anc"), ["page_id", "key"]).withColumn("below", F.lit(-1))
+        else:
+            inner = keyed.select("page_id", "node_id", "key", (F.size("anc") - 1).alias("self"), F.posexplode("anc").alias("below", "scope_id"))
+            met = asked.join(inner.filter("below < self").drop("self"), ["page_id", "scope_id", "key"])
+        elements = self._elements(keys)
+        last = F.element_at("steps", -1)
+        met = met.join(elements.select("page_id", "node_id", "parent_id", "depth", "el"), ["page_id", "node_id"]).filter(step_holds(last, F.col("el")))
+        # one step has nothing to look for above, but a child of the scope
+        alone = (last["comb"] != "child") | (F.col("below") < 0) | (F.col("depth") == F.col("below") + 1)
+        met = met.withColumn("parent_id", F.when(F.size("steps") > 1, F.col("parent_id")))
+        chains = self.ps.chains if keys is None else chains_of(elements)
+        met = met.join(chains, ["page_id", "parent_id"], "left")
+        met = met.filter(F.when(F.size("steps") == 1, alone).otherwise(chain_holds(F.col("steps"), F.col("chain"), F.col("below"))))
+        return met.select("page_id", "scope_id", *carry, "node_id")
+
+
+def distinct_matches(ps, sels: DataFrame, include_scope: bool) -> DataFrame:
+    """How many nodes each distinct selector matches: sels (page_id, scope_id,
+    css, steps), rows with the same css being the same selector ->
+    (page_id, scope_id, css, matches, last_id). Like elements ask alike, so
+    what is matched does not grow with the number of those that ask."""
+    from ..session import cut_lineage
+
+    key = ["page_id", "scope_id", "css"]
+    each = cut_lineage(sels.groupBy(*key).agg(F.first("steps").alias("steps")), "selectors")
+    m = Matcher(ps).match(each.drop("steps"), each, key, ["css"], include_scope, texts=False)
+    return m.groupBy(*key).agg(F.count(F.lit(1)).alias("matches"), F.max("node_id").alias("last_id"))
 
 
 def steps_lit(steps: list[dict]) -> Column:
@@ -163,15 +212,26 @@ def steps_lit(steps: list[dict]) -> Column:
     return F.array(*[one(s) for s in steps]).cast(STEPS)
 
 
+def make_step(tag=None, comb="desc", id=None, classes=None, attrs=None, nth=None, has_child=None) -> Column:
+    """A step from columns; what is not given is not asked for."""
+    no = F.lit(None).cast("string")
+    return F.struct(
+        (comb if isinstance(comb, Column) else F.lit(comb)).alias("comb"), (no if tag is None else tag).alias("tag"), (no if id is None else id).alias("id"),
+        (F.array().cast("array<string>") if classes is None else classes).alias("classes"),
+        (F.create_map().cast("map<string,string>") if attrs is None else attrs).alias("attrs"),
+        (F.lit(None) if nth is None else nth).cast("int").alias("nth"), no.alias("text"), (no if has_child is None else has_child).alias("has_child"))
+
+
 def select_nodes(ps, steps: list[dict]) -> DataFrame:
-    """all nodes of all pages matching a selector (driver-side steps),
-    ordered by (page_id, node_id) = document order. Empty selector -> no rows."""
+    """all nodes of all pages matching a selector (driver-side steps).
+    Empty selector -> no rows."""
     if not steps:
         return ps.nodes.select("page_id", "node_id").limit(0)
     validate_steps(steps)
     scopes = ps.nodes.filter(F.col("parent_id").isNull()).select("page_id", F.col("node_id").alias("scope_id"))
     # keyed by page, so no selector is one key for all pages
-    m = Matcher(ps).match(scopes, scopes.select("page_id", steps_lit(steps).alias("steps")), ["page_id"], include_scope=True)
+    m = Matcher(ps).match(scopes, scopes.select("page_id", steps_lit(steps).alias("steps")), ["page_id"], include_scope=True,
+                          texts=any(s.get("text") is not None for s in steps))
     return m.select("page_id", "node_id")
 
 
@@ -183,3 +243,26 @@ def validate_steps(steps: list[dict]) -> None:
             raise ValueError(f"Invalid selector: bad combinator {s.get('comb')!r}")
         if s.get("nth") is not None and int(s["nth"]) < 1:
             raise ValueError("Invalid selector: nth-of-type must be >= 1")
+
+
+def validate(ps, selectors: DataFrame, rows: DataFrame | None = None) -> DataFrame:
+    """how each selector does on its page: (page_id, sel, steps) ->
+    (page_id, sel, matches, rows_with, n_rows, status). Without ``rows``
+    (page_id, row_id) it is looked for in the whole page: 'unique', '0' or
+    'n matches'. With them it is looked for inside each row, and the status is
+    'n of m rows'. Selectors without steps match nothing."""
+    if rows is None:
+        scopes = selectors.select("page_id", F.lit(0).alias("scope_id"), "sel")
+        hits = Matcher(ps).match(scopes, selectors.select("page_id", "sel", "steps"), ["page_id", "sel"], ["sel"], include_scope=True)
+        n = hits.groupBy("page_id", "sel").agg(F.count(F.lit(1)).alias("matches"))
+        out = selectors.select("page_id", "sel").join(n, ["page_id", "sel"], "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
+        none = F.lit(None).cast("bigint")
+        status = F.when(F.col("matches") == 1, "unique").when(F.col("matches") == 0, "0").otherwise(F.concat(F.col("matches").cast("string"), F.lit(" matches")))
+        return out.select("page_id", "sel", "matches", none.alias("rows_with"), none.alias("n_rows"), status.alias("status"))
+    per = rows.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_rows"))
+    scopes = rows.select("page_id", F.col("row_id").alias("scope_id")).join(selectors.select("page_id", "sel"), "page_id")
+    hits = Matcher(ps).match(scopes, selectors.select("page_id", "sel", "steps"), ["page_id", "sel"], ["sel"])
+    n = hits.groupBy("page_id", "sel", "scope_id").agg(F.count(F.lit(1)).alias("n")).groupBy("page_id", "sel").agg(
+        F.sum("n").alias("matches"), F.count(F.lit(1)).alias("rows_with"))
+    out = selectors.select("page_id", "sel").join(n, ["page_id", "sel"], "left").join(per, "page_id", "left").na.fill(0, ["matches", "rows_with", "n_rows"])
+    return out.withColumn("status", F.concat(F.col("rows_with").cast("string"), F.lit(" of "), F.col("n_rows").cast("string"), F.lit(" rows")))

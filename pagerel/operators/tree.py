@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classes as C
 from ..functions.urls import absolutize
-from ..sources.shred import drop_page_cols, page_texts, shred
+from ..sources.shred import BLOCK, drop_page_cols, page_sources, page_texts, shred
 
 
 def usable_href(attrs: Column) -> Column:
@@ -23,46 +23,77 @@ def usable_href(attrs: Column) -> Column:
     return h.isNotNull() & (h != "") & ~h.rlike(r"(?i)^\s*(?:#|javascript:)")
 
 
-def with_nth(nodes: DataFrame) -> DataFrame:
-    """1-based nth-of-type and its count among same-tag, same-namespace
-    siblings; the root gets (1, 1)."""
-    w = Window.partitionBy("page_id", "parent_id", "tag", "is_svg")
-    return (
-        nodes.withColumn("nth", F.when(F.col("parent_id").isNull(), F.lit(1))
-                         .otherwise(F.row_number().over(w.orderBy("node_id"))))
-        .withColumn("nth_count", F.when(F.col("parent_id").isNull(), F.lit(1))
-                    .otherwise(F.count(F.lit(1)).over(w)).cast("int"))
-    )
-
-
 class PageSet:
-    """Pages shredded once and reused by every operator.
-
-    ``nodes`` is persisted (MEMORY_AND_DISK): a lost block is recomputed from
-    the parquet scan, never from a machine-local copy. ``info`` holds the per
-    page text stream, url and resolved base url."""
+    """Pages shredded once and reused by every operator, as tables in the
+    shared checkpoint folder: ``nodes`` (one row per element, N01 included),
+    ``texts`` (page_id, block, text: the text streams in blocks), ``info``
+    (url and resolved base url) and, made when first asked for, ``chains``
+    (what selectors can ask of the ancestors of an element) and ``sources``."""
 
     def __init__(self, pages: DataFrame):
         from ..session import cut_lineage
 
         self.pages = pages
-        raw = shred(pages)
-        full = with_nth(raw).select(
+        full = shred(pages).select(
             "*",
             C.semantic_classes(F.col("classes")).alias("sem"),
             C.group_classes(F.col("classes")).alias("grp"),
             ((F.col("tag") == "a") & usable_href(F.col("attrs"))).alias("usable_a"),
         )
-        # One reliable checkpoint: later plans start from this scan, so the
-        # HTML is parsed once and no plan repeats the class-kind lambdas.
-        self.full = cut_lineage(full)
-        self.nodes = drop_page_cols(self.full)
-        info = page_texts(self.full).join(pages.select("page_id", "url"), "page_id")
-        self.info = info.select(
-            "page_id", "url", "page_text",
-            F.when(F.col("base_href").isNotNull(), absolutize(F.col("base_href"), F.col("url")))
-            .otherwise(F.col("url")).alias("base"),
-        )
+        # the HTML is parsed once, and no plan repeats the class-kind lambdas
+        full = cut_lineage(full, "nodes")
+        self.nodes = drop_page_cols(full)
+        self.texts = cut_lineage(page_texts(full), "texts")
+        info = full.filter("node_id = 0").select("page_id", "base_href").join(pages.select("page_id", "url"), "page_id")
+        self.info = info.select("page_id", "url", F.when(F.col("base_href").isNotNull(), absolutize(F.col("base_href"), F.col("url")))
+                                .otherwise(F.col("url")).alias("base"))
+        self._made: dict = {}
+
+    def _once(self, name: str, make) -> DataFrame:
+        from ..session import cut_lineage
+
+        if name not in self._made:
+            self._made[name] = cut_lineage(make(), name)
+        return self._made[name]
+
+    @property
+    def chains(self) -> DataFrame:
+        from .select import chains_of, with_element
+
+        return self._once("chains", lambda: chains_of(with_element(self.nodes)))
+
+    @property
+    def sources(self) -> DataFrame:
+        return self._once("sources", lambda: page_sources(self.pages))
+
+
+def sliced(blocks: DataFrame, df: DataFrame, start: str, end: str, name: str) -> DataFrame:
+    """``df`` (page_id, <start>, <end>, ...) with ``name``: the characters from
+    start to end of its page's stream ``blocks`` (page_id, block, text).
+
+    Most slices lie in one block and meet it by (page_id, block); those that
+    span several are put together once for each distinct slice. A very long
+    page is many keys, and no slice carries more of it than its own."""
+    s, e = F.col(start), F.col(end)
+    at = df.withColumns({"_b0": F.floor(s / BLOCK).cast("int"), "_b1": F.floor(F.greatest(s, e - 1) / BLOCK).cast("int")})
+    cut = lambda b: F.substring("_text", F.greatest(s - b * BLOCK, F.lit(0)) + 1, F.least(e, (b + 1) * BLOCK) - F.greatest(s, b * BLOCK))
+    block = blocks.withColumnRenamed("text", "_text")
+    one = at.filter("_b0 = _b1").join(block.withColumnRenamed("block", "_b0"), ["page_id", "_b0"], "left")
+    one = one.withColumn(name, F.coalesce(F.when(e > s, cut(F.col("_b0"))), F.lit("")))
+    long = at.filter("_b0 < _b1")
+    parts = long.select("page_id", start, end, "_b0", "_b1").distinct().withColumn("block", F.explode(F.sequence("_b0", "_b1")))
+    parts = parts.join(block, ["page_id", "block"]).groupBy("page_id", start, end).agg(
+        F.array_sort(F.collect_list(F.struct("block", cut(F.col("block")).alias("t")))).alias("ts"))
+    parts = parts.select("page_id", start, end, F.array_join(F.transform("ts", lambda x: x["t"]), "").alias(name))
+    many = long.join(parts, ["page_id", start, end], "left").withColumn(name, F.coalesce(name, F.lit("")))
+    return one.select(*df.columns, name).unionByName(many.select(*df.columns, name))
+
+
+def with_text(ps: PageSet, df: DataFrame, name: str = "raw_text") -> DataFrame:
+    """``df`` (page_id, t_start, t_end, ...) with the raw text of each
+    element, its slice of the page's text stream (subtree texts are contiguous
+    in document order)."""
+    return sliced(ps.texts, df, "t_start", "t_end", name)
 
 
 def closure(nodes: DataFrame, cols=(), include_self: bool = True) -> DataFrame:

@@ -22,7 +22,7 @@ from ..operators.columns import data_nodes, dedupe_names, humanize
 from ..operators.extract import auto_extract, host_rollup, node_values, wide
 from ..operators.lists import find_lists, leaf_counts, list_rows, unique_selectors
 from ..operators.select import select_nodes
-from ..operators.tree import PageSet
+from ..operators.tree import PageSet, with_text
 from ..schema import css, step
 from ..sources import sinks as S
 
@@ -185,14 +185,13 @@ def q_p01(spark, d):
 def q_p02(spark, d):
     ps = pageset(spark, d)
     n = ps.nodes.filter(F.col("tag").isin("title", "h1")).select("page_id", "tag", "t_start", "t_end")
-    j = n.join(ps.info.select("page_id", "page_text"), "page_id")
-    return j.select("page_id", "tag", TX.clean(TX.subtree_text(F.col("page_text"), F.col("t_start"), F.col("t_end"))).alias("text"))
+    return with_text(ps, n).select("page_id", "tag", TX.clean(F.col("raw_text")).alias("text"))
 
 
 def q_p04(spark, d):
     ps = pageset(spark, d)
-    n = ps.nodes.filter(F.col("tag") == "a").select("page_id", "t_start", "t_end").join(ps.info.select("page_id", "page_text"), "page_id")
-    m = n.select("page_id", TX.match_text(TX.subtree_text(F.col("page_text"), F.col("t_start"), F.col("t_end"))).alias("text"))
+    n = ps.nodes.filter(F.col("tag") == "a").select("page_id", "t_start", "t_end")
+    m = with_text(ps, n).select("page_id", TX.match_text(F.col("raw_text")).alias("text"))
     return m.groupBy("page_id", "text").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -317,8 +316,8 @@ def q_a06(spark, d):
 def q_a07(spark, d):
     ps = pageset(spark, d)
     title = ps.nodes.filter(F.col("tag") == "title").groupBy("page_id").agg(F.min_by(F.struct("t_start", "t_end"), "node_id").alias("t"))
-    t = title.join(ps.info.select("page_id", "page_text", "url"), "page_id", "right").select(
-        "page_id", "url", F.coalesce(TX.clean(TX.subtree_text(F.col("page_text"), F.col("t.t_start"), F.col("t.t_end"))), F.lit("")).alias("title"))
+    title = with_text(ps, title.select("page_id", "t.t_start", "t.t_end")).select("page_id", TX.clean(F.col("raw_text")).alias("title"))
+    t = title.join(ps.info.select("page_id", "url"), "page_id", "right").na.fill("", ["title"])
     runs = t.select(host_of(F.col("url")).alias("dataset"), F.col("page_id").alias("page_ord"), "url", "title",
                     host_of(F.col("url")).alias("host"), F.lit(FIXED_CLOCK).cast("timestamp").alias("ts"))
     return D.dataset_meta(runs).select(F.col("dataset").alias("host_key"), "pages", "source", "title", "host")
@@ -610,6 +609,37 @@ def q_g06_customers(spark, d):
     return page_chain(ps, nl, None, page_signatures(ps, rows).select("page_id", "n", "sig"))
 
 
+def q_l06_every(spark, d):
+    """Every node of pages whose containers have no class: what its selector matches."""
+    from ..operators.select import Matcher
+
+    ps = derived_pages(spark, d)
+    u = unique_selectors(ps, ps.nodes).withColumnRenamed("node_id", "target_id")
+    m = Matcher(ps).match(u.select("page_id", F.lit(0).alias("scope_id"), "target_id"), u.select("page_id", "target_id", "steps"),
+                          ["page_id", "target_id"], ["target_id"], include_scope=True, texts=False)
+    per = m.groupBy("page_id", "target_id").agg(F.count(F.lit(1)).alias("n"), F.max("node_id").alias("node_id"))
+    met = u.join(per, ["page_id", "target_id"], "left")
+    return met.groupBy("page_id").agg(F.count(F.lit(1)).alias("n_nodes"), F.count_if((F.col("n") == 1) & (F.col("node_id") == F.col("target_id"))).alias("n_unique"),
+                                      F.count_if(F.col("steps").isNull()).alias("n_without"), F.count_if(F.col("phase") == 3).alias("n_paths"))
+
+
+def q_l06_cells(spark, d):
+    ps = derived_pages(spark, d)
+    return unique_selectors(ps, ps.nodes.filter("tag = 'td'")).select("page_id", "selector")
+
+
+def q_f09_rows(spark, d):
+    """Selectors tried inside the rows of the customer tables."""
+    from ..operators.select import steps_lit, validate
+
+    ps = derived_pages(spark, d)
+    rows = select_nodes(ps, css(("desc", step("tr")))).withColumnRenamed("node_id", "row_id")
+    kinds = F.array(F.struct(F.lit("td").alias("sel"), steps_lit(css(("child", step("td")))).alias("steps")), F.struct(F.lit("a").alias("sel"), steps_lit(css(("desc", step("a")))).alias("steps")),
+                    F.struct(F.lit("th").alias("sel"), steps_lit(css(("child", step("th")))).alias("steps")))
+    sels = ps.pages.select("page_id", F.explode(kinds).alias("k")).select("page_id", "k.*")
+    return validate(ps, sels, rows).select("page_id", "sel", "matches", "rows_with", "n_rows", "status")
+
+
 def q_w01(spark, d):
     from ..streaming.incremental import stream_extract_links
 
@@ -633,5 +663,6 @@ QUERIES = {
     "R01_normalize_recipes": q_r01, "R04_check_recipes": q_r04, "S05_export_recipes": q_s05, "J10_recipe_extract": q_j10,
     "T05_rank_recipes": q_t05, "L01_detect_list": q_l01, "L02_detect_list_pairs": q_l02, "L09_xpaths": q_l09, "J02_lca": q_j02, "J04_neighbourhood": q_j04,
     "G03_disabled": q_g03, "G05_page_signatures": q_g05, "G06_page_chain": q_g06, "J10_several_recipes": q_j10_several,
+    "L06_every_node": q_l06_every, "L06_cell_selectors": q_l06_cells, "F09_validate_in_rows": q_f09_rows,
     "S04_recipe_round_trip": q_s04, "F03_text_steps": q_f03, "J09_header_names": q_j09, "G06_customer_chains": q_g06_customers, "P13_element_profile": q_p13,
 }

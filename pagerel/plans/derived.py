@@ -53,6 +53,17 @@ def customer_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
 CUSTOMERS = ("cu AS (SELECT *, CAST(c_nationkey AS BIGINT) * 100000 + nth // 5 + 1 AS page_id, nth % 5 + 1 AS row_ord, nth // 5 + 1 AS p FROM "
              "(SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS nth FROM customer))")
 DERIVED_ORACLES = {
+    # 12 elements beside the customers; each customer is a table row of 3 cells and a link, and an item; all of a row's
+    # need their place, an item's text too, and the header's cells; one page's only item is the list's only child
+    "L06_every_node": f"""WITH {CUSTOMERS}, n AS (SELECT page_id, count(*) AS k FROM cu GROUP BY page_id)
+SELECT page_id, 12 + 7 * k AS n_nodes, 12 + 7 * k AS n_unique, CAST(0 AS BIGINT) AS n_without, CASE WHEN k = 1 THEN 8 ELSE 4 + 6 * k END AS n_paths FROM n""",
+    "L06_cell_selectors": f"""WITH {CUSTOMERS}, n AS (SELECT page_id, row_ord, count(*) OVER (PARTITION BY page_id) AS k FROM cu)
+SELECT page_id, CASE WHEN k = 1 THEN '' ELSE 'tr:nth-of-type(' || (row_ord + 1) || ') > ' END || 'td:nth-of-type(' || j || ')' AS selector
+FROM n, (SELECT unnest([1, 2, 3]) AS j)""",
+    "F09_validate_in_rows": f"""WITH {CUSTOMERS}, n AS (SELECT page_id, count(*) AS k FROM cu GROUP BY page_id)
+SELECT page_id, 'td' AS sel, 3 * k AS matches, k AS rows_with, k + 1 AS n_rows, k || ' of ' || (k + 1) || ' rows' AS status FROM n
+UNION ALL SELECT page_id, 'a', k, k, k + 1, k || ' of ' || (k + 1) || ' rows' FROM n
+UNION ALL SELECT page_id, 'th', CAST(3 AS BIGINT), CAST(1 AS BIGINT), k + 1, '1 of ' || (k + 1) || ' rows' FROM n""",
     "J10_several_recipes": f"""WITH {CUSTOMERS}, b AS (
   SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY c_custkey) AS row_ord, c_mktsegment FROM cu WHERE c_mktsegment = 'BUILDING')
 SELECT 'table' AS recipe, page_id, row_ord, 'Name' AS name, c_name AS value FROM cu

@@ -4,8 +4,8 @@ checkpoint folder used to cut lineage on long plans."""
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -47,12 +47,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives the
-    loss of executors, unlike a local checkpoint)."""
-    ensure_checkpoint_dir(df.sparkSession)
-    # persist first so the checkpoint write does not recompute the input
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
-    out = df.checkpoint(eager=True)
-    df.unpersist()
-    return out
+def cut_lineage(df: DataFrame, what: str = "cut") -> DataFrame:
+    """Write ``df`` as a Parquet table into the shared checkpoint folder and
+    read it back. Later plans scan only the columns they need, see the table's
+    size (small sides are broadcast by it), and survive the loss of executors.
+    The folder belongs to the job; its owner empties it when the job is over."""
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

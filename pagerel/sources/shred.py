@@ -52,6 +52,8 @@ JS_WS = ("\t\n\v\f\r \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u200
 # P01 class: JS \s plus zero-width space/joiners and BOM.
 _CLEAN_RE = re.compile("[" + JS_WS + "\u200b\u200c\u200d]+")
 _HIDDEN_STYLE_RE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", re.I)
+BLOCK = 4096  # characters of a page's text stream that make a row
+NODES_AT_ONCE = 20_000  # rows held before they leave as a batch
 _ASCII_WS_RE = re.compile(r"[ \t\n\f\r]+")
 
 NODES_SCHEMA = T.StructType([
@@ -84,8 +86,10 @@ NODES_SCHEMA = T.StructType([
     T.StructField("i_start", T.IntegerType(), False),
     T.StructField("i_end", T.IntegerType(), False),
     T.StructField("o_end", T.IntegerType(), False),
+    T.StructField("nth", T.IntegerType(), False),
+    T.StructField("nth_count", T.IntegerType(), False),
     # only on the root row (node_id 0): the page's text stream and <base href>
-    T.StructField("page_text", T.StringType(), True),
+    T.StructField("text_blocks", T.ArrayType(T.StringType(), False), True),
     T.StructField("base_href", T.StringType(), True),
 ])
 
@@ -99,7 +103,7 @@ class _Node:
     __slots__ = ("nid", "tag", "parent", "depth", "anc", "svg", "attrs", "names", "id", "classes",
                  "sib_ord", "n_children", "child_tags", "texts", "has_text", "skipped",
                  "skip_depth", "hidden", "t_start", "t_end", "o_start", "i_start", "i_end",
-                 "o_end", "end_id", "kids_fmt", "fmt", "tc", "stop_depth")
+                 "o_end", "end_id", "kids_fmt", "fmt", "tc", "stop_depth", "of_kind", "nth")
 
 
 class _TreeBuilder(HTMLParser):
@@ -147,9 +151,12 @@ class _TreeBuilder(HTMLParser):
         n.classes = seen
         n.n_children = 0
         n.child_tags = []
+        n.of_kind = {}  # children by tag and namespace
+        n.nth = 1
         if parent is not None:
             parent.n_children += 1
             n.sib_ord = parent.n_children
+            n.nth = parent.of_kind[tag, n.svg] = parent.of_kind.get((tag, n.svg), 0) + 1
             if tag not in parent.child_tags:
                 parent.child_tags.append(tag)
         else:
@@ -427,29 +434,32 @@ def _shred_batches(batches):
         ("skip_depth", pa.int32()), ("hidden", pa.bool_()), ("fmt", pa.bool_()),
         ("text_container", pa.bool_()), ("stop_depth", pa.int32()), ("t_start", pa.int32()),
         ("t_end", pa.int32()), ("o_start", pa.int32()), ("i_start", pa.int32()),
-        ("i_end", pa.int32()), ("o_end", pa.int32()), ("page_text", pa.string()),
-        ("base_href", pa.string()),
+        ("i_end", pa.int32()), ("o_end", pa.int32()), ("nth", pa.int32()), ("nth_count", pa.int32()),
+        ("text_blocks", pa.list_(pa.string())), ("base_href", pa.string()),
     ])
     assert [f.name for f in arrow_schema] == names
+    def made(rows):
+        cols = list(zip(*rows)) if rows else [[] for _ in names]
+        return pa.RecordBatch.from_arrays([pa.array(list(cols[i]), type=arrow_schema.field(nm).type) for i, nm in enumerate(names)], schema=arrow_schema)
+
+    rows = []
     for batch in batches:
-        ids = batch.column("page_id").to_pylist()
-        htmls = batch.column("html").to_pylist()
-        rows = []
-        add = rows.append
-        for pid, html in zip(ids, htmls):
-            b = shred_one(pid, html)
-            page_text = "".join(b.text)
-            base_href = b.base_href
+        for pid, html in zip(batch.column("page_id"), batch.column("html")):  # one page's html at a time
+            pid, b = pid.as_py(), shred_one(None, html.as_py())
+            text = "".join(b.text)
+            blocks = [text[i : i + BLOCK] for i in range(0, len(text), BLOCK)]
             for n in b.nodes:
                 root = n.nid == 0
-                add((pid, n.nid, n.end_id, n.parent.nid if n.parent else None, n.depth, n.anc, n.tag, n.svg, n.id,
-                     n.classes, n.names, list(n.attrs.items()), n.sib_ord, n.n_children, n.child_tags,
-                     clean_py(" ".join(n.texts)) if n.texts else "", n.has_text, n.skipped, n.skip_depth, n.hidden,
-                     n.fmt, n.tc, n.stop_depth, n.t_start, n.t_end, n.o_start, n.i_start, n.i_end, n.o_end,
-                     page_text if root else None, base_href if root else None))
-        cols = list(zip(*rows)) if rows else [[] for _ in names]
-        yield pa.RecordBatch.from_arrays([pa.array(list(cols[i]), type=arrow_schema.field(nm).type)
-                                          for i, nm in enumerate(names)], schema=arrow_schema)
+                count = n.parent.of_kind[n.tag, n.svg] if n.parent else 1
+                rows.append((pid, n.nid, n.end_id, n.parent.nid if n.parent else None, n.depth, n.anc, n.tag, n.svg, n.id,
+                             n.classes, n.names, list(n.attrs.items()), n.sib_ord, n.n_children, n.child_tags,
+                             clean_py(" ".join(n.texts)) if n.texts else "", n.has_text, n.skipped, n.skip_depth, n.hidden,
+                             n.fmt, n.tc, n.stop_depth, n.t_start, n.t_end, n.o_start, n.i_start, n.i_end, n.o_end, n.nth, count,
+                             blocks if root else None, b.base_href if root else None))
+                if len(rows) >= NODES_AT_ONCE:
+                    yield made(rows)
+                    rows = []
+    yield made(rows)
 
 
 def _ship_by_value(module_name: str) -> None:
@@ -470,8 +480,8 @@ def shred(pages: DataFrame) -> DataFrame:
     """pages(page_id, html, ...) -> nodes (one row per element, preorder).
 
     Runs per page inside ``mapInArrow``; only ``page_id`` and ``html`` cross
-    into Python. The page's text stream and ``<base href>`` ride on the root
-    row (node_id 0), so no second parse is needed for texts."""
+    into Python. The page's text stream, in blocks, and ``<base href>`` ride on
+    the root row (node_id 0), so no second parse is needed for texts."""
     _ship_by_value(__name__)
     src = pages.select("page_id", "html")
     # Parsing is CPU-bound Python: make sure every core gets pages. Large
@@ -483,9 +493,16 @@ def shred(pages: DataFrame) -> DataFrame:
 
 
 def page_texts(nodes: DataFrame) -> DataFrame:
-    """(page_id, page_text, base_href) from the root rows of ``nodes``."""
-    return nodes.filter(F.col("node_id") == 0).select("page_id", "page_text", "base_href")
+    """(page_id, block, text): the text stream of each page, cut every BLOCK
+    characters, so that a very long page is many rows."""
+    return nodes.filter("node_id = 0").select("page_id", F.posexplode("text_blocks").alias("block", "text"))
+
+
+def page_sources(pages: DataFrame) -> DataFrame:
+    """(page_id, block, text): the source of each page, cut likewise."""
+    cut = F.regexp_extract_all(F.col("html"), F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return pages.select("page_id", F.posexplode(cut).alias("block", "text"))
 
 
 def drop_page_cols(nodes: DataFrame) -> DataFrame:
-    return nodes.drop("page_text", "base_href")
+    return nodes.drop("text_blocks", "base_href")
