@@ -17,7 +17,7 @@ hold the smallest id:
 What is left are small rows (id, part, mask, n). Labels join them by id, and
 masks reduce to 32 counts a part, from which all orders of the filters follow.
 
-Memory is a trie of at most ``cell_bytes`` and one text more. The prefixes that
+Memory is a trie of at most TRIE_BYTES, or a few cells, and one text more. The prefixes that
 are broadcast are at most ``most_cells`` a round: ``cell_bytes`` grows with the
 table where more would weigh too much.
 
@@ -40,9 +40,10 @@ from pagerel.llm.common import ship, stored
 
 FILTERS = "ABCDE"
 DUPLICATE = 1 << FILTERS.index("E")
-CELL_BYTES = 32 << 20
+TRIE_BYTES = 16 << 20  # of a task's own texts
+CELL_BYTES = 4 << 20
 MOST_CELLS = 200_000
-FIRST = 4  # bytes of the first prefix
+FIRST, GROWTH = 8, 4  # bytes of the first prefix, and how it grows
 FLUSH = 8 << 20  # bytes of small cells that share a trie
 ROWS = "id long, part string, mask int, n long, text binary"
 
@@ -153,7 +154,7 @@ def batched(rows: Iterator[tuple], size: int = 4 << 20) -> Iterator[pa.RecordBat
     yield written(some)
 
 
-def gathered(docs: DataFrame, cell_bytes: int) -> DataFrame:
+def gathered(docs: DataFrame, trie_bytes: int) -> DataFrame:
     """``docs`` (id, part, text) as rows that are decided, without text, and
     entries, the distinct texts of each task."""
     ship(__name__)
@@ -167,7 +168,7 @@ def gathered(docs: DataFrame, cell_bytes: int) -> DataFrame:
                     decided.append((None, part, failing(text), 1, None))
                 else:
                     trie.insert(key, part, 1, text, None, decided)
-                if trie.size > cell_bytes:
+                if trie.size > trie_bytes:
                     yield from batched(trie.traverse(True))
                     trie = Trie()
             yield written(decided)
@@ -195,9 +196,9 @@ def celled(entries: DataFrame, cell_bytes: int) -> tuple[DataFrame, bool]:
         more = F.col("open") & F.col("times").isNotNull()
         grows = more & ~F.col("whole")
         at = at.join(F.broadcast(heavy), ["cell", "whole"], "left").select(
-            *entries.columns, F.when(grows, head(2 * length)).otherwise(F.col("cell")).alias("cell"),
+            *entries.columns, F.when(grows, head(GROWTH * length)).otherwise(F.col("cell")).alias("cell"),
             F.when(more & F.col("whole"), F.col("times")).otherwise(F.col("salts")).alias("salts"), grows.alias("open"))
-        length *= 2
+        length *= GROWTH
         if False not in kinds:
             return at.drop("open"), salted
 
@@ -231,16 +232,16 @@ def settled(entries: DataFrame, ranges: int) -> DataFrame:
 
 
 def flagged(docs: DataFrame, id_col: str = "doc_id", text: str = "text", part: str = "lang", cell_bytes: int = CELL_BYTES,
-            most_cells: int = MOST_CELLS) -> DataFrame:
+            trie_bytes: int = TRIE_BYTES, most_cells: int = MOST_CELLS) -> DataFrame:
     """(id, part, mask, n): the failure mask of every document; ``n`` rows
     alike in all three."""
     docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(part).cast("string"), F.lit("")).alias("part"),
                        F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    rows = stored(gathered(docs, cell_bytes), "audit-entries")
+    rows = stored(gathered(docs, trie_bytes), "audit-entries")
     entries, done = rows.filter(F.col("text").isNotNull()), rows.filter(F.col("text").isNull())
     total = entries.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
     cell_bytes = max(cell_bytes, -(-total // most_cells))
-    ranges = max(1, -(-2 * total // cell_bytes))
+    ranges = max(1, -(-total // max(FLUSH, cell_bytes)))
     placed, salted = celled(entries, cell_bytes)
     late = settled(placed, ranges)
     if salted:

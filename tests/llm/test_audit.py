@@ -44,12 +44,12 @@ def mixed(n=300, seed=3):
 def test_masks_against_all_pairs(spark, cell_bytes):
     """Small cells make prefixes grow and whole texts spread over several tries."""
     rows = mixed()
-    assert found(spark, rows, cell_bytes=cell_bytes) == masks(rows)
+    assert found(spark, rows, cell_bytes=cell_bytes, trie_bytes=cell_bytes) == masks(rows)
 
 
 def test_one_text_on_a_third_of_all_rows(spark):
     rows = [(i, "same text everywhere", "en") for i in range(400)] + [(i, f"text {i}", "en") for i in range(400, 1200)]
-    assert found(spark, rows, cell_bytes=150) == masks(rows)
+    assert found(spark, rows, cell_bytes=150, trie_bytes=100) == masks(rows)
 
 
 def test_empty_table_and_extra_columns(spark):
