@@ -13,7 +13,8 @@ from ..functions import classes as C
 from ..functions import rules
 from ..functions.selectors import css_escape, css_string, xpath_string
 from ..functions.text import clean, match_text
-from .lists import leaf_counts, model_attrs, row_selectors, unique_selectors
+from .lists import leaf_counts, model_attrs, row_selectors, row_steps, unique_selectors
+from .select import make_step
 from .tree import signatures, with_text
 from ..session import cut_lineage
 
@@ -183,33 +184,92 @@ def signatures_for(nodes: DataFrame, which: DataFrame) -> DataFrame:
     return which.join(sig, ["page_id", "node_id"], "left").select("page_id", "node_id", F.coalesce("sig", F.array().cast("array<string>")).alias("sig"))
 
 
+def sibling_kinds(ps, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The siblings of ``targets`` (page_id, node_id), themselves included, by
+    kind: elements alike in tag, group classes and structure signature (J06).
+    -> members (page_id, parent_id, kind, node_id, skipped) and kinds
+    (page_id, parent_id, kind, tag, grp, sig, n), n without skipped ones"""
+    nodes = ps.nodes
+    parents = nodes.join(targets.select("page_id", "node_id"), ["page_id", "node_id"], "left_semi").select("page_id", "parent_id").distinct()
+    sib = nodes.join(parents, ["page_id", "parent_id"], "left_semi").select("page_id", "parent_id", "node_id", "tag", F.array_sort("grp").alias("grp"), "skipped")
+    sib = sib.join(signatures_for(nodes, sib.select("page_id", "node_id")), ["page_id", "node_id"])
+    sib = cut_lineage(sib.withColumn("kind", F.md5(F.to_json(F.struct("tag", "grp", "sig")))), "siblings")
+    kinds = sib.groupBy("page_id", "parent_id", "kind").agg(*(F.first(c).alias(c) for c in ("tag", "grp", "sig")), F.count_if(~F.col("skipped")).alias("n"))
+    return sib.select("page_id", "parent_id", "kind", "node_id", "skipped"), cut_lineage(kinds, "kinds")
+
+
+def _similar(tx: Column, gx: Column, sx: Column, ty: Column, gy: Column, sy: Column) -> Column:
+    """Same tag; if either has group classes they must share one; of
+    empty signatures both are, or x has group classes; else Jaccard >= 0.34."""
+    cls = ((F.size(gx) == 0) & (F.size(gy) == 0)) | F.arrays_overlap(gx, gy)
+    jaccard = F.size(F.array_intersect(sx, sy)) / F.size(F.array_union(sx, sy))
+    sig = F.when((F.size(sx) == 0) | (F.size(sy) == 0), (F.size(sx) == F.size(sy)) | (F.size(gx) > 0)).otherwise(jaccard >= rules.SIMILARITY_MIN)
+    return (tx == ty) & cls & sig
+
+
+def similar_kinds(kinds: DataFrame) -> DataFrame:
+    """J07 between the kinds of each parent's children, as a set-similarity
+    join: (page_id, parent_id, x, y), y similar to x; every kind to itself.
+
+    Signatures that overlap by the limit share one of their rarest tokens: of n
+    tokens, the first n - ceil(limit * n) + 1 by how many kinds have them. Where
+    a signature is empty the kinds must share a class (or be one kind)."""
+    at = ["page_id", "parent_id", "tag"]
+    tokens = kinds.select(*at, "kind", F.explode("sig").alias("t"))
+    often = tokens.groupBy(*at, "t").agg(F.count(F.lit(1)).alias("f"))
+    ranked = tokens.join(often, [*at, "t"]).groupBy(*at, "kind").agg(F.array_sort(F.collect_list(F.struct("f", "t"))).alias("ts"))
+    n = F.size("ts")
+    prefix = ranked.select(*at, "kind", F.explode(F.slice("ts", 1, n - F.ceil(n * F.lit(rules.SIMILARITY_MIN) - 1e-9).cast("int") + 1)).alias("t"))
+    prefix = prefix.select(*at, "kind", F.concat(F.lit("s:"), "t.t").alias("key"), F.lit(False).alias("bare"))
+    classes = kinds.select(*at, "kind", F.explode("grp").alias("c"), (F.size("sig") == 0).alias("bare")).select(*at, "kind", F.concat(F.lit("c:"), "c").alias("key"), "bare")
+    keyed = cut_lineage(prefix.unionByName(classes), "kind-keys")
+    x, y = keyed.select(*at, "key", F.col("kind").alias("x"), F.col("bare").alias("bx")), keyed.select(*at, "key", F.col("kind").alias("y"), F.col("bare").alias("by"))
+    met = x.join(y, [*at, "key"]).filter(F.col("key").startswith("s:") | F.col("bx") | F.col("by")).select("page_id", "parent_id", "x", "y").distinct()
+    of = lambda k: kinds.select("page_id", "parent_id", F.col("kind").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("tag", "grp", "sig")))
+    met = met.filter("x <> y").join(of("x"), ["page_id", "parent_id", "x"]).join(of("y"), ["page_id", "parent_id", "y"])
+    met = met.filter(_similar(*(F.col(f"{c}_{k}") for k in "xy" for c in ("tag", "grp", "sig")))).select("page_id", "parent_id", "x", "y")
+    return met.unionByName(kinds.select("page_id", "parent_id", F.col("kind").alias("x"), F.col("kind").alias("y")))
+
+
 def similar_siblings(ps, targets: DataFrame) -> DataFrame:
     """J07 + J08: for each target, its similar siblings (self always in,
-    skipped tags out). Similar: same tag; if either has group classes they
-    must share one; structure signatures both empty -> similar, one empty ->
-    similar only if the target has group classes, else Jaccard >= 0.34.
-    -> (page_id, target_id, node_id)"""
-    nodes = ps.nodes
-    t0 = targets.select("page_id", "node_id").distinct()
-    par = nodes.join(t0, ["page_id", "node_id"], "left_semi").select("page_id", "parent_id").distinct()
-    # signatures only for the targets' siblings (not the whole page set)
-    sib_nodes = nodes.join(par, ["page_id", "parent_id"], "left_semi")
-    sig = cut_lineage(signatures_for(nodes, sib_nodes.select("page_id", "node_id")))
-    t = targets.select("page_id", F.col("node_id").alias("target_id")).join(
-        nodes.select("page_id", F.col("node_id").alias("target_id"), "parent_id", F.col("tag").alias("t_tag"),
-                     F.col("grp").alias("t_grp")), ["page_id", "target_id"])
-    t = t.join(sig.withColumnRenamed("node_id", "target_id").withColumnRenamed("sig", "t_sig"), ["page_id", "target_id"])
-    sib = nodes.filter(~F.col("skipped")).select("page_id", "parent_id", "node_id", "tag", "grp").join(sig, ["page_id", "node_id"])
-    j = t.join(sib, ["page_id", "parent_id"]).filter(F.col("tag") == F.col("t_tag"))
-    inter = F.size(F.array_intersect("t_sig", "sig"))
-    union = F.size(F.array_union("t_sig", "sig"))
-    cls_ok = ((F.size("t_grp") == 0) & (F.size("grp") == 0)) | F.arrays_overlap("t_grp", "grp")
-    sig_ok = (F.when((F.size("t_sig") == 0) | (F.size("sig") == 0),
-                     (F.size("t_sig") == F.size("sig")) | (F.size("t_grp") > 0))
-              .otherwise(inter / union >= rules.SIMILARITY_MIN))
-    ok = (F.col("node_id") == F.col("target_id")) | (cls_ok & sig_ok)
-    same = targets.select("page_id", F.col("node_id").alias("target_id"), F.col("node_id"))
-    return cut_lineage(j.filter(ok).select("page_id", "target_id", "node_id").unionByName(same).distinct())
+    skipped tags out). Similarity is between the kinds of siblings; only the
+    members of the targets' kinds are listed. -> (page_id, target_id, node_id)"""
+    t = targets.select("page_id", "node_id").distinct()
+    members, kinds = sibling_kinds(ps, t)
+    at = ["page_id", "parent_id"]
+    mine = members.join(t, ["page_id", "node_id"], "left_semi").select(*at, F.col("kind").alias("x"), F.col("node_id").alias("target_id"))
+    others = members.filter(~F.col("skipped")).select(*at, F.col("kind").alias("y"), "node_id")
+    pairs = mine.join(similar_kinds(kinds), [*at, "x"]).join(others, [*at, "y"]).select("page_id", "target_id", "node_id")
+    alone = t.select("page_id", F.col("node_id").alias("target_id"), "node_id")
+    own = alone.join(members.filter(~F.col("skipped")).select("page_id", "node_id"), ["page_id", "node_id"], "left_anti").select("page_id", "target_id", "node_id")
+    return cut_lineage(pairs.unionByName(own), "similar")
+
+
+def group_sizes(ps, targets: DataFrame, sample: int | None = None, leaf_cap: int | None = None) -> DataFrame:
+    """(page_id, node_id, size, leaves): for each target how many similar
+    siblings there are and their mean leaves (A01), from the sums of each kind:
+    what is counted grows with the siblings, not with their pairs. ``sample``:
+    the mean is that of the first so many members only."""
+    t = targets.select("page_id", "node_id").distinct()
+    members, kinds = sibling_kinds(ps, t)
+    at = ["page_id", "parent_id"]
+    shown = members.filter(~F.col("skipped"))
+    lv = leaf_counts(ps.nodes, shown.select("page_id", F.col("node_id").alias("root_id")), leaf_cap).withColumnRenamed("root_id", "node_id")
+    per = shown.join(lv, ["page_id", "node_id"])
+    if sample is not None:  # no more of a kind can be among the first of any group
+        nth = F.row_number().over(Window.partitionBy(*at, "kind").orderBy("node_id"))
+        per = per.withColumn("_n", nth).filter(F.col("_n") <= sample).drop("_n")
+        x = similar_kinds(kinds).join(per.withColumnRenamed("kind", "y"), [*at, "y"])
+        first = F.row_number().over(Window.partitionBy(*at, "x").orderBy("node_id"))
+        mean = x.withColumn("_n", first).filter(F.col("_n") <= sample).groupBy(*at, "x").agg(F.avg("leaves").alias("leaves"))
+        size = similar_kinds(kinds).join(kinds.select(*at, F.col("kind").alias("y"), "n"), [*at, "y"]).groupBy(*at, "x").agg(F.sum("n").alias("size"))
+        of_kind = size.join(mean, [*at, "x"])
+    else:
+        sums = per.groupBy(*at, "kind").agg(F.sum("leaves").alias("s"), F.count(F.lit(1)).alias("n")).withColumnRenamed("kind", "y")
+        of_kind = similar_kinds(kinds).join(sums, [*at, "y"]).groupBy(*at, "x").agg(F.sum("n").alias("size"), (F.sum("s") / F.sum("n")).alias("leaves"))
+    mine = members.join(t, ["page_id", "node_id"], "left_semi").filter(~F.col("skipped")).select(*at, F.col("kind").alias("x"), "node_id")
+    return mine.join(of_kind, [*at, "x"]).select("page_id", "node_id", "size", "leaves")
 
 
 # -- J09 ---------------------------------------------------------------------------------------------
@@ -270,7 +330,7 @@ def detect_lists(ps, targets: DataFrame, level: int | None = None, sample: int |
     levels (mean leaves of the members, or of the first ``sample``, <= 1.2) lose unless nothing
     else repeats; the largest group wins, the lowest level on ties (N04). An
     explicit valid ``level`` overrides. A target that is body/html gives no row.
-    -> (page_id, target_id, level, levels, max_level, row_id, row_selector)"""
+    -> (page_id, target_id, level, levels, max_level, row_id, ..., row_selector, steps)"""
     nodes = ps.nodes
     body = nodes.filter((F.col("tag") == "body") & (F.col("depth") == 1)).select("page_id", F.col("node_id").alias("body_id"))
     t = targets.select("page_id", F.col("node_id").alias("target_id")).join(
@@ -278,16 +338,9 @@ def detect_lists(ps, targets: DataFrame, level: int | None = None, sample: int |
     chain = t.select("page_id", "target_id", "depth", "body_id", F.posexplode("anc").alias("pos", "node_id"))
     chain = chain.filter(F.col("pos") > 1).withColumn("lvl", F.col("depth") - F.col("pos")).filter(F.col("node_id") != F.col("body_id"))
     max_level = chain.groupBy("page_id", "target_id").agg(F.max("lvl").alias("max_level"))
-    groups = similar_siblings(ps, chain.select("page_id", "node_id").distinct())
-    gsize = groups.groupBy("page_id", "target_id").agg(F.count(F.lit(1)).alias("size")).withColumnRenamed("target_id", "node_id")
-    first5 = groups
-    if sample is not None:
-        first5 = groups.withColumn("k", F.row_number().over(Window.partitionBy("page_id", "target_id").orderBy("node_id"))).filter(F.col("k") <= sample)
-    lv = leaf_counts(nodes, first5.select("page_id", F.col("node_id").alias("root_id")), leaf_cap)
-    mean = first5.join(lv.withColumnRenamed("root_id", "node_id"), ["page_id", "node_id"]).groupBy("page_id", "target_id").agg(
-        F.avg("leaves").alias("leaves")).withColumnRenamed("target_id", "node_id")
     chain = cut_lineage(chain)
-    cands = cut_lineage(chain.join(gsize, ["page_id", "node_id"]).filter(F.col("size") >= 2).join(mean, ["page_id", "node_id"]))
+    sizes = group_sizes(ps, chain.select("page_id", "node_id"), sample, leaf_cap)
+    cands = cut_lineage(chain.join(sizes.filter(F.col("size") >= 2), ["page_id", "node_id"]))
     cands = cands.withColumn("cell", F.col("leaves") <= rules.CELL_LEAVES_MAX)
     levels = cands.groupBy("page_id", "target_id").agg(F.array_sort(F.collect_list("lvl")).alias("levels"),
                                                       F.max((~F.col("cell")).cast("int")).alias("any_row"))
@@ -314,9 +367,9 @@ def detect_lists(ps, targets: DataFrame, level: int | None = None, sample: int |
              F.col("classes").alias("row_cls"), F.col("sem").alias("row_sem"), F.col("grp").alias("row_grp"),
              F.col("child_tags").alias("row_kids")), ["page_id", "parent_id", "bucket"]))
     rs = row_selectors(ps, g, mem.select("page_id", "parent_id", "bucket", "node_id", "tag", "classes", "child_tags"))
-    rs = rs.select("page_id", F.col("first_id").alias("row_id"), "row_selector", "row_tag", "row_classes", "has_child", "parent_id")
+    rs = rs.select("page_id", F.col("first_id").alias("row_id"), "row_selector", row_steps().alias("steps"), "row_tag", "row_classes", "has_child", "parent_id")
     return out.join(rs, ["page_id", "row_id"], "left").select(
-        "page_id", "target_id", "level", "levels", "max_level", "row_id", "parent_id", "row_tag", "row_classes", "has_child", "row_selector")
+        "page_id", "target_id", "level", "levels", "max_level", "row_id", "parent_id", "row_tag", "row_classes", "has_child", "row_selector", "steps")
 
 
 def shift_level(levels: Column, level: Column, max_level: Column, wider: bool) -> Column:
@@ -397,10 +450,7 @@ def similar_pairs(ps, pairs: DataFrame) -> DataFrame:
     ix = info.select("page_id", F.col("node_id").alias("x"), F.col("tag").alias("tx"), F.col("grp").alias("gx"), F.col("sig").alias("sx"))
     iy = info.select("page_id", F.col("node_id").alias("y"), F.col("tag").alias("ty"), F.col("grp").alias("gy"), F.col("sig").alias("sy"))
     j = pairs.join(ix, ["page_id", "x"]).join(iy, ["page_id", "y"])
-    cls_ok = ((F.size("gx") == 0) & (F.size("gy") == 0)) | F.arrays_overlap("gx", "gy")
-    jac = F.size(F.array_intersect("sx", "sy")) / F.size(F.array_union("sx", "sy"))
-    sig_ok = F.when((F.size("sx") == 0) | (F.size("sy") == 0), (F.size("sx") == F.size("sy")) | (F.size("gx") > 0)).otherwise(jac >= rules.SIMILARITY_MIN)
-    sim = (F.col("x") == F.col("y")) | ((F.col("tx") == F.col("ty")) & cls_ok & sig_ok)
+    sim = (F.col("x") == F.col("y")) | _similar(*(F.col(c) for c in ("tx", "gx", "sx", "ty", "gy", "sy")))
     return j.select(*pairs.columns, sim.alias("sim"))
 
 
@@ -432,7 +482,7 @@ def detect_lists_pairs(ps, pairs: DataFrame) -> DataFrame:
     merge step by step (common classes; nth only when class-less and equal),
     else 'lca row' descendant form; if the result misses either row, the
     'lca row' form with the classes both rows share.
-    -> (page_id, a_id, b_id, level, row_selector, branch)"""
+    -> (page_id, a_id, b_id, level, levels, max_level, row_selector, steps, branch)"""
     from .select import Matcher
     from ..schema import STEPS
 
@@ -448,7 +498,8 @@ def detect_lists_pairs(ps, pairs: DataFrame) -> DataFrame:
         "chain2", F.reverse(path_between(F.col("anc_b"), F.col("lca"))))
     p = cut_lineage(p.withColumn("max_level", F.size("chain1") - 1))
     single = detect_lists(ps, p.select("page_id", F.col("a_id").alias("node_id")).distinct()).select(
-        "page_id", F.col("target_id").alias("a_id"), F.col("level").alias("single_level"), F.col("row_selector").alias("single_sel"))
+        "page_id", F.col("target_id").alias("a_id"), F.col("level").alias("single_level"), F.col("row_selector").alias("single_sel"), F.col("steps").alias("single_steps"),
+        F.struct("levels", "max_level").alias("single_at"))
     p = p.join(single, ["page_id", "a_id"], "left")
     p = p.withColumn("level", F.greatest(F.lit(0), F.least(F.coalesce("single_level", "max_level"), F.col("max_level"))))
     p = p.withColumn("r1", F.try_element_at(F.col("chain1"), F.col("level") + 1))
@@ -505,9 +556,7 @@ def detect_lists_pairs(ps, pairs: DataFrame) -> DataFrame:
         F.max(F.size("pa")).alias("la"), F.max(F.size("pb")).alias("lb"),
         F.array_sort(F.collect_list(F.struct("i", "t1", "cls", "nthv")), lambda l, r: F.when(l["i"] < r["i"], -1).when(l["i"] > r["i"], 1).otherwise(0)).alias("parts"))
     two = two.join(mg, key, "left")
-    sel_step = lambda t, cls, nth, comb: F.struct(F.lit(comb).alias("comb"), t.alias("tag"), F.lit(None).cast("string").alias("id"), cls.alias("classes"),
-                                                   F.create_map().cast("map<string,string>").alias("attrs"), nth.cast("int").alias("nth"),
-                                                   F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("has_child"))
+    sel_step = lambda t, cls, nth, comb: make_step(tag=t, comb=comb, classes=cls, nth=nth)
     rtag = tags.select("page_id", F.col("node_id").alias("r1"), F.col("tag").alias("row_tag"))
     two = two.join(rtag, ["page_id", "r1"])
     row_part = F.concat(css_escape(F.col("row_tag")), F.array_join(F.transform("common", lambda c: F.concat(F.lit("."), css_escape(c))), ""))
@@ -518,16 +567,26 @@ def detect_lists_pairs(ps, pairs: DataFrame) -> DataFrame:
     desc_css = F.concat(F.col("lca_sel"), F.lit(" "), row_part)
     merged_steps = F.concat(F.col("lca_steps"), F.concat(
         F.transform(F.slice("parts", 1, F.greatest(F.size("parts") - 1, F.lit(0))), lambda x: sel_step(x["t1"], x["cls"], x["nthv"], "child")),
-        F.array(sel_step(F.col("row_tag"), F.col("common"), F.lit(None), "child"))))
-    desc_steps = F.concat(F.col("lca_steps"), F.array(sel_step(F.col("row_tag"), F.col("common"), F.lit(None), "desc")))
+        F.array(sel_step(F.col("row_tag"), F.col("common"), None, "child"))))
+    desc_steps = F.concat(F.col("lca_steps"), F.array(sel_step(F.col("row_tag"), F.col("common"), None, "desc")))
     same_parent = F.col("p1") == F.col("p2")
-    sp_css = F.concat(F.col("p1_sel"), F.lit(" > "), row_part)
+    # rows of one parent: L04 of the union, header rows and the like left out by ':has()'
+    bucket = F.concat_ws("-", "a_id", "b_id")
+    alike = two.filter(same_parent).select(*key, bucket.alias("bucket"))
+    mem = group.join(alike, key).join(nodes.select("page_id", F.col("node_id").alias("member_id"), "parent_id", "tag", "classes", "child_tags"), ["page_id", "member_id"])
+    mem = cut_lineage(mem.select("page_id", "parent_id", "bucket", "row_id", F.col("member_id").alias("node_id"), "tag", "classes", "child_tags"))
+    first = nodes.select("page_id", F.col("node_id").alias("first_id"), F.col("tag").alias("row_tag"), F.col("classes").alias("row_cls"),
+                         F.col("sem").alias("row_sem"), F.col("grp").alias("row_grp"), F.col("child_tags").alias("row_kids"))
+    per = mem.groupBy("page_id", "parent_id", "bucket").agg(F.countDistinct("node_id").alias("size"), F.first("row_id").alias("first_id")).join(first, ["page_id", "first_id"])
+    of_parent = row_selectors(ps, per, mem.drop("row_id")).select("page_id", "bucket", F.col("row_selector").alias("sp_css"), row_steps().alias("sp_steps"))
+    two = two.withColumn("bucket", bucket).join(of_parent, ["page_id", "bucket"], "left").drop("bucket")
     two = two.withColumn("branch", F.when(F.col("r2").isNull(), "single").when(same_parent, "same_parent").when(merged_ok, "merged").otherwise("lca_desc"))
-    two = two.withColumn("cand_sel", F.when(F.col("branch") == "same_parent", sp_css).when(F.col("branch") == "merged", merged_css).otherwise(desc_css))
-    two = two.withColumn("cand_steps", F.when(F.col("branch") == "merged", merged_steps).otherwise(desc_steps).cast(STEPS))
+    two = two.withColumn("cand_sel", F.when(F.col("branch") == "same_parent", F.col("sp_css")).when(F.col("branch") == "merged", merged_css).otherwise(desc_css))
+    two = two.withColumn("cand_steps", F.when(F.col("branch") == "same_parent", F.col("sp_steps")).when(F.col("branch") == "merged", merged_steps.cast(STEPS))
+                         .otherwise(desc_steps.cast(STEPS)))
     two = cut_lineage(two)
-    # verify merged / descendant forms: both rows must be matched
-    chk = two.filter(F.col("branch").isin("merged", "lca_desc") & F.col("cand_steps").isNotNull())
+    # both rows must be matched
+    chk = two.filter(F.col("branch") != "single")
     roots = nodes.filter(F.col("parent_id").isNull()).select("page_id", F.col("node_id").alias("scope_id"))
     scopes = chk.select(*key).join(roots, "page_id")
     m = Matcher(ps).match(scopes, chk.select(*key, F.col("cand_steps").alias("steps")), key, ["a_id", "b_id"], include_scope=True)
@@ -536,9 +595,12 @@ def detect_lists_pairs(ps, pairs: DataFrame) -> DataFrame:
     two = two.join(ok, key, "left")
     fallback = F.concat(F.col("lca_sel"), F.lit(" "), css_escape(F.col("row_tag")),
                         F.array_join(F.transform("pair_common", lambda c: F.concat(F.lit("."), css_escape(c))), ""))
-    two = two.withColumn("row_selector", F.when(F.col("branch") == "same_parent", F.col("cand_sel"))
-                         .when(F.col("branch") == "single", F.col("single_sel"))
-                         .when(F.coalesce(F.col("hits"), F.lit(0)) == 2, F.col("cand_sel")).otherwise(fallback))
-    out_two = two.select(*key, "level", "row_selector", "branch")
-    out_nested = p.filter(F.col("nested")).select(*key, "level", F.col("single_sel").alias("row_selector"), F.lit("single").alias("branch"))
-    return out_two.unionByName(out_nested)
+    fallback_steps = F.concat("lca_steps", F.array(sel_step(F.col("row_tag"), F.col("pair_common"), None, "desc"))).cast(STEPS)
+    single, hit = F.col("branch") == "single", F.coalesce(F.col("hits"), F.lit(0)) == 2
+    two = two.withColumns({"row_selector": F.when(single, F.col("single_sel")).when(hit, F.col("cand_sel")).otherwise(fallback),
+                           "steps": F.when(single, F.col("single_steps")).when(hit, F.col("cand_steps")).otherwise(fallback_steps),
+                           "levels": F.sequence(F.lit(0), F.col("max_level"))})
+    cols = [*key, "level", "levels", "max_level", "row_selector", "steps", "branch"]
+    alone = p.filter(F.col("nested")).select(*key, "level", F.col("single_at.levels").alias("levels"), F.col("single_at.max_level").alias("max_level"),
+                                             F.col("single_sel").alias("row_selector"), F.col("single_steps").alias("steps"), F.lit("single").alias("branch"))
+    return two.select(*cols).unionByName(alone)

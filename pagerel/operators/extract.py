@@ -33,6 +33,8 @@ def node_values(ps, cells: DataFrame, attr_col: str = "attr", attr_name_col: str
 
 
 def _plain_values(ps, cells: DataFrame, attr_col: str, attr_name_col: str | None) -> DataFrame:
+    from ..session import cut_lineage
+
     nodes = ps.nodes
     c = cells.join(nodes.select("page_id", "node_id", "tag", "attrs", "own_text", "t_start", "t_end", "anc"),
                    ["page_id", "node_id"])
@@ -66,7 +68,8 @@ def _plain_values(ps, cells: DataFrame, attr_col: str, attr_name_col: str | None
     # only modes that show text read it
     shows = (F.coalesce(mode, F.lit("text")) == "text") | ((mode == "value") & (F.col("tag") == "textarea"))
     texts = with_text(ps, c.filter(shows).select("page_id", "node_id", "t_start", "t_end").distinct()).drop("t_start", "t_end")
-    c = c.join(texts, ["page_id", "node_id"], "left")
+    # stored, so that the long url expression below meets a plain scan
+    c = cut_lineage(c.join(texts, ["page_id", "node_id"], "left"), "read")
     bg = F.regexp_extract(F.coalesce(F.col("attrs")["style"], F.lit("")),
                           r"(?i)background(?:-image)?\s*:[^;]*url\(\s*['\"]?([^'\")]+)['\"]?\s*\)", 1)
     src = F.when(F.col("tag") == "img", img_url_raw(F.col("attrs"))).otherwise(
@@ -74,19 +77,20 @@ def _plain_values(ps, cells: DataFrame, attr_col: str, attr_name_col: str | None
     text = clean(F.col("raw_text"))
     an = F.col(attr_name_col) if attr_name_col else F.lit(None).cast("string")
     raw_attr = F.trim(F.col("attrs")[an])
+    # one url expression for all modes that read one
+    is_url = mode.isin("href", "src") | ((mode == "attr") & an.isNotNull() & F.coalesce(an.rlike(rules.URL_ATTRS), F.lit(False)))
+    url = absolutize(F.when(mode == "href", F.coalesce("href_up", "href_down")).when(mode == "src", F.when(src != "", src)).otherwise(raw_attr), F.col("base"))
     value = (
         F.when(mode == "ownText", F.col("own_text"))
-        .when(mode == "href", F.coalesce(absolutize(F.coalesce(F.col("href_up"), F.col("href_down")), F.col("base")), F.lit("")))
-        .when(mode == "src", F.when(src != "", absolutize(src, F.col("base"))).otherwise(F.lit("")))
+        .when(is_url, F.coalesce(url, F.lit("")))
         .when(mode == "value", F.when(F.col("tag") == "textarea", F.col("raw_text"))
               .when(F.col("tag") == "select", F.coalesce("chosen", F.lit(""))).otherwise(F.coalesce(F.col("attrs")["value"], F.lit(""))))
-        .when(mode == "attr", F.when(an.isNull() | raw_attr.isNull(), F.lit(""))
-              .when(an.rlike(rules.URL_ATTRS), absolutize(raw_attr, F.col("base"))).otherwise(raw_attr))
+        .when(mode == "attr", F.when(an.isNull() | raw_attr.isNull(), F.lit("")).otherwise(raw_attr))
         .when(F.coalesce(mode, F.lit("text")) == "text", text)
         .otherwise(F.raise_error(F.concat(F.lit("unknown value mode: "), mode)).cast("string"))
     )
     drop = ["tag", "attrs", "own_text", "t_start", "t_end", "anc", "href_up", "href_down", "img_down", "chosen", "raw_text", "base"]
-    return c.withColumn("value", F.coalesce(value, F.lit(""))).drop(*drop)
+    return cut_lineage(c.withColumn("value", F.coalesce(value, F.lit(""))).drop(*drop), "values")
 
 
 def html_values(ps, cells: DataFrame, attr_col: str = "attr") -> DataFrame:
@@ -177,8 +181,10 @@ def recipe_extract(ps, recipes: DataFrame) -> DataFrame:
     roots = ps.nodes.filter(F.col("parent_id").isNull()).select("page_id", F.col("node_id").alias("scope_id"))
     scopes = pr.select(*pick).join(roots, "page_id")
     m = Matcher(ps).match(scopes, pr.select(*pick, F.col("row_steps").alias("steps")), pick, ["list_rank"], include_scope=True)
-    rows = m.select(*pick, F.col("node_id").alias("row_id")).distinct().withColumn(
-        "row_ord", F.row_number().over(Window.partitionBy(*pick).orderBy("row_id")))
+    from ..session import cut_lineage
+
+    rows = cut_lineage(m.select(*pick, F.col("node_id").alias("row_id")).withColumn(
+        "row_ord", F.row_number().over(Window.partitionBy(*pick).orderBy("row_id"))), "rows")
     cols = pr.select(*pick, F.posexplode("columns").alias("i", "c")).select(
         *pick, (F.col("i") + 1).alias("col_ord"), "c.name", "c.steps", "c.attr", "c.attr_name")
     return apply_columns(ps, rows, cols).join(pr.select("id", *pick), pick)

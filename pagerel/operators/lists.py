@@ -329,6 +329,12 @@ def row_selectors(ps, groups: DataFrame, kids: DataFrame) -> DataFrame:
         F.when(F.col("has_child").isNotNull(), F.concat(F.lit(":has(> "), css_escape(F.col("has_child")), F.lit(")"))).otherwise(F.lit(""))))
 
 
+def row_steps() -> Column:
+    """Steps of a row selector from container_steps, row_tag, row_classes and
+    has_child."""
+    return F.concat("container_steps", F.array(make_step(tag=F.col("row_tag"), comb="child", classes=F.col("row_classes"), has_child=F.col("has_child")))).cast(STEPS)
+
+
 def list_rows(ps, lists: DataFrame) -> DataFrame:
     """Rows a row selector matches: children of the container with the row
     tag, all common classes and (if set) a child of the has-child tag.

@@ -142,6 +142,49 @@ def page_signatures(ps, rows: DataFrame) -> DataFrame:
     return out.withColumn("sig", F.concat_ws("|", "url", F.col("n").cast("string"), "fp_first", "fp_last"))
 
 
+def _walked(starts: DataFrame, ways: DataFrame, max_pages: int | None) -> DataFrame:
+    """(start_id, step, page_id): the pages that ``ways`` (page_id, next_id)
+    lead to from each start, each with the first step that reaches it."""
+    jump = ways
+    known = cut_lineage(starts.select(F.col("page_id").alias("start_id"), F.lit(1).cast("bigint").alias("step"), "page_id").distinct())
+    span, n = 1, known.count()
+    while max_pages is None or span < max_pages:
+        further = known.join(jump, "page_id").select("start_id", (F.col("step") + span).alias("step"), F.col("next_id").alias("page_id"))
+        if max_pages is not None:
+            further = further.filter(F.col("step") <= max_pages)
+        # a page that comes again belongs to a round trip: its first step counts
+        known = cut_lineage(known.unionByName(further).groupBy("start_id", "page_id").agg(F.min("step").alias("step")).select("start_id", "step", "page_id"))
+        before, n = n, known.count()
+        if n == before:
+            break
+        hop = jump.select(F.col("page_id").alias("next_id"), F.col("next_id").alias("then"))
+        jump, span = cut_lineage(jump.join(hop, "next_id").select("page_id", F.col("then").alias("next_id"))), span * 2
+    return known
+
+
+def _walked_over(known: DataFrame, ways: DataFrame, max_pages: int | None) -> DataFrame:
+    """Pages that some start leads to, also beyond the limit of pages."""
+    if max_pages is None:
+        return known.select("page_id").distinct()
+    return _walked(known.filter("step = 1").select("page_id"), ways, None).select("page_id").distinct()
+
+
+def ring_starts(ring: DataFrame) -> DataFrame:
+    """(page_id): the smallest page of each ring of ``ring`` (page_id,
+    next_id), where every page lies on one: labels of pages 1, 2, 4, ... steps
+    ahead are taken over where they are smaller, log2 of the longest ring's
+    length times, until every page has its next one's label."""
+    at = cut_lineage(ring.select("page_id", "next_id", F.col("page_id").alias("label")))
+    steps = ring
+    while True:
+        ahead = at.select(F.col("page_id").alias("next_id"), F.col("next_id").alias("then"), F.col("label").alias("other"))
+        at = cut_lineage(at.join(ahead, "next_id").select("page_id", F.col("then").alias("next_id"), F.least("label", "other").alias("label")))
+        label = at.select("page_id", "label")
+        unlike = steps.join(label, "page_id").join(label.select(F.col("page_id").alias("next_id"), F.col("label").alias("other")), "next_id").filter("label <> other")
+        if unlike.isEmpty():
+            return label.filter("page_id = label").select("page_id")
+
+
 def page_chain(ps, next_links: DataFrame, starts: DataFrame | None, sigs: DataFrame, max_pages: int | None = None) -> DataFrame:
     """Follow resolved next links through the stored pages from each
     start page (None: from every page that no next link leads to), at most
@@ -152,7 +195,8 @@ def page_chain(ps, next_links: DataFrame, starts: DataFrame | None, sigs: DataFr
     A set-based job: links that 1, 2, 4, ... steps span are joined with
     themselves, and the chains known so far are extended by as many steps, so
     chains of n pages take log2(n) rounds. A chain that comes back to one of
-    its pages ends there. -> (start_id, step, page_id, reason on the last step)"""
+    its pages ends there. Rings that no start leads to are walked from their
+    smallest page (where ``starts`` is None), once round. -> (start_id, step, page_id, reason on the last step)"""
     pages = ps.info.select("page_id", "url", "base")
     nl = next_links.join(pages, "page_id").select("page_id", absolutize(F.col("href"), F.col("base")).alias("next_url"), "disabled")
     # of pages with the same url the first counts
@@ -163,22 +207,15 @@ def page_chain(ps, next_links: DataFrame, starts: DataFrame | None, sigs: DataFr
     at = cut_lineage(at.select("page_id", "next_id", F.when(F.coalesce("n", F.lit(0)) == 0, "no rows").when(F.col("next_url").isNull(), "not found")
                                .when(F.col("disabled"), "disabled").when(F.col("next_id").isNull(), "not stored")
                                .when((F.col("next_id") == F.col("page_id")) | (F.col("next_sig") == F.col("sig")), "unchanged").alias("reason")))
-    jump = at.filter(F.col("reason").isNull()).select("page_id", "next_id")
-    if starts is None:
-        starts = at.select("page_id").join(jump.select(F.col("next_id").alias("page_id")), "page_id", "left_anti")
-    known = cut_lineage(starts.select(F.col("page_id").alias("start_id"), F.lit(1).cast("bigint").alias("step"), "page_id").distinct())
-    span, n = 1, known.count()
-    while max_pages is None or span < max_pages:
-        further = known.join(jump, "page_id").select("start_id", (F.col("step") + span).alias("step"), F.col("next_id").alias("page_id"))
-        if max_pages is not None:
-            further = further.filter(F.col("step") <= max_pages)
-        # a page that comes again belongs to a round trip: its first step counts
-        known = cut_lineage(known.unionByName(further).groupBy("start_id", "page_id").agg(F.min("step").alias("step")).select("start_id", "step", "page_id"))
-        before, n = n, known.count()
-        if n == before:
-            break
-        hop = jump.select(F.col("page_id").alias("next_id"), F.col("next_id").alias("then"))
-        jump, span = cut_lineage(jump.join(hop, "next_id").select("page_id", F.col("then").alias("next_id"))), span * 2
+    ways = at.filter(F.col("reason").isNull()).select("page_id", "next_id")
+    if starts is not None:
+        known = _walked(starts.select("page_id"), ways, max_pages)
+    else:
+        known = _walked(at.select("page_id").join(ways.select(F.col("next_id").alias("page_id")), "page_id", "left_anti"), ways, max_pages)
+        # what no start leads to lies on rings; each is walked from its smallest page
+        ring = cut_lineage(ways.join(_walked_over(known, ways, max_pages), "page_id", "left_anti"), "rings")
+        if not ring.isEmpty():
+            known = known.unionByName(_walked(ring_starts(ring), ring, max_pages))
     last = known.groupBy("start_id").agg(F.max("step").alias("step")).withColumn("_last", F.lit(True))
     out = known.join(last, ["start_id", "step"], "left").join(at.select("page_id", F.col("reason").alias("why")), "page_id", "left")
     end = F.when(F.col("step") == F.lit(max_pages), F.coalesce("why", F.lit("limit"))).otherwise(F.coalesce("why", F.lit("seen")))

@@ -71,7 +71,7 @@ def read_recipes(spark: SparkSession, path: str) -> DataFrame:
     {recipe: ...} or a bare recipe, one document to a file (over any number
     of lines) or one to a line, as S05 writes them. Keeps those with a row
     selector or a column; gives each a new id; name <- name, host or
-    'Imported recipe'. An import without any recipe is an error."""
+    'imported'. An import without any recipe is an error."""
     from pyspark.sql import types as T
 
     wrapper = T.StructType([T.StructField("recipes", T.ArrayType(RECIPE)), T.StructField("recipe", RECIPE)] + list(RECIPE.fields))
@@ -86,9 +86,9 @@ def read_recipes(spark: SparkSession, path: str) -> DataFrame:
                                            F.array(bare))).alias("r")).select("r.*")
     n = normalize_recipes(one).filter((F.size("row_steps") > 0) | (F.size("columns") > 0))
     n = n.withColumn("id", F.expr("uuid()")).withColumn(
-        "name", F.coalesce(F.when(F.col("name") != "", F.col("name")), F.when(F.col("host") != "", F.col("host")), F.lit("Imported recipe")))
+        "name", F.coalesce(F.when(F.col("name") != "", F.col("name")), F.when(F.col("host") != "", F.col("host")), F.lit("imported")))
     if n.isEmpty():
-        raise ValueError("No recipe found in this file.")
+        raise ValueError("no_recipe: nothing to import")
     return n
 
 
@@ -133,6 +133,23 @@ def edit_columns(ds: DataFrame, recipes: DataFrame, edits: list[tuple[str, str |
     return ds2, rec2
 
 
+def edit_reads(recipes: DataFrame, edits: DataFrame) -> DataFrame:
+    """Change how columns are read. edits: (id, name, attr, attr_name,
+    steps), null where a property stays; an unknown mode becomes text, and a
+    mode other than 'attr' drops the attribute's name."""
+    per = edits.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("name", F.struct("attr", "attr_name", "steps")))).alias("_by"))
+
+    def edited(c: Column) -> Column:
+        e = F.try_element_at(F.col("_by"), c["name"])
+        mode = F.coalesce(e["attr"], c["attr"])
+        mode = F.when(mode.isin(*rules.VALUE_MODES), mode).otherwise(F.lit("text"))
+        new = (c.withField("attr", mode).withField("attr_name", F.when(mode == "attr", F.coalesce(e["attr_name"], c["attr_name"])).otherwise(F.lit("")))
+               .withField("steps", F.coalesce(e["steps"], c["steps"])))
+        return F.when(e.isNotNull(), new).otherwise(c)
+
+    return recipes.join(per, "id", "left").withColumn("columns", F.when(F.col("_by").isNull(), F.col("columns")).otherwise(F.transform("columns", edited))).drop("_by")
+
+
 def check_recipes(df: DataFrame) -> DataFrame:
     """Why a run cannot start ('' when it can)."""
     p = F.col("pagination")
@@ -151,6 +168,21 @@ def pages_for(recipes: DataFrame, pages: DataFrame) -> DataFrame:
     return p.join(r, "host")
 
 
+def recipe_list(recipes: DataFrame, hosts: DataFrame) -> DataFrame:
+    """For each host its list of recipes: those of the host first, then
+    the others, each by name. As every host's list ends with all recipes of
+    other hosts, what is returned is the order itself: (host, id, place) of the
+    host's own, and (id, place) of all by name with host null, to go on with.
+    hosts: (host)"""
+    r = recipes.select("id", "name", F.lower(F.regexp_replace("host", r"^www\.", "")).alias("host"))
+    own = r.join(hosts.select("host").distinct(), "host").withColumn(
+        "place", F.row_number().over(Window.partitionBy("host").orderBy("name", "id"))).select("host", "id", "place")
+    from .dataset import row_numbers
+
+    every = row_numbers(r.select("id", "name"), ["name", "id"]).select(F.lit(None).cast("string").alias("host"), "id", F.col("row_no").cast("int").alias("place"))
+    return own.unionByName(every)
+
+
 def rank_recipes(recipes: DataFrame, pages: DataFrame) -> DataFrame:
     """The default recipe of each page: the first same-host recipe by
     name, else the first recipe by name overall (rank 1 of the reference's

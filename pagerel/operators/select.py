@@ -148,19 +148,21 @@ class Matcher:
         scope_id, *carry, node_id). The first step matches strict descendants
         of the scope; a document-level selector (``include_scope``, the scope
         being the root) may match the root too. ``texts``: whether any step
-        asks for text (None: found out by a job)."""
+        asks for text (None: looked for)."""
         carry, nodes = list(carry), self.ps.nodes
+        from ..session import cut_lineage
+
         own = ["page_id", "scope_id", *carry]
-        if texts is None:
-            texts = not sels.filter(F.exists("steps", lambda s: s["text"].isNotNull())).isEmpty()
         too_long = F.raise_error(F.lit(f"a selector has more than {MOST_STEPS} steps")).cast("boolean")
         asked = scopes.select(*own).join(sels.select(*sel_key, "steps"), sel_key)
         asked = asked.filter(F.when(F.size("steps") > MOST_STEPS, too_long).otherwise(F.size("steps") > 0))
+        # read several times below
+        asked = cut_lineage(asked.select(*own, with_pairs(F.col("steps")).alias("steps"), step_key(F.element_at("steps", -1)).alias("key")), "asked")
         keys = None
-        if texts:
+        if texts is None or texts:
             each = asked.select("page_id", F.explode("steps").alias("s")).filter(F.col("s.text").isNotNull())
-            keys = each.select("page_id", step_key(F.col("s")).alias("key")).distinct()
-        asked = asked.select(*own, with_pairs(F.col("steps")).alias("steps"), step_key(F.element_at("steps", -1)).alias("key"))
+            if texts or not each.isEmpty():
+                keys = each.select("page_id", step_key(F.col("s")).alias("key")).distinct()
         keyed = node_keys(nodes).join(asked.select("page_id", "key").distinct(), ["page_id", "key"], "left_semi")
         if include_scope:
             met = asked.join(keyed.drop("anc"), ["page_id", "key"]).withColumn("below", F.lit(-1))

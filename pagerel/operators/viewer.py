@@ -44,14 +44,40 @@ def is_url(c: Column) -> Column:
     return c.rlike(r"(?i)^https?://\S+$")
 
 
-def cell_kinds(df: DataFrame, col: str, attr: str = "text", limit: int = 300) -> DataFrame:
-    """Link / image / text typing and the display cut with '…'."""
+def cell_kinds(df: DataFrame, col: str, attr: str = "text", limit: int | None = None) -> DataFrame:
+    """Link / image / text typing; ``limit``: the display cut with '…'."""
     v = _as_text(col)
     kind = F.when((F.lit(attr) == "src") & is_url(v), "image").when(is_url(v), "link").otherwise("text")
-    shown = F.when(F.length(v) > limit, F.concat(F.substring(v, 1, limit - 1), F.lit("…"))).otherwise(v)
+    shown = v if limit is None else F.when(F.length(v) > limit, F.concat(F.substring(v, 1, limit - 1), F.lit("…"))).otherwise(v)
     return df.select("*", kind.alias("kind"), shown.alias("shown"))
 
 
+def export_view(df: DataFrame, path: str, cols: list[str], q: str = "", order: list[str] | None = None, kind: str = "csv", bom: bool = True) -> None:
+    """The rows that the search leaves, in the view's order (a column's
+    natural order, then the others' as they are given), written as CSV or TSV
+    files. The header is in the first file; the files put together in the order
+    of their names are the view."""
+    from ..sources.sinks import write_csv, write_tsv
+
+    if kind not in ("csv", "tsv"):
+        raise ValueError(f"kind must be csv or tsv, not {kind!r}")
+    view = search(df, q)
+    view = view if not order else view.withColumn("_natural", natural_key(named(order[0])))
+    keys = ["_natural", *order] if order else None
+    write_csv(view, path, cols, bom=bom, order=keys) if kind == "csv" else write_tsv(view, path, cols, order=keys)
+
+
+def written_lines(spark, path: str, line_end: str) -> DataFrame:
+    """(line_no, line) of the files that ``export_view`` has written: of each
+    file in the order of names its lines."""
+    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.split("value", line_end).alias("lines"))
+    files = files.select("file", F.slice("lines", 1, F.size("lines") - 1).alias("lines")).withColumn("n", F.size("lines"))
+    from .run import running_totals
+
+    files = running_totals(files.withColumn("all", F.lit(1)), "all", ["file"], "n", "end")
+    return files.select((F.col("end") - F.col("n")).alias("before"), F.posexplode("lines").alias("i", "line")).select((F.col("before") + F.col("i") + 1).alias("line_no"), "line")
+
+
 def search_counts(df: DataFrame, q: str, cols: list[str] | None = None) -> DataFrame:
     """V04: "n of m rows match" (or "m rows" without a query)."""
     q = (q or "").strip().lower()

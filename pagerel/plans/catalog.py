@@ -8,6 +8,7 @@ test pages every element is written out, so that index is the preorder
 
 from __future__ import annotations
 
+import contextlib
 import datetime as _dt
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -19,8 +20,8 @@ from ..functions.urls import absolutize, host_of, restricted_reason
 from ..operators import dataset as D
 from ..operators import viewer as V
 from ..operators.columns import data_nodes, dedupe_names, humanize
-from ..operators.extract import auto_extract, host_rollup, node_values, wide
-from ..operators.lists import find_lists, leaf_counts, list_rows, unique_selectors
+from ..operators.extract import auto_extract, host_rollup, node_values
+from ..operators.lists import find_lists, leaf_counts, list_rows, row_steps, unique_selectors
 from ..operators.select import select_nodes
 from ..operators.tree import PageSet, with_text
 from ..schema import css, step
@@ -29,12 +30,27 @@ from ..sources import sinks as S
 FIXED_CLOCK = _dt.datetime(2026, 1, 2, 3, 4, 5)
 SEARCH_Q = "the"
 
-_CACHE: dict = {}
+_SHARED: dict | None = None
 
 
-def forget() -> None:
-    """Drop what queries share (the bench measures each by itself)."""
-    _CACHE.clear()
+@contextlib.contextmanager
+def shared():
+    """Inside, queries of one folder share pages, lists and columns. Outside
+    (by default) each query makes its own, so none depends on another."""
+    global _SHARED
+    _SHARED, before = {}, _SHARED
+    try:
+        yield
+    finally:
+        _SHARED = before
+
+
+def _shared(key: tuple, make):
+    if _SHARED is None:
+        return make()
+    if key not in _SHARED:
+        _SHARED[key] = make()
+    return _SHARED[key]
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,53 +58,45 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pageset(spark: SparkSession, sf_dir: str) -> PageSet:
-    """Shred the pages table once per session and folder."""
-    key = ("ps", spark.sparkContext.applicationId, sf_dir)
-    if key not in _CACHE:
-        from ..session import ensure_checkpoint_dir
+    """The pages table, shredded."""
+    from ..session import ensure_checkpoint_dir
 
-        ensure_checkpoint_dir(spark)
-        _CACHE[key] = PageSet(_read(spark, sf_dir, "pages"))
-    return _CACHE[key]
+    ensure_checkpoint_dir(spark)
+    return _shared(("ps", sf_dir), lambda: PageSet(_read(spark, sf_dir, "pages")))
 
 
-def lists_of(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """L03 result, computed once per session and folder."""
-    key = ("lists", spark.sparkContext.applicationId, sf_dir)
-    if key not in _CACHE:
-        _CACHE[key] = find_lists(pageset(spark, sf_dir))
-    return _CACHE[key]
+def lists_of(ps: PageSet, sf_dir: str) -> DataFrame:
+    """L03 result."""
+    return _shared(("lists", sf_dir), lambda: find_lists(ps))
 
 
-def auto(spark: SparkSession, sf_dir: str):
-    key = ("auto", spark.sparkContext.applicationId, sf_dir)
-    if key not in _CACHE:
-        from ..session import cut_lineage
+def auto(spark: SparkSession, sf_dir: str, ps: PageSet | None = None, lists: DataFrame | None = None):
+    """Cells and columns of each page's main list."""
+    from ..session import cut_lineage
+
+    def make():
+        own = ps or pageset(spark, sf_dir)
+        cells, cols = auto_extract(own, lists=lists if lists is not None else lists_of(own, sf_dir))
+        return cut_lineage(cells), cols
 
-        cells, cols = auto_extract(pageset(spark, sf_dir), lists=lists_of(spark, sf_dir))
-        _CACHE[key] = (cut_lineage(cells), cols)
-    return _CACHE[key]
+    return _shared(("auto", sf_dir), make)
 
 
-def derived_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def derived_recipes(spark: SparkSession, sf_dir: str, ps: PageSet | None = None) -> DataFrame:
     """One recipe per host, built from the list and columns detected on the
     host's first page (row steps = container steps + child row step)."""
     from ..operators.recipes import normalize_recipes
-    from ..schema import STEP
     from ..session import cut_lineage
 
-    key = ("recipes", spark.sparkContext.applicationId, sf_dir)
-    if key in _CACHE:
-        return _CACHE[key]
-    _, cols = auto(spark, sf_dir)
-    lists = lists_of(spark, sf_dir).filter(F.col("list_rank") == 1)
+    if _SHARED is not None and ("recipes", sf_dir) in _SHARED:
+        return _SHARED["recipes", sf_dir]
+    ps = ps or pageset(spark, sf_dir)
+    every = lists_of(ps, sf_dir)
+    _, cols = auto(spark, sf_dir, ps, every)
+    lists = every.filter(F.col("list_rank") == 1)
     pages = _read(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"))
     first = pages.groupBy("host").agg(F.min("page_id").alias("page_id"))
-    row_step = F.struct(F.lit("child").alias("comb"), F.col("row_tag").alias("tag"), F.lit(None).cast("string").alias("id"),
-                        F.col("row_classes").alias("classes"), F.create_map().cast("map<string,string>").alias("attrs"),
-                        F.lit(None).cast("int").alias("nth"), F.lit(None).cast("string").alias("text"),
-                        F.col("has_child").alias("has_child")).cast(STEP)
-    l = lists.join(first, "page_id").select("host", "page_id", F.concat("container_steps", F.array(row_step)).alias("row_steps"))
+    l = lists.join(first, "page_id").select("host", "page_id", row_steps().alias("row_steps"))
     c = cols.join(first, "page_id").groupBy("page_id").agg(F.array_sort(
         F.collect_list(F.struct("col_ord", F.struct("name", "steps", "attr", F.lit("").alias("attr_name")).alias("c"))),
         lambda a, b: F.when(a["col_ord"] < b["col_ord"], -1).when(a["col_ord"] > b["col_ord"], 1).otherwise(0)).alias("cs"))
@@ -97,13 +105,17 @@ def derived_recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "row_steps", F.transform("cs", lambda x: x["c"]).alias("columns"),
         F.lit(None).cast("struct<type:string,target:struct<steps:array<struct<comb:string,tag:string,id:string,classes:array<string>,attrs:map<string,string>,nth:int,text:string,has_child:string>>,text:string,aria:string,rel:string>,max_pages:int,delay_ms:int,timeout_ms:int>").alias("pagination"),
         F.lit(None).cast("struct<dedupe:boolean,append:boolean,page_url:boolean>").alias("options"))
-    _CACHE[key] = cut_lineage(normalize_recipes(r))
-    return _CACHE[key]
+    return _shared(("recipes", sf_dir), lambda: cut_lineage(normalize_recipes(r)))
 
 
-def _links_wide(spark, sf_dir):
+def _rows(spark, sf_dir) -> DataFrame:
+    """(page_id, row_ord, cells, Link, Link Text): rows with all their columns,
+    and two of them by name."""
+    from ..operators.run import as_rows
+
     cells, _ = auto(spark, sf_dir)
-    return wide(cells, ["Link", "Link Text"])
+    named = lambda n: F.coalesce(F.get(F.filter("cells", lambda c: c["name"] == n), F.lit(0))["value"], F.lit("")).alias(n)
+    return as_rows(cells, ["page_id", "row_ord"]).select("page_id", "row_ord", "cells", named("Link"), named("Link Text"))
 
 
 # ----------------------------------------------------------------------------
@@ -287,19 +299,18 @@ def q_n01(spark, d):
 def q_a01(spark, d):
     ps = pageset(spark, d)
     li = ps.nodes.filter(F.col("tag") == "li").select("page_id", F.col("node_id").alias("root_id"))
-    return leaf_counts(ps.nodes, li, 30).select("page_id", F.col("root_id").cast("bigint").alias("node_id"),
+    return leaf_counts(ps.nodes, li).select("page_id", F.col("root_id").cast("bigint").alias("node_id"),
                                                F.col("leaves").cast("bigint").alias("leaves"))
 
 
 def _links_ds(spark, d):
-    w = _links_wide(spark, d)
     p = _read(spark, d, "pages").select("page_id", host_of(F.col("url")).alias("host"))
-    return w.join(p, "page_id").select("host", F.col("page_id").alias("page_ord"), "row_ord", "Link", "Link Text")
+    return _rows(spark, d).join(p, "page_id").select("host", F.col("page_id").alias("page_ord"), "row_ord", "cells", "Link", "Link Text")
 
 
 def q_a05(spark, d):
     ds = _links_ds(spark, d)
-    out = D.dedupe(ds, ["host", "Link", "Link Text"])
+    out = D.dedupe(ds, ["host", "cells"])
     return out.select("host", "Link", "Link Text", F.col("page_ord").alias("first_page"), F.col("row_ord").cast("bigint").alias("first_row"))
 
 
@@ -325,7 +336,7 @@ def q_a07(spark, d):
 
 def q_a08(spark, d):
     ds = _links_ds(spark, d)
-    firsts = D.dedupe(ds, ["host", "Link", "Link Text"])
+    firsts = D.dedupe(ds, ["host", "cells"])
     seen = ds.groupBy("host", "page_ord").agg(F.count(F.lit(1)).alias("rows_seen"))
     new = firsts.groupBy("host", "page_ord").agg(F.count(F.lit(1)).alias("rows_new"))
     return seen.join(new, ["host", "page_ord"], "left").select("host", "page_ord", "rows_seen",
@@ -354,19 +365,17 @@ def q_t02(spark, d):
 
 
 def q_t03(spark, d):
-    cells, _ = auto(spark, d)
-    w = wide(cells, ["Link", "Link Text"])
-    return V.preview(w, ["page_id", "row_ord"]).select("page_id", F.col("row_ord").cast("bigint").alias("row_ord"), "Link", "Link Text")
+    return V.preview(_rows(spark, d), ["page_id", "row_ord"]).select("page_id", F.col("row_ord").cast("bigint").alias("row_ord"), "Link", "Link Text")
 
 
 def q_l03(spark, d):
-    fl = lists_of(spark, d)
+    fl = lists_of(pageset(spark, d), d)
     return fl.select("page_id", F.col("list_rank").cast("bigint").alias("list_rank"), "row_selector", "row_count", "score")
 
 
 def q_l11(spark, d):
     ps = pageset(spark, d)
-    fl = find_lists(ps).filter(F.col("list_rank") == 1)
+    fl = lists_of(ps, d).filter(F.col("list_rank") == 1)
     rows = list_rows(ps, fl)
     dn = data_nodes(ps, rows)
     return dn.select("page_id", F.col("row_id").cast("bigint").alias("row_id"), F.col("node_id").cast("bigint").alias("node_id"),
@@ -460,7 +469,8 @@ def q_s05(spark, d):
 def q_j10(spark, d):
     from ..operators.extract import recipe_extract
 
-    cells = recipe_extract(pageset(spark, d), derived_recipes(spark, d))
+    ps = pageset(spark, d)
+    cells = recipe_extract(ps, derived_recipes(spark, d, ps))
     return cells.select("page_id", F.col("row_ord").cast("bigint").alias("row_ord"),
                         F.col("col_ord").cast("bigint").alias("col_ord"), "name", "value")
 
@@ -528,7 +538,7 @@ def q_g05(spark, d):
     from ..operators.pager import page_signatures
 
     ps = pageset(spark, d)
-    rows = list_rows(ps, lists_of(spark, d).filter(F.col("list_rank") == 1))
+    rows = list_rows(ps, lists_of(ps, d).filter(F.col("list_rank") == 1))
     return page_signatures(ps, rows).select("page_id", "url", "n", "fp_first", "fp_last", "sig")
 
 
@@ -548,7 +558,7 @@ def q_g06(spark, d):
     res = resolve_targets(ps, t)
     href = ps.nodes.select("page_id", "node_id", F.col("attrs")["href"].alias("href"))
     nl = res.join(href, ["page_id", "node_id"]).join(is_disabled(ps), ["page_id", "node_id"]).filter(F.col("href").isNotNull())
-    rows = list_rows(ps, lists_of(spark, d).filter(F.col("list_rank") == 1))
+    rows = list_rows(ps, lists_of(ps, d).filter(F.col("list_rank") == 1))
     chain = page_chain(ps, nl.select("page_id", "href", "disabled"), None, page_signatures(ps, rows).select("page_id", "n", "sig"))
     return chain.select(F.col("start_id").cast("bigint").alias("start_id"), F.col("step").cast("bigint").alias("step"),
                         F.col("page_id").cast("bigint").alias("page_id"), "reason")
@@ -558,10 +568,7 @@ def derived_pages(spark: SparkSession, sf_dir: str) -> PageSet:
     """The pages rendered from the customer table, shredded once."""
     from .derived import customer_pages
 
-    key = ("derived", spark.sparkContext.applicationId, sf_dir)
-    if key not in _CACHE:
-        _CACHE[key] = PageSet(customer_pages(spark, sf_dir))
-    return _CACHE[key]
+    return _shared(("derived", sf_dir), lambda: PageSet(customer_pages(spark, sf_dir)))
 
 
 def q_j10_several(spark, d):
@@ -666,3 +673,7 @@ QUERIES = {
     "L06_every_node": q_l06_every, "L06_cell_selectors": q_l06_cells, "F09_validate_in_rows": q_f09_rows,
     "S04_recipe_round_trip": q_s04, "F03_text_steps": q_f03, "J09_header_names": q_j09, "G06_customer_chains": q_g06_customers, "P13_element_profile": q_p13,
 }
+
+from . import runs as _runs  # noqa: E402  (its queries use the pages above)
+
+QUERIES.update(_runs.QUERIES)

@@ -14,8 +14,9 @@ from ..schema import RECIPE, css, step
 PER_PAGE = 5
 
 
-def customer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(page_id, url, html); page_id = nation * 100000 + page number."""
+def customer_pages(spark: SparkSession, sf_dir: str, ring: bool = False) -> DataFrame:
+    """(page_id, url, html); page_id = nation * 100000 + page number. The last
+    page's way on is disabled, or leads to the first (``ring``)."""
     c = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment")
     nth = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
     c = c.withColumn("p", F.floor(nth / PER_PAGE).cast("int") + 1)
@@ -24,7 +25,7 @@ def customer_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = c.groupBy("c_nationkey", "p").agg(F.sort_array(F.collect_list(F.struct("c_custkey", row.alias("row"), item.alias("item")))).alias("x"))
     last = F.max("p").over(Window.partitionBy("c_nationkey"))
     pages = pages.withColumn("last", last)
-    on = F.concat(F.lit('<a rel="next" href="?p='), (F.col("p") + 1).cast("string"), F.lit('"'), F.when(F.col("p") == F.col("last"), F.lit(' class="disabled"')).otherwise(F.lit("")), F.lit(">Onward</a>"))
+    on = F.concat(F.lit('<a rel="next" href="?p='), (F.col("p") % F.col("last") + 1 if ring else F.col("p") + 1).cast("string"), F.lit('"'), F.when((F.col("p") == F.col("last")) & F.lit(not ring), F.lit(' class="disabled"')).otherwise(F.lit("")), F.lit(">Onward</a>"))
     html = F.concat(F.lit("<html><head><title>Customers</title></head><body><table><tbody><tr><th>Customer</th><th>Segment</th><th>Account</th></tr>"),
                     F.array_join(F.transform("x", lambda v: v["row"]), ""), F.lit('</tbody></table><ul class="keys">'),
                     F.array_join(F.transform("x", lambda v: v["item"]), ""), F.lit("</ul>"), on, F.lit("</body></html>"))

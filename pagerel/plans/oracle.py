@@ -9,6 +9,7 @@ from ..functions import rules as R
 from ..functions.text import WS_CLASS, XPATH_WS
 from ..sources.sinks import NUMERIC, _INVALID_XML
 from .derived import DERIVED_ORACLES
+from .runs import ORACLES as RUN_ORACLES
 
 WS1 = R.JS_SPACE
 
@@ -233,7 +234,7 @@ def _oracles() -> dict[str, str]:
     o["V02_mark"] = ("SELECT doc_id, CASE WHEN i > 0 THEN substring(t, 1, i - 1) ELSE t END AS before, CASE WHEN i > 0 THEN substring(t, i, 3) ELSE '' END AS hit, "
                      "CASE WHEN i > 0 THEN substring(t, i + 3) ELSE '' END AS after FROM (SELECT doc_id, coalesce(text, '') AS t, instr(lower(coalesce(text, '')), 'the') AS i FROM documents)")
     o["V03_cell_kinds"] = ("SELECT page_id, CASE WHEN regexp_matches(coalesce(url, ''), '(?i)^https?://\\S+$') THEN 'link' ELSE 'text' END AS kind, "
-                           "CASE WHEN length(url) > 300 THEN substring(url, 1, 299) || '…' ELSE coalesce(url, '') END AS shown FROM pages")
+                           "coalesce(url, '') AS shown FROM pages")
     o["V04_search_counts"] = (f"SELECT count_if({anycol}) AS matched, count(*) AS total, format('{{:,}}', count_if({anycol})) || ' of ' || format('{{:,}}', count(*)) || ' rows match' AS status FROM documents")
     vcols = ["c_custkey", "c_name", "c_mktsegment"]
     vany = " OR ".join(f"contains(lower(coalesce(CAST({c} AS VARCHAR), '')), 'building')" for c in vcols)
@@ -269,4 +270,4 @@ def _oracles() -> dict[str, str]:
     return o
 
 
-ORACLES = {**_oracles(), **DERIVED_ORACLES}
+ORACLES = {**_oracles(), **DERIVED_ORACLES, **RUN_ORACLES}

@@ -43,6 +43,64 @@ def stream_extract(spark: SparkSession, source: str, sink: str, checkpoint: str,
     return spark.read.parquet(sink)
 
 
+LOG = "id STRING, page_id BIGINT, n_rows BIGINT, reason STRING"
+ROWS = "id STRING, page_id BIGINT, row_ord BIGINT, cells ARRAY<STRUCT<name: STRING, value: STRING>>, n_key INT"
+
+
+def _before(spark: SparkSession, folder: str, epoch_id: int, schema: str) -> DataFrame:
+    """What other epochs have written; an epoch that runs again sees what it
+    saw the first time, as epochs run one after the other."""
+    spark.createDataFrame([], schema).write.mode("ignore").parquet(f"{folder}/epoch=-1")
+    return spark.read.schema(f"{schema}, epoch BIGINT").option("basePath", folder).parquet(folder).filter(F.col("epoch") < epoch_id).drop("epoch")
+
+
+def _run_batch(recipes: DataFrame, sink: str, max_pages: int | None):
+    def run(batch: DataFrame, epoch_id: int) -> None:
+        from ..operators.extract import recipe_extract
+        from ..operators.recipes import pages_for
+        from ..operators.run import as_rows, enter, numbered
+        from ..session import cut_lineage
+
+        spark = batch.sparkSession
+        log, stored = _before(spark, f"{sink}/pages", epoch_id, LOG), _before(spark, f"{sink}/rows", epoch_id, ROWS)
+        batch = batch.dropDuplicates(["page_id"])
+        visits = pages_for(recipes, batch).select("id", "page_id").join(log.select("id", "page_id"), ["id", "page_id"], "left_anti")
+        visits = numbered(visits, "id", ["page_id"], "_nth").join(log.filter("reason = ''").groupBy("id").agg(F.count(F.lit(1)).alias("_used")), "id", "left")
+        within = F.lit(True) if max_pages is None else F.coalesce("_used", F.lit(0)) + F.col("_nth") <= max_pages
+        visits = cut_lineage(visits.select("id", "page_id", within.alias("used")), "visits")
+        used = visits.filter("used").select("id", "page_id")
+        ps = PageSet(batch.join(used.select("page_id").distinct(), "page_id", "left_semi"))
+        cells = recipe_extract(ps, recipes).join(used, ["id", "page_id"], "left_semi")
+        rows = as_rows(cells, ["id", "page_id", "row_ord"])
+        how = recipes.select("id", F.size("columns").alias("n_key"), F.coalesce(F.col("options.dedupe"), F.lit(True)).alias("dedupe"))
+        rows = rows.join(how, "id").select(F.col("id").alias("source"), F.col("page_id").alias("page_ord"), F.col("row_ord").cast("bigint").alias("row_ord"), "cells", "n_key", "dedupe",
+                                           F.lit(True).alias("append"))
+        rows = cut_lineage(rows, "run-rows")
+        new = enter(rows, stored.select(F.col("id").alias("source"), "cells"))
+        (new.select(F.col("source").alias("id"), F.col("page_ord").alias("page_id"), "row_ord", "cells", "n_key")
+         .write.mode("overwrite").parquet(f"{sink}/rows/epoch={epoch_id}"))
+        seen = rows.groupBy(F.col("source").alias("id"), F.col("page_ord").alias("page_id")).agg(F.count(F.lit(1)).alias("n_rows"))
+        # the log is written last: pages count as used once their rows are there
+        (visits.join(seen, ["id", "page_id"], "left").select("id", "page_id", F.coalesce("n_rows", F.lit(0)).alias("n_rows"), F.when(F.col("used"), "").otherwise("limit").alias("reason"))
+         .write.mode("overwrite").parquet(f"{sink}/pages/epoch={epoch_id}"))
+    return run
+
+
+def stream_run(spark: SparkSession, source: str, recipes: DataFrame, sink: str, checkpoint: str, max_pages: int | None = None,
+               max_files: int = 1) -> tuple[DataFrame, DataFrame]:
+    """W01 + W02 + W04: recipes (normalised) on pages as they land. Per recipe,
+    a page is used once, at most ``max_pages`` pages are used over the whole run
+    (the others are logged with reason 'limit'), and a row whose key the dataset
+    has does not enter again. State is what the sink holds: its page log and its
+    rows, read anew in each epoch, so restarts and replays add nothing.
+    -> (rows, page log)"""
+    stream = spark.readStream.schema(PAGES_SCHEMA).option("maxFilesPerTrigger", max_files).parquet(source)
+    q = (stream.writeStream.foreachBatch(_run_batch(recipes, sink, max_pages))
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+    q.awaitTermination()
+    return _before(spark, f"{sink}/rows", 1 << 62, ROWS), _before(spark, f"{sink}/pages", 1 << 62, LOG)
+
+
 def stream_dedupe(stream: DataFrame, keys: list[str], watermark_col: str | None = None, delay: str = "1 day") -> DataFrame:
     """Seen keys over the whole run. Without an event-time column the
     state grows with the keys (as in the reference's single run); with a
