@@ -13,6 +13,12 @@ _KEEP = [("%2F", "/"), ("%2C", ","), ("%21", "!"), ("%24", "$"), ("%26", "&"), (
          ("%5C", "/")]
 
 
+def _let(value: Column, f) -> Column:
+    """``f(value)`` with the value worked out once, however often ``f`` names
+    it: a Column that is used twice is otherwise two copies of its expression."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def encode_path(p: Column) -> Column:
     """Percent-encode a URL path the way browsers do: non-ASCII as UTF-8
     %XX (upper case), space as %20, the reserved sub-delims kept."""
@@ -29,25 +35,29 @@ def encode_tail(t: Column) -> Column:
     e = F.regexp_replace(F.url_encode(t), r"\+", "%20")
     for code, ch in keep:
         e = F.replace(e, F.lit(code), F.lit(ch))
-    query, fragment = F.regexp_extract(e, r"^([^#]*)", 1), F.regexp_extract(e, r"^[^#]*(.*)$", 1)
-    fragment = F.concat(F.left(fragment, F.lit(1)), F.replace(F.right(fragment, F.greatest(F.length(fragment) - 1, F.lit(0))), F.lit("`"), F.lit("%60")))
-    return F.concat(F.replace(query, F.lit("'"), F.lit("%27")), fragment)
+
+    def parts(e: Column) -> Column:
+        query, after = F.regexp_extract(e, r"^([^#]*)", 1), F.regexp_extract(e, r"^[^#]*#(.*)$", 1)
+        hash_ = F.when(e.contains("#"), F.lit("#")).otherwise(F.lit(""))
+        return F.concat(F.replace(query, F.lit("'"), F.lit("%27")), hash_, F.replace(after, F.lit("`"), F.lit("%60")))
+
+    return _let(e, parts)
 
 
 def _remove_dot_segments(path: Column) -> Column:
     """RFC 3986 dot-segment removal over the split path (Catalyst aggregate)."""
-    segs = F.split(path, "/")
-    body = F.slice(segs, 2, F.greatest(F.size(segs) - 1, F.lit(0)))
-    out = F.aggregate(
-        body,
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-        .when(s == ".", acc)
-        .otherwise(F.concat(acc, F.array(s))),
-    )
-    last = F.element_at(segs, -1)
-    trailing = (last == ".") | (last == "..")
-    return F.concat(F.lit("/"), F.array_join(out, "/"), F.when(trailing & (F.size(out) > 0), F.lit("/")).otherwise(F.lit("")))
+    def walk(segs: Column) -> Column:
+        out = F.aggregate(
+            F.slice(segs, 2, F.greatest(F.size(segs) - 1, F.lit(0))),
+            F.array().cast("array<string>"),
+            lambda acc, s: F.when(s == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
+            .when(s == ".", acc)
+            .otherwise(F.concat(acc, F.array(s))),
+        )
+        trailing = F.element_at(segs, -1).isin(".", "..")
+        return _let(out, lambda o: F.concat(F.lit("/"), F.array_join(o, "/"), F.when(trailing & (F.size(o) > 0), F.lit("/")).otherwise(F.lit(""))))
+
+    return _let(F.split(path, "/"), walk)
 
 
 def _no_default_port(scheme: Column, host: Column) -> Column:
@@ -59,53 +69,31 @@ def absolutize(href: Column, base: Column) -> Column:
     scheme are kept (host lower-cased); protocol-relative, root-relative,
     query-only, fragment-only and relative paths (with dot segments) are
     resolved; the path is percent-encoded like a browser does."""
-    h = F.trim(F.coalesce(href, F.lit("")))
-    b = F.coalesce(base, F.lit(""))
-    scheme = F.lower(F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-    origin = F.concat(scheme, F.lit("://"), _no_default_port(scheme, F.lower(F.regexp_extract(b, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1))))
-    base_path = F.regexp_extract(b, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
-    base_path = F.when(base_path == "", F.lit("/")).otherwise(base_path)
-    base_query = F.regexp_extract(b, r"^[^?#]*(\?[^#]*)?", 1)
-    base_dir = F.regexp_replace(base_path, r"[^/]*$", "")
-
-    def split_tail(x: Column):
-        path = F.regexp_extract(x, r"^([^?#]*)", 1)
-        rest = F.regexp_extract(x, r"^[^?#]*(.*)$", 1)
-        return path, rest
-
-    abs_h = h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
-    abs_scheme = F.lower(F.regexp_extract(h, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
-    abs_hier = F.regexp_extract(h, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)(.*)$", 1)
-    abs_tail = F.regexp_extract(h, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(.*)$", 1)
-    p_abs, r_abs = split_tail(abs_tail)
-    absolute = F.when(
-        abs_scheme.isin("http", "https") & h.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"),
-        F.concat(abs_scheme, F.lit("://"), _no_default_port(abs_scheme, F.lower(abs_hier)),
-                 encode_path(F.when(p_abs == "", F.lit("/")).otherwise(_remove_dot_segments(p_abs))), encode_tail(r_abs)),
-    ).otherwise(h)
-
-    proto_host = F.regexp_extract(h, r"^//([^/?#]*)", 1)
-    proto_tail = F.regexp_extract(h, r"^//[^/?#]*(.*)$", 1)
-    p_pr, r_pr = split_tail(proto_tail)
-    protocol_rel = F.concat(scheme, F.lit("://"), _no_default_port(scheme, F.lower(proto_host)),
-                            encode_path(F.when(p_pr == "", F.lit("/")).otherwise(_remove_dot_segments(p_pr))), encode_tail(r_pr))
-
-    p_root, r_root = split_tail(h)
-    root_rel = F.concat(origin, encode_path(_remove_dot_segments(p_root)), encode_tail(r_root))
-    rel = F.concat(origin, encode_path(_remove_dot_segments(F.concat(base_dir, p_root))), encode_tail(r_root))
-    query_only = F.concat(origin, encode_path(base_path), encode_tail(h))
-    frag_only = F.concat(origin, encode_path(base_path), encode_tail(base_query), encode_tail(h))
-
-    return (
-        F.when(h == "", F.lit(""))
-        .when(scheme == "", h)
-        .when(abs_h, absolute)
-        .when(h.startswith("//"), protocol_rel)
-        .when(h.startswith("/"), root_rel)
-        .when(h.startswith("?"), query_only)
-        .when(h.startswith("#"), frag_only)
-        .otherwise(rel)
-    )
+    def based(x: Column) -> Column:
+        h, b = x["h"], x["b"]
+        scheme = F.lower(F.regexp_extract(b, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1))
+        base_host = F.regexp_extract(b, r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)
+        base_path = F.regexp_extract(b, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1)
+        base_query = F.regexp_extract(b, r"^[^?#]*(\?[^#]*)?", 1)
+        path, tail = F.regexp_extract(h, r"^([^?#]*)", 1), F.regexp_extract(h, r"^[^?#]*(.*)$", 1)
+        own, hier = r"^[A-Za-z][A-Za-z0-9+.-]*:", r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//"
+        host, h_path, h_tail = (F.regexp_extract(h, hier + r, 1) for r in (r"([^/?#]*)", r"[^/?#]*([^?#]*)", r"[^/?#]*[^?#]*(.*)$"))
+        part = lambda s, o, p, t: F.struct(s.alias("scheme"), o.alias("host"), p.alias("path"), t.alias("tail"))
+        parts = (
+            F.when(h.rlike(own), part(F.lower(F.regexp_extract(h, r"^([A-Za-z][A-Za-z0-9+.-]*):", 1)), host, h_path, h_tail))
+            .when(h.startswith("//"), part(scheme, host, h_path, h_tail))
+            .when(h.startswith("/"), part(scheme, base_host, path, tail))
+            .when(h.startswith("?"), part(scheme, base_host, base_path, h))
+            .when(h.startswith("#"), part(scheme, base_host, base_path, F.concat(base_query, h)))
+            .otherwise(part(scheme, base_host, F.concat(F.regexp_replace(F.when(base_path == "", F.lit("/")).otherwise(base_path), r"[^/]*$", ""), path), tail))
+        )
+        whole = _let(parts, lambda u: F.concat(
+            u["scheme"], F.lit("://"), _no_default_port(u["scheme"], F.lower(u["host"])),
+            encode_path(_remove_dot_segments(F.when(u["path"] == "", F.lit("/")).otherwise(u["path"]))), encode_tail(u["tail"])))
+        other = h.rlike(own) & ~h.rlike(r"(?i)^https?://")
+        return F.when(h == "", F.lit("")).when((scheme == "") | other, h).otherwise(whole)
+
+    return _let(F.struct(F.trim(F.coalesce(href, F.lit(""))).alias("h"), F.coalesce(base, F.lit("")).alias("b")), based)
 
 
 def host_of(url: Column) -> Column:
