@@ -316,3 +316,68 @@ SELECT 'table' AS name, '' AS reason, n FROM h UNION ALL SELECT 'keys', 'needs_l
     "T05_recipe_list": """WITH h AS (SELECT DISTINCT 'n' || c_nationkey || '.example' AS host FROM customer), r AS (SELECT host, name, name || '@' || host AS id FROM h, (SELECT unnest(['keys', 'table', 'text']) AS name))
 SELECT host, id, row_number() OVER (PARTITION BY host ORDER BY name, id) AS place FROM r UNION ALL SELECT NULL, id, row_number() OVER (ORDER BY name, id) FROM r""",
 }
+
+
+# -- more of the element relations, on the same pages ------------------------------------------
+def q_p03(spark, d):
+    """Own texts of items, names, cells and links."""
+    ps = _pages(spark, d)
+    own = explorer.own_texts(ps).join(ps.nodes.filter(F.col("tag").isin("li", "b", "td", "a")).select("page_id", "node_id", "tag"), ["page_id", "node_id"])
+    return own.groupBy("page_id", "tag", "own_text").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_j01(spark, d):
+    """The chain of tags above each name."""
+    from ..operators.tree import ancestors
+
+    ps = _pages(spark, d)
+    chain = ancestors(ps.nodes, ps.nodes.filter("tag = 'b'").select("page_id", "node_id"))
+    per = chain.groupBy("page_id", "target_id").agg(F.array_sort(F.collect_list(F.struct("level", "tag"))).alias("c"))
+    return per.groupBy("page_id", F.array_join(F.transform("c", lambda x: x["tag"]), ">").alias("chain")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_j05(spark, d):
+    """The closest table row of each link, as the place of that row."""
+    from ..operators.tree import closest
+
+    ps = _pages(spark, d)
+    links = ps.nodes.filter("tag = 'a'").select("page_id", F.col("node_id").alias("target_id"), "anc")
+    met = closest(ps.nodes, links, F.col("tag") == "tr").withColumnRenamed("match_id", "node_id")
+    return met.join(ps.nodes.select("page_id", "node_id", "nth"), ["page_id", "node_id"]).select("page_id", F.col("nth").cast("bigint").alias("row_place"))
+
+
+def q_j06(spark, d):
+    """Structure signatures of table rows and items."""
+    from ..operators.tree import signatures
+
+    ps = _pages(spark, d)
+    sig = signatures(ps.nodes).join(ps.nodes.filter(F.col("tag").isin("tr", "li")).select("page_id", "node_id", "tag"), ["page_id", "node_id"])
+    return sig.groupBy("page_id", "tag", F.array_join("sig", ",").alias("sig")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_g03(spark, d):
+    """Elements that are disabled: the way on from the last page."""
+    return pager.is_disabled(_pages(spark, d)).groupBy("page_id").agg(F.count_if("disabled").alias("n_disabled"))
+
+
+def q_g04(spark, d):
+    """The state of each page's way on, found by its text."""
+    ps = _pages(spark, d)
+    t = ps.pages.select("page_id", F.lit("ONWARD").alias("text"), F.lit("").alias("aria"), F.lit("").alias("rel"))
+    return pager.target_state(ps, t).select("page_id", "found", "disabled", "label")
+
+
+QUERIES.update({"P03_own_texts": q_p03, "J01_ancestors": q_j01, "J05_closest": q_j05, "J06_signatures": q_j06, "G03_customer_disabled": q_g03, "G04_target_state": q_g04})
+ORACLES.update({
+    "P03_own_texts": f"""WITH {CUSTOMERS}, t AS (SELECT page_id, 'li' AS tag, 'at sea' AS own_text FROM cu UNION ALL SELECT page_id, 'b', c_name FROM cu UNION ALL SELECT page_id, 'td', c_name FROM cu
+  UNION ALL SELECT page_id, 'td', c_mktsegment FROM cu UNION ALL SELECT page_id, 'td', '' FROM cu UNION ALL SELECT page_id, 'a', 'open' FROM cu UNION ALL SELECT DISTINCT page_id, 'a', 'Onward' FROM cu)
+SELECT page_id, tag, own_text, count(*) AS n FROM t GROUP BY page_id, tag, own_text""",
+    "J01_ancestors": f"WITH {CUSTOMERS} SELECT page_id, 'body>ul>li>b' AS chain, count(*) AS n FROM cu GROUP BY page_id",
+    "J05_closest": f"WITH {CUSTOMERS} SELECT page_id, row_ord + 1 AS row_place FROM cu",
+    "J06_signatures": f"""WITH {CUSTOMERS}, n AS (SELECT page_id, count(*) AS k FROM cu GROUP BY page_id)
+SELECT page_id, 'tr' AS tag, 'td,td>a' AS sig, k AS n FROM n UNION ALL SELECT page_id, 'tr', 'th', 1 FROM n UNION ALL SELECT page_id, 'li', 'b', k FROM n""",
+    "G03_customer_disabled": f"""WITH {CUSTOMERS}, m AS (SELECT DISTINCT page_id, p, max(p) OVER (PARTITION BY c_nationkey) AS last FROM cu)
+SELECT page_id, CAST(CASE WHEN p = last THEN 1 ELSE 0 END AS BIGINT) AS n_disabled FROM m""",
+    "G04_target_state": f"""WITH {CUSTOMERS}, m AS (SELECT DISTINCT page_id, p, max(p) OVER (PARTITION BY c_nationkey) AS last FROM cu)
+SELECT page_id, true AS found, p = last AS disabled, 'Onward' AS label FROM m""",
+})
