@@ -381,3 +381,126 @@ SELECT page_id, CAST(CASE WHEN p = last THEN 1 ELSE 0 END AS BIGINT) AS n_disabl
     "G04_target_state": f"""WITH {CUSTOMERS}, m AS (SELECT DISTINCT page_id, p, max(p) OVER (PARTITION BY c_nationkey) AS last FROM cu)
 SELECT page_id, true AS found, p = last AS disabled, 'Onward' AS label FROM m""",
 })
+
+
+def q_p09(spark, d):
+    """Stable classes: what names an element for good, and what only may."""
+    n = _pages(spark, d).nodes
+    each = n.select("page_id", F.explode(F.concat(F.transform("sem", lambda c: F.struct(F.lit("semantic").alias("kind"), c.alias("class"))),
+                                                  F.transform("grp", lambda c: F.struct(F.lit("group").alias("kind"), c.alias("class"))))).alias("c"))
+    return each.groupBy("page_id", "c.kind", "c.class").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_f04(spark, d):
+    """Rows with a data cell, and rows with a header cell."""
+    from ..operators.select import select_nodes
+    from ..schema import css, step
+
+    ps, out = _pages(spark, d), None
+    for t in ("td", "th"):
+        one = select_nodes(ps, css(("desc", step("tr", has_child=t)))).groupBy("page_id").agg(F.count(F.lit(1)).alias("n")).select("page_id", F.lit(t).alias("child"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def q_f07(spark, d):
+    """Formatting elements and text containers."""
+    return explorer.formatting_flags(_pages(spark, d)).groupBy("page_id").agg(F.count_if("formatting").alias("formatting"), F.count_if("text_container").alias("containers"))
+
+
+def q_j03(spark, d):
+    """Paths from the table body to each link in it."""
+    from ..operators.tree import path_between
+
+    n = _pages(spark, d).nodes
+    body = n.filter("tag = 'tbody'").select("page_id", F.col("node_id").alias("top"))
+    path = n.filter("tag = 'a'").join(body, "page_id").filter(F.array_contains("anc", F.col("top")))
+    path = path.select("page_id", F.col("node_id").alias("link"), F.posexplode(path_between(F.col("anc"), F.col("top"))).alias("i", "node_id")).join(n.select("page_id", "node_id", "tag"), ["page_id", "node_id"])
+    per = path.groupBy("page_id", "link").agg(F.array_sort(F.collect_list(F.struct("i", "tag"))).alias("p"))
+    return per.groupBy("page_id", F.array_join(F.transform("p", lambda x: x["tag"]), ">").alias("path")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_l05(spark, d):
+    """One level wider and one narrower than the rows found from a cell."""
+    ps = _pages(spark, d)
+    first = ps.nodes.filter("tag = 'td'").groupBy("page_id").agg(F.min("node_id").alias("node_id"))
+    found = explorer.detect_lists(ps, first)
+    shift = lambda wider: explorer.shift_level(F.col("levels"), F.col("level"), F.col("max_level"), wider).cast("bigint")
+    return found.select("page_id", F.col("level").cast("bigint").alias("level"), shift(True).alias("wider"), shift(False).alias("narrower"))
+
+
+def _models(spark, d, tag):
+    ps = _pages(spark, d)
+    return explorer.selector_parts(ps, ps.nodes.filter(F.col("tag") == tag).select("page_id", "node_id"))
+
+
+def q_l07(spark, d):
+    """Tags, classes and positions that a list's and its items' selectors may use."""
+    m = _models(spark, d, "li")
+    parts = m.select("page_id", "level", F.explode("parts").alias("p")).filter(F.col("p.k").isin("tag", "class", "nth"))
+    return parts.groupBy("page_id", F.col("level").cast("bigint").alias("level"), "p.k", "p.v").agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_l08(spark, d):
+    """Names by their text, as XPath; items by tag and place under the list, as CSS."""
+    on = lambda kinds: F.transform("parts", lambda p: p.withField("on", p["k"].isin(*kinds)))
+    names = _models(spark, d, "b").withColumn("parts", on(("tag", "text")))
+    items = _models(spark, d, "li").withColumn("on", F.col("level") >= 1).withColumn("parts", F.when(F.col("level") == 1, on(("class",))).otherwise(on(("tag", "nth"))))
+    out = [explorer.render_model(m, ["page_id", "target_id"]).select("page_id", "selector") for m in (names, items)]
+    return out[0].unionByName(out[1])
+
+
+def q_n03(spark, d):
+    """Brands of the parts of a size, made unique in the order of keys."""
+    part = _read(spark, d, "part").select("p_size", "p_partkey", "p_brand")
+    return D.ensure_unique_names(part, ["p_size"], "p_partkey", "p_brand").select("p_size", "p_partkey", "unique_name")
+
+
+def q_r02(spark, d):
+    """Recipes after one kind is renamed, one deleted and one added."""
+    r = recipes.normalize_recipes(customer_recipes(spark, d))
+    changed = r.filter("name = 'keys'").withColumn("name", F.lit("items"))
+    new = r.filter("name = 'table'").withColumns({"id": F.concat(F.lit("new-"), "id"), "name": F.lit("copy")})
+    out = recipes.delete_recipes(recipes.upsert_recipes(r, changed.unionByName(new)), r.filter("name = 'text'").select("id"))
+    return out.groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"))
+
+
+def q_g01(spark, d):
+    """What is kept of each link in the tables as a pager target."""
+    ps = _pages(spark, d)
+    picks = ps.nodes.filter("tag = 'a'").select("page_id", "node_id")
+    return pager.describe_targets(ps, picks).select("page_id", "selector", "text", "aria", "rel")
+
+
+def q_g02(spark, d):
+    """Which rule finds the way on where its text is another one by now."""
+    ps = _pages(spark, d)
+    t = ps.pages.select("page_id", F.lit("Further").alias("text"), F.lit("").alias("aria"), F.when(F.col("page_id") % 2 == 0, "next").otherwise("").alias("rel"))
+    res = pager.resolve_targets(ps, t).join(ps.nodes.select("page_id", "node_id", F.col("attrs")["href"].alias("href")), ["page_id", "node_id"])
+    return res.select("page_id", F.col("rank").cast("bigint").alias("rank"), "href")
+
+
+QUERIES.update({
+    "P09_stable_classes": q_p09, "F04_has_child": q_f04, "F07_text_containers": q_f07, "J03_paths_between": q_j03, "L05_shift_level": q_l05, "L07_selector_parts": q_l07,
+    "L08_render": q_l08, "N03_unique_names": q_n03, "R02_save_delete": q_r02, "G01_describe_targets": q_g01, "G02_resolve_targets": q_g02})
+ORACLES.update({
+    "P09_stable_classes": f"WITH {_PER_PAGE} SELECT page_id, unnest(['semantic', 'group']) AS kind, 'keys' AS class, CAST(1 AS BIGINT) AS n FROM n",
+    "F04_has_child": f"WITH {_PER_PAGE} SELECT page_id, 'td' AS child, k AS n FROM n UNION ALL SELECT page_id, 'th', 1 FROM n",
+    # names are formatting; the title, header cells, two cells, the link, the item and the name of a customer, and the way on hold text
+    "F07_text_containers": f"WITH {_PER_PAGE} SELECT page_id, k AS formatting, 5 + 5 * k AS containers FROM n",
+    "J03_paths_between": f"WITH {_PER_PAGE} SELECT page_id, 'tr>td>a' AS path, k AS n FROM n",
+    "L05_shift_level": f"""WITH {_PER_PAGE} SELECT page_id, CAST(CASE WHEN k > 1 THEN 1 ELSE 0 END AS BIGINT) AS level,
+  CAST(CASE WHEN k > 1 THEN 2 ELSE 1 END AS BIGINT) AS wider, CAST(0 AS BIGINT) AS narrower FROM n""",
+    "L07_selector_parts": f"""WITH {_PER_PAGE} SELECT page_id, CAST(0 AS BIGINT) AS level, 'tag' AS k, 'body' AS v, k AS n FROM n UNION ALL SELECT page_id, 1, 'tag', 'ul', k FROM n
+UNION ALL SELECT page_id, 1, 'class', 'keys', k FROM n UNION ALL SELECT page_id, 2, 'tag', 'li', k FROM n
+UNION ALL SELECT cu.page_id, 2, 'nth', CAST(row_ord AS VARCHAR), 1 FROM cu JOIN n USING (page_id) WHERE k > 1""",
+    "L08_render": f"""WITH {_PER_PAGE} SELECT page_id, '//b[normalize-space(.)=''' || c_name || ''']' AS selector FROM cu
+UNION ALL SELECT cu.page_id, '.keys > li' || CASE WHEN k > 1 THEN ':nth-of-type(' || row_ord || ')' ELSE '' END FROM cu JOIN n USING (page_id)""",
+    "N03_unique_names": """SELECT p_size, p_partkey, p_brand || CASE WHEN i > 1 THEN ' ' || i ELSE '' END AS unique_name
+FROM (SELECT *, row_number() OVER (PARTITION BY p_size, p_brand ORDER BY p_partkey) AS i FROM part)""",
+    "R02_save_delete": """WITH h AS (SELECT count(DISTINCT c_nationkey) AS n FROM customer) SELECT unnest(['table', 'items', 'copy']) AS name, n, n AS ids FROM h""",
+    "G01_describe_targets": f"""WITH {_PER_PAGE} SELECT page_id, 'a[href="/c/' || c_custkey || '"]' AS selector, 'open' AS text, '' AS aria, '' AS rel FROM cu
+UNION ALL SELECT page_id, 'a[rel="next"]', 'Onward', '', 'next' FROM n""",
+    "G02_resolve_targets": f"""WITH {CUSTOMERS}, m AS (SELECT DISTINCT page_id, p FROM cu)
+SELECT page_id, CAST(CASE WHEN page_id % 2 = 0 THEN 4 ELSE 5 END AS BIGINT) AS rank, '?p=' || (p + 1) AS href FROM m""",
+})
