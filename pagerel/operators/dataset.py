@@ -6,7 +6,6 @@ A dataset is a DataFrame of STRING columns plus ordering columns
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -115,15 +114,3 @@ def row_numbers(df: DataFrame, order: list) -> DataFrame:
     out = sorted_df.join(F.broadcast(offs), "_pid")
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("bigint"), 33)
     return out.withColumn("row_no", (F.col("_off") + local + 1).cast("bigint")).drop("_pid", "_mid", "_off")
-
-
-def save_dataset(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Store (overwrite) or append a dataset as parquet."""
-    df.write.mode(mode).parquet(path)
-
-
-def load_dataset(spark, path: str, schema=None) -> DataFrame:
-    """Load; string columns normalised to '' for nulls."""
-    df = spark.read.schema(schema).parquet(path) if schema is not None else spark.read.parquet(path)
-    strs = [f.name for f in df.schema.fields if f.dataType.simpleString() == "string"]
-    return df.na.fill("", subset=strs)

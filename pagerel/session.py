@@ -47,12 +47,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+#: Called with (what, frame) before each cut; the plan audit looks at the plans.
+WATCHERS: list = []
+
+
 def cut_lineage(df: DataFrame, what: str = "cut") -> DataFrame:
     """Write ``df`` as a Parquet table into the shared checkpoint folder and
     read it back. Later plans scan only the columns they need, see the table's
     size (small sides are broadcast by it), and survive the loss of executors.
     The folder belongs to the job; its owner empties it when the job is over."""
     spark = df.sparkSession
+    for watch in WATCHERS:
+        watch(what, df)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
