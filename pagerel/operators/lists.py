@@ -247,7 +247,6 @@ def find_lists(ps, limit: int | None = None, scan_max: int | None = None, sample
                 & (F.lit(scan_max is None) | (F.col("node_id") - F.col("body_id") <= F.lit(scan_max or 0))) & ~F.col("hidden"))
         .select("page_id", F.col("node_id").alias("parent_id"), "anc")
     )
-    parents = cut_lineage(parents, "parents")
     bucket = F.concat(
         F.col("tag"), F.lit("|"),
         F.coalesce(F.try_element_at(F.col("sem"), F.lit(1)), F.array_join(F.slice(F.col("grp"), 1, 2), ".")),
@@ -267,7 +266,6 @@ def find_lists(ps, limit: int | None = None, scan_max: int | None = None, sample
                       F.col("tag").alias("row_tag"), F.col("classes").alias("row_cls"), F.col("sem").alias("row_sem"),
                       F.col("grp").alias("row_grp"), F.col("child_tags").alias("row_kids"))
               .join(mean, ["page_id", "parent_id", "bucket"]).filter(F.col("leaves") >= 2))
-    groups = cut_lineage(groups, "groups")
     nav = _in_nav(nodes, parents.join(groups.select("page_id", "parent_id").distinct(), ["page_id", "parent_id"], "left_semi")
                   .withColumnRenamed("parent_id", "node_id"))
     groups = groups.join(nav, ["page_id", "parent_id"], "left").withColumn(
