@@ -9,8 +9,8 @@ context (neighbouring characters, cue words, version numbers); each says yes,
 no or nothing. Expectation-maximisation estimates each kind's prior and each
 labeler's sensitivity and specificity from the counts of vote patterns, and a
 logistic span classifier is then trained on the posteriors. Base spans stay;
-other candidates stay if the classifier accepts them. (A number after a plus
-sign is a base span's, and not proposed again.)
+other candidates stay if the classifier accepts them. A number within a base
+span, however long, is not proposed again.
 
 All of it is DataFrame functions. Texts are read once; the candidates, an
 array in each document's row, are stored. EM and the classifier run on counts
@@ -42,8 +42,10 @@ BASE = {
     "card": r"[0-9](?:[ -]?+[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
+#: The base spans of phones (8 to 15 digits after the plus sign), matched first, so that nothing in them is proposed.
+_PLUS = r"\+[0-9](?:[ ().-]*+[0-9]){7,14}+(?![ ().-]*+[0-9])"
 MORE = {
-    "phone": r"(?<![0-9A-Za-z+(.-])(?<!\+[0-9][ ().0-9-]{0,20})\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
+    "phone": rf"{_PLUS}|" r"(?<![0-9A-Za-z+(.-])\([0-9]{3}\) ?[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])",
     "secret": r"(?<![0-9A-Za-z])AKIA[0-9A-Z]{16}(?![0-9A-Za-z])"
               r"|(?<![0-9A-Za-z])(?:password|passwd|secret|token|api_key) ?[=:] ?\"?[0-9A-Za-z_/+.-]{8,}+\"?"
               r"|(?<![0-9A-Za-z])(?=[0-9a-f]*[a-f])(?=[0-9a-f]*[0-9])[0-9a-f]{32,64}(?![0-9A-Za-z])",
@@ -163,7 +165,7 @@ def _entries(found: Column, kind: str, base: bool) -> Column:
         return F.struct(F.lit(KINDS.index(kind)).alias("kind"), s["start"].alias("start"), s["end"].alias("end"),
                         F.lit(base).alias("base"), votes(kind, s).alias("votes"), shape(s).alias("shape"))
 
-    return F.transform(F.filter(found, lambda s: valid(kind, s["body"])) if base else found, entry)
+    return F.transform(F.filter(found, lambda s: valid(kind, s["body"]) if base else ~s["body"].startswith("+")), entry)
 
 
 def candidates(docs: DataFrame, text: str = "text") -> DataFrame:

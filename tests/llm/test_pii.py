@@ -69,6 +69,15 @@ def test_secrets_are_added_and_clean_texts_left_alone(spark):
     assert every[-3:] == [[], [], []] and all(len(b) == 2 for b in base[80:120])
 
 
+def test_no_phone_is_proposed_within_a_base_span(spark):
+    wide = "+1" + " " * 40 + "(555) 123-4567"  # a base span, its number far behind the plus sign
+    over = "+1 22 333 4444 55555 (555) 123-4567"  # too many digits for a base span
+    base, every = found(spark, [wide, over, *["call (555) 123-4567 now"] * 20])
+    assert base[0] == every[0] == [("phone", 0, len(wide))]
+    assert base[1] == [] and every[1] == [("phone", 21, 35)]
+    assert every[2:] == [[("phone", 5, 19)]] * 20 and base[2:] == [[]] * 20
+
+
 def test_reliabilities_follow_the_votes(spark):
     """Two good labelers and a bad one: EM finds which is which."""
     rng = random.Random(2)
