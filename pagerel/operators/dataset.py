@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from ..sources.shred import _ship_by_value
 
 ORDER = ["page_ord", "row_ord"]
 
@@ -80,24 +81,45 @@ def dataset_meta(runs: DataFrame) -> DataFrame:
     )
 
 
+def _free_names(group):
+    """N03's rule on rows (_g, _base) in their order: linear, as the numbers that
+    a base can still take only grow."""
+    taken, after, names = set(), {}, []
+    for base in group["_base"]:
+        name, k = base, after.get(base, 2)
+        while name in taken:
+            name, k = f"{base} {k}", k + 1
+        after[base] = k
+        taken.add(name)
+        names.append(name)
+    return group.assign(unique_name=names)
+
+
 def ensure_unique_names(cols: DataFrame, part: list[str], order: str, name: str = "name") -> DataFrame:
     """Blank -> 'Column i'; a duplicate takes the smallest free number
-    >= 2, in column order. The rule is sequential, so it runs as an
-    ``aggregate`` over each group's ordered name array (groups are recipes:
-    a few dozen columns)."""
-    g = cols.groupBy(*part).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(name).alias("n")))).alias("cs"))
-
-    def step(acc, x):
-        i = F.size(acc["out"]) + 1
-        base = F.when(F.trim(F.coalesce(x["n"], F.lit(""))) == "", F.concat(F.lit("Column "), i.cast("string"))).otherwise(F.trim(x["n"]))
-        taken = acc["out"]
-        free = F.filter(F.sequence(F.lit(2), F.size(taken) + 2), lambda k: ~F.array_contains(taken, F.concat(base, F.lit(" "), k.cast("string"))))
-        nm = F.when(F.array_contains(taken, base), F.concat(base, F.lit(" "), F.element_at(free, 1).cast("string"))).otherwise(base)
-        return F.struct(F.concat(taken, F.array(nm)).alias("out"))
-
-    res = g.select(*part, "cs", F.aggregate("cs", F.struct(F.array().cast("array<string>").alias("out")), step)["out"].alias("names"))
-    return res.select(*part, F.posexplode(F.arrays_zip(F.col("cs"), F.col("names"))).alias("i", "z")).select(
-        *part, F.col("z.cs.o").alias(order), F.col("z.names").alias("unique_name"))
+    >= 2, in column order.
+
+    Only names that are alike but for numbers at their end ('Price', 'Price 2',
+    'Price 2 2') can meet. Where such a family has one name, its numbers are
+    the rows' places, by a window. The rule is sequential only where it has
+    several: these families are grouped and gone through once."""
+    w = Window.partitionBy(*part).orderBy(order, name)
+    blank = F.trim(F.coalesce(name, F.lit(""))) == ""
+    base = F.when(blank, F.concat(F.lit("Column "), F.row_number().over(w).cast("string"))).otherwise(F.trim(name))
+    named = cols.select(*part, F.col(order).alias("_o"), F.col(name).alias("_n"), base.alias("_base"))
+    family = F.regexp_replace("_base", "( [0-9]+)+$", "")
+    named = named.withColumn("_g", F.to_json(F.struct(*part, family.alias("_family"))))
+    # min and max instead of a distinct count: combined where the rows lie
+    several = named.groupBy("_g").agg((F.min("_base") != F.max("_base")).alias("_several"))
+    named = cut_lineage(named.join(several, "_g"), "families")
+    k = F.row_number().over(Window.partitionBy(*part, "_base").orderBy("_o", "_n"))
+    single = named.filter(~F.col("_several")).withColumn("unique_name", F.when(k == 1, F.col("_base")).otherwise(F.concat("_base", F.lit(" "), k.cast("string"))))
+    mixed = named.filter("_several").withColumn("_i", F.row_number().over(Window.partitionBy("_g").orderBy("_o", "_n")))
+    _ship_by_value(__name__)
+    schema = "_g string, _i int, _base string, unique_name string"
+    made = mixed.select("_g", "_i", "_base").groupBy("_g").applyInPandas(lambda g: _free_names(g.sort_values("_i")), schema)
+    mixed = mixed.join(made.select("_g", "_i", "unique_name"), ["_g", "_i"])
+    return single.select(*part, F.col("_o").alias(order), "unique_name").unionByName(mixed.select(*part, F.col("_o").alias(order), "unique_name"))
 
 
 def row_numbers(df: DataFrame, order: list) -> DataFrame:

@@ -64,3 +64,37 @@ def test_stable_changes(spark):
     assert [r.seen_at for r in stable_changes(s).collect()] == [3]
     back = spark.createDataFrame([("u", i, x, 1) for i, x in enumerate("aabaaccbbac")], "url string, seen_at int, sig string, n int")
     assert [(r.seen_at, r.sig) for r in stable_changes(back).orderBy("seen_at").collect()] == [(6, "c"), (8, "b")]
+
+
+def test_unique_names_against_the_rule(spark):
+    """Families of names with numbers of their own, blanks and equal places."""
+    import random
+
+    rng = random.Random(5)
+    pool = ["A", "A 2", "A 2 2", "A 3", " A ", "", None, "Column 2", "Column 4", "B", "A  2", "7", "A x"]
+    rows = [(g, rng.randint(1, 40), rng.choice(pool)) for g in (1, 2, None) for _ in range(60)]
+    want = []
+    for g in (1, 2, None):
+        taken = []
+        for _, o, n in sorted((r for r in rows if r[0] == g), key=lambda r: (r[1], r[2] is not None, r[2] or "")):
+            base = (n or "").strip(" ") or f"Column {len(taken) + 1}"
+            k = 2
+            while base in taken and f"{base} {k}" in taken:
+                k += 1
+            taken.append(f"{base} {k}" if base in taken else base)
+            want.append((g, o, taken[-1]))
+    df = spark.createDataFrame(rows, "g int, o int, name string")
+    got = [tuple(r) for r in D.ensure_unique_names(df, ["g"], "o").collect()]
+    by = lambda r: (r[0] or 0, *r[1:])
+    assert sorted(got, key=by) == sorted(want, key=by)
+
+
+def test_unique_names_of_a_large_group(spark):
+    """Many rows of one name, and of one with numbers, are no quadratic work."""
+    import time
+
+    n = 20000
+    df = spark.range(n).selectExpr("1 AS g", "id AS o", "CASE WHEN id % 3 = 0 THEN 'A' WHEN id = 7 THEN 'B 2' ELSE 'B' END AS name")
+    t = time.time()
+    got = {r.unique_name for r in D.ensure_unique_names(df, ["g"], "o").collect()}
+    assert len(got) == n and time.time() - t < 60
