@@ -33,7 +33,9 @@ class PageSet:
     def __init__(self, pages: DataFrame):
         from ..session import cut_lineage
 
-        self.pages = pages
+        self._given = pages
+        # their sources are read twice at most: to be parsed, and for slices of them
+        self.pages = cut_lineage(pages.drop("html"), "pages")
         full = shred(pages).select(
             "*",
             C.semantic_classes(F.col("classes")).alias("sem"),
@@ -44,7 +46,7 @@ class PageSet:
         full = cut_lineage(full, "nodes")
         self.nodes = drop_page_cols(full)
         self.texts = cut_lineage(page_texts(full), "texts")
-        info = full.filter("node_id = 0").select("page_id", "base_href").join(pages.select("page_id", "url"), "page_id")
+        info = full.filter("node_id = 0").select("page_id", "base_href").join(self.pages.select("page_id", "url"), "page_id")
         self.info = info.select("page_id", "url", F.when(F.col("base_href").isNotNull(), absolutize(F.col("base_href"), F.col("url")))
                                 .otherwise(F.col("url")).alias("base"))
         self._made: dict = {}
@@ -64,7 +66,7 @@ class PageSet:
 
     @property
     def sources(self) -> DataFrame:
-        return self._once("sources", lambda: page_sources(self.pages))
+        return self._once("sources", lambda: page_sources(self._given))
 
 
 def sliced(blocks: DataFrame, df: DataFrame, start: str, end: str, name: str) -> DataFrame:

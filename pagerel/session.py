@@ -6,7 +6,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "pagerel") -> SparkSession:
@@ -47,18 +48,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+#: Rows of a table that the driver may hold to broadcast it.
+MOST_BROADCAST = 20_000
+
 #: Called with (what, frame) before each cut; the plan audit looks at the plans.
 WATCHERS: list = []
 
 
 def cut_lineage(df: DataFrame, what: str = "cut") -> DataFrame:
     """Write ``df`` as a Parquet table into the shared checkpoint folder and
-    read it back. Later plans scan only the columns they need, see the table's
-    size (small sides are broadcast by it), and survive the loss of executors.
+    read it back. Later plans scan only the columns they need and survive the
+    loss of executors. Small tables are broadcast by their size; files say
+    little of the rows in them (millions of like rows are a few MB), so tables
+    of more than ``MOST_BROADCAST`` rows are joined by sort and merge.
     The folder belongs to the job; its owner empties it when the job is over."""
     spark = df.sparkSession
     for watch in WATCHERS:
         watch(what, df)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = Observation()
+    df.observe(written, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    return table.hint("merge") if written.get["n"] > MOST_BROADCAST else table

@@ -98,3 +98,15 @@ def test_unique_names_of_a_large_group(spark):
     t = time.time()
     got = {r.unique_name for r in D.ensure_unique_names(df, ["g"], "o").collect()}
     assert len(got) == n and time.time() - t < 60
+
+
+def test_large_tables_of_few_bytes_are_not_broadcast(spark):
+    """Many like rows make a small file: its size says nothing of the driver's memory."""
+    from pagerel.session import MOST_BROADCAST, cut_lineage
+
+    many = cut_lineage(spark.range(MOST_BROADCAST + 1).selectExpr("id", "'x' AS a"))
+    few = cut_lineage(spark.range(9).selectExpr("id", "'y' AS b"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    joined = many.filter("a = 'x'").join(many.select("id").distinct(), "id")
+    assert "Broadcast" not in plan(joined) and joined.count() == MOST_BROADCAST + 1
+    assert "BroadcastHashJoin" in plan(few.join(few.select("id"), "id"))
