@@ -159,7 +159,7 @@ def xpaths(ps, targets: DataFrame) -> DataFrame:
     ex = t.select("page_id", "target_id", F.posexplode("anc").alias("pos", "node_id"))
     idn = nodes.filter(F.col("id") != "").groupBy("page_id", "id").agg(F.count(F.lit(1)).alias("idn"))
     info = nodes.select("page_id", "node_id", "tag", "is_svg", "id", "nth", "nth_count").join(idn, ["page_id", "id"], "left")
-    ex = ex.join(info, ["page_id", "node_id"])
+    ex = ex.join(info.hint("merge"), ["page_id", "node_id"])
     anchor = C.is_stable_id(F.col("id")) & (F.col("idn") == 1)
     w = Window.partitionBy("page_id", "target_id")
     ex = ex.withColumn("apos", F.max(F.when(anchor, F.col("pos"))).over(w))

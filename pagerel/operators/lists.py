@@ -154,7 +154,8 @@ def indexed_paths(ps, targets: DataFrame) -> DataFrame:
     t = nodes.join(targets.select(*key), key).select("page_id", F.col("node_id").alias("target_id"), F.posexplode("anc").alias("pos", "node_id")).filter("pos >= 1")
     ids = nodes.filter(F.col("id") != "").groupBy("page_id", "id").agg(F.count(F.lit(1)).alias("idn"))
     info = nodes.select(*key, "tag", "id", "sem", "nth", "nth_count", C.is_stable_id(F.col("id")).alias("stable")).join(ids, ["page_id", "id"], "left")
-    chain = t.join(info, key)
+    # where no element has an id the join above goes, and the elements' size is their file's again
+    chain = t.join(info.hint("merge"), key)
     anchors = F.max(F.when(F.col("stable") & (F.col("idn") == 1) & (F.col("node_id") != F.col("target_id")), F.col("pos")))
     el = F.struct("pos", "tag", F.when(F.col("stable"), F.col("id")).alias("id"), F.slice("sem", 1, 2).alias("classes"),
                   F.when(F.col("nth_count") > 1, F.col("nth")).alias("nth"))
