@@ -178,10 +178,11 @@ def xpaths(ps, targets: DataFrame) -> DataFrame:
 # -- J07 / J08 ----------------------------------------------------------------------------------
 def signatures_for(nodes: DataFrame, which: DataFrame) -> DataFrame:
     """J06 restricted to ``which`` (page_id, node_id)."""
+    # a semi join is taken to be as small as the file of its left side, which says little of its rows: these are merged
     kids = nodes.select("page_id", F.col("parent_id").alias("node_id"), "tag", "child_tags").join(which, ["page_id", "node_id"], "left_semi")
     items = kids.select("page_id", "node_id", F.concat(F.array("tag"), F.transform("child_tags", lambda g: F.concat(F.col("tag"), F.lit(">"), g))).alias("it"))
     sig = items.select("page_id", "node_id", F.explode("it").alias("s")).groupBy("page_id", "node_id").agg(F.array_sort(F.collect_set("s")).alias("sig"))
-    return which.join(sig, ["page_id", "node_id"], "left").select("page_id", "node_id", F.coalesce("sig", F.array().cast("array<string>")).alias("sig"))
+    return which.join(sig.hint("merge"), ["page_id", "node_id"], "left").select("page_id", "node_id", F.coalesce("sig", F.array().cast("array<string>")).alias("sig"))
 
 
 def sibling_kinds(ps, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -192,7 +193,7 @@ def sibling_kinds(ps, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     nodes = ps.nodes
     parents = nodes.join(targets.select("page_id", "node_id"), ["page_id", "node_id"], "left_semi").select("page_id", "parent_id").distinct()
     sib = nodes.join(parents, ["page_id", "parent_id"], "left_semi").select("page_id", "parent_id", "node_id", "tag", F.array_sort("grp").alias("grp"), "skipped")
-    sib = sib.join(signatures_for(nodes, sib.select("page_id", "node_id")), ["page_id", "node_id"])
+    sib = sib.join(signatures_for(nodes, sib.select("page_id", "node_id")).hint("merge"), ["page_id", "node_id"])
     sib = cut_lineage(sib.withColumn("kind", F.md5(F.to_json(F.struct("tag", "grp", "sig")))), "siblings")
     kinds = sib.groupBy("page_id", "parent_id", "kind").agg(*(F.first(c).alias(c) for c in ("tag", "grp", "sig")), F.count_if(~F.col("skipped")).alias("n"))
     return sib.select("page_id", "parent_id", "kind", "node_id", "skipped"), cut_lineage(kinds, "kinds")
@@ -228,7 +229,8 @@ def similar_kinds(kinds: DataFrame) -> DataFrame:
     of = lambda k: kinds.select("page_id", "parent_id", F.col("kind").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("tag", "grp", "sig")))
     met = met.filter("x <> y").join(of("x"), ["page_id", "parent_id", "x"]).join(of("y"), ["page_id", "parent_id", "y"])
     met = met.filter(_similar(*(F.col(f"{c}_{k}") for k in "xy" for c in ("tag", "grp", "sig")))).select("page_id", "parent_id", "x", "y")
-    return met.unionByName(kinds.select("page_id", "parent_id", F.col("kind").alias("x"), F.col("kind").alias("y")))
+    # where no two kinds are similar the union goes, and the size of the kinds is their file's
+    return met.unionByName(kinds.select("page_id", "parent_id", F.col("kind").alias("x"), F.col("kind").alias("y"))).hint("merge")
 
 
 def similar_siblings(ps, targets: DataFrame) -> DataFrame:
@@ -240,7 +242,7 @@ def similar_siblings(ps, targets: DataFrame) -> DataFrame:
     at = ["page_id", "parent_id"]
     mine = members.join(t, ["page_id", "node_id"], "left_semi").select(*at, F.col("kind").alias("x"), F.col("node_id").alias("target_id"))
     others = members.filter(~F.col("skipped")).select(*at, F.col("kind").alias("y"), "node_id")
-    pairs = mine.join(similar_kinds(kinds), [*at, "x"]).join(others, [*at, "y"]).select("page_id", "target_id", "node_id")
+    pairs = mine.hint("merge").join(similar_kinds(kinds), [*at, "x"]).join(others, [*at, "y"]).select("page_id", "target_id", "node_id")
     alone = t.select("page_id", F.col("node_id").alias("target_id"), "node_id")
     own = alone.join(members.filter(~F.col("skipped")).select("page_id", "node_id"), ["page_id", "node_id"], "left_anti").select("page_id", "target_id", "node_id")
     return cut_lineage(pairs.unionByName(own), "similar")
@@ -269,7 +271,7 @@ def group_sizes(ps, targets: DataFrame, sample: int | None = None, leaf_cap: int
         sums = per.groupBy(*at, "kind").agg(F.sum("leaves").alias("s"), F.count(F.lit(1)).alias("n")).withColumnRenamed("kind", "y")
         of_kind = similar_kinds(kinds).join(sums, [*at, "y"]).groupBy(*at, "x").agg(F.sum("n").alias("size"), (F.sum("s") / F.sum("n")).alias("leaves"))
     mine = members.join(t, ["page_id", "node_id"], "left_semi").filter(~F.col("skipped")).select(*at, F.col("kind").alias("x"), "node_id")
-    return mine.join(of_kind, [*at, "x"]).select("page_id", "node_id", "size", "leaves")
+    return mine.hint("merge").join(of_kind, [*at, "x"]).select("page_id", "node_id", "size", "leaves")
 
 
 # -- J09 ---------------------------------------------------------------------------------------------

@@ -110,3 +110,54 @@ def test_large_tables_of_few_bytes_are_not_broadcast(spark):
     joined = many.filter("a = 'x'").join(many.select("id").distinct(), "id")
     assert "Broadcast" not in plan(joined) and joined.count() == MOST_BROADCAST + 1
     assert "BroadcastHashJoin" in plan(few.join(few.select("id"), "id"))
+
+
+def _merged_pages(spark, monkeypatch):
+    """Pages whose tables all count as large, and the plan that each cut was written by."""
+    from pagerel import session
+    from pagerel.operators.tree import PageSet
+
+    plans: dict = {}
+    monkeypatch.setattr(session, "MOST_BROADCAST", -1)
+    monkeypatch.setattr(session, "WATCHERS", [lambda what, df: plans.setdefault(what, df._jdf.queryExecution().executedPlan().toString())])
+    html = "<html><body><table><tbody>" + "".join(f"<tr><td>n{i}</td><td><a href='/c/{i}'>open</a></td></tr>" for i in range(3)) + "</tbody></table><ul class='keys'><li>a</li><li>b</li></ul></body></html>"
+    pages = spark.createDataFrame([(i, f"https://a.example/{i}", html) for i in range(3)], "page_id bigint, url string, html string")
+    return PageSet(pages), plans
+
+
+def test_semi_joined_elements_are_not_broadcast(spark, monkeypatch):
+    """A semi join loses what is known of its left side's rows."""
+    from pagerel.operators.explorer import group_sizes, similar_siblings
+    from pagerel.operators.lists import unique_selectors
+
+    ps, plans = _merged_pages(spark, monkeypatch)
+    li = ps.nodes.filter("tag = 'li'").select("page_id", "node_id")
+    assert [tuple(r) for r in similar_siblings(ps, li).groupBy("page_id").count().orderBy("page_id").collect()] == [(0, 4), (1, 4), (2, 4)]
+    sizes = group_sizes(ps, li)
+    assert {r["size"] for r in sizes.collect()} == {2}
+    assert "BroadcastHashJoin" not in sizes._jdf.queryExecution().executedPlan().toString()
+    assert unique_selectors(ps, ps.nodes.filter("tag = 'li'")).filter("selector = '.keys > li:nth-of-type(1)' or phase = 3").count() > 0
+    for what in ("siblings", "similar", "under-ancestors"):
+        assert "SortMergeJoin" in plans[what] and "BroadcastHashJoin" not in plans[what], what
+
+
+def test_elements_are_not_broadcast_where_a_join_with_nothing_goes(spark, monkeypatch):
+    """At run time a join with an empty side or a union with one is left out."""
+    import re
+
+    from pagerel.operators.extract import apply_columns
+    from pagerel.operators.select import steps_lit
+    from pagerel.schema import css, step
+
+    ps, _ = _merged_pages(spark, monkeypatch)
+    final = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    links = spark.createDataFrame([(i, "x") for i in range(3)], "page_id bigint, x string").join(
+        ps.nodes.filter("tag = 'a'").select("page_id", "node_id"), "page_id")
+    off = links.join(is_disabled(ps), ["page_id", "node_id"])
+    assert [r.disabled for r in off.collect()] == [False] * 9
+    assert "BroadcastHashJoin" not in final(off)
+    rows = ps.nodes.filter("tag = 'tr'").select("page_id", F.lit(1).alias("list_rank"), F.col("node_id").alias("row_id"), F.col("sib_ord").alias("row_ord"))
+    cols = ps.pages.select("page_id", F.lit(1).alias("list_rank"), F.lit(1).alias("col_ord"), F.lit("Name").alias("name"), steps_lit(css(("child", step("td", nth=1)))).alias("steps"), F.lit("text").alias("attr"))
+    cells = apply_columns(ps, rows, cols)
+    assert sorted(r.value for r in cells.collect()) == sorted(["n0", "n1", "n2"] * 3)
+    assert not re.search(r"BroadcastHashJoin \[page_id#\d+L?, list_rank#\d+, col_ord#\d+, row_ord", final(cells))
