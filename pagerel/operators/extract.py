@@ -124,7 +124,8 @@ def apply_columns(ps, rows: DataFrame, cols: DataFrame) -> DataFrame:
     selfrow = scopes.join(sels.filter(F.size("steps") == 0), col_key, "left_semi").select(*key, F.col("scope_id").alias("node_id"))
     cells = first.unionByName(selfrow).join(cols.select(*col_key, "attr", "attr_name"), col_key)
     vals = node_values(ps, cells, attr_name_col="attr_name").select(*key, "value")
-    grid = scopes.select(*key).join(vals, key, "left").withColumn("value", F.coalesce("value", F.lit("")))
+    # where no column reads html the union goes, and the values' size is that of their file
+    grid = scopes.select(*key).join(vals.hint("merge"), key, "left").withColumn("value", F.coalesce("value", F.lit("")))
     w = Window.partitionBy("page_id", "list_rank", "row_ord")
     grid = grid.withColumn("_any", F.max((F.col("value") != "").cast("int")).over(w)).filter(F.col("_any") == 1).drop("_any")
     return grid.join(cols.select(*col_key, "name"), col_key)
