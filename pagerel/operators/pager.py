@@ -36,7 +36,8 @@ def is_disabled(ps) -> DataFrame:
     cls_hit = nodes.filter(F.coalesce(F.col("attrs")["class"], F.lit("")).rlike(rules.DISABLED_CLASS)).select("page_id", F.col("node_id").alias("hit"))
     up = nodes.select("page_id", "node_id", F.posexplode(F.reverse("anc")).alias("dist", "hit")).filter(F.col("dist") <= 2)
     by_cls = up.join(cls_hit, ["page_id", "hit"], "left_semi").select("page_id", "node_id").distinct().withColumn("c", F.lit(True))
-    return nodes.select("page_id", "node_id", own.alias("o")).join(by_cls, ["page_id", "node_id"], "left").select(
+    # where nothing has such a class the join goes, and the elements' size is their file's again
+    return nodes.select("page_id", "node_id", own.alias("o")).join(by_cls, ["page_id", "node_id"], "left").hint("merge").select(
         "page_id", "node_id", (F.col("o") | F.coalesce("c", F.lit(False))).alias("disabled"))
 
 
@@ -217,7 +218,7 @@ def page_chain(ps, next_links: DataFrame, starts: DataFrame | None, sigs: DataFr
         if not ring.isEmpty():
             known = known.unionByName(_walked(ring_starts(ring), ring, max_pages))
     last = known.groupBy("start_id").agg(F.max("step").alias("step")).withColumn("_last", F.lit(True))
-    out = known.join(last, ["start_id", "step"], "left").join(at.select("page_id", F.col("reason").alias("why")), "page_id", "left")
+    out = known.join(last.hint("merge"), ["start_id", "step"], "left").join(at.select("page_id", F.col("reason").alias("why")), "page_id", "left")
     end = F.when(F.col("step") == F.lit(max_pages), F.coalesce("why", F.lit("limit"))).otherwise(F.coalesce("why", F.lit("seen")))
     return out.select("start_id", "step", "page_id", F.when(F.col("_last"), end).alias("reason"))
 
