@@ -135,6 +135,8 @@ def under_ancestors(ps, rest: DataFrame) -> DataFrame:
     anc = nodes.join(up.select("page_id", F.col("anc_id").alias("node_id")).distinct(), key, "left_semi")
     strong = target_candidates(anc).filter("strong").select("page_id", F.col("node_id").alias("anc_id"), F.col("prio").alias("a_prio"),
                                                             F.col("css").alias("a_css"), F.col("step").alias("a_step"))
+    # the semi join above is taken to be as small as the elements' file
+    strong = strong.hint("merge")
     near = F.col("pos") == F.col("depth") - 1
     both = up.join(strong, ["page_id", "anc_id"]).select(
         *key, "pos", "a_prio", F.concat("a_css", F.when(near, " > ").otherwise(" "), "css").alias("css"),
