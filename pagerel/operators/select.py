@@ -257,7 +257,7 @@ def validate(ps, selectors: DataFrame, rows: DataFrame | None = None) -> DataFra
         scopes = selectors.select("page_id", F.lit(0).alias("scope_id"), "sel")
         hits = Matcher(ps).match(scopes, selectors.select("page_id", "sel", "steps"), ["page_id", "sel"], ["sel"], include_scope=True)
         n = hits.groupBy("page_id", "sel").agg(F.count(F.lit(1)).alias("matches"))
-        out = selectors.select("page_id", "sel").join(n, ["page_id", "sel"], "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
+        out = selectors.select("page_id", "sel").join(n.hint("merge"), ["page_id", "sel"], "left").withColumn("matches", F.coalesce("matches", F.lit(0)))
         none = F.lit(None).cast("bigint")
         status = F.when(F.col("matches") == 1, "unique").when(F.col("matches") == 0, "0").otherwise(F.concat(F.col("matches").cast("string"), F.lit(" matches")))
         return out.select("page_id", "sel", "matches", none.alias("rows_with"), none.alias("n_rows"), status.alias("status"))
@@ -266,5 +266,6 @@ def validate(ps, selectors: DataFrame, rows: DataFrame | None = None) -> DataFra
     hits = Matcher(ps).match(scopes, selectors.select("page_id", "sel", "steps"), ["page_id", "sel"], ["sel"])
     n = hits.groupBy("page_id", "sel", "scope_id").agg(F.count(F.lit(1)).alias("n")).groupBy("page_id", "sel").agg(
         F.sum("n").alias("matches"), F.count(F.lit(1)).alias("rows_with"))
-    out = selectors.select("page_id", "sel").join(n, ["page_id", "sel"], "left").join(per, "page_id", "left").na.fill(0, ["matches", "rows_with", "n_rows"])
+    # a row for each page: not for the driver to hold
+    out = selectors.select("page_id", "sel").join(n.hint("merge"), ["page_id", "sel"], "left").join(per.hint("merge"), "page_id", "left").na.fill(0, ["matches", "rows_with", "n_rows"])
     return out.withColumn("status", F.concat(F.col("rows_with").cast("string"), F.lit(" of "), F.col("n_rows").cast("string"), F.lit(" rows")))
