@@ -121,8 +121,9 @@ def target_state(ps, targets: DataFrame, selector_hits: DataFrame | None = None)
     dis = is_disabled(ps)
     info = res.select("page_id", "node_id").join(ps.nodes.select("page_id", "node_id", "t_start", "t_end"), ["page_id", "node_id"])
     lab = with_text(ps, info).select("page_id", "node_id", match_text(F.col("raw_text")).alias("label"))
-    r = res.join(dis, ["page_id", "node_id"], "left").join(lab, ["page_id", "node_id"], "left")
-    return targets.select("page_id").distinct().join(r, "page_id", "left").select(
+    # labels and states are as many as the pages: not for the driver to hold
+    r = res.join(dis, ["page_id", "node_id"], "left").join(lab.hint("merge"), ["page_id", "node_id"], "left")
+    return targets.select("page_id").distinct().join(r.hint("merge"), "page_id", "left").select(
         "page_id", F.col("node_id").isNotNull().alias("found"), F.coalesce("disabled", F.lit(False)).alias("disabled"),
         F.coalesce("label", F.lit("")).alias("label"), "node_id")
 
