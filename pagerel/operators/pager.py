@@ -200,12 +200,13 @@ def page_chain(ps, next_links: DataFrame, starts: DataFrame | None, sigs: DataFr
     its pages ends there. Rings that no start leads to are walked from their
     smallest page (where ``starts`` is None), once round. -> (start_id, step, page_id, reason on the last step)"""
     pages = ps.info.select("page_id", "url", "base")
-    nl = next_links.join(pages, "page_id").select("page_id", absolutize(F.col("href"), F.col("base")).alias("next_url"), "disabled")
+    # each of these is as long as the pages: joined by sort and merge
+    nl = next_links.join(pages.hint("merge"), "page_id").select("page_id", absolutize(F.col("href"), F.col("base")).alias("next_url"), "disabled")
     # of pages with the same url the first counts
     by_url = pages.groupBy(F.col("url").alias("next_url")).agg(F.min("page_id").alias("next_id"))
     s = sigs.select("page_id", "n", "sig")
-    at = pages.select("page_id").join(s, "page_id", "left").join(nl, "page_id", "left").join(by_url, "next_url", "left")
-    at = at.join(s.select(F.col("page_id").alias("next_id"), F.col("sig").alias("next_sig")), "next_id", "left")
+    at = pages.select("page_id").join(s.hint("merge"), "page_id", "left").join(nl.hint("merge"), "page_id", "left").join(by_url.hint("merge"), "next_url", "left")
+    at = at.join(s.select(F.col("page_id").alias("next_id"), F.col("sig").alias("next_sig")).hint("merge"), "next_id", "left")
     at = cut_lineage(at.select("page_id", "next_id", F.when(F.coalesce("n", F.lit(0)) == 0, "no rows").when(F.col("next_url").isNull(), "not found")
                                .when(F.col("disabled"), "disabled").when(F.col("next_id").isNull(), "not stored")
                                .when((F.col("next_id") == F.col("page_id")) | (F.col("next_sig") == F.col("sig")), "unchanged").alias("reason")))

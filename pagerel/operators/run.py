@@ -127,7 +127,7 @@ def run_recipes(ps, recipes: DataFrame, chains: DataFrame, stored: DataFrame | N
     found = as_rows(cells, ["id", "page_id", "row_ord"])
     from .recipes import pages_for
 
-    visits = pages_for(recipes, ps.pages).select("id", "page_id").join(chains, "page_id").join(how, "id").filter(F.col("step") <= F.col("most"))
+    visits = pages_for(recipes, ps.pages).select("id", "page_id").join(chains.hint("merge"), "page_id").join(how, "id").filter(F.col("step") <= F.col("most"))
     source = F.concat("id", F.lit("@"), F.col("start_id").cast("string"))
     reason = F.when((F.col("step") == F.col("most")) & (F.col("most") > 1) & F.col("reason").isNull(), "limit").otherwise(F.col("reason"))
     visits = cut_lineage(visits.select("id", "page_id", source.alias("source"), F.col("step").alias("page_ord"), reason.alias("reason"), "dedupe", "append", "page_url", "n_key"), "visits")
