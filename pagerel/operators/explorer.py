@@ -286,13 +286,14 @@ def header_names(ps, cells: DataFrame) -> DataFrame:
     nodes = ps.nodes
     c = cells.join(nodes.select("page_id", F.col("node_id").alias("el"), "anc"), ["page_id", "el"])
     cell = closest(nodes, c.select("page_id", F.col("el").alias("target_id"), "anc"), F.col("tag").isin("td", "th"))
-    c = c.join(cell.withColumnRenamed("target_id", "el").withColumnRenamed("match_id", "cell"), ["page_id", "el"])
+    # what there is for each cell, row or table is joined by sort and merge: it grows with the pages
+    c = c.join(cell.withColumnRenamed("target_id", "el").withColumnRenamed("match_id", "cell").hint("merge"), ["page_id", "el"])
     rowinfo = nodes.select("page_id", F.col("node_id").alias("row"), F.col("tag").alias("row_tag"), F.col("anc").alias("row_anc"))
     c = c.join(rowinfo, ["page_id", "row"]).filter(F.col("row_tag") == "tr")
     c = c.filter(F.array_contains("anc", F.col("row")) & (F.col("cell") > F.col("row")))  # the cell is inside the row
     tab = closest(nodes, c.select("page_id", F.col("row").alias("target_id"), F.col("row_anc").alias("anc")).distinct(),
                   F.col("tag") == "table")
-    c = c.join(tab.withColumnRenamed("target_id", "row").withColumnRenamed("match_id", "table"), ["page_id", "row"])
+    c = c.join(tab.withColumnRenamed("target_id", "row").withColumnRenamed("match_id", "table").hint("merge"), ["page_id", "row"])
     # cell index within its row (td/th only)
     cells_all = nodes.filter(F.col("tag").isin("td", "th")).select("page_id", F.col("parent_id").alias("tr"), "node_id")
     cells_all = cells_all.withColumn("ci", F.row_number().over(Window.partitionBy("page_id", "tr").orderBy("node_id")) - 1)
@@ -303,17 +304,17 @@ def header_names(ps, cells: DataFrame) -> DataFrame:
     tables = c.select("page_id", "table").distinct()
     # each row belongs to its nearest table: rows of nested tables are not the outer one's
     own = closest(nodes, trs.select("page_id", F.col("tr").alias("target_id"), "anc"), F.col("tag") == "table")
-    trs = trs.join(own.select("page_id", F.col("target_id").alias("tr"), F.col("match_id").alias("table")), ["page_id", "tr"])
-    tr_t = trs.select("page_id", "tr", "sect", "child_tags", "table").join(tables, ["page_id", "table"])
+    trs = trs.join(own.select("page_id", F.col("target_id").alias("tr"), F.col("match_id").alias("table")).hint("merge"), ["page_id", "tr"])
+    tr_t = trs.select("page_id", "tr", "sect", "child_tags", "table").join(tables.hint("merge"), ["page_id", "table"])
     head = tr_t.groupBy("page_id", "table").agg(
         F.min(F.when(F.col("sect") == "thead", F.col("tr"))).alias("thead_tr"))
-    c = c.join(head, ["page_id", "table"], "left")
+    c = c.join(head.hint("merge"), ["page_id", "table"], "left")
     # the first header-bearing row other than the row itself is among the first two
     th = tr_t.filter(F.array_contains("child_tags", "th"))
     nth_th = th.withColumn("k", F.row_number().over(Window.partitionBy("page_id", "table").orderBy("tr"))).filter(F.col("k") <= 2)
     two = nth_th.groupBy("page_id", "table").agg(F.min("tr").alias("th1"), F.max("tr").alias("th2"))
     th_tr = F.when(F.col("th1") != F.col("row"), F.col("th1")).when(F.col("th2") != F.col("row"), F.col("th2"))
-    c = c.join(two, ["page_id", "table"], "left").withColumn("hdr", F.coalesce("thead_tr", th_tr))
+    c = c.join(two.hint("merge"), ["page_id", "table"], "left").withColumn("hdr", F.coalesce("thead_tr", th_tr))
     c = c.filter(F.col("hdr").isNotNull() & (F.col("hdr") != F.col("row")))
     hc = cells_all.select("page_id", F.col("tr").alias("hdr"), "ci", F.col("node_id").alias("hcell"))
     c = c.join(hc, ["page_id", "hdr", "ci"])
@@ -321,7 +322,7 @@ def header_names(ps, cells: DataFrame) -> DataFrame:
     # each header cell's text once, whatever the number of its column's cells
     names = with_text(ps, cut_lineage(c.select("page_id", "hcell", "t_start", "t_end").distinct(), "header-cells"))
     names = names.select("page_id", "hcell", clean(F.col("raw_text")).alias("header"))
-    return c.join(names, ["page_id", "hcell"]).select("page_id", "row", "el", "header")
+    return c.join(names.hint("merge"), ["page_id", "hcell"]).select("page_id", "row", "el", "header")
 
 
 # -- L01 / N04 / L05 ------------------------------------------------------------------------------

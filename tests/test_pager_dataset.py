@@ -161,3 +161,30 @@ def test_elements_are_not_broadcast_where_a_join_with_nothing_goes(spark, monkey
     cells = apply_columns(ps, rows, cols)
     assert sorted(r.value for r in cells.collect()) == sorted(["n0", "n1", "n2"] * 3)
     assert not re.search(r"BroadcastHashJoin \[page_id#\d+L?, list_rank#\d+, col_ord#\d+, row_ord", final(cells))
+
+
+def test_tables_as_long_as_the_pages_are_not_broadcast(spark, monkeypatch):
+    """A row for each page or table: below Spark's limit one by one, but growing with the pages."""
+    from pagerel.operators.explorer import header_names
+    from pagerel.operators.pager import page_chain, target_state
+    from pagerel.operators.select import select_nodes, steps_lit, validate
+    from pagerel.schema import css, step
+
+    ps, plans = _merged_pages(spark, monkeypatch)
+    final = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    rows = select_nodes(ps, css(("desc", step("tr")))).withColumnRenamed("node_id", "row_id")
+    sels = ps.pages.select("page_id", F.lit("td").alias("sel"), steps_lit(css(("child", step("td")))).alias("steps"))
+    met = validate(ps, sels, rows)
+    assert {r.status for r in met.collect()} == {"3 of 3 rows"}
+    state = target_state(ps, ps.pages.select("page_id", F.lit("OPEN").alias("text"), F.lit("").alias("aria"), F.lit("").alias("rel")))
+    assert [r.label for r in state.collect()] == ["open"] * 3
+    cells = ps.nodes.filter("tag = 'td'").select("page_id", F.col("parent_id").alias("row"), F.col("node_id").alias("el"))
+    headers = header_names(ps, cells)
+    assert headers.count() == 0  # no row has header cells
+    links = spark.createDataFrame([(i, f"/{i + 1}", False) for i in range(3)], "page_id bigint, href string, disabled boolean")
+    sigs = spark.createDataFrame([(i, 3, f"s{i}") for i in range(3)], "page_id bigint, n bigint, sig string")
+    chain = page_chain(ps, links, None, sigs)
+    assert sorted((r.start_id, r.step, r.page_id, r.reason) for r in chain.collect()) == [(0, 1, 0, None), (0, 2, 1, None), (0, 3, 2, "not stored")]
+    for df in (met, state, headers):
+        assert "BroadcastHashJoin" not in final(df)
+    assert plans["header-cells"].count("BroadcastHashJoin") == 0
