@@ -243,7 +243,7 @@ def detect_columns(ps, rows: DataFrame, sample: int | None = None, most: int | N
     if most is not None:
         ch = ch.filter(F.col("col_ord") <= most)
     # names: hint from the element and up to 2 ancestors inside the row
-    ch = ch.join(ps.nodes.select("page_id", F.col("node_id").alias("el"), "tag"), ["page_id", "el"])
+    ch = cut_lineage(ch.join(ps.nodes.select("page_id", F.col("node_id").alias("el"), "tag"), ["page_id", "el"]), "chosen-columns")
     ch = ch.join(name_hints(ps, ch.select("page_id", "el", "row")), ["page_id", "el", "row"], "left")
     # a table's header cell names its column
     from .explorer import header_names

@@ -15,6 +15,9 @@ from .select import Matcher
 from .tree import sliced, with_text
 
 
+_OF_ELEMENT = ["tag", "attrs", "own_text", "t_start", "t_end", "anc"]
+
+
 def node_values(ps, cells: DataFrame, attr_col: str = "attr", attr_name_col: str | None = None) -> DataFrame:
     """Read the value of each (cell) node in its mode; an unknown mode
     is an error.
@@ -28,48 +31,45 @@ def node_values(ps, cells: DataFrame, attr_col: str = "attr", attr_name_col: str
     from ..session import cut_lineage
 
     html = F.col(attr_col).isin("html", "outerHtml")
-    cells = cut_lineage(cells, "cells")
-    return _plain_values(ps, cells.filter(~html), attr_col, attr_name_col).unionByName(html_values(ps, cells.filter(html), attr_col))
+    given = cells.columns
+    # stored with what its element says, which every mode below reads anew
+    cells = cut_lineage(cells.join(ps.nodes.select("page_id", "node_id", *_OF_ELEMENT), ["page_id", "node_id"]), "cells")
+    return _plain_values(ps, cells.filter(~html), attr_col, attr_name_col).unionByName(html_values(ps, cells.filter(html).select(*given), attr_col))
 
 
 def _plain_values(ps, cells: DataFrame, attr_col: str, attr_name_col: str | None) -> DataFrame:
     from ..session import cut_lineage
 
-    nodes = ps.nodes
-    c = cells.join(nodes.select("page_id", "node_id", "tag", "attrs", "own_text", "t_start", "t_end", "anc"),
-                   ["page_id", "node_id"])
+    nodes, c = ps.nodes, cells
     mode = F.col(attr_col)
     # closest a[href] (ancestor-or-self) for href mode
     need_href = c.filter(mode == "href").select("page_id", "node_id", "anc").distinct()
     ex = need_href.select("page_id", F.col("node_id").alias("cell_id"), F.posexplode("anc").alias("d", "node_id"))
-    ahref = nodes.filter((F.col("tag") == "a") & F.col("attrs")["href"].isNotNull()).select("page_id", "node_id", F.col("attrs")["href"].alias("h"))
+    is_a = (F.col("tag") == "a") & F.col("attrs")["href"].isNotNull()
+    ahref = nodes.filter(is_a).select("page_id", "node_id", F.col("attrs")["href"].alias("h"))
     up = ex.join(ahref, ["page_id", "node_id"]).groupBy("page_id", "cell_id").agg(F.max_by("h", "d").alias("href_up"))
-    # first descendant a[href] / img for href / src modes
+    # first descendant a[href] / img for href / src modes; a select's value is its chosen option, else its first
     need_down = c.filter(mode.isin("href", "src", "value")).select("page_id", F.col("node_id").alias("cell_id")).distinct()
-    dn_a = ahref.join(nodes.select("page_id", "node_id", "anc"), ["page_id", "node_id"]).select(
-        "page_id", "node_id", "h", F.explode("anc").alias("cell_id")).filter(F.col("cell_id") != F.col("node_id"))
-    down_a = dn_a.join(need_down, ["page_id", "cell_id"], "left_semi").groupBy("page_id", "cell_id").agg(
-        F.min_by("h", "node_id").alias("href_down"))
-    imgs = nodes.filter(F.col("tag") == "img").select("page_id", "node_id", "anc", img_url_raw(F.col("attrs")).alias("u"))
-    dn_i = imgs.select("page_id", "node_id", "u", F.explode("anc").alias("cell_id")).filter(F.col("cell_id") != F.col("node_id"))
-    down_i = dn_i.join(need_down, ["page_id", "cell_id"], "left_semi").groupBy("page_id", "cell_id").agg(
-        F.min_by("u", "node_id").alias("img_down"))
-    # a select's value is its chosen option, else its first
-    opt = nodes.filter(F.col("tag") == "option").select("page_id", "node_id", F.explode("anc").alias("cell_id"), F.col("attrs")["selected"].isNull().alias("off"),
-                                                        F.col("attrs")["value"].alias("o"), "t_start", "t_end")
-    opt = opt.filter(F.col("cell_id") != F.col("node_id")).join(need_down, ["page_id", "cell_id"], "left_semi").groupBy("page_id", "cell_id").agg(
-        F.min_by(F.struct("o", "t_start", "t_end"), F.struct("off", "node_id")).alias("c")).select("page_id", "cell_id", "c.*")
-    opt = with_text(ps, opt).select("page_id", "cell_id", F.coalesce("o", clean(F.col("raw_text"))).alias("chosen"))
+    is_img, is_opt = F.col("tag") == "img", F.col("tag") == "option"
+    below = nodes.filter(is_a | is_img | is_opt).select(
+        "page_id", "node_id", "tag", F.when(is_a, F.col("attrs")["href"]).when(is_img, img_url_raw(F.col("attrs"))).otherwise(F.col("attrs")["value"]).alias("v"),
+        F.col("attrs")["selected"].isNull().alias("off"), "t_start", "t_end", F.explode("anc").alias("cell_id")).filter(F.col("cell_id") != F.col("node_id"))
+    down = below.join(need_down, ["page_id", "cell_id"], "left_semi").groupBy("page_id", "cell_id").agg(
+        F.min_by("v", F.when(F.col("tag") == "a", F.col("node_id"))).alias("href_down"), F.min_by("v", F.when(is_img, F.col("node_id"))).alias("img_down"),
+        F.min_by(F.struct(F.col("v").alias("o"), "t_start", "t_end"), F.when(is_opt, F.struct("off", "node_id"))).alias("c"))
+    down = cut_lineage(down, "below")
+    opt = with_text(ps, down.filter(F.col("c").isNotNull()).select("page_id", "cell_id", "c.*"))
+    opt = opt.select("page_id", "cell_id", F.coalesce("o", clean(F.col("raw_text"))).alias("chosen"))
+    down = down.select("page_id", F.col("cell_id").alias("node_id"), "href_down", "img_down")
     c = c.join(opt.withColumnRenamed("cell_id", "node_id"), ["page_id", "node_id"], "left")
     c = c.join(up.withColumnRenamed("cell_id", "node_id"), ["page_id", "node_id"], "left")
-    c = c.join(down_a.withColumnRenamed("cell_id", "node_id"), ["page_id", "node_id"], "left")
-    c = c.join(down_i.withColumnRenamed("cell_id", "node_id"), ["page_id", "node_id"], "left")
-    c = c.join(ps.info.select("page_id", "base"), "page_id", "left")
+    c = c.join(down, ["page_id", "node_id"], "left")
     # only modes that show text read it
     shows = (F.coalesce(mode, F.lit("text")) == "text") | ((mode == "value") & (F.col("tag") == "textarea"))
-    texts = with_text(ps, c.filter(shows).select("page_id", "node_id", "t_start", "t_end").distinct()).drop("t_start", "t_end")
+    texts = with_text(ps, cells.filter(shows).select("page_id", "node_id", "t_start", "t_end").distinct()).drop("t_start", "t_end")
+    c = c.join(texts, ["page_id", "node_id"], "left").join(ps.info.select("page_id", "base"), "page_id", "left")
     # stored, so that the long url expression below meets a plain scan
-    c = cut_lineage(c.join(texts, ["page_id", "node_id"], "left"), "read")
+    c = cut_lineage(c, "read")
     bg = F.regexp_extract(F.coalesce(F.col("attrs")["style"], F.lit("")),
                           r"(?i)background(?:-image)?\s*:[^;]*url\(\s*['\"]?([^'\")]+)['\"]?\s*\)", 1)
     src = F.when(F.col("tag") == "img", img_url_raw(F.col("attrs"))).otherwise(
@@ -89,19 +89,19 @@ def _plain_values(ps, cells: DataFrame, attr_col: str, attr_name_col: str | None
         .when(F.coalesce(mode, F.lit("text")) == "text", text)
         .otherwise(F.raise_error(F.concat(F.lit("unknown value mode: "), mode)).cast("string"))
     )
-    drop = ["tag", "attrs", "own_text", "t_start", "t_end", "anc", "href_up", "href_down", "img_down", "chosen", "raw_text", "base"]
+    drop = [*_OF_ELEMENT, "href_up", "href_down", "img_down", "chosen", "raw_text", "base"]
     return cut_lineage(c.withColumn("value", F.coalesce(value, F.lit(""))).drop(*drop), "values")
 
 
 def html_values(ps, cells: DataFrame, attr_col: str = "attr") -> DataFrame:
     """P07 html / outerHtml modes: source slices of the page (the source
     text, not a re-serialised DOM)."""
+    if cells.isEmpty():  # asked before any join
+        return cells.withColumn("value", F.lit(""))
     n = ps.nodes.select("page_id", "node_id", "o_start", "i_start", "i_end", "o_end")
     outer = F.col(attr_col) == "outerHtml"
     c = cells.join(n, ["page_id", "node_id"]).withColumns({"_from": F.when(outer, F.col("o_start")).otherwise(F.col("i_start")),
                                                            "_to": F.when(outer, F.col("o_end")).otherwise(F.col("i_end"))})
-    if c.isEmpty():
-        return c.withColumn("value", F.lit("")).drop("o_start", "i_start", "i_end", "o_end", "_from", "_to")
     c = sliced(ps.sources, c, "_from", "_to", "value")
     return c.withColumn("value", F.when(outer, F.col("value")).otherwise(F.trim("value"))).drop("o_start", "i_start", "i_end", "o_end", "_from", "_to")
 
@@ -173,6 +173,7 @@ def recipe_extract(ps, recipes: DataFrame) -> DataFrame:
     every row. A page's recipes are kept apart by ``list_rank`` (their order by
     name and id). -> long cells (id, page_id, list_rank, row_ord, col_ord,
     name, value)."""
+    from ..session import cut_lineage
     from .recipes import pages_for
 
     on_page = Window.partitionBy("page_id").orderBy("name", "id")
@@ -182,8 +183,6 @@ def recipe_extract(ps, recipes: DataFrame) -> DataFrame:
     roots = ps.nodes.filter(F.col("parent_id").isNull()).select("page_id", F.col("node_id").alias("scope_id"))
     scopes = pr.select(*pick).join(roots, "page_id")
     m = Matcher(ps).match(scopes, pr.select(*pick, F.col("row_steps").alias("steps")), pick, ["list_rank"], include_scope=True)
-    from ..session import cut_lineage
-
     rows = cut_lineage(m.select(*pick, F.col("node_id").alias("row_id")).withColumn(
         "row_ord", F.row_number().over(Window.partitionBy(*pick).orderBy("row_id"))), "rows")
     cols = pr.select(*pick, F.posexplode("columns").alias("i", "c")).select(

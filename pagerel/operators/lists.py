@@ -269,6 +269,7 @@ def find_lists(ps, limit: int | None = None, scan_max: int | None = None, sample
                       F.col("tag").alias("row_tag"), F.col("classes").alias("row_cls"), F.col("sem").alias("row_sem"),
                       F.col("grp").alias("row_grp"), F.col("child_tags").alias("row_kids"))
               .join(mean, ["page_id", "parent_id", "bucket"]).filter(F.col("leaves") >= 2))
+    groups = cut_lineage(groups, "groups")  # read twice: leaves are counted once
     nav = _in_nav(nodes, parents.join(groups.select("page_id", "parent_id").distinct(), ["page_id", "parent_id"], "left_semi")
                   .withColumnRenamed("parent_id", "node_id"))
     groups = groups.join(nav, ["page_id", "parent_id"], "left").withColumn(

@@ -174,6 +174,8 @@ class Matcher:
         met = met.join(elements.select("page_id", "node_id", "parent_id", "depth", "el"), ["page_id", "node_id"]).filter(step_holds(last, F.col("el")))
         # one step has nothing to look for above, but a child of the scope
         alone = (last["comb"] != "child") | (F.col("below") < 0) | (F.col("depth") == F.col("below") + 1)
+        if asked.filter(F.size("steps") > 1).isEmpty():  # all have one step: no chain is read
+            return met.filter(alone).select("page_id", "scope_id", *carry, "node_id")
         met = met.withColumn("parent_id", F.when(F.size("steps") > 1, F.col("parent_id")))
         chains = self.ps.chains if keys is None else chains_of(elements)
         met = met.join(chains, ["page_id", "parent_id"], "left")
