@@ -178,7 +178,8 @@ def recipe_extract(ps, recipes: DataFrame) -> DataFrame:
 
     on_page = Window.partitionBy("page_id").orderBy("name", "id")
     pr = pages_for(recipes, ps.pages).select("page_id", "id", F.row_number().over(on_page).alias("list_rank"))
-    pr = pr.join(recipes.select("id", "row_steps", "columns"), "id")
+    # read several times below; a row for each page, which a join would lose sight of
+    pr = cut_lineage(pr.join(recipes.select("id", "row_steps", "columns"), "id"), "page-recipes")
     pick = ["page_id", "list_rank"]
     roots = ps.nodes.filter(F.col("parent_id").isNull()).select("page_id", F.col("node_id").alias("scope_id"))
     scopes = pr.select(*pick).join(roots, "page_id")

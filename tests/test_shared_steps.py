@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from fixtures import BASE, boat_tiles, tide_table
 from pagerel import session
-from pagerel.operators.extract import node_values
+from pagerel.operators.extract import node_values, recipe_extract
 from pagerel.operators.lists import find_lists
+from pagerel.operators.recipes import normalize_recipes
 from pagerel.operators.select import Matcher, steps_lit
 from pagerel.operators.tree import PageSet
-from pagerel.schema import css, step
+from pagerel.schema import RECIPE, css, step
 
 
 @pytest.fixture(scope="module")
@@ -62,3 +63,14 @@ def test_leaves_of_lists_are_counted_once(own):
     with plans() as seen:
         assert find_lists(own).filter("page_id = 1 and list_rank = 1").first().row_count == 5
     assert sum(p.toString().count("posexplode(anc") for _, p in seen if "rdepth" in p.toString()) == 1
+
+
+def test_recipes_of_a_page_are_numbered_once(own, spark):
+    r = [("b", "boats", "harbour.example", css(("desc", step("section"))), [("Boat", css(("desc", step("h2"))), "text", ""), ("Link", css(("desc", step("a"))), "href", "")], None, None),
+         ("a", "names", "harbour.example", css(("desc", step("h2"))), [("Name", [], "text", "")], None, None)]
+    recipes = normalize_recipes(spark.createDataFrame(r, RECIPE))
+    with plans() as seen:
+        cells = recipe_extract(own, recipes).collect()
+    assert sorted(c.value for c in cells if c.id == "b" and c.name == "Boat") == [f"Cutter {i}" for i in range(1, 6)] and len(cells) == 15
+    assert [w for w, _ in seen].count("page-recipes") == 1
+    assert sum("row_number() windowspecdefinition(page_id" in p.toString() and "name#" in p.toString() for w, p in seen if w in ("asked", "cells")) == 0
