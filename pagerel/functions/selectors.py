@@ -17,7 +17,8 @@ def css_escape(s: Column) -> Column:
     e = F.regexp_replace(e, r"([^A-Za-z0-9_\x{80}-\x{10FFFF}-])", r"\\$1")
     e = F.regexp_replace(e, r"^([0-9])", r"\\3$1 ")
     e = F.regexp_replace(e, r"^-([0-9])", r"-\\3$1 ")
-    return F.when(v == "-", F.lit("\\-")).otherwise(e)
+    # most names have nothing to escape
+    return F.when(v.rlike(r"^[A-Za-z_][A-Za-z0-9_]*\z"), v).when(v == "-", F.lit("\\-")).otherwise(e)
 
 
 def css_string(v: Column) -> Column:

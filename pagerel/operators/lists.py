@@ -44,7 +44,8 @@ def target_candidates(nodes: DataFrame) -> DataFrame:
     classes, weak attrs, <= 4 utility classes, bare tag.
     -> (page_id, node_id, prio, css, strong, step)
     The CSS text is rendered once per exploded candidate, not per branch."""
-    ma = model_attrs(F.col("attr_names"), F.col("attrs"))
+    nodes = nodes.withColumn("_ma", model_attrs(F.col("attr_names"), F.col("attrs")))  # asked for four times below
+    ma = F.col("_ma")
     sem = F.col("sem")
     util = F.filter(F.col("grp"), lambda c: ~F.array_contains(F.col("sem"), c))
     no_s = F.lit(None).cast("string")
@@ -150,21 +151,27 @@ def under_ancestors(ps, rest: DataFrame) -> DataFrame:
 def indexed_paths(ps, targets: DataFrame) -> DataFrame:
     """L06 phase 3: (page_id, node_id, path): the elements from the closest
     ancestor with a stable id that is unique in its page (else from body) down
-    to the node, as structs (tag, id of the first, the first two semantic
-    classes of the others, nth-of-type where there are several)."""
+    to the node, as structs (css text and its position's, tag, id of the first,
+    the first two semantic classes of the others, nth-of-type where there are
+    several)."""
     nodes, key = ps.nodes, ["page_id", "node_id"]
     t = nodes.join(targets.select(*key), key).select("page_id", F.col("node_id").alias("target_id"), F.posexplode("anc").alias("pos", "node_id")).filter("pos >= 1")
     ids = nodes.filter(F.col("id") != "").groupBy("page_id", "id").agg(F.count(F.lit(1)).alias("idn"))
-    info = nodes.select(*key, "tag", "id", "sem", "nth", "nth_count", C.is_stable_id(F.col("id")).alias("stable")).join(ids, ["page_id", "id"], "left")
+    tag, stable = css_escape(F.col("tag")), F.col("stable")
+    info = nodes.select(*key, "tag", "id", F.slice("sem", 1, 2).alias("classes"), F.when(F.col("nth_count") > 1, F.col("nth")).alias("nth"), C.is_stable_id(F.col("id")).alias("stable"))
+    # each element's text once, not once for each path and try
+    info = info.withColumns({"first": F.when(stable, F.concat(tag, F.lit("#"), css_escape(F.col("id")))).otherwise(tag),
+                             "css": F.concat(tag, F.array_join(F.transform("classes", lambda c: F.concat(F.lit("."), css_escape(c))), "")),
+                             "place": F.when(F.col("nth").isNotNull(), F.concat(F.lit(":nth-of-type("), F.col("nth").cast("string"), F.lit(")"))).otherwise(F.lit(""))})
+    info = info.join(ids, ["page_id", "id"], "left")
     # where no element has an id the join above goes, and the elements' size is their file's again
     chain = t.join(info.hint("merge"), key)
-    anchors = F.max(F.when(F.col("stable") & (F.col("idn") == 1) & (F.col("node_id") != F.col("target_id")), F.col("pos")))
-    el = F.struct("pos", "tag", F.when(F.col("stable"), F.col("id")).alias("id"), F.slice("sem", 1, 2).alias("classes"),
-                  F.when(F.col("nth_count") > 1, F.col("nth")).alias("nth"))
+    anchors = F.max(F.when(stable & (F.col("idn") == 1) & (F.col("node_id") != F.col("target_id")), F.col("pos")))
+    el = F.struct("pos", "tag", F.when(stable, F.col("id")).alias("id"), "classes", "nth", "first", "css", "place")
     # as many elements as the page is deep
-    per = chain.groupBy("page_id", "target_id").agg(F.array_sort(F.collect_list(el)).alias("els"), F.coalesce(anchors, F.lit(1)).alias("anchor"))
+    per = chain.groupBy("page_id", "target_id").agg(F.sort_array(F.collect_list(el)).alias("els"), F.coalesce(anchors, F.lit(1)).alias("anchor"))
     path = F.transform(F.filter("els", lambda e: e["pos"] >= F.col("anchor")), lambda e, i: F.struct(
-        e["tag"].alias("tag"), F.when(i == 0, e["id"]).alias("id"),
+        F.when(i == 0, e["first"]).otherwise(e["css"]).alias("css"), e["place"].alias("place"), e["tag"].alias("tag"), F.when(i == 0, e["id"]).alias("id"),
         F.when(i == 0, F.array().cast("array<string>")).otherwise(e["classes"]).alias("classes"), e["nth"].alias("nth")))
     return per.select("page_id", F.col("target_id").alias("node_id"), path.alias("path"))
 
@@ -173,53 +180,108 @@ def _path_selector(path: Column, on: Column, counted: Column) -> tuple[Column, C
     """CSS text and steps of the elements of ``path`` that are ``on``, with
     the positions of those that are ``counted``."""
     every = F.transform(path, lambda e, i: F.struct(
-        e.alias("e"), F.get(on, i).alias("on"), F.when(F.get(counted, i), e["nth"]).alias("nth"), ((i > 0) & F.get(on, F.greatest(i - 1, F.lit(0)))).alias("child")))
+        e.alias("e"), F.get(on, i).alias("on"), F.get(counted, i).alias("counted"), ((i > 0) & F.get(on, F.greatest(i - 1, F.lit(0)))).alias("child")))
     kept = F.filter(every, lambda x: x["on"])
     css = F.transform(kept, lambda x, k: F.concat(
-        F.when(k == 0, "").when(x["child"], " > ").otherwise(" "), css_escape(x["e"]["tag"]),
-        F.when(x["e"]["id"].isNotNull(), F.concat(F.lit("#"), css_escape(x["e"]["id"]))).otherwise(F.lit("")),
-        F.array_join(F.transform(x["e"]["classes"], lambda c: F.concat(F.lit("."), css_escape(c))), ""),
-        F.when(x["nth"].isNotNull(), F.concat(F.lit(":nth-of-type("), x["nth"].cast("string"), F.lit(")"))).otherwise(F.lit(""))))
+        F.when(k == 0, "").when(x["child"], " > ").otherwise(" "), x["e"]["css"], F.when(x["counted"], x["e"]["place"]).otherwise(F.lit(""))))
     steps = F.transform(kept, lambda x, k: make_step(
-        tag=x["e"]["tag"], comb=F.when((k > 0) & x["child"], "child").otherwise("desc"), id=x["e"]["id"], classes=x["e"]["classes"], nth=x["nth"]))
+        tag=x["e"]["tag"], comb=F.when((k > 0) & x["child"], "child").otherwise("desc"), id=x["e"]["id"], classes=x["e"]["classes"], nth=F.when(x["counted"], x["e"]["nth"])))
     return F.array_join(css, ""), steps.cast(STEPS)
 
 
+def _end_selector(path: Column) -> tuple[Column, Column]:
+    """CSS text and steps of all elements of ``path``."""
+    css = F.array_join(F.transform(path, lambda e: F.concat(e["css"], e["place"])), " > ")
+    steps = F.transform(path, lambda e, i: make_step(tag=e["tag"], comb=F.when(i == 0, "desc").otherwise("child"), id=e["id"], classes=e["classes"], nth=e["nth"]))
+    return css, steps.cast(STEPS)
+
+
+def _tried(ps, tries: DataFrame, n: str, selector: tuple[Column, Column]) -> DataFrame:
+    """The ``selector`` of each of ``tries``, which are told apart by ``n``
+    -> (page_id, node_id, n, fits): whether it matches one node only."""
+    css, steps = selector
+    tries = cut_lineage(tries.select("page_id", "node_id", n, F.lit(0).alias("scope_id"), css.alias("css"), steps.alias("steps")), "tries")
+    m = distinct_matches(ps, tries, True).select("page_id", "css", "matches")
+    return tries.join(m, ["page_id", "css"], "left").select("page_id", "node_id", n, (F.coalesce("matches", F.lit(0)) <= 1).alias("fits"))
+
+
 def prune(ps, paths: DataFrame) -> DataFrame:
     """Leaves out of each path, from the top, every ancestor and then every
     position without which it still matches one node only.
 
-    A selector with less in it matches no fewer nodes. So what goes up to the
-    first part that is needed is found by one job that tries all prefixes at
-    once, for all paths; the next job goes on behind that part. There are as
-    many rounds as parts that some path needs, not as paths have parts.
+    A selector with less in it matches no fewer nodes. So the ancestors that go
+    before the first that is needed are those above the path's shortest end
+    that matches one node; ends are tried from the short ones, which like
+    elements share, in rounds that double their length. What cannot go by
+    itself cannot go at all: of the rest of the path each part is tried alone,
+    and only where several can go they are tried together (``_less``).
     paths: (page_id, node_id, path) -> (page_id, node_id, selector, steps)"""
     key = ["page_id", "node_id"]
-    state = cut_lineage(paths.withColumns({"on": F.transform("path", lambda e: F.lit(True)), "counted": F.transform("path", lambda e: e["nth"].isNotNull()),
-                                           "at": F.lit(0)}), "paths")
+    whole = cut_lineage(paths, "paths")
+    shortest, low, high = [], 0, 2
+    while True:
+        # the whole path is what remains if no end of it will do
+        tries = whole.filter(F.size("path") - 1 > low)
+        if shortest:
+            tries = tries.join(shortest[-1].filter("n is null").select(*key), key, "left_semi")
+        if tries.isEmpty():
+            break
+        tries = tries.withColumn("n", F.explode(F.sequence(F.lit(low + 1), F.least(F.lit(high), F.size("path") - 1))))
+        tried = _tried(ps, tries, "n", _end_selector(F.slice("path", -F.col("n"), F.col("n"))))
+        shortest.append(cut_lineage(tried.groupBy(*key).agg(F.min(F.when(F.col("fits"), F.col("n"))).alias("n")), "ends"))
+        low, high = high, 2 * high + 2
+    state = whole
+    if shortest:
+        ends = shortest[0].filter("n is not null")
+        for more in shortest[1:]:
+            ends = ends.unionByName(more.filter("n is not null"))
+        n = F.coalesce("n", F.size("path"))
+        state = whole.join(ends.hint("merge"), key, "left").select(*key, F.slice("path", -n, n).alias("path"))
+    state = cut_lineage(state.withColumns({"on": F.transform("path", lambda e: F.lit(True)), "counted": F.transform("path", lambda e: e["nth"].isNotNull())}), "paths")
     for what in ("on", "counted"):
-        # the last element stays; positions may go everywhere that is left
-        may = (F.sequence(F.lit(0), F.size("path") - 1) if what == "counted" else F.slice(F.sequence(F.lit(0), F.size("path") - 1), 1, F.size("path") - 1))
-        state = state.withColumn("at", F.lit(0)).withColumn("may", F.filter(may, lambda i: F.get("on", i) & F.get(F.col(what), i)))
-        while True:
-            tries = state.filter(F.size("may") > F.col("at")).withColumn("last", F.explode(F.sequence(F.col("at"), F.size("may") - 1)))
-            if tries.isEmpty():
-                break
-            gone = F.slice("may", F.col("at") + 1, F.col("last") - F.col("at") + 1)
-            less = F.transform(what, lambda x, i: x & ~F.array_contains(gone, i))
-            css, steps = _path_selector(F.col("path"), *((less, F.col("counted")) if what == "on" else (F.col("on"), less)))
-            tries = cut_lineage(tries.select(*key, "last", F.lit(0).alias("scope_id"), css.alias("css"), steps.alias("steps")), "tries")
-            n = distinct_matches(ps, tries, True).select("page_id", "css", "matches")
-            needed = tries.join(n, ["page_id", "css"]).groupBy(*key).agg(F.min(F.when(F.col("matches") > 1, F.col("last"))).alias("needed"))
-            met = state.join(needed, key, "left")
-            end = F.coalesce("needed", F.size("may"))
-            gone = F.slice("may", F.col("at") + 1, F.greatest(end - F.col("at"), F.lit(0)))
-            state = cut_lineage(met.withColumn(what, F.transform(what, lambda x, i: x & ~F.array_contains(gone, i)))
-                                .withColumn("at", F.greatest(F.col("at"), end + 1)).drop("needed"), "paths")
+        state = _less(ps, state, what)
     css, steps = _path_selector(F.col("path"), F.col("on"), F.col("counted"))
     return state.select(*key, css.alias("selector"), steps.alias("steps"))
 
 
+def _less(ps, state: DataFrame, what: str) -> DataFrame:
+    """``state`` (page_id, node_id, path, on, counted) less the ancestors
+    (``what`` is on) or positions (counted) that can go, from the top. The last
+    element stays, and the first, which has proved to be needed; positions may
+    go everywhere that is left."""
+    key, columns = ["page_id", "node_id"], state.columns
+    places = F.sequence(F.lit(0), F.size("path") - 1)
+    may = F.filter(places if what == "counted" else F.slice(places, 2, F.greatest(F.size("path") - 2, F.lit(0))), lambda i: F.get("on", i) & F.get(F.col(what), i))
+
+    def selector(gone: Column) -> tuple[Column, Column]:
+        less = F.transform(what, lambda x, i: x & ~F.array_contains(gone, i))
+        return _path_selector(F.col("path"), *((less, F.col("counted")) if what == "on" else (F.col("on"), less)))
+
+    tries = state.withColumn("i", F.explode(may))
+    if tries.isEmpty():
+        return state
+    free = _tried(ps, tries, "i", selector(F.array("i"))).filter("fits").groupBy(*key).agg(F.sort_array(F.collect_list("i")).alias("may"))
+    state = state.join(free.hint("merge"), key, "left").withColumn("may", F.coalesce("may", F.array().cast("array<int>")))
+    # the first of them goes
+    state = cut_lineage(state.withColumn(what, F.transform(what, lambda x, i: x & (i != F.coalesce(F.get("may", F.lit(0)), F.lit(-1))))).withColumn("at", F.lit(1)), "paths")
+    several = state.filter("size(may) > 1")
+    if several.isEmpty():
+        return state.select(*columns)
+    done, state = state.filter("size(may) <= 1"), several
+    while True:
+        tries = state.filter(F.size("may") > F.col("at")).withColumn("last", F.explode(F.sequence(F.col("at"), F.size("may") - 1)))
+        if tries.isEmpty():
+            break
+        # all prefixes of what could go at once; the next round goes on behind the first part that is needed
+        tried = _tried(ps, tries, "last", selector(F.slice("may", F.col("at") + 1, F.col("last") - F.col("at") + 1)))
+        needed = tried.groupBy(*key).agg(F.min(F.when(~F.col("fits"), F.col("last"))).alias("needed"))
+        end = F.coalesce("needed", F.size("may"))
+        gone = F.slice("may", F.col("at") + 1, F.greatest(end - F.col("at"), F.lit(0)))
+        state = cut_lineage(state.join(needed, key, "left").withColumn(what, F.transform(what, lambda x, i: x & ~F.array_contains(gone, i)))
+                            .withColumn("at", F.greatest(F.col("at"), end + 1)).drop("needed"), "paths")
+    return done.unionByName(state).select(*columns)
+
+
 # -- L03 / L04 / T04 ---------------------------------------------------------------
 def _in_nav(nodes: DataFrame, targets: DataFrame) -> DataFrame:
     """J05 for the nav test: closest nav/header/footer/[role=navigation|menu|menubar]."""

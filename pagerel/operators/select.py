@@ -23,6 +23,7 @@ from ..functions.text import match_text
 
 MOST_STEPS = 62  # bits of a number
 KEY_CHARS = 64  # of an attribute's value in a key
+PARENT = "\n"  # between a key and the parent's feature
 
 
 def _strings(c: Column) -> Column:
@@ -34,12 +35,16 @@ def _pairs(attrs: Column) -> Column:
     return F.array_sort(F.transform(F.map_entries(attrs), lambda e: F.concat(e["key"], F.lit("="), e["value"])))
 
 
+def place_key(tag: Column, nth: Column) -> Column:
+    return F.concat(F.lit("n:"), nth.cast("string"), F.lit(":"), tag)
+
+
 def step_key(s: Column) -> Column:
     """The join key of a step: its most selective feature."""
     classes, attrs = _strings(s["classes"]), _strings(_pairs(s["attrs"]))
     return (
         F.when(F.coalesce(s["id"], F.lit("")) != "", F.concat(F.lit("i:"), s["id"]))
-        .when(s["nth"].isNotNull() & s["tag"].isNotNull(), F.concat(F.lit("n:"), s["nth"].cast("string"), F.lit(":"), s["tag"]))
+        .when(s["nth"].isNotNull() & s["tag"].isNotNull(), place_key(s["tag"], s["nth"]))
         .when(F.size(classes) > 0, F.concat(F.lit("c:"), F.try_element_at(classes, F.lit(1))))
         .when(F.size(attrs) > 0, F.concat(F.lit("a:"), F.left(F.try_element_at(attrs, F.lit(1)), F.lit(KEY_CHARS))))
         .when(s["tag"].isNotNull(), F.concat(F.lit("t:"), s["tag"]))
@@ -47,23 +52,63 @@ def step_key(s: Column) -> Column:
     )
 
 
-def node_keys(nodes: DataFrame) -> DataFrame:
-    """(page_id, node_id, anc, key) for every feature a step can be keyed on."""
-    keys = F.concat(
-        F.array(F.concat(F.lit("t:"), F.col("tag")), F.lit("*"), F.concat(F.lit("n:"), F.col("nth").cast("string"), F.lit(":"), F.col("tag"))),
+def near_key(steps: Column) -> Column:
+    """The join key of the last step of ``steps``; with the parent's feature,
+    if it is a child's, so that the cells of a column meet in their row only."""
+    key, above = step_key(F.element_at(steps, -1)), F.try_element_at(steps, F.lit(-2))
+    told = (F.element_at(steps, -1)["comb"] == "child") & above["tag"].isNotNull() & key.rlike("^[tnc]:")
+    parent = F.when(above["nth"].isNotNull(), place_key(above["tag"], above["nth"])).otherwise(F.concat(F.lit("t:"), above["tag"]))
+    return F.when(told, F.concat(key, F.lit(PARENT), parent)).otherwise(key)
+
+
+def told_by_key(steps: Column) -> Column:
+    """Does ``near_key`` say all that ``steps`` (with pairs) ask for in a page?"""
+    def plain(s: Column) -> Column:
+        return s["tag"].isNotNull() & (F.coalesce(s["id"], F.lit("")) == "") & (F.size(_strings(s["classes"])) == 0) & (F.size(s["pairs"]) == 0) & s["has_child"].isNull() & s["text"].isNull()
+
+    last = F.element_at(steps, -1)
+    above = F.when(F.size(steps) == 2, (last["comb"] == "child") & plain(F.try_element_at(steps, F.lit(-2)))).otherwise(F.size(steps) == 1)
+    return F.coalesce(plain(last) & above, F.lit(False))
+
+
+def own_keys() -> Column:
+    """Every feature of an element that a step can be keyed on."""
+    return F.concat(
+        F.array(F.concat(F.lit("t:"), F.col("tag")), F.lit("*"), place_key(F.col("tag"), F.col("nth"))),
         F.transform("classes", lambda c: F.concat(F.lit("c:"), c)),
         F.when(F.col("id") != "", F.array(F.concat(F.lit("i:"), F.col("id")))).otherwise(F.array().cast("array<string>")),
         F.array_distinct(F.transform(_pairs(F.col("attrs")), lambda a: F.concat(F.lit("a:"), F.left(a, F.lit(KEY_CHARS))))),
     )
-    return nodes.select("page_id", "node_id", "anc", F.explode(keys).alias("key"))
 
 
-def with_element(nodes: DataFrame, text: bool = False) -> DataFrame:
+def node_keys(nodes: DataFrame) -> DataFrame:
+    """(page_id, node_id, anc, key) for every feature a step can be keyed on."""
+    return nodes.select("page_id", "node_id", "anc", F.explode(own_keys()).alias("key"))
+
+
+def keyed_elements(nodes: DataFrame, near: bool) -> DataFrame:
+    """``with_element`` with each element's ``keys`` and, if asked for, those
+    of them that are told apart by the parent's features (see ``near_key``);
+    no two elements may have one number then."""
+    out = with_element(nodes.withColumn("keys", own_keys()), keep=("keys",))
+    none = F.array().cast("array<string>")
+    if not near:
+        return out.withColumn("near", none)
+    features = lambda el: (F.concat(F.lit("t:"), el["tag"]), place_key(el["tag"], el["nth"]))
+    above = nodes.filter("n_children > 0").select("page_id", F.col("node_id").alias("parent_id"), F.array(*features(nodes)).alias("above"))
+    ends = [F.concat(F.lit(PARENT), F.get("above", F.lit(i))) for i in (0, 1)]
+    classes = F.flatten(F.transform("el.classes", lambda c: F.array(*[F.concat(F.lit("c:"), c, e) for e in ends])))
+    # the root has no parent
+    near = F.when(F.col("above").isNotNull(), F.concat(F.array(*[F.concat(f, e) for f in features(F.col("el")) for e in ends]), classes)).otherwise(none)
+    return out.join(above.hint("merge"), ["page_id", "parent_id"], "left").withColumn("near", near).drop("above")
+
+
+def with_element(nodes: DataFrame, text: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """``nodes`` as (page_id, node_id, parent_id, depth, n_children, anc, el):
     what a step can ask of an element; its match text only if asked for."""
     own = F.col("mtext") if text else F.lit(None).cast("string")
     el = F.struct("tag", "id", "classes", _pairs(F.col("attrs")).alias("pairs"), "nth", "child_tags", own.alias("text"))
-    return nodes.select("page_id", "node_id", "parent_id", "depth", "n_children", "anc", el.alias("el"))
+    return nodes.select("page_id", "node_id", "parent_id", "depth", "n_children", "anc", el.alias("el"), *keep)
 
 
 def step_holds(s: Column, el: Column) -> Column:
@@ -71,8 +116,8 @@ def step_holds(s: Column, el: Column) -> Column:
     return F.coalesce(
         (s["tag"].isNull() | (el["tag"] == s["tag"]))
         & ((F.coalesce(s["id"], F.lit("")) == "") | (el["id"] == s["id"]))
-        & (F.size(F.array_except(_strings(s["classes"]), el["classes"])) == 0)
-        & (F.size(F.array_except(_strings(s["pairs"]), el["pairs"])) == 0)
+        & ((F.size(_strings(s["classes"])) == 0) | (F.size(F.array_except(_strings(s["classes"]), el["classes"])) == 0))
+        & ((F.size(_strings(s["pairs"])) == 0) | (F.size(F.array_except(_strings(s["pairs"]), el["pairs"])) == 0))
         & (s["nth"].isNull() | (el["nth"] == s["nth"]))
         & (s["has_child"].isNull() | F.array_contains(el["child_tags"], s["has_child"]))
         & (s["text"].isNull() | (el["text"] == s["text"])), F.lit(False))
@@ -83,7 +128,7 @@ def chains_of(elements: DataFrame) -> DataFrame:
     elements from the root down to it, as structs of their depth and ``el``."""
     up = elements.filter("n_children > 0").select("page_id", F.col("node_id").alias("parent_id"), F.posexplode("anc").alias("pos", "node_id"))
     met = up.join(elements.select("page_id", "node_id", "el"), ["page_id", "node_id"])
-    return met.groupBy("page_id", "parent_id").agg(F.array_sort(F.collect_list(F.struct("pos", "el"))).alias("chain"))
+    return met.groupBy("page_id", "parent_id").agg(F.sort_array(F.collect_list(F.struct("pos", "el"))).alias("chain"))
 
 
 def _bit(j: Column) -> Column:
@@ -113,8 +158,12 @@ def chain_holds(steps: Column, chain: Column, below: Column) -> Column:
 
     inside = F.filter(chain, lambda e: e["pos"] > below)
     end = F.aggregate(inside, F.struct(zero.alias("seen"), zero.alias("here")), down)
-    last = F.size(steps) - 2
-    return F.coalesce(F.when(F.element_at(steps, -1)["comb"] == "child", _has(end["here"], last)).otherwise(_has(end["seen"], last)), F.lit(False))
+    last, child = F.size(steps) - 2, F.element_at(steps, -1)["comb"] == "child"
+    # of two steps, a child's looks at the parent only
+    parent, s = F.try_element_at(chain, F.lit(-1)), F.get(steps, F.lit(0))
+    two = (parent["pos"] > below) & ((s["comb"] != "child") | (below < 0) | (parent["pos"] == below + 1)) & step_holds(s, parent["el"])
+    whole = F.when(child, _has(end["here"], last)).otherwise(_has(end["seen"], last))
+    return F.coalesce(F.when(child & (F.size(steps) == 2), two).otherwise(whole), F.lit(False))
 
 
 def with_pairs(steps: Column) -> Column:
@@ -132,7 +181,7 @@ class Matcher:
         """Elements, with the match text of those that a text step may mean."""
         nodes = self.ps.nodes
         if keys is None:
-            return with_element(nodes)
+            return self.ps.elements if self.ps.has("elements") else with_element(nodes)
         from .tree import with_text
 
         meant = node_keys(nodes).join(keys, ["page_id", "key"], "left_semi").select("page_id", "node_id").distinct()
@@ -149,24 +198,45 @@ class Matcher:
         of the scope; a document-level selector (``include_scope``, the scope
         being the root) may match the root too. ``texts``: whether any step
         asks for text (None: looked for)."""
-        carry, nodes = list(carry), self.ps.nodes
+        own = ["page_id", "scope_id", *carry]
+        return self.match_asked(scopes.select(*own).join(sels.select(*sel_key, "steps"), sel_key), list(carry), include_scope, texts)
+
+    def match_asked(self, asked: DataFrame, carry: list[str], include_scope: bool = False, texts: bool | None = None) -> DataFrame:
+        """``match`` of selectors that come with their scopes: (page_id,
+        scope_id, *carry, steps)."""
         from ..session import cut_lineage
 
-        own = ["page_id", "scope_id", *carry]
+        nodes, own = self.ps.nodes, ["page_id", "scope_id", *carry]
+        stored = self.ps.has("elements")
+        near = stored and self.ps.ids_differ
         too_long = F.raise_error(F.lit(f"a selector has more than {MOST_STEPS} steps")).cast("boolean")
-        asked = scopes.select(*own).join(sels.select(*sel_key, "steps"), sel_key)
         asked = asked.filter(F.when(F.size("steps") > MOST_STEPS, too_long).otherwise(F.size("steps") > 0))
+        asked = asked.select(*own, with_pairs(F.col("steps")).alias("steps"))
         # read several times below
-        asked = cut_lineage(asked.select(*own, with_pairs(F.col("steps")).alias("steps"), step_key(F.element_at("steps", -1)).alias("key")), "asked")
+        asked = cut_lineage(asked.withColumns({"key": near_key(F.col("steps")) if near else step_key(F.element_at("steps", -1)),
+                                               "told": told_by_key(F.col("steps")) if near and include_scope else F.lit(False)}), "asked")
         keys = None
         if texts is None or texts:
             each = asked.select("page_id", F.explode("steps").alias("s")).filter(F.col("s.text").isNotNull())
             if texts or not each.isEmpty():
                 keys = each.select("page_id", step_key(F.col("s")).alias("key")).distinct()
-        keyed = node_keys(nodes).join(asked.select("page_id", "key").distinct(), ["page_id", "key"], "left_semi")
+        longest, checked = asked.agg(F.max(F.size("steps")), F.max(F.when(~F.col("told"), F.size("steps")))).first()
+        if stored:
+            keyed = self.ps.elements.select("page_id", "node_id", "anc", F.explode(F.concat("keys", "near") if near and (longest or 0) > 1 else "keys").alias("key"))
+        else:
+            keyed = node_keys(nodes)
+        sure = None
+        if near and include_scope and longest is not None:
+            # what the key tells is not looked for again
+            sure = asked.filter("told").select(*own, "key").join(keyed.drop("anc"), ["page_id", "key"]).select(*own, "node_id")
+            if checked is None:
+                return sure
+            asked = asked.filter("not told")
+        asked = asked.drop("told")
         if include_scope:
             met = asked.join(keyed.drop("anc"), ["page_id", "key"]).withColumn("below", F.lit(-1))
         else:
+            keyed = keyed.join(asked.select("page_id", "key").distinct(), ["page_id", "key"], "left_semi")
             inner = keyed.select("page_id", "node_id", "key", (F.size("anc") - 1).alias("self"), F.posexplode("anc").alias("below", "scope_id"))
             met = asked.join(inner.filter("below < self").drop("self"), ["page_id", "scope_id", "key"])
         elements = self._elements(keys)
@@ -174,25 +244,27 @@ class Matcher:
         met = met.join(elements.select("page_id", "node_id", "parent_id", "depth", "el"), ["page_id", "node_id"]).filter(step_holds(last, F.col("el")))
         # one step has nothing to look for above, but a child of the scope
         alone = (last["comb"] != "child") | (F.col("below") < 0) | (F.col("depth") == F.col("below") + 1)
-        if asked.filter(F.size("steps") > 1).isEmpty():  # all have one step: no chain is read
-            return met.filter(alone).select("page_id", "scope_id", *carry, "node_id")
-        met = met.withColumn("parent_id", F.when(F.size("steps") > 1, F.col("parent_id")))
-        chains = self.ps.chains if keys is None else chains_of(elements)
-        met = met.join(chains, ["page_id", "parent_id"], "left")
-        met = met.filter(F.when(F.size("steps") == 1, alone).otherwise(chain_holds(F.col("steps"), F.col("chain"), F.col("below"))))
-        return met.select("page_id", "scope_id", *carry, "node_id")
+        if (checked or 0) <= 1:  # all have one step: no chain is read
+            met = met.filter(alone)
+        else:
+            met = met.withColumn("parent_id", F.when(F.size("steps") > 1, F.col("parent_id")))
+            chains = self.ps.chains if keys is None else chains_of(elements)
+            met = met.join(chains, ["page_id", "parent_id"], "left")
+            met = met.filter(F.when(F.size("steps") == 1, alone).otherwise(chain_holds(F.col("steps"), F.col("chain"), F.col("below"))))
+        met = met.select(*own, "node_id")
+        return met if sure is None else sure.unionByName(met)
 
 
 def distinct_matches(ps, sels: DataFrame, include_scope: bool) -> DataFrame:
     """How many nodes each distinct selector matches: sels (page_id, scope_id,
     css, steps), rows with the same css being the same selector ->
     (page_id, scope_id, css, matches, last_id). Like elements ask alike, so
-    what is matched does not grow with the number of those that ask."""
-    from ..session import cut_lineage
-
+    what is matched does not grow with the number of those that ask. Asked
+    again and again, so the keys of the elements are stored."""
     key = ["page_id", "scope_id", "css"]
-    each = cut_lineage(sels.groupBy(*key).agg(F.first("steps").alias("steps")), "selectors")
-    m = Matcher(ps).match(each.drop("steps"), each, key, ["css"], include_scope, texts=False)
+    each = sels.groupBy(*key).agg(F.first("steps").alias("steps"))
+    ps.elements  # noqa: B018
+    m = Matcher(ps).match_asked(each, ["css"], include_scope, texts=False)
     return m.groupBy(*key).agg(F.count(F.lit(1)).alias("matches"), F.max("node_id").alias("last_id"))
 
 

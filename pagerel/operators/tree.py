@@ -27,8 +27,9 @@ class PageSet:
     """Pages shredded once and reused by every operator, as tables in the
     shared checkpoint folder: ``nodes`` (one row per element, N01 included),
     ``texts`` (page_id, block, text: the text streams in blocks), ``info``
-    (url and resolved base url) and, made when first asked for, ``chains``
-    (what selectors can ask of the ancestors of an element) and ``sources``."""
+    (url and resolved base url) and, made when first asked for, ``elements``
+    (what selectors can ask of an element, and its join keys), ``chains``
+    (the same of its ancestors) and ``sources``."""
 
     def __init__(self, pages: DataFrame):
         from ..session import cut_lineage
@@ -50,6 +51,7 @@ class PageSet:
         self.info = info.select("page_id", "url", F.when(F.col("base_href").isNotNull(), absolutize(F.col("base_href"), F.col("url")))
                                 .otherwise(F.col("url")).alias("base"))
         self._made: dict = {}
+        self._ids_differ: bool | None = None
 
     def _once(self, name: str, make) -> DataFrame:
         from ..session import cut_lineage
@@ -58,11 +60,27 @@ class PageSet:
             self._made[name] = cut_lineage(make(), name)
         return self._made[name]
 
+    def has(self, name: str) -> bool:
+        return name in self._made
+
+    @property
+    def elements(self) -> DataFrame:
+        from .select import keyed_elements
+
+        return self._once("elements", lambda: keyed_elements(self.nodes, self.ids_differ))
+
+    @property
+    def ids_differ(self) -> bool:
+        """Whether no two pages have one page_id."""
+        if self._ids_differ is None:
+            self._ids_differ = self.pages.filter("page_id is not null").groupBy("page_id").count().filter("count > 1").isEmpty()
+        return self._ids_differ
+
     @property
     def chains(self) -> DataFrame:
         from .select import chains_of, with_element
 
-        return self._once("chains", lambda: chains_of(with_element(self.nodes)))
+        return self._once("chains", lambda: chains_of(self.elements if self.has("elements") else with_element(self.nodes)))
 
     @property
     def sources(self) -> DataFrame:
