@@ -176,11 +176,11 @@ def indexed_paths(ps, targets: DataFrame) -> DataFrame:
     return per.select("page_id", F.col("target_id").alias("node_id"), path.alias("path"))
 
 
-def _path_selector(path: Column, on: Column, counted: Column) -> tuple[Column, Column]:
+def _path_selector(path: Column, on, counted) -> tuple[Column, Column]:
     """CSS text and steps of the elements of ``path`` that are ``on``, with
-    the positions of those that are ``counted``."""
+    the positions of those that are ``counted`` (both asked by index)."""
     every = F.transform(path, lambda e, i: F.struct(
-        e.alias("e"), F.get(on, i).alias("on"), F.get(counted, i).alias("counted"), ((i > 0) & F.get(on, F.greatest(i - 1, F.lit(0)))).alias("child")))
+        e.alias("e"), on(i).alias("on"), counted(i).alias("counted"), ((i > 0) & on(F.greatest(i - 1, F.lit(0)))).alias("child")))
     kept = F.filter(every, lambda x: x["on"])
     css = F.transform(kept, lambda x, k: F.concat(
         F.when(k == 0, "").when(x["child"], " > ").otherwise(" "), x["e"]["css"], F.when(x["counted"], x["e"]["place"]).otherwise(F.lit(""))))
@@ -189,13 +189,25 @@ def _path_selector(path: Column, on: Column, counted: Column) -> tuple[Column, C
     return F.array_join(css, ""), steps.cast(STEPS)
 
 
-def _end_selector(path: Column) -> tuple[Column, Column]:
+def _end_selector(path: Column, counted=None) -> tuple[Column, Column]:
     """CSS text and steps of all elements of ``path``."""
-    css = F.array_join(F.transform(path, lambda e: F.concat(e["css"], e["place"])), " > ")
-    steps = F.transform(path, lambda e, i: make_step(tag=e["tag"], comb=F.when(i == 0, "desc").otherwise("child"), id=e["id"], classes=e["classes"], nth=e["nth"]))
+    on = (lambda i: F.lit(True)) if counted is None else counted
+    css = F.array_join(F.transform(path, lambda e, i: F.concat(e["css"], F.when(on(i), e["place"]).otherwise(F.lit("")))), " > ")
+    steps = F.transform(path, lambda e, i: make_step(tag=e["tag"], comb=F.when(i == 0, "desc").otherwise("child"), id=e["id"], classes=e["classes"], nth=F.when(on(i), e["nth"])))
     return css, steps.cast(STEPS)
 
 
+def _state_selector(gone=None, what: str = "") -> tuple[Column, Column]:
+    """CSS text and steps of (path, on, counted) without what is ``gone``."""
+    at = {c: (lambda i, c=c: F.get(F.col(c), i) & ~gone(i) if c == what else F.get(F.col(c), i)) for c in ("on", "counted")}
+    some = _path_selector(F.col("path"), at["on"], at["counted"])
+    if what == "on":
+        return some
+    # most paths have no ancestor left out in the middle
+    every = _end_selector(F.col("path"), at["counted"])
+    return tuple(F.when(~F.array_contains("on", False), x).otherwise(y) for x, y in zip(every, some, strict=True))
+
+
 def _tried(ps, tries: DataFrame, n: str, selector: tuple[Column, Column]) -> DataFrame:
     """The ``selector`` of each of ``tries``, which are told apart by ``n``
     -> (page_id, node_id, n, fits): whether it matches one node only."""
@@ -240,7 +252,7 @@ def prune(ps, paths: DataFrame) -> DataFrame:
     state = cut_lineage(state.withColumns({"on": F.transform("path", lambda e: F.lit(True)), "counted": F.transform("path", lambda e: e["nth"].isNotNull())}), "paths")
     for what in ("on", "counted"):
         state = _less(ps, state, what)
-    css, steps = _path_selector(F.col("path"), F.col("on"), F.col("counted"))
+    css, steps = _state_selector()
     return state.select(*key, css.alias("selector"), steps.alias("steps"))
 
 
@@ -253,14 +265,10 @@ def _less(ps, state: DataFrame, what: str) -> DataFrame:
     places = F.sequence(F.lit(0), F.size("path") - 1)
     may = F.filter(places if what == "counted" else F.slice(places, 2, F.greatest(F.size("path") - 2, F.lit(0))), lambda i: F.get("on", i) & F.get(F.col(what), i))
 
-    def selector(gone: Column) -> tuple[Column, Column]:
-        less = F.transform(what, lambda x, i: x & ~F.array_contains(gone, i))
-        return _path_selector(F.col("path"), *((less, F.col("counted")) if what == "on" else (F.col("on"), less)))
-
     tries = state.withColumn("i", F.explode(may))
     if tries.isEmpty():
         return state
-    free = _tried(ps, tries, "i", selector(F.array("i"))).filter("fits").groupBy(*key).agg(F.sort_array(F.collect_list("i")).alias("may"))
+    free = _tried(ps, tries, "i", _state_selector(lambda i: i == F.col("i"), what)).filter("fits").groupBy(*key).agg(F.sort_array(F.collect_list("i")).alias("may"))
     state = state.join(free.hint("merge"), key, "left").withColumn("may", F.coalesce("may", F.array().cast("array<int>")))
     # the first of them goes
     state = cut_lineage(state.withColumn(what, F.transform(what, lambda x, i: x & (i != F.coalesce(F.get("may", F.lit(0)), F.lit(-1))))).withColumn("at", F.lit(1)), "paths")
@@ -273,7 +281,8 @@ def _less(ps, state: DataFrame, what: str) -> DataFrame:
         if tries.isEmpty():
             break
         # all prefixes of what could go at once; the next round goes on behind the first part that is needed
-        tried = _tried(ps, tries, "last", selector(F.slice("may", F.col("at") + 1, F.col("last") - F.col("at") + 1)))
+        gone = F.slice("may", F.col("at") + 1, F.col("last") - F.col("at") + 1)
+        tried = _tried(ps, tries, "last", _state_selector(lambda i: F.array_contains(gone, i), what))
         needed = tried.groupBy(*key).agg(F.min(F.when(~F.col("fits"), F.col("last"))).alias("needed"))
         end = F.coalesce("needed", F.size("may"))
         gone = F.slice("may", F.col("at") + 1, F.greatest(end - F.col("at"), F.lit(0)))

@@ -61,6 +61,12 @@ def near_key(steps: Column) -> Column:
     return F.when(told, F.concat(key, F.lit(PARENT), parent)).otherwise(key)
 
 
+def key_kind(key: Column) -> Column:
+    """What sort of feature a key names, and of the parent if it names one."""
+    parent = F.when(key.rlike("^[tnc]:"), F.regexp_extract(key, PARENT + "([tn])", 1)).otherwise("")
+    return F.concat(F.left(key, F.lit(1)), parent)
+
+
 def told_by_key(steps: Column) -> Column:
     """Does ``near_key`` say all that ``steps`` (with pairs) ask for in a page?"""
     def plain(s: Column) -> Column:
@@ -220,31 +226,38 @@ class Matcher:
             each = asked.select("page_id", F.explode("steps").alias("s")).filter(F.col("s.text").isNotNull())
             if texts or not each.isEmpty():
                 keys = each.select("page_id", step_key(F.col("s")).alias("key")).distinct()
-        longest, checked = asked.agg(F.max(F.size("steps")), F.max(F.when(~F.col("told"), F.size("steps")))).first()
-        if stored:
-            keyed = self.ps.elements.select("page_id", "node_id", "anc", F.explode(F.concat("keys", "near") if near and (longest or 0) > 1 else "keys").alias("key"))
-        else:
-            keyed = node_keys(nodes)
+        # a few kinds of keys each: of elements only these are dealt out
+        said = {r["told"]: r for r in asked.groupBy("told").agg(F.max(F.size("steps")).alias("longest"), F.sort_array(F.collect_set(key_kind(F.col("key")))).alias("kinds")).collect()}
+
+        def met_by_key(some: DataFrame, kinds: list[str], wanted: list[str]) -> DataFrame:
+            if stored:
+                keyed = self.ps.elements.select("page_id", "node_id", "anc", F.explode(F.concat("keys", "near") if any(len(k) > 1 for k in kinds) else "keys").alias("key"))
+                keyed = keyed.filter(key_kind(F.col("key")).isin(kinds))
+            else:
+                keyed = node_keys(nodes)
+            # told apart by a number first: quicker to sort than like page_ids
+            by = ["_hash", "page_id", "key"]
+            some, keyed = (x.withColumn("_hash", F.xxhash64("page_id", "key")) for x in (some, keyed))
+            if include_scope:
+                return some.join(keyed.drop("anc"), by).drop("_hash").withColumn("below", F.lit(-1)).select(*wanted, "node_id")
+            keyed = keyed.join(some.select(*by).distinct(), by, "left_semi")
+            inner = keyed.select("page_id", "node_id", "key", (F.size("anc") - 1).alias("self"), F.posexplode("anc").alias("below", "scope_id"))
+            return some.drop("_hash").join(inner.filter("below < self").drop("self"), ["page_id", "scope_id", "key"]).select(*wanted, "node_id")
+
         sure = None
-        if near and include_scope and longest is not None:
-            # what the key tells is not looked for again
-            sure = asked.filter("told").select(*own, "key").join(keyed.drop("anc"), ["page_id", "key"]).select(*own, "node_id")
-            if checked is None:
+        if True in said:  # what the key tells is not looked for again
+            sure = met_by_key(asked.filter("told").select(*own, "key"), said[True]["kinds"], own)
+            if False not in said:
                 return sure
-            asked = asked.filter("not told")
-        asked = asked.drop("told")
-        if include_scope:
-            met = asked.join(keyed.drop("anc"), ["page_id", "key"]).withColumn("below", F.lit(-1))
-        else:
-            keyed = keyed.join(asked.select("page_id", "key").distinct(), ["page_id", "key"], "left_semi")
-            inner = keyed.select("page_id", "node_id", "key", (F.size("anc") - 1).alias("self"), F.posexplode("anc").alias("below", "scope_id"))
-            met = asked.join(inner.filter("below < self").drop("self"), ["page_id", "scope_id", "key"])
+        longest, kinds = (said[False]["longest"], said[False]["kinds"]) if said else (0, [])
+        asked = asked.filter("not told").drop("told")
+        met = met_by_key(asked, kinds, [*own, "steps", "below"])
         elements = self._elements(keys)
         last = F.element_at("steps", -1)
         met = met.join(elements.select("page_id", "node_id", "parent_id", "depth", "el"), ["page_id", "node_id"]).filter(step_holds(last, F.col("el")))
         # one step has nothing to look for above, but a child of the scope
         alone = (last["comb"] != "child") | (F.col("below") < 0) | (F.col("depth") == F.col("below") + 1)
-        if (checked or 0) <= 1:  # all have one step: no chain is read
+        if longest <= 1:  # all have one step: no chain is read
             met = met.filter(alone)
         else:
             met = met.withColumn("parent_id", F.when(F.size("steps") > 1, F.col("parent_id")))
